@@ -106,18 +106,27 @@ def _assign(candidates: Column) -> Column:
     return F.aggregate(candidates, taken, step)
 
 
+def rank_candidates(candidates: DataFrame, n: int = len(TARGET_COLUMNS)) -> DataFrame:
+    """The ``n`` best columns of each target, ranked by score, then by position.
+
+    The limit is applied before the shuffle as well, so a table with very many columns
+    sends ``n`` rows per target and task.
+    """
+    best = Window.partitionBy(*TABLE, "target_pos").orderBy(F.desc("score"), "col_pos")
+    return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
 def build_mapping(candidates: DataFrame, required: Iterable[str] = TARGET_COLUMNS) -> DataFrame:
     """Assign columns to targets one-to-one, best score first.
 
     With ``n`` targets, at most ``n - 1`` columns are taken before a target's turn comes, so
-    only its ``n`` best columns can ever matter. The others are cut before the shuffle (a
-    group limit), which leaves n * n candidates per table however many columns it has.
-    Every target is in the result; an unmapped one has a null column.
+    only its ``n`` best columns can ever matter: the result is the same as from all of
+    them, and a table has n * n candidates however many columns it has. Every target is
+    in the result; an unmapped one has a null column.
     """
     targets = selected_targets(required)
-    best = Window.partitionBy(*TABLE, "target_pos").orderBy(F.desc("score"), "col_pos")
-    short = candidates.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= len(targets))
-    record = F.struct((-F.col("score")).alias("rank"), "target_pos", "col_pos", "col_name", "target", "score")
+    short = rank_candidates(candidates, len(targets))
+    record = F.struct((-F.col("score")).alias("order"), "target_pos", "col_pos", "col_name", "target", "score")
     sure_enough = F.filter(F.array_sort(F.collect_list(record)), lambda x: x["score"] >= MIN_SCORE)
     groups = short.groupBy(*TABLE).agg(sure_enough.alias("_candidates"))
     chosen = groups.select(*TABLE, _assign(F.col("_candidates")).alias("_chosen"))
