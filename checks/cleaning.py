@@ -24,6 +24,7 @@ from tablesmith.operators.reconcile import (
     reconciliation,
 )
 from tablesmith.schema import AGGREGATE_ROW, INVALID_PERIOD, NULL_ROW
+from tablesmith.session import materialize
 
 CELLS = ["pais", "canal", "categoria", "quantity", "email"]
 
@@ -54,6 +55,10 @@ def _tagged(spark, sf_dir):
     return tag_rows(_cleaned(spark, sf_dir))
 
 
+def _split(spark, sf_dir):
+    return remove_bad_rows(materialize(_tagged(spark, sf_dir), "tagged"))
+
+
 @query("p5_blank_rows", JUDGED + f"select source_row, verdict as issue_type, {_DETAIL} as detail from judged where verdict = 'NULL_ROW_REMOVED'")
 def _(spark, sf_dir):
     return issue_log(_tagged(spark, sf_dir).where(F.col("issue_type") == NULL_ROW), NULL_ROW)
@@ -77,7 +82,7 @@ def _(spark, sf_dir):
 
 @query("p12_row_tags", JUDGED + "select source_row, verdict from judged")
 def _(spark, sf_dir):
-    split = remove_bad_rows(_tagged(spark, sf_dir))
+    split = _split(spark, sf_dir)
     kept = split.rows.select("source_row", F.lit("KEPT").alias("verdict"))
     return kept.unionByName(split.issues.select("source_row", F.col("issue_type").alias("verdict")))
 
@@ -89,7 +94,7 @@ def _(spark, sf_dir):
 
 @query("p12_issue_log", JUDGED + f"select source_row, verdict as issue_type, {_DETAIL} as detail from judged where verdict <> 'KEPT'")
 def _(spark, sf_dir):
-    return remove_bad_rows(_tagged(spark, sf_dir)).issues
+    return _split(spark, sf_dir).issues
 
 
 @query(
@@ -138,7 +143,7 @@ def _(spark, sf_dir):
 
 @query("a4_issue_breakdown", JUDGED + "select verdict as issue_type, count(*) as count from judged where verdict <> 'KEPT' group by 1")
 def _(spark, sf_dir):
-    return issue_breakdown(remove_bad_rows(_tagged(spark, sf_dir)).issues)
+    return issue_breakdown(_split(spark, sf_dir).issues)
 
 
 _NULLS = " + ".join(f"sum(cast({c} is null as int))" for c in CELLS)
@@ -161,9 +166,9 @@ summary as (select cast(7 as bigint) as job_id, 'dirty_orders' as source_file, c
 """
 
 
-def _summary(spark, sf_dir):
+def _summary(spark, sf_dir, split=None):
     source = view(spark, sf_dir, "dirty_orders")
-    split = remove_bad_rows(_tagged(spark, sf_dir))
+    split = split or _split(spark, sf_dir)
     return reconciliation(input_totals(source, CELLS), split.rows, split.issues, 7, "dirty_orders")
 
 
@@ -230,4 +235,4 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     invalid = issue_log(view(spark, sf_dir, "shipments_long").where("periodo = 'P13'"), INVALID_PERIOD)
-    return remove_bad_rows(_tagged(spark, sf_dir)).issues.unionByName(invalid).drop("detail")
+    return _split(spark, sf_dir).issues.unionByName(invalid).drop("detail")

@@ -4,11 +4,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from checks.cleaning import CELLS, JUDGED, METRIC_ROWS, _summary, _tagged
+from checks.cleaning import CELLS, JUDGED, METRIC_ROWS, _split, _summary
 from checks.fixtures import table, view
 from checks.registry import query
 from checks.shape import MONTHS, WIDE_MAPPING, _P_COLUMNS, _STRICT, _WIDE_TARGETS
-from tablesmith.operators.cleaning import remove_bad_rows
 from tablesmith.operators.reconcile import head
 from tablesmith.operators.reshape import wide_to_target
 from tablesmith.schema import quoted
@@ -133,7 +132,7 @@ def _(spark, sf_dir):
 @query("k4_issue_log_csv", JUDGED + "select cast(source_row as varchar) as source_row, verdict as issue_type from judged where verdict <> 'KEPT'")
 def _(spark, sf_dir):
     path = scratch_path(spark, "k4")
-    write_issue_log(remove_bad_rows(_tagged(spark, sf_dir)).issues, path)
+    write_issue_log(_split(spark, sf_dir).issues, path)
     return read_csv(spark, path).drop("detail")
 
 
@@ -161,8 +160,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     info = run_info(spark, {"job_id": 7, "filename": "dirty_orders", "engine": "SPARK"})
-    issues = remove_bad_rows(_tagged(spark, sf_dir)).issues
-    paths = write_bi_package(_wide_rows(spark, sf_dir), issues, _summary(spark, sf_dir), info, scratch_path(spark, "k7"))
+    split = _split(spark, sf_dir)
+    summary = _summary(spark, sf_dir, split)
+    paths = write_bi_package(_wide_rows(spark, sf_dir), split.issues, summary, info, scratch_path(spark, "k7"))
     counts = []
     for name, path in paths.items():
         df = read_parquet(spark, path)

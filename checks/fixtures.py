@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablesmith.session import compute_once
+
 NBSP, EM_SPACE, FI, WIDE_ONE = chr(0xA0), chr(0x2003), chr(0xFB01), chr(0xFF11)
 
 _CASE = lambda expr, values: "case " + expr + " " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
@@ -222,9 +224,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The view's rows; its columns are computed once, as if read from a file."""
     used = {n: table(spark, sf_dir, n) for n in _TABLES if re.search(rf"\b{n}\b", sql)}
     text = re.sub(rf"\b(from|join) ({'|'.join(_TABLES)})\b", r"\1 {\2}", sql)
-    return spark.sql(text, **used)
+    df = spark.sql(text, **used)
+    return compute_once(df, [F.col(n) for n in df.columns])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -114,13 +114,16 @@ def normalize_period(c: Column) -> Column:
     )
 
 
+# The first one or two digits, if they are a month.
+_MONTH_NUMBER = r"^\D*(0[1-9]|1[0-2]|[1-9](?!\d))"
+
+
 def long_period(year: Column, period: Column) -> Column:
     """``YYYY-MM`` from a year column and a period column, or null if either is unusable."""
-    y = F.btrim(year.cast("string")).try_cast("double").try_cast("int")
-    m = F.nullif(F.regexp_extract(period.cast("string"), r"(\d{1,2})", 1), F.lit(""))
+    y = year.try_cast("double").try_cast("int")
+    m = F.regexp_extract(period.cast("string"), _MONTH_NUMBER, 1)
     year_text = F.when(y.between(0, 9999), F.lpad(y.cast("string"), 4, "0")).otherwise(F.format_string("%04d", y))
-    valid = m.cast("int").between(1, 12) & y.isNotNull()
-    return F.when(valid, F.concat(year_text, F.lit("-"), F.lpad(m, 2, "0")))
+    return F.when((m != "") & y.isNotNull(), F.concat(year_text, F.lit("-"), F.lpad(m, 2, "0")))
 
 
 def header_is_period(name: str) -> bool:

@@ -17,9 +17,12 @@ WHITESPACE = "".join(map(chr, _SPACES))
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
-_ODD_SPACE = r"\x09-\x0D\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-# Only runs that need rewriting: two or more spaces of any kind, or one that is not plain.
-_SPACE_RUN = rf"[ {_ODD_SPACE}]{{2,}}|[{_ODD_SPACE}]"
+_UNICODE_SPACE = r"\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# A cheap range that holds all of them: few texts have such a character at all.
+_MAYBE_UNICODE_SPACE = r"\x85\xA0\x{1680}-\x{3000}"
+# Text that cleaning may change, and text of which cleaning would leave something.
+_UNTIDY = rf"[\x00-\x1F{_MAYBE_UNICODE_SPACE}]|  |^ | \z"
+_VISIBLE = rf"[^ \x00-\x1F{_UNICODE_SPACE}]"
 
 
 def strip(c: Column) -> Column:
@@ -46,13 +49,20 @@ def strip_controls(c: Column) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, _SPACE_RUN, " "))
+    """Every run of white space as one blank, none at the ends."""
+    has_unicode = c.rlike(f"[{_MAYBE_UNICODE_SPACE}]")
+    plain = F.when(has_unicode, F.regexp_replace(c, f"[{_UNICODE_SPACE}]", " ")).otherwise(c)
+    return F.btrim(F.regexp_replace(plain, r"[\s\x1C-\x1F]+", " "))
 
 
 def clean_value(c: Column, unicode: bool = True) -> Column:
-    """NFKC, delete control characters, collapse white space, empty text to null."""
+    """NFKC, delete control characters, collapse white space, empty text to null.
+
+    Most cells are clean already; they are recognized by one search and passed on.
+    """
     c = nfkc(c) if unicode else c
-    return F.nullif(collapse_whitespace(strip_controls(c)), F.lit(""))
+    tidy = F.when(c.rlike(_UNTIDY), collapse_whitespace(strip_controls(c))).otherwise(c)
+    return F.when(c.rlike(_VISIBLE), tidy)
 
 
 def normalize_phone(c: Column) -> Column:

@@ -12,6 +12,7 @@ from tablesmith.functions.dates import date_text, header_is_period, normalize_da
 from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import clean_value, normalize_email, normalize_phone, normalize_text, row_text
 from tablesmith.schema import AGGREGATE_ROW, DETAILS, DUPLICATE, INVALID_FACT, NULL_ROW, ROW_ID, quoted
+from tablesmith.session import compute_once, materialize
 
 # Words that mark a sub-total row, and header parts that decide a field's rule.
 AGGREGATE_WORDS = r"(?iU)\b(Result|Subtotal|Grand Total|Total)\b"
@@ -44,8 +45,8 @@ def issue_log(df: DataFrame, issue_type: str, detail: Column | None = None, row_
 def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID) -> DataFrame:
     """Apply ``clean_value`` to every text column, in one projection."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != row_id}
-    return df.select(
-        *[clean_value(F.col(quoted(n)), unicode).alias(n) if n in text else F.col(quoted(n)) for n in df.columns]
+    return compute_once(
+        df, [clean_value(F.col(quoted(n)), unicode).alias(n) if n in text else F.col(quoted(n)) for n in df.columns]
     )
 
 
@@ -86,7 +87,10 @@ def split_duplicates(df: DataFrame, row_id: str = ROW_ID) -> Result:
 
 
 def remove_bad_rows(tagged: DataFrame, row_id: str = ROW_ID) -> Result:
-    """Split rows tagged by :func:`tag_rows` and remove duplicates among the good ones."""
+    """Split rows tagged by :func:`tag_rows` and remove duplicates among the good ones.
+
+    Rows and issues together read ``tagged`` three times, so it should be a stored table.
+    """
     good = tagged.where("issue_type is null").drop("issue_type")
     bad = tagged.where("issue_type is not null")
     detail = F.when(F.col("issue_type") == NULL_ROW, DETAILS[NULL_ROW]).otherwise(DETAILS[AGGREGATE_ROW])
@@ -155,7 +159,11 @@ def clean_rows(
     unicode: bool = True,
     row_id: str = ROW_ID,
 ) -> Result:
-    """The whole cleaning pass: values, bad rows, duplicates, then fields by header."""
-    split = remove_bad_rows(tag_rows(clean_values(df, unicode, row_id), row_id), row_id)
+    """The whole cleaning pass: values, bad rows, duplicates, then fields by header.
+
+    The source is read once; its cleaned and tagged rows are kept in the shared folder.
+    """
+    tagged = materialize(tag_rows(clean_values(df, unicode, row_id), row_id), "tagged")
+    split = remove_bad_rows(tagged, row_id)
     fields = clean_fields(split.rows, field_kinds, row_id)
     return Result(fields.rows, split.issues.unionByName(fields.issues))

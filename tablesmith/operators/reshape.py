@@ -10,6 +10,7 @@ from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import trace_json
 from tablesmith.operators.cleaning import Result, cells_of, invalid_numbers, issue_log, strict_aggregate
 from tablesmith.schema import AGGREGATE_ROW, INVALID_PERIOD, ROW_ID, TARGET_COLUMNS, quoted
+from tablesmith.session import compute_once
 
 SOURCE_ROW = "_source_row"
 SOURCE_TRACE = "_source_trace"
@@ -120,12 +121,13 @@ def long_rows(
     """Target dimensions, ``period`` (null if invalid), numeric ``fact`` and ``source_row``."""
     dimensions = [t for t in selected_targets(required) if t != "Fact"]
     fact = mapping.get("Fact")
-    return df.select(
+    columns = [
         *target_columns(df, mapping, dimensions),
         long_period(F.col(quoted(year_column)), F.col(quoted(period_column))).alias("period"),
         (_as_number(df, fact) if fact in df.columns else F.lit(None).cast("double")).alias("fact"),
         F.col(quoted(row_id)).alias(ROW_ID),
-    )
+    ]
+    return compute_once(df, columns)
 
 
 def long_to_wide(

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +33,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compute_once(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """A projection that later filters stay above of.
+
+    A filter on a computed column is otherwise pushed below the projection, where it repeats
+    the column's whole expression: for chains of text rules, many times over.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
