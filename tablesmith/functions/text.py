@@ -20,9 +20,12 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 _UNICODE_SPACE = r"\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # A cheap range that holds all of them: few texts have such a character at all.
 _MAYBE_UNICODE_SPACE = r"\x85\xA0\x{1680}-\x{3000}"
-# Text that cleaning may change, and text of which cleaning would leave something.
-_UNTIDY = rf"[\x00-\x1F{_MAYBE_UNICODE_SPACE}]|  |^ | \z"
-_VISIBLE = rf"[^ \x00-\x1F{_UNICODE_SPACE}]"
+# Text of which cleaning leaves something.
+_VISIBLE = rf"[^\x00-\x20{_UNICODE_SPACE}]"
+
+
+def non_ascii(c: Column) -> Column:
+    return F.octet_length(c) != F.length(c)
 
 
 def strip(c: Column) -> Column:
@@ -41,28 +44,38 @@ def nfkc_udf():
 
 def nfkc(c: Column) -> Column:
     """Only values that hold a non-ASCII character travel to Python."""
-    return F.coalesce(nfkc_udf()(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.coalesce(nfkc_udf()(F.when(non_ascii(c), c)), c)
 
 
 def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROLS, "")
 
 
+def _ascii_spaces(c: Column) -> Column:
+    has_unicode = non_ascii(c) & c.rlike(f"[{_MAYBE_UNICODE_SPACE}]")
+    return F.when(has_unicode, F.regexp_replace(c, f"[{_UNICODE_SPACE}]", " ")).otherwise(c)
+
+
+def _collapse_ascii(c: Column) -> Column:
+    return F.btrim(F.regexp_replace(c, r"[\s\x1C-\x1F]+", " "))
+
+
 def collapse_whitespace(c: Column) -> Column:
     """Every run of white space as one blank, none at the ends."""
-    has_unicode = c.rlike(f"[{_MAYBE_UNICODE_SPACE}]")
-    plain = F.when(has_unicode, F.regexp_replace(c, f"[{_UNICODE_SPACE}]", " ")).otherwise(c)
-    return F.btrim(F.regexp_replace(plain, r"[\s\x1C-\x1F]+", " "))
+    return _collapse_ascii(_ascii_spaces(c))
 
 
 def clean_value(c: Column, unicode: bool = True) -> Column:
     """NFKC, delete control characters, collapse white space, empty text to null.
 
-    Most cells are clean already; they are recognized by one search and passed on.
+    Most cells are clean already; cheap tests find them, and they are passed on as they are.
+    No costly step stands where its argument is named twice, since that would repeat it.
     """
     c = nfkc(c) if unicode else c
-    tidy = F.when(c.rlike(_UNTIDY), collapse_whitespace(strip_controls(c))).otherwise(c)
-    return F.when(c.rlike(_VISIBLE), tidy)
+    ascii_dirt = c.startswith(" ") | c.endswith(" ") | c.contains("  ") | c.rlike(r"[\x00-\x1F]")
+    untidy = ascii_dirt | (non_ascii(c) & c.rlike(f"[{_MAYBE_UNICODE_SPACE}]"))
+    tidied = _collapse_ascii(strip_controls(_ascii_spaces(c)))
+    return F.when(untidy, F.when(c.rlike(_VISIBLE), tidied)).when(c != "", c)
 
 
 def normalize_phone(c: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesmith.functions.dates import date_text, header_is_period, normalize_date
 from tablesmith.functions.numbers import parse_numeric
-from tablesmith.functions.text import clean_value, normalize_email, normalize_phone, normalize_text, row_text
+from tablesmith.functions.text import clean_value, nfkc, normalize_email, normalize_phone, normalize_text, row_text
 from tablesmith.schema import AGGREGATE_ROW, DETAILS, DUPLICATE, INVALID_FACT, NULL_ROW, ROW_ID, quoted
-from tablesmith.session import compute_once, materialize
+from tablesmith.session import materialize
 
 # Words that mark a sub-total row, and header parts that decide a field's rule.
 AGGREGATE_WORDS = r"(?iU)\b(Result|Subtotal|Grand Total|Total)\b"
@@ -43,11 +43,21 @@ def issue_log(df: DataFrame, issue_type: str, detail: Column | None = None, row_
 
 
 def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID) -> DataFrame:
-    """Apply ``clean_value`` to every text column, in one projection."""
-    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != row_id}
-    return compute_once(
-        df, [clean_value(F.col(quoted(n)), unicode).alias(n) if n in text else F.col(quoted(n)) for n in df.columns]
-    )
+    """Apply ``clean_value`` to every text column, once per cell.
+
+    The text cells of a row are cleaned as one array, so that the plan has the rule once
+    however many columns there are; the ``explode`` of its single element keeps later
+    filters from being pushed below it, which would repeat the rule.
+    """
+    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name != row_id
+    text = [f.name for f in df.schema.fields if is_text(f)]
+    if not text:
+        return df
+    cells = [F.col(quoted(n)) for n in text]
+    cleaned = F.transform(F.array(*[nfkc(c) if unicode else c for c in cells]), lambda c: clean_value(c, unicode=False))
+    others = [F.col(quoted(n)) for n in df.columns if n not in text]
+    rows = df.select(*others, F.explode(F.array(cleaned)).alias("_text"))
+    return rows.select(*[F.col("_text")[text.index(n)].alias(n) if n in text else F.col(quoted(n)) for n in df.columns])
 
 
 def filled_cells(columns: list[str]) -> Column:

@@ -5,6 +5,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# Settings that suit these jobs. Generated methods above 8000 bytes are never compiled by
+# the JVM; rules over many columns are faster as smaller functions.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.

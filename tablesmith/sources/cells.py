@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesmith.functions.text import strip
-from tablesmith.operators.reshape import append_outputs
+from tablesmith.operators.lookup import lookup_join
 from tablesmith.schema import ROW_ID
 
 # The sheet that holds no data, how many rows are searched for a header, and
@@ -85,6 +85,16 @@ def sheet_records(cells: DataFrame, sheet: str, header_row: int = 1) -> DataFram
 
 
 def sheet_union(cells: DataFrame, header_row: int = 1) -> DataFrame:
-    """Records of all sheets but guides, appended; a column that a sheet lacks is null."""
-    sheets = sorted(r["sheet"] for r in data_sheets(cells).where(F.col("row_idx") == header_row).select("sheet").distinct().collect())
-    return append_outputs([sheet_records(cells, s, header_row).select(F.lit(s).alias("sheet"), "*") for s in sheets])
+    """Records of all sheets but guides in one table; a column that a sheet lacks is null.
+
+    All sheets are read in one pass: each cell is given its column's name, and a row is put
+    together by one aggregate. Only the distinct names come to the driver.
+    """
+    data = data_sheets(cells)
+    names = header_names(data, header_row)
+    columns = [r["name"] for r in names.groupBy("name").agg(F.min("col_idx").alias("at")).orderBy("at", "name").collect()]
+    body = lookup_join(data.where(F.col("row_idx") > header_row), names, ["sheet", "col_idx"], F.col("row_idx"))
+    row = (F.col("row_idx") - header_row).cast("bigint").alias(ROW_ID)
+    return body.groupBy("sheet", row).agg(
+        *[F.first(F.when(F.col("name") == n, F.col("value")), ignorenulls=True).alias(n) for n in columns]
+    )
