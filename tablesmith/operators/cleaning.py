@@ -12,7 +12,7 @@ from tablesmith.functions.dates import date_text, header_is_period, normalize_da
 from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import clean_value, nfkc, normalize_email, normalize_phone, normalize_text, row_text
 from tablesmith.schema import AGGREGATE_ROW, DETAILS, DUPLICATE, INVALID_FACT, NULL_ROW, ROW_ID, quoted
-from tablesmith.session import materialize
+from tablesmith.session import compute_once, materialize
 
 # Words that mark a sub-total row, and header parts that decide a field's rule.
 AGGREGATE_WORDS = r"(?iU)\b(Result|Subtotal|Grand Total|Total)\b"
@@ -81,22 +81,24 @@ def tag_rows(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     return df.select("*", row_issue(cells_of(df, row_id)).alias("issue_type"))
 
 
-def split_duplicates(df: DataFrame, row_id: str = ROW_ID) -> Result:
+def split_duplicates(df: DataFrame, row_id: str = ROW_ID, store: bool = False) -> Result:
     """Keep the first of each group of equal rows and log the others.
 
     Copies collapse in the map-side half of the aggregate, so a row that makes up a third
     of the table still sends one record per task. The log is an anti-join on the unique row
-    number, which spreads evenly whatever the rows look like.
+    number, which spreads evenly whatever the rows look like. ``store`` writes the kept rows
+    to the shared folder, so that rows and log together shuffle the whole rows only once.
     """
     cells = cells_of(df, row_id)
     kept = df.groupBy(*[F.col(quoted(n)) for n in cells]).agg(F.min(quoted(row_id)).alias(row_id))
     kept = kept.select(*[F.col(quoted(n)) for n in df.columns])
+    kept = materialize(kept, "kept") if store else kept
     numbers = kept.select(F.col(quoted(row_id)))
     removed = df.select(F.col(quoted(row_id))).join(numbers, row_id, "left_anti")
     return Result(kept, issue_log(removed, DUPLICATE, row_id=row_id))
 
 
-def remove_bad_rows(tagged: DataFrame, row_id: str = ROW_ID) -> Result:
+def remove_bad_rows(tagged: DataFrame, row_id: str = ROW_ID, store: bool = False) -> Result:
     """Split rows tagged by :func:`tag_rows` and remove duplicates among the good ones.
 
     Rows and issues together read ``tagged`` three times, so it should be a stored table.
@@ -105,7 +107,7 @@ def remove_bad_rows(tagged: DataFrame, row_id: str = ROW_ID) -> Result:
     bad = tagged.where("issue_type is not null")
     detail = F.when(F.col("issue_type") == NULL_ROW, DETAILS[NULL_ROW]).otherwise(DETAILS[AGGREGATE_ROW])
     log = bad.select(F.col(quoted(row_id)).cast("bigint").alias(ROW_ID), "issue_type", detail.alias("detail"))
-    unique = split_duplicates(good, row_id)
+    unique = split_duplicates(good, row_id, store)
     return Result(unique.rows, log.unionByName(unique.issues))
 
 
@@ -145,7 +147,7 @@ def clean_fields(df: DataFrame, field_kinds: dict[str, str] | None = None, row_i
     ``number``, ``text`` or ``as_is``. Codes stay text unless declared ``number``.
     """
     kinds = {n: field_kind(n) for n in cells_of(df, row_id)} | (field_kinds or {})
-    rows = df.select(*[F.col(quoted(n)) if n == row_id else _field(df, n, kinds[n]) for n in df.columns])
+    rows = compute_once(df, [F.col(quoted(n)) if n == row_id else _field(df, n, kinds[n]) for n in df.columns])
     number_text = [
         n for n, k in kinds.items() if k == "number" and isinstance(df.schema[n].dataType, T.StringType)
     ]
@@ -171,9 +173,10 @@ def clean_rows(
 ) -> Result:
     """The whole cleaning pass: values, bad rows, duplicates, then fields by header.
 
-    The source is read once; its cleaned and tagged rows are kept in the shared folder.
+    The source is read once and the whole rows are shuffled once: the tagged rows and the
+    kept rows are both stored in the shared folder.
     """
     tagged = materialize(tag_rows(clean_values(df, unicode, row_id), row_id), "tagged")
-    split = remove_bad_rows(tagged, row_id)
+    split = remove_bad_rows(tagged, row_id, store=True)
     fields = clean_fields(split.rows, field_kinds, row_id)
     return Result(fields.rows, split.issues.unionByName(fields.issues))

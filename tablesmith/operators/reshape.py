@@ -110,6 +110,10 @@ def sum_by_period(df: DataFrame, keys: list[str], periods: list[str] | None = No
     )
 
 
+def _long_period(year_column: str, period_column: str) -> Column:
+    return long_period(F.col(quoted(year_column)), F.col(quoted(period_column))).alias("period")
+
+
 def long_rows(
     df: DataFrame,
     mapping: Mapping,
@@ -123,7 +127,7 @@ def long_rows(
     fact = mapping.get("Fact")
     columns = [
         *target_columns(df, mapping, dimensions),
-        long_period(F.col(quoted(year_column)), F.col(quoted(period_column))).alias("period"),
+        _long_period(year_column, period_column),
         (_as_number(df, fact) if fact in df.columns else F.lit(None).cast("double")).alias("fact"),
         F.col(quoted(row_id)).alias(ROW_ID),
     ]
@@ -147,8 +151,9 @@ def long_to_wide(
     """
     required = list(required)
     targets = selected_targets(required)
-    rows = long_rows(df, mapping, year_column, period_column, required, row_id)
-    valid = rows.where("period is not null")
+    period = _long_period(year_column, period_column)
+    periods = distinct_periods(df.select(period)) if periods is None else periods
+    valid = long_rows(df, mapping, year_column, period_column, required, row_id).where("period is not null")
     wide = sum_by_period(valid, [t for t in targets if t != "Fact"], periods, null_fact)
     fixed = {*targets, "Fact", SOURCE_ROW}
     trace = trace_json({t: mapping.get(t) for t in targets}).alias(SOURCE_TRACE)
@@ -160,7 +165,7 @@ def long_to_wide(
     )
     fact = mapping.get("Fact")
     text_fact = fact in df.columns and isinstance(df.schema[fact].dataType, T.StringType)
-    issues = issue_log(rows.where("period is null"), INVALID_PERIOD)
+    issues = issue_log(df.where(period.isNull()), INVALID_PERIOD, row_id=row_id)
     return Result(out, issues.unionByName(invalid_numbers(df, [fact], row_id)) if text_fact else issues)
 
 

@@ -1,8 +1,9 @@
 """Clean and reshape one source.
 
 The caller says which of the three shapes the source has; ``operators.layout`` helps to find
-out. The source is read once: its cleaned and tagged rows are written to the shared folder,
-and everything else is computed from there, so a lost executor costs no second reading.
+out. The source is read once: its cleaned and tagged rows, and those that are kept, are
+written to the shared folder, and everything else is computed from there, so that a lost
+executor costs no second reading and no second shuffle of whole rows.
 """
 
 from collections.abc import Iterable
@@ -45,7 +46,7 @@ def clean_source(
     totals = tagged.agg(
         F.count("*").alias("input_rows"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("null_cells_in_source")
     )
-    split = remove_bad_rows(tagged.drop("_nulls"), row_id)
+    split = remove_bad_rows(tagged.drop("_nulls"), row_id, store=True)
     fact = mapping.get("Fact")
     kinds = ({fact: "number"} if fact in cells else {}) | (field_kinds or {})
     fields = clean_fields(split.rows, kinds, row_id)
