@@ -101,7 +101,7 @@ def _(spark, sf_dir):
     "p12_clean_rows",
     JUDGED + f"""select source_row, pais, canal, categoria, lower(email) as email,
         case when regexp_matches(quantity, '^\\(?\\d+\\)?$')
-             then cast(trim(quantity, '()') as double) * case when quantity[1] = '(' then -1 else 1 end end as quantity
+             then case when quantity[1] = '(' then 0 - cast(trim(quantity, '()') as double) else cast(quantity as double) end end as quantity
         from judged where verdict = 'KEPT'""",
 )
 def _(spark, sf_dir):

@@ -1,6 +1,5 @@
 """Runs registered queries in Spark and their twins in DuckDB, and compares the results."""
 
-import math
 import sys
 import time
 from collections import Counter
@@ -24,9 +23,8 @@ def connect(sf_dir: str):
 
 
 def _plain(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else value + 0.0
-    return value
+    """Floats by their digits, so that NaN equals itself and -0.0 differs from 0.0."""
+    return repr(value) if isinstance(value, float) else value
 
 
 def _rows(columns: list[str], rows) -> Counter:

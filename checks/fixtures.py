@@ -35,7 +35,7 @@ select o_orderkey as source_row,
        cast(year(o_orderdate) as int) as display_year,
        case when o_orderkey % 50 = 7 then 'P13' else concat('P', {MONTH2}) end as periodo,
        case when o_orderkey % 50 = 8 then null
-            when o_orderstatus = 'F' then -1.0e0 * (o_custkey % 100) else 1.0e0 * (o_custkey % 100) end as quantity
+            when o_orderstatus = 'F' then 1.0e0 * (0 - o_custkey % 100) else 1.0e0 * (o_custkey % 100) end as quantity
 from orders {_NATION}
 """
 
@@ -77,7 +77,7 @@ select o_orderkey as source_row, n_name as pais, {CANAL} as canal,
             else o_orderpriority end as categoria,
        case when o_orderkey % 30 = 11 then 'Total Fresh' else concat('Brand ', cast(o_custkey % 12 as varchar(2))) end as marca,
        case when o_orderkey % 6 = 0 then null else 1.0e0 * (o_custkey % 100) end as p1,
-       case when o_orderkey % 6 = 1 then 0.0e0 else -1.0e0 * (o_custkey % 70) end as p2,
+       case when o_orderkey % 6 = 1 then 0.0e0 else 1.0e0 * (0 - o_custkey % 70) end as p2,
        1.0e0 * (o_orderkey % 90) as p3,
        case when o_orderkey % 4 = 2 then null else 1.0e0 * (o_orderkey % 11) end as p4
 from orders {_NATION}

@@ -120,7 +120,7 @@ def _(spark, sf_dir):
 
 @query(
     "l4_ranked_candidates",
-    _scores() + """select file, sheet, target, col_name, score, row_number() over (partition by file, sheet, target_pos order by score desc, col_pos) as rank
+    _scores() + """select file, sheet, target, col_name, score, cast(row_number() over (partition by file, sheet, target_pos order by score desc, col_pos) as int) as rank
         from scores qualify rank <= 8""",
 )
 def _(spark, sf_dir):

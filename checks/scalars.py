@@ -79,10 +79,11 @@ def _(spark, sf_dir):
 
 
 _NUMBER_SQL = r"""
-case when regexp_matches(trim(X), '^\s*[$€£]?\s*-?\(?[\d,]+\.?\d*\)?\s*%?\s*$') then
-  case when starts_with(trim(X), '(') and ends_with(trim(X), ')') then -1 else 1 end *
-  case when regexp_matches(trim(regexp_replace(trim(trim(X), '()'), '[$€£,%]', '', 'g')), '^-?\d+\.?\d*$')
-       then try_cast(trim(regexp_replace(trim(trim(X), '()'), '[$€£,%]', '', 'g')) as double) end
+case when regexp_matches(trim(X), '^\s*[$€£]?\s*-?\(?[\d,]+\.?\d*\)?\s*%?\s*$')
+      and regexp_matches(trim(regexp_replace(trim(trim(X), '()'), '[$€£,%]', '', 'g')), '^-?\d+\.?\d*$') then
+  case when starts_with(trim(X), '(') and ends_with(trim(X), ')')
+       then 0 - cast(trim(regexp_replace(trim(trim(X), '()'), '[$€£,%]', '', 'g')) as double)
+       else cast(regexp_replace(trim(regexp_replace(trim(trim(X), '()'), '[$€£,%]', '', 'g')), '^-(0+\.?0*)$', '\1') as double) end
 end
 """
 

@@ -23,9 +23,11 @@ def parse_numeric(c: Column) -> Column:
     s = strip(c)
     digits = F.translate(F.btrim(s, F.lit("()")), "$€£,%", "")
     number = F.btrim(digits)
-    value = F.when(number.rlike(r"^-?\d+\.?\d*$|^-?\.\d+$"), number.try_cast("double"))
+    # Adding to zero and taking from zero both turn a negative zero into plain zero.
+    zero = F.lit(0.0)
+    value = F.when(number.rlike(r"^-?\d+\.?\d*$"), number.try_cast("double"))
     negative = s.startswith("(") & s.endswith(")")
-    return F.when(s.rlike(NUMERIC_TEXT), F.when(negative, -F.abs(value)).otherwise(value))
+    return F.when(s.rlike(NUMERIC_TEXT), F.when(negative, zero - F.abs(value)).otherwise(zero + value))
 
 
 def _plain(c: Column) -> Column:

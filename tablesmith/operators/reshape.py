@@ -35,6 +35,12 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return parse_numeric(c) if isinstance(df.schema[name].dataType, T.StringType) else c.cast("double")
 
 
+def absent_sources(df: DataFrame, mapping: Mapping, required: Iterable[str] = TARGET_COLUMNS) -> list[str]:
+    """Review notes on mapped columns that the table does not have; their targets are null."""
+    missing = {t: mapping.get(t) for t in selected_targets(required) if mapping.get(t) and _source(df, mapping, t) is None}
+    return [f"Column '{name}' mapped to '{target}' is not in the source." for target, name in missing.items()]
+
+
 def target_columns(df: DataFrame, mapping: Mapping, required: Iterable[str] = TARGET_COLUMNS) -> list[Column]:
     """Each target from its mapped column as text; null where unmapped or absent."""
     nothing = F.lit(None)

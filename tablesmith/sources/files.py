@@ -26,24 +26,30 @@ def unique_names(headers: Iterable[str | None]) -> list[str]:
     return names
 
 
-def _header(spark: SparkSession, path: str | list[str], sep: str, encoding: str) -> list[str | None]:
-    """The first record as it stands in the file; Spark would rename repeated headers."""
-    first = spark.read.option("sep", sep).option("header", False).option("encoding", encoding).csv(path).first()
-    return list(first) if first else []
+def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+    options = {"sep": sep, "encoding": encoding, "escape": '"', "multiLine": multi_line}
+    return spark.read.options(**options)
 
 
 def read_delimited(
-    spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8", header: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A delimited file; all columns are text, so codes keep their zeros.
 
-    Without a header row the columns are ``Column_1``, ``Column_2``...
+    Without a header row the columns are ``Column_1``, ``Column_2``... ``multi_line`` is for
+    quoted cells that hold line breaks; such a file cannot be split over tasks.
     """
-    first = _header(spark, path, sep, encoding)
-    names = unique_names(first if header else [None] * len(first))
+    # The header as it stands in the file: Spark would rename repeated names its own way.
+    first = _reader(spark, sep, encoding, multi_line).csv(path).first()
+    headers = list(first) if first else []
+    names = unique_names(headers if header else [None] * len(headers))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).option("sep", sep).option("header", header).option("encoding", encoding)
-    return reader.option("escape", '"').csv(path)
+    return _reader(spark, sep, encoding, multi_line).schema(schema).option("header", header).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

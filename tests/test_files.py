@@ -25,6 +25,8 @@ def test_delimited(spark, tmp_path):
     assert [tuple(r) for r in read_tsv(spark, str(tmp_path / "a.tsv")).collect()] == [("1", "2")]
     assert read_delimited(spark, str(tmp_path / "a.txt"), header=False).columns == ["Column_1", "Column_2"]
     assert sample(df, 1).count() == 1
+    (tmp_path / "b.csv").write_text('a,b\n"1\n2",3\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "b.csv"), multi_line=True).collect()] == [("1\n2", "3")]
 
 
 def test_json_shapes(spark, tmp_path):

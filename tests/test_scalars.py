@@ -26,6 +26,7 @@ def test_numbers(apply):
 
 def test_explicit_zero_is_not_null(apply):
     assert apply(numbers.parse_numeric, ["0", None]) == [0.0, None]
+    assert list(map(str, apply(numbers.parse_numeric, ["-0", "(0)", "0"]))) == ["0.0"] * 3
 
 
 def test_dates(apply):

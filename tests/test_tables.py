@@ -8,6 +8,7 @@ from tablesmith.operators.lookup import SALTS, lookup_join
 from tablesmith.operators.matrix import matrix_to_target, matrix_to_wide
 from tablesmith.operators.reconcile import column_profile, metric_rows, reconciliation
 from tablesmith.operators.reshape import (
+    absent_sources,
     distinct_periods,
     long_to_wide,
     period_columns,
@@ -99,6 +100,7 @@ def test_targets_keep_the_callers_order(spark):
     out = project_targets(df, {"Region": "L1,2 - Division", "Brand": "a.b", "Fact": "no such column"}, ["Brand", "Fact", "Region"])
     assert out.columns[:3] == ["Brand", "Fact", "Region"]
     assert tuple(out.first())[:3] == ("b", None, "1")
+    assert absent_sources(df, {"Brand": "a.b", "Fact": "no such column"}) == ["Column 'no such column' mapped to 'Fact' is not in the source."]
 
 
 def test_last_of_two_headers_for_a_period_wins():
