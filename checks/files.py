@@ -4,13 +4,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from checks.cleaning import CELLS, JUDGED, METRIC_ROWS, _split, _summary
+from checks.cleaning import JUDGED, METRIC_ROWS, _split, _summary
 from checks.fixtures import table, view
 from checks.registry import query
 from checks.shape import MONTHS, WIDE_MAPPING, _P_COLUMNS, _STRICT, _WIDE_TARGETS
 from tablesmith.operators.reconcile import head
 from tablesmith.operators.reshape import wide_to_target
-from tablesmith.schema import quoted
 from tablesmith.session import scratch_path
 from tablesmith.sinks.tables import (
     RUN_INFO,

@@ -20,7 +20,6 @@ C_YEAR = r"^c(\d{4})\s+([A-Za-z]+)$"
 MONTH_DOT_YEAR = r"^(\d{2})\.(\d{4})$"
 NAME_YEAR = r"^([A-Za-z]+)[ /_-](\d{4})$"
 YEAR_MONTH = r"^(\d{4})[-/](\d{1,2})$"
-P_NUMBER = r"^P\d{1,2}$"
 
 _NAMES = "|".join(MONTHS)
 _ALL_NAMES = "|".join(list(FULL_MONTH) + [n for n in SHORT_MONTH if n not in FULL_MONTH])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablesmith.operators.cleaning import clean_fields, clean_rows, clean_values, field_kind, remove_bad_rows, split_duplicates, tag_rows
 from tablesmith.operators.lookup import SALTS, lookup_join
 from tablesmith.operators.matrix import matrix_to_target, matrix_to_wide
-from tablesmith.operators.reconcile import column_profile, metric_rows, reconciliation
+from tablesmith.operators.reconcile import column_profile, metric_rows
 from tablesmith.operators.reshape import (
     absent_sources,
     distinct_periods,
