@@ -5,11 +5,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesmith.llm.base import documents
+from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.exact import exact_groups
+from tablesmith.llm.language import split_identify
 from tablesmith.llm.lines import without_repeats
+from tablesmith.llm.packing import best_fit
 from tablesmith.llm.pii import personal_data
 from tablesmith.llm.secrets import secrets
 from tablesmith.llm.spans import count, joined
+from tablesmith.llm.tokens import token_index, write_tokens
+from tablesmith.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +78,50 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(joined(base, *order), 256).alias("base_sha256"), joined(F.col("spans"), *order).alias("spans")
     )
+
+
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_identify(documents(spark, sf_dir))
+
+
+WORDS = """
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')
+"""
+
+
+def shingle_sql(size: int) -> str:
+    """A list of the distinct shingles of the words ``w``; a shorter text is one shingle."""
+    return f"""
+    case when len(w) = 0 then [] when len(w) < {size} then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' '))) end
+    """
+
+
+@query(
+    "op4_decontamination",
+    f"""
+    with d as (select doc_id, unnest({shingle_sql(5)}) as g from (select doc_id, {WORDS} as w from documents)),
+    b as (select item_id, unnest(s) as g, len(s) as n from (
+        select item_id, {shingle_sql(5)} as s from (select item_id, {WORDS} as w from benchmark)))
+    select doc_id, item_id, count(*) as n_shared, any_value(n) as n_item, count(*) / any_value(n) as containment
+    from d join b using (g) group by doc_id, item_id having 5 * count(*) >= 4 * any_value(n)
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(documents(spark, sf_dir))
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-files")
+    write_tokens(documents(spark, sf_dir), path, tokenizer)
+    return token_index(spark, path, tokenizer)
