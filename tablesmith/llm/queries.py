@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablesmith.llm.base import documents
 from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.exact import exact_groups
+from tablesmith.llm.jaccard import similar_groups
 from tablesmith.llm.language import split_identify
 from tablesmith.llm.lines import without_repeats
 from tablesmith.llm.packing import best_fit
@@ -125,3 +126,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-files")
     write_tokens(documents(spark, sf_dir), path, tokenizer)
     return token_index(spark, path, tokenizer)
+
+
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir), size=4, percent=85)
