@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablesmith.llm import repeats
 from tablesmith.llm.base import documents
 from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.exact import exact_groups
@@ -131,3 +132,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir), size=4, percent=85)
+
+
+@query("op7_repeated_substrings")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -15,7 +15,7 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for 2**bits places."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 2**64)):
@@ -44,9 +44,9 @@ def word_hashes(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    powers, inverse = _powers(int(len(data)).bit_length())
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    up, down = powers(int(len(data)).bit_length())
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
     return hashes, np.searchsorted(starts, first)
 
 
