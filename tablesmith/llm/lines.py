@@ -7,22 +7,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesmith.llm.arrow import map_texts
-from tablesmith.llm.base import few, texts
-from tablesmith.session import materialize
+from tablesmith.llm.base import texts
 
 # Units of fewer words are common phrases, list marks or brackets; they stay.
 MIN_WORDS = 5
 LINE = re.compile(r"[^\n]+")
-SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?](?= )|[^\n]*)")
+STOP = re.compile("[.!?] ")
 SPANS = "array<struct<start: int, end: int>>"
 
 
 def _units(text: str, min_words: int):
     """``start, end, digest`` of the lines of a text, and of the sentences of longer lines."""
     for line in LINE.finditer(text):
-        found = list(SENTENCE.finditer(text, *line.span()))
-        spans = [m.span() for m in found] if len(found) > 1 else []
-        for start, end in [line.span(), *spans]:
+        first, last = line.span()
+        stops = [m.start() + 1 for m in STOP.finditer(text, first, last)]
+        sentences = zip([first, *(s + 1 for s in stops)], [*stops, last]) if stops else ()
+        for start, end in [(first, last), *sentences]:
             words = text[start:end].lower().split()
             if len(words) >= min_words:
                 yield start, end, blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -32,8 +32,8 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, start, end, digest`` of all units; offsets in code points, end exclusive.
 
     A unit is a line, and in a line of several sentences also each sentence (up to a full
-    stop, question or exclamation mark before a space). Its digest is taken from its lower-case
-    words with one space between.
+    stop, question or exclamation mark before a space, without that space). Its digest is
+    taken from its lower-case words with one space between.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -54,7 +54,6 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = units(docs, min_words)
     first = F.min(F.struct("doc_id", "start", "end")).alias("first")
     known = found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
-    known = few(materialize(known, "unit-digests"))
     at = F.struct("doc_id", "start", "end")
     return found.join(known, "digest").where(at > F.col("first")).select("doc_id", "start", "end")
 
@@ -69,7 +68,6 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``doc_id`` is expected to be unique: rows that share one are each cut at the spans of all.
     """
     spans = repeated_units(docs, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = few(materialize(spans, "unit-spans"), 100_000)
 
     def cut(batch: pa.RecordBatch) -> dict:
         kept, removed = [], []
