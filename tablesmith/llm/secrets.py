@@ -27,14 +27,26 @@ ID = re.compile(r"(?ai:access_?key_?id|client_?id|account_?id|user_?name|login)[
 ID_SHAPE = re.compile(r"(?<![A-Za-z0-9])A[A-Z]IA[A-Z0-9]{12,16}(?![A-Za-z0-9])")
 KEY = re.compile(r"(?ai:private_?key|access_?key|client_?key|auth|signature|pwd|pass)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,512})")
 KEY_SHAPE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])")
+DIGIT = re.compile("[0-9]")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/%-]{0,512})?")
 ENDPOINT_NAME = re.compile(r"(?ai:endpoint|host|server|region|bucket)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9./:_-]{4,253})")
+# Words without which a pattern cannot match, in lower case; looked for first, being cheaper.
+HINTS = {
+    ASSIGN: ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    ID: ("access", "client", "account", "user", "login"),
+    KEY: ("key", "auth", "signature", "pwd", "pass"),
+    ENDPOINT_NAME: ("endpoint", "host", "server", "region", "bucket"),
+}
 # Bits per character from which a long word looks random.
 ENTROPY = 3.7
 
 
+def _matches(pattern: re.Pattern, text: str, lower: str):
+    return pattern.finditer(text) if any(h in lower for h in HINTS[pattern]) else ()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    found = [(0, *m.span()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
+    found = [(0, *m.span()) for m in _matches(ASSIGN, text, text.lower()) if m.end(1) - m.start(1) >= 8]
     found += [(1, *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     return found + [(2, *m.span()) for m in HEX.finditer(text)]
 
@@ -47,13 +59,15 @@ def _random(word: str) -> bool:
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Parts that overlap neither a plain secret nor, within their kind, one another."""
+    lower = text.lower()
+    shaped = KEY_SHAPE.finditer(text) if DIGIT.search(text) else ()
     found = [
-        *((3, *m.span(1)) for m in ID.finditer(text)),
-        *((3, *m.span()) for m in ID_SHAPE.finditer(text)),
-        *((4, *m.span(1)) for m in KEY.finditer(text)),
-        *((4, *m.span()) for m in KEY_SHAPE.finditer(text) if _random(m[0])),
+        *((3, *m.span(1)) for m in _matches(ID, text, lower)),
+        *((3, *m.span()) for m in (ID_SHAPE.finditer(text) if "IA" in text else ())),
+        *((4, *m.span(1)) for m in _matches(KEY, text, lower)),
+        *((4, *m.span()) for m in shaped if _random(m[0])),
         *((5, *m.span()) for m in ENDPOINT.finditer(text)),
-        *((5, *m.span(1)) for m in ENDPOINT_NAME.finditer(text)),
+        *((5, *m.span(1)) for m in _matches(ENDPOINT_NAME, text, lower)),
     ]
     taken = sorted((s, e) for _, s, e in base)
     out, at = [], 0
