@@ -8,6 +8,7 @@ import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import ORACLES, QUERIES
+from checks.registry import with_folder
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -49,7 +50,7 @@ def main(sf_dir: str, pattern: str = "") -> int:
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    with_folder(spark).sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
     for name in [n for n in QUERIES if pattern in n]:
         start = time.time()

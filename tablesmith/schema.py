@@ -11,15 +11,20 @@ AGGREGATE_ROW = "AGGREGATE_ROW"
 DUPLICATE = "DUPLICATE_REMOVED"
 INVALID_PERIOD = "INVALID_PERIOD"
 INVALID_FACT = "INVALID_FACT"
+UNLISTED_PERIOD = "UNLISTED_PERIOD"
 DETAILS = {
     NULL_ROW: "Entirely blank row removed",
     AGGREGATE_ROW: "Subtotal/Result/Total row excluded",
     DUPLICATE: "Exact duplicate row removed",
     INVALID_PERIOD: "Could not parse year/period",
     INVALID_FACT: "Could not parse a number",
+    UNLISTED_PERIOD: "Period is not among the requested ones",
 }
+# Fixed value: the detail text of sub-total rows in matrix sheets.
+MATRIX_RESULT = "Result row excluded from atomic output"
 
 ROW_ID = "source_row"
+SHEET = "sheet"
 
 ISSUE_SCHEMA = T.StructType(
     [

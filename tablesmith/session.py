@@ -1,6 +1,5 @@
 """Where intermediate tables go."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,17 +17,13 @@ RECOMMENDED = {
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster without it is
-    an error, since a machine-local folder would be lost together with its machine.
+    The library never makes one itself: a machine-local folder would be lost together with
+    its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tablesmith-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -36,14 +31,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tablesmith/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage and fixes row positions for good."""
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once and read it back: cuts lineage and fixes row positions for good.
+
+    The path is added to ``paths``, so that :func:`release` can remove it later.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored intermediate tables; frames that read them can no longer be used."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
+
+
 def compute_once(df: DataFrame, columns: list[Column]) -> DataFrame:
     """A projection that later filters stay above of.
 

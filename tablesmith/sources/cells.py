@@ -1,10 +1,17 @@
-"""Worksheets as cell tables: ``(sheet, row_idx, col_idx, value)``, rows from 1, columns from 0."""
+"""Worksheets as cell tables: ``(sheet, row_idx, col_idx, value)``, rows from 1, columns from 0.
 
+Cells of several workbooks have a ``file`` column as well; a sheet is then told by both.
+"""
+
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesmith.functions.text import strip
 from tablesmith.operators.lookup import lookup_join
-from tablesmith.schema import ROW_ID
+from tablesmith.schema import ROW_ID, SHEET, quoted
+from tablesmith.sources.files import unique_names
 
 # The sheet that holds no data, how many rows are searched for a header, and
 # the words that mark one.
@@ -14,6 +21,12 @@ HEADER_WORDS = [
     "country", "pais", "channel", "category", "categoria", "brand", "marca",
     "sku", "date", "year", "period", "calendar", "fact",
 ]
+# A union has a column per distinct name; more than this is a sign of wrong header rows.
+MAX_COLUMNS = 20_000
+
+
+def table_key(cells: DataFrame) -> list[str]:
+    return [n for n in ("file", SHEET) if n in cells.columns]
 
 
 def cells_from_lines(lines: DataFrame, sep: str = "\t") -> DataFrame:
@@ -41,60 +54,111 @@ def header_scores(cells: DataFrame) -> DataFrame:
     text = F.lower(F.col("value"))
     found = [F.max(F.when(filled(F.col("value")) & text.contains(w), 1).otherwise(0)) for w in HEADER_WORDS]
     score = 3 * sum(found[1:], found[0]) + F.count_if(filled(F.col("value")))
-    return top.groupBy("sheet", "row_idx").agg(score.alias("score"))
+    return top.groupBy(*table_key(cells), "row_idx").agg(score.alias("score"))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """The likely header row of each sheet: the best score, the earliest row on a tie."""
-    best = Window.partitionBy("sheet").orderBy(F.desc("score"), "row_idx")
+    key = table_key(cells)
+    best = Window.partitionBy(*key).orderBy(F.desc("score"), "row_idx")
     ranked = header_scores(cells).withColumn("_rank", F.row_number().over(best))
-    return ranked.where("_rank = 1").select("sheet", F.col("row_idx").alias("header_row"), "score")
+    return ranked.where("_rank = 1").select(*key, F.col("row_idx").alias("header_row"), "score")
 
 
 def header_names(cells: DataFrame, header_row: int | DataFrame = 1) -> DataFrame:
-    """``(sheet, col_idx, name)``: stripped, blanks as ``Column_{position}``, repeats numbered.
+    """``(sheet, header_row, col_idx, name)`` of every column position of each sheet.
 
-    ``header_row`` is one number for all sheets, or the result of :func:`header_rows`.
+    Positions go up to the greatest of any row; one without a filled header cell is
+    ``Column_{position}``. Names are unique within a sheet without regard to case, and none
+    is ``sheet`` or ``source_row``. ``header_row`` is one number for all sheets, or the result
+    of :func:`header_rows`.
     """
+    key = table_key(cells)
     if isinstance(header_row, int):
-        row = cells.where(F.col("row_idx") == header_row)
+        rows = cells.select(*key).distinct().withColumn("header_row", F.lit(header_row))
     else:
-        first = cells.where(F.col("row_idx") <= HEADER_SCAN_ROWS)
-        row = first.join(header_row.select("sheet", F.col("header_row").alias("row_idx")), ["sheet", "row_idx"])
-    blank = F.concat(F.lit("Column_"), (F.col("col_idx") + 1).cast("string"))
-    base = F.when(filled(F.col("value")), strip(F.col("value"))).otherwise(blank)
-    named = row.select("sheet", "col_idx", base.alias("_base"))
-    again = F.row_number().over(Window.partitionBy("sheet", "_base").orderBy("col_idx"))
-    name = F.when(again == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", again.cast("string")))
-    return named.select("sheet", "col_idx", name.alias("name"))
-
-
-def sheet_records(cells: DataFrame, sheet: str, header_row: int = 1) -> DataFrame:
+        rows = header_row.select(*key, "header_row")
+    widths = cells.groupBy(*key).agg((F.max("col_idx") + 1).cast("int").alias("width"))
+    sheets = widths.join(rows, key)
+    top = cells.where(F.col("row_idx") == header_row) if isinstance(header_row, int) else cells.where(F.col("row_idx") <= HEADER_SCAN_ROWS)
+    head = top.join(F.broadcast(rows) if isinstance(header_row, int) else rows, key).where("row_idx = header_row")
+    given = head.groupBy(*key).agg(F.collect_list(F.struct("col_idx", strip(F.col("value")).alias("value"))).alias("given"))
+    listed = sheets.join(given, key, "left").select(*key, "header_row", "width", "given")
+    fields = ", ".join(f"{k} string" for k in key)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {n: [] for n in (*key, "header_row", "names")}
+            for row in batch.to_pylist():
+                values = {c["col_idx"]: c["value"] for c in row["given"] or []}
+                for n in (*key, "header_row"):
+                    out[n].append(row[n])
+                out["names"].append(unique_names((values.get(i) for i in range(row["width"])), [SHEET, ROW_ID]))
+            types = [*[pa.string()] * len(key), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(out, types)], names=list(out))
+
+    named = listed.withColumn("header_row", F.col("header_row").cast("int"))
+    named = named.mapInArrow(name, f"{fields}, header_row int, names array<string>")
+    return named.select(*key, "header_row", F.posexplode("names").alias("col_idx", "name"))
+
+
+def sheet_records(cells: DataFrame, sheet: str, header_row: int | DataFrame = 1) -> DataFrame:
     """The rows below a sheet's header row as a table; ``source_row`` counts them from 1.
 
-    Only the header cells come to the driver, since they are the schema.
+    Only the names of the sheet's columns come to the driver, since they are the schema.
     """
     one = cells.where(F.col("sheet") == sheet)
+    if not isinstance(header_row, int):
+        header_row = header_row.where(F.col("sheet") == sheet).first()["header_row"]
     names = {r["col_idx"]: r["name"] for r in header_names(one, header_row).collect()}
     columns = [
         F.first(F.when(F.col("col_idx") == i, F.col("value")), ignorenulls=True).alias(names[i]) for i in sorted(names)
     ]
-    body = one.where((F.col("row_idx") > header_row) & F.col("col_idx").isin(sorted(names)))
-    table = body.groupBy((F.col("row_idx") - header_row).cast("bigint").alias(ROW_ID)).agg(*columns)
-    return table
+    body = one.where(F.col("row_idx") > header_row)
+    return body.groupBy((F.col("row_idx") - header_row).cast("bigint").alias(ROW_ID)).agg(*columns)
 
 
-def sheet_union(cells: DataFrame, header_row: int = 1) -> DataFrame:
+def sheet_union(cells: DataFrame, header_row: int | DataFrame = 1) -> DataFrame:
     """Records of all sheets but guides in one table; a column that a sheet lacks is null.
 
     All sheets are read in one pass: each cell is given its column's name, and a row is put
-    together by one aggregate. Only the distinct names come to the driver.
+    together by one aggregate. ``header_row`` is one number, or the result of
+    :func:`header_rows` for a header row per sheet. Names that differ in case only are one
+    column. Rows are told by (sheet, source_row).
     """
     data = data_sheets(cells)
-    names = header_names(data, header_row)
-    columns = [r["name"] for r in names.groupBy("name").agg(F.min("col_idx").alias("at")).orderBy("at", "name").collect()]
-    body = lookup_join(data.where(F.col("row_idx") > header_row), names, ["sheet", "col_idx"], F.col("row_idx"))
-    row = (F.col("row_idx") - header_row).cast("bigint").alias(ROW_ID)
-    return body.groupBy("sheet", row).agg(
-        *[F.first(F.when(F.col("name") == n, F.col("value")), ignorenulls=True).alias(n) for n in columns]
+    key = table_key(data)
+    names = header_names(data, header_row).withColumn("low", F.lower("name"))
+    found = names.groupBy("low").agg(F.min(F.struct("col_idx", "name")).alias("first")).limit(MAX_COLUMNS + 1)
+    columns = sorted(found.collect(), key=lambda r: tuple(r["first"]))
+    if len(columns) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} columns: check the header rows")
+    body = lookup_join(data, names.drop("name"), [*key, "col_idx"], F.col("row_idx")).where("row_idx > header_row")
+    row = (F.col("row_idx") - F.col("header_row")).cast("bigint").alias(ROW_ID)
+    return body.groupBy(*key, row).agg(
+        *[F.first(F.when(F.col("low") == r["low"], F.col("value")), ignorenulls=True).alias(r["first"]["name"]) for r in columns]
+    )
+
+
+def catalog_of(df: DataFrame, file: str, sheet: str = "data", n: int = HEADER_SCAN_ROWS) -> DataFrame:
+    """The column catalog of a table: ``(file, sheet, col_pos, col_name, sample)`` from its first rows."""
+    top = df.select(*[F.col(quoted(c)).cast("string").alias(f"_{i}") for i, c in enumerate(df.columns)]).limit(n)
+    lists = top.agg(*[F.collect_list(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(df.columns))])
+    row = lambda i, c: F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col_name"), F.col(f"_{i}").alias("sample"))
+    each = F.inline(F.array(*[row(i, c) for i, c in enumerate(df.columns)]))
+    return lists.select(F.lit(file).alias("file"), F.lit(sheet).alias("sheet"), each)
+
+
+def catalog_of_cells(cells: DataFrame, header_row: int | DataFrame | None = None, n: int = HEADER_SCAN_ROWS) -> DataFrame:
+    """The column catalog of all data sheets of a cell table with ``file``; header rows are detected."""
+    data = data_sheets(cells)
+    key = table_key(data)
+    names = header_names(data, header_rows(data) if header_row is None else header_row)
+    top = data.where(F.col("row_idx") <= HEADER_SCAN_ROWS + n)
+    near = top.join(names, [*key, "col_idx"]).where((F.col("row_idx") > F.col("header_row")) & (F.col("row_idx") <= F.col("header_row") + n))
+    values = F.array_sort(F.collect_list(F.when(filled(F.col("value")), F.struct("row_idx", "value"))))
+    samples = near.groupBy(*key, "col_idx").agg(F.transform(values, lambda v: v["value"]).alias("sample"))
+    joined = names.join(samples, [*key, "col_idx"], "left")
+    return joined.select(
+        *key, F.col("col_idx").alias("col_pos"), F.col("name").alias("col_name"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample")
     )

@@ -5,23 +5,27 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablesmith.schema import quoted
+from tablesmith.session import materialize
 
 
-def unique_names(headers: Iterable[str | None]) -> list[str]:
-    """Strip, name blanks ``Column_{position}``, number repeats ``name_2``, ``name_3``...
+# Files whose headers the driver compares one by one.
+MAX_HEADER_FILES = 10_000
 
-    Repeats are found without regard to case, as Spark resolves names that way.
+
+def unique_names(headers: Iterable[str | None], reserved: Iterable[str] = ()) -> list[str]:
+    """Strip, name blanks ``Column_{position}``, number a taken name with the least free ``_2``, ``_3``...
+
+    Names are told apart without regard to case, as Spark resolves them that way; they are
+    never equal to a ``reserved`` one.
     """
-    counts: dict[str, int] = {}
+    taken = {r.lower() for r in reserved}
     names = []
     for position, header in enumerate(headers, 1):
         base = (header or "").strip() or f"Column_{position}"
-        counts[base.lower()] = counts.get(base.lower(), 0) + 1
-        n = counts[base.lower()]
-        name = base if n == 1 else f"{base}_{n}"
-        while name.lower() in {x.lower() for x in names}:
-            n += 1
-            name = f"{base}_{n}"
+        name, n = base, 2
+        while name.lower() in taken:
+            name, n = f"{base}_{n}", n + 1
+        taken.add(name.lower())
         names.append(name)
     return names
 
@@ -31,6 +35,34 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
     return spark.read.options(**options)
 
 
+def _first_lines(spark: SparkSession, path: str | list[str], encoding: str, most: int) -> dict[str, list[str]]:
+    """The first line of each file, with the files that start with it; read by the driver.
+
+    Only the first kilobytes of a file are read, through the file system that Spark uses.
+    """
+    hadoop, found = spark._jvm.org.apache.hadoop, {}
+    conf, seen = spark._jsc.hadoopConfiguration(), 0
+    for pattern in [path] if isinstance(path, str) else path:
+        at = hadoop.fs.Path(pattern)
+        fs = at.getFileSystem(conf)
+        for match in fs.globStatus(at) or []:
+            listed = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
+            for file in listed:
+                name = file.getPath().getName()
+                if file.isDirectory() or name.startswith(("_", ".")) or not file.getLen():
+                    continue
+                seen += 1
+                if seen > most:
+                    raise ValueError(f"more than {most} files: compare their headers yourself and pass same_header=True")
+                raw = fs.open(file.getPath())
+                try:
+                    line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(raw, encoding)).readLine()
+                finally:
+                    raw.close()
+                found.setdefault((line or "").lstrip("\ufeff"), []).append(file.getPath().toString())
+    return found
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -38,18 +70,29 @@ def read_delimited(
     encoding: str = "UTF-8",
     header: bool = True,
     multi_line: bool = False,
+    same_header: bool = False,
+    misfit: str | None = None,
 ) -> DataFrame:
-    """A delimited file; all columns are text, so codes keep their zeros.
-
-    Without a header row the columns are ``Column_1``, ``Column_2``... ``multi_line`` is for
-    quoted cells that hold line breaks; such a file cannot be split over tasks.
+    """Delimited files with one header; all columns are text, so codes keep their zeros.
+
+    Files with different first lines are refused, since cells go by position: read each kind
+    on its own and append them with ``append_outputs``. ``same_header`` skips that look at
+    every file. ``misfit`` names a further column that has the whole text of rows with more or
+    fewer cells than the header; without it surplus cells are not read. Blank lines are no
+    rows. Without a header row the columns are ``Column_1``, ``Column_2``... ``multi_line`` is
+    for quoted cells that hold line breaks; such a file cannot be split over tasks.
     """
+    if header and not same_header:
+        kinds = _first_lines(spark, path, encoding, MAX_HEADER_FILES)
+        if len(kinds) > 1:
+            raise ValueError(f"files with different headers: {', '.join(files[0] for files in kinds.values())}")
     # The header as it stands in the file: Spark would rename repeated names its own way.
     first = _reader(spark, sep, encoding, multi_line).csv(path).first()
     headers = list(first) if first else []
-    names = unique_names(headers if header else [None] * len(headers))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return _reader(spark, sep, encoding, multi_line).schema(schema).option("header", header).csv(path)
+    names = unique_names(headers if header else [None] * len(headers), [misfit] if misfit else [])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([misfit] if misfit else [])]])
+    reader = _reader(spark, sep, encoding, multi_line).schema(schema).option("header", header)
+    return (reader.option("columnNameOfCorruptRecord", misfit) if misfit else reader).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
@@ -66,25 +109,64 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
-def read_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
-    """JSON records: a list of objects, an object with a ``data`` or ``rows`` list, or one object.
+def _flat(df: DataFrame, names: list[str]) -> DataFrame:
+    """Unique names, and nested values as JSON text."""
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    text = [F.to_json(F.col(f"_{i}")) if isinstance(f.dataType, nested) else F.col(f"_{i}") for i, f in enumerate(df.schema)]
+    named = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return named.select(*[c.alias(n) for c, n in zip(text, unique_names(names))])
+
+
+def _is_records(df: DataFrame, name: str) -> bool:
+    dtype = df.schema[name].dataType if name in df.columns else None
+    return isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType)
 
-    ``lines`` reads one object per line, the form that Spark can split over tasks.
+
+def read_json(
+    spark: SparkSession, path: str | list[str], lines: bool = False, records: str | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """JSON records as text columns: a list of objects, or one object, or an object with a
+    ``data`` or ``rows`` list of objects, which is then the table.
+
+    ``lines`` reads one object per line, the form that Spark can split over tasks; any other
+    file is read by one task, so large input should come as lines. ``records`` names the list
+    to unfold in each line; a line without it is a row of nulls. Nested values become JSON
+    text, and names that differ in case only are numbered (such a table is stored once). With ``schema`` the input is not
+    read first to find its columns.
+    """
+    reader = spark.read.option("primitivesAsString", True).option("multiLine", not lines)
+    old = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = (reader.schema(schema) if schema is not None else reader).json(path)
+        if not lines and any(_is_records(df, n) for n in ("data", "rows")):
+            signs = spark.read.option("wholetext", True).text(path).select(F.substring(F.regexp_extract("value", r"\S", 0), 1, 1))
+            starts = {r[0] for r in signs.distinct().collect()}
+            if starts == {"{"}:
+                records = next(n for n in ("data", "rows") if _is_records(df, n))
+            elif "{" in starts:
+                raise ValueError("some files are lists and some are objects; read each kind on its own")
+        if records is not None:
+            df = df.select(F.inline_outer(quoted(records)) if lines else F.inline(quoted(records)))
+        if len({n.lower() for n in df.columns}) < len(df.columns):
+            # Spark would refuse such a scan later, when names are compared without case again.
+            stored = materialize(df.toDF(*[f"_{i}" for i in range(len(df.columns))]), "json")
+            return _flat(stored, df.columns)
+        return _flat(df, df.columns)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", old)
+
+
+def read_xml(
+    spark: SparkSession, path: str | list[str], row_tag: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """XML records: each ``row_tag`` element is a row, its children are text columns.
+
+    With ``schema`` the input is not read first to find its columns.
     """
-    reader = spark.read.option("primitivesAsString", True)
-    df = reader.json(path) if lines else reader.option("multiLine", True).json(path)
-    for name in ("data", "rows"):
-        if name in df.columns:
-            dtype = df.schema[name].dataType
-            if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-                return df.select(F.inline(quoted(name)))
-    return df
-
-
-def read_xml(spark: SparkSession, path: str | list[str], row_tag: str) -> DataFrame:
-    """XML records: each ``row_tag`` element is a row, its children are text columns."""
     options = {"rowTag": row_tag, "inferSchema": False, "excludeAttribute": True}
-    df = spark.read.format("xml").options(**options).load(path)
+    reader = spark.read.format("xml").options(**options)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
     return df.toDF(*unique_names(n.split(":")[-1] for n in df.columns))
 
 
@@ -104,3 +186,17 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
 def sample(df: DataFrame, n: int = 12) -> DataFrame:
     """The first rows, for a look at the layout."""
     return df.limit(n)
+
+
+def sample_file(spark: SparkSession, path: str, fmt: str | None = None, n: int = 12, **options) -> DataFrame:
+    """The first rows of a file; a delimited one whose first row has repeated or blank names
+    is read again without a header, since that row is then no header."""
+    df = read_table(spark, path, fmt, **options)
+    fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if fmt in ("csv", "txt", "tsv") and options.get("header", True):
+        sep = options.get("sep", "\t" if fmt == "tsv" else ",")
+        first = _reader(spark, sep, options.get("encoding", "UTF-8"), options.get("multi_line", False)).csv(path).first()
+        names = [(h or "").strip() for h in first or []]
+        if len(set(names)) < len(names) or "" in names:
+            df = read_table(spark, path, fmt, **(options | {"header": False}))
+    return sample(df, n)

@@ -1,38 +1,66 @@
-"""Source row numbers: the 1-based position of every row in its file."""
+"""Source row numbers: the 1-based position of every row in its file, or over all files.
+
+A text scan skips blank lines, so the numbers of a text file count its records, not its lines.
+"""
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesmith.operators.lookup import lookup_join
-from tablesmith.schema import ROW_ID
+from tablesmith.schema import ROW_ID, quoted
 from tablesmith.session import materialize
 
 
-def _follow_on(numbered: DataFrame, position: str, group: list[str], order: str, row_id: str) -> DataFrame:
-    """Turn positions within pieces into running positions over the pieces of each group.
+def _offsets(pieces: DataFrame, order: list[str], across: bool) -> DataFrame:
+    """``_piece, _first, _offset``: how many rows come before each piece (a file or a split of one).
 
-    There is one record per piece (a file or a split of a file) on the small side.
+    Over all files the sums are taken within ranges of the sorted pieces; one number per
+    range reaches the driver.
     """
-    pieces = numbered.groupBy(*group, order).agg(F.min(position).alias("_first"), F.count("*").alias("_rows"))
-    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    joined = lookup_join(numbered, offsets.drop("_rows"), [*group, order], F.col(position))
-    return joined.withColumn(row_id, F.col(position) - F.col("_first") + F.col("_offset") + 1).drop("_first", "_offset")
+    before = lambda w: F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not across:
+        inside = Window.partitionBy(order[0]).orderBy(*order)
+        return pieces.select("_piece", "_first", before(inside).alias("_offset"))
+    ranged = pieces.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "pieces")
+    sums = ranged.groupBy("_range").agg(F.sum("_rows").alias("n")).orderBy("_range").collect()
+    bases, total = [], 0
+    for row in sums:
+        bases.append((row["_range"], total))
+        total += row["n"]
+    base = pieces.sparkSession.createDataFrame(bases, "_range int, _base bigint")
+    inside = Window.partitionBy("_range").orderBy(*order)
+    counted = ranged.withColumn("_inside", before(inside)).join(F.broadcast(base), "_range")
+    return counted.select("_piece", "_first", (F.col("_inside") + F.col("_base")).alias("_offset"))
+
 
+def _follow_on(placed: DataFrame, order: list[str], across: bool, row_id: str) -> DataFrame:
+    """Turn positions ``_at`` within pieces into running positions.
+
+    A piece is named by a 64-bit number, so the small side has three numbers per piece.
+    """
+    placed = placed.withColumn("_piece", F.xxhash64(*order))
+    pieces = placed.groupBy("_piece", *order).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    pieces = materialize(pieces, "pieces")
+    if not pieces.groupBy("_piece").count().where("count > 1").isEmpty():
+        raise ValueError("two pieces of the input have one hash; number the files in two parts")
+    joined = lookup_join(placed, _offsets(pieces, order, across), ["_piece"], F.col("_at"))
+    return joined.withColumn(row_id, F.col("_at") - F.col("_first") + F.col("_offset") + 1)
 
-def number_parquet_rows(df: DataFrame, row_id: str = ROW_ID, across_files: bool = False) -> DataFrame:
+
+def number_parquet_rows(df: DataFrame, row_id: str = ROW_ID, across_files: bool = True) -> DataFrame:
     """Number the rows of a Parquet scan; the reader knows each row's position in its file.
 
-    Numbers restart in every file. ``across_files`` lets them run on in path order instead.
+    Numbers run on over the files in path order, so that they are unique. Without
+    ``across_files`` they restart in every file and only name a row together with its file.
     """
     if not across_files:
         return df.select((F.col("_metadata.row_index") + 1).alias(row_id), "*")
     placed = df.select(F.col("_metadata.row_index").alias("_at"), F.col("_metadata.file_path").alias("_file"), "*")
-    numbered = _follow_on(placed.withColumn("_all", F.lit(0)), "_at", ["_all"], "_file", row_id)
-    return numbered.select(row_id, *df.columns)
+    return _follow_on(placed, ["_file"], True, row_id).select(row_id, *[F.col(quoted(n)) for n in df.columns])
 
 
-def number_text_rows(df: DataFrame, row_id: str = ROW_ID, across_files: bool = False) -> DataFrame:
-    """Number the rows of a CSV, TSV or JSON Lines scan in file order.
+def number_text_rows(df: DataFrame, row_id: str = ROW_ID, across_files: bool = True) -> DataFrame:
+    """Number the rows of a CSV, TSV or JSON Lines scan in file order, over all files by default.
 
     The scan is written once to the shared folder with each row's file, split and position
     in its task. Row numbers are then sums over the splits; how a later run cuts the text
@@ -45,6 +73,11 @@ def number_text_rows(df: DataFrame, row_id: str = ROW_ID, across_files: bool = F
         "*",
     )
     placed = materialize(placed, "numbered")
-    if across_files:
-        placed = placed.withColumn("_block", F.struct("_file", "_block")).withColumn("_file", F.lit(""))
-    return _follow_on(placed, "_at", ["_file"], "_block", row_id).select(row_id, *df.columns)
+    numbered = _follow_on(placed, ["_file", "_block"], across_files, row_id)
+    return numbered.select(row_id, *[F.col(quoted(n)) for n in df.columns])
+
+
+def repeated_ids(df: DataFrame, key: list[str]) -> DataFrame:
+    """Row keys that occur more than once; cleaning needs them to be unique. Moves the keys only."""
+    names = [F.col(quoted(k)) for k in key]
+    return df.groupBy(*names).agg(F.count("*").alias("count")).where("count > 1")

@@ -1,10 +1,25 @@
 """File scans and sinks."""
 
-from tablesmith.operators.cleaning import issue_log
-from tablesmith.sinks.tables import write_csv, write_issue_log
-from tablesmith.sources.cells import header_names, header_rows, sheet_records
-from tablesmith.sources.files import read_csv, read_delimited, read_json, read_table, read_tsv, read_xml, sample, unique_names
-from tablesmith.sources.numbering import number_parquet_rows, number_text_rows
+import json
+
+import pytest
+
+from tablesmith.operators.cleaning import clean_rows, issue_log
+from tablesmith.operators.reconcile import reconciliation
+from tablesmith.sinks.tables import run_report, write_csv, write_issue_log, write_report
+from tablesmith.sources.cells import catalog_of, catalog_of_cells, header_names, header_rows, sheet_records, sheet_union
+from tablesmith.sources.files import (
+    read_csv,
+    read_delimited,
+    read_json,
+    read_table,
+    read_tsv,
+    read_xml,
+    sample,
+    sample_file,
+    unique_names,
+)
+from tablesmith.sources.numbering import number_parquet_rows, number_text_rows, repeated_ids
 
 from tests.test_tables import sheet
 
@@ -12,6 +27,7 @@ from tests.test_tables import sheet
 def test_unique_names():
     assert unique_names(["A", "A", None, "A", " a ", "City/State", "01.2020"]) == ["A", "A_2", "Column_3", "A_3", "a_4", "City/State", "01.2020"]
     assert unique_names(["A", "A_2", "A"]) == ["A", "A_2", "A_3"]
+    assert unique_names(["A", "A", "A_2", "Sheet", "a"], ["sheet"]) == ["A", "A_2", "A_2_2", "Sheet_2", "a_3"]
 
 
 def test_delimited(spark, tmp_path):
@@ -43,6 +59,58 @@ def test_json_shapes(spark, tmp_path):
     assert [tuple(r) for r in read_json(spark, str(tmp_path / "one.json")).collect()] == [("x", "2")]
 
 
+def test_json_loses_nothing(spark, tmp_path):
+    texts = {
+        "own": '[{"a": 1, "data": [{"q": 1}]}, {"a": 2}]', "case": '[{"Brand": 1, "brand": 2}]',
+        "deep": '{"a": {"b": [1, 2]}, "c": "x"}', "lines": '{"a": 1, "data": [{"q": 1}]}\n{"a": 2}\n',
+    }
+    for name, content in texts.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    rows = lambda name, **options: sorted(map(tuple, read_json(spark, str(tmp_path / f"{name}.json"), **options).collect()))
+    assert rows("own") == [("1", '[{"q":"1"}]'), ("2", None)]
+    assert read_json(spark, str(tmp_path / "case.json")).columns == ["Brand", "brand_2"] and rows("case") == [("1", "2")]
+    assert rows("deep") == [('{"b":["1","2"]}', "x")]
+    assert rows("lines", lines=True) == [("1", '[{"q":"1"}]'), ("2", None)]
+    assert rows("lines", lines=True, schema="a string") == [("1",), ("2",)]
+    (tmp_path / "mixed").mkdir()
+    for i, content in enumerate(['{"data": [{"q": 1}]}', '[{"data": [{"q": 2}]}]']):
+        (tmp_path / "mixed" / f"{i}.json").write_text(content)
+    with pytest.raises(ValueError, match="some files are lists"):
+        read_json(spark, str(tmp_path / "mixed"))
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Pais,Marca\nx,y\n")
+    (tmp_path / "b.csv").write_text("Marca,Pais,Extra\ny1,x1,z\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv(spark, str(tmp_path))
+    assert read_csv(spark, str(tmp_path / "a.csv")).count() == 1
+
+
+def test_surplus_cells_can_be_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n1,2,3\n\n4\n")
+    df = read_csv(spark, str(tmp_path / "a.csv"), misfit="rest")
+    assert sorted(map(tuple, df.cache().collect()), key=str) == [("1", "2", "1,2,3"), ("1", "2", None), ("4", None, "4")]
+
+
+def test_sample_without_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,x\n1,2\n")
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n3,4\n")
+    assert [tuple(r) for r in sample_file(spark, str(tmp_path / "a.csv")).collect()] == [("x", "x"), ("1", "2")]
+    assert [tuple(r) for r in sample_file(spark, str(tmp_path / "b.csv"), n=1).collect()] == [("1", "2")]
+
+
+def test_log_over_two_files_is_complete(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Brand,Qty\nx,1\nx,1\ny,2\n")
+    (tmp_path / "b.csv").write_text("Brand,Qty\ny,2\nz,3\n")
+    source = number_text_rows(read_csv(spark, str(tmp_path)))
+    out = clean_rows(source, {"Qty": "number"})
+    assert out.rows.count() + out.issues.count() == 5
+    assert sorted(r["source_row"] for r in out.issues.collect()) == [2, 4]
+    assert repeated_ids(source, ["source_row"]).count() == 0
+    assert repeated_ids(number_text_rows(read_csv(spark, str(tmp_path)), across_files=False), ["source_row"]).count() == 2
+
+
 def test_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<t xmlns:n="u"><row id="1"><n:Code>007</n:Code><Qty>1.50</Qty></row><row><n:Code>x</n:Code></row></t>')
     df = read_xml(spark, str(tmp_path / "a.xml"), "row")
@@ -70,7 +138,7 @@ def test_row_numbers_over_several_files(spark, tmp_path):
     for i, count in enumerate([3, 2, 4]):
         (tmp_path / f"part{i}.csv").write_text("n\n" + "".join(f"{i}{j}\n" for j in range(count)))
     path = str(tmp_path / "*.csv")
-    each = number_text_rows(read_csv(spark, path))
+    each = number_text_rows(read_csv(spark, path), across_files=False)
     assert sorted(r[0] for r in each.select("source_row").collect()) == [1, 1, 1, 2, 2, 2, 3, 3, 4]
     all_rows = number_text_rows(read_csv(spark, path), across_files=True)
     assert [tuple(r) for r in all_rows.orderBy("source_row").collect()] == list(zip(range(1, 10), ["00", "01", "02", "10", "11", "20", "21", "22", "23"]))
@@ -81,7 +149,7 @@ def test_parquet_row_numbers(spark, tmp_path):
     spark.range(100).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(path)
     numbered = number_parquet_rows(spark.read.parquet(path), across_files=True)
     assert numbered.where("source_row <> id + 1").count() == 0
-    assert number_parquet_rows(spark.read.parquet(path)).agg({"source_row": "max"}).first()[0] < 100
+    assert number_parquet_rows(spark.read.parquet(path), across_files=False).agg({"source_row": "max"}).first()[0] < 100
 
 
 def test_clean_run_still_has_a_log_header(spark, tmp_path):
@@ -99,11 +167,48 @@ def test_empty_output_keeps_its_columns(spark, tmp_path):
 def test_header_detection_on_a_short_sheet(spark):
     cells = sheet(spark, {"s": [["Report", None], ["Country", "Brand"], ["x", "y"]], "empty": [["", ""]]})
     assert sorted(map(tuple, header_rows(cells).collect())) == [("empty", 1, 0), ("s", 2, 8)]
-    assert sorted(map(tuple, header_names(cells, header_rows(cells)).where("sheet = 's'").collect())) == [("s", 0, "Country"), ("s", 1, "Brand")]
+    assert sorted(map(tuple, header_names(cells, header_rows(cells)).where("sheet = 's'").collect())) == [("s", 2, 0, "Country"), ("s", 2, 1, "Brand")]
 
 
 def test_sheet_records(spark):
     cells = sheet(spark, {"s": [["title"], ["A", "A", "", "A"], ["1", None, "3", "4"], ["5"]]})
-    df = sheet_records(cells, "s", 2)
-    assert df.columns == ["source_row", "A", "A_2", "Column_3", "A_3"]
-    assert sorted(map(tuple, df.collect())) == [(1, "1", None, "3", "4"), (2, "5", None, None, None)]
+    for header in (2, header_rows(cells).selectExpr("sheet", "2 as header_row", "score")):
+        df = sheet_records(cells, "s", header)
+        assert df.columns == ["source_row", "A", "A_2", "Column_3", "A_3"]
+        assert sorted(map(tuple, df.collect())) == [(1, "1", None, "3", "4"), (2, "5", None, None, None)]
+
+
+def test_no_cell_of_a_sheet_is_lost(spark):
+    grid = [["Brand", "Brand", "Brand_2"], ["x", "y", "z", "beyond"], [None, None, None, "alone"]]
+    other = [["note"], ["brand", "source_row", "sheet"], ["p", "q", "r"]]
+    cells = sheet(spark, {"a": grid, "b": other})
+    df = sheet_union(cells, header_rows(cells).selectExpr("sheet", "if(sheet = 'a', 1, 2) as header_row", "score"))
+    rows = {(r["sheet"], r["source_row"]): [v for v in r[2:] if v is not None] for r in df.collect()}
+    assert {k: sorted(v) for k, v in rows.items()} == {("a", 1): ["beyond", "x", "y", "z"], ("a", 2): ["alone"], ("b", 1): ["p", "q", "r"]}
+    assert sorted(n.lower() for n in df.columns) == sorted({n.lower() for n in df.columns})
+    assert sheet_records(cells, "a", 1).columns == ["source_row", "Brand", "Brand_2", "Brand_2_2", "Column_4"]
+
+
+def test_catalogs(spark):
+    df = spark.sql("select 'x' as Pais, 2024 as `Display Year` union all select null, 2025")
+    got = {r["col_name"]: (r["file"], r["sheet"], r["col_pos"], sorted(r["sample"])) for r in catalog_of(df, "f.csv").collect()}
+    assert got == {"Pais": ("f.csv", "data", 0, ["x"]), "Display Year": ("f.csv", "data", 1, ["2024", "2025"])}
+    cells = sheet(spark, {"s": [["Report"], ["Country", "Brand", ""], ["x", "y", "1"], ["z", "", "2"]], "Guide": [["Brand"]]})
+    rows = catalog_of_cells(cells.selectExpr("'w.xlsx' as file", "*")).collect()
+    assert sorted((r["file"], r["sheet"], r["col_pos"], r["col_name"], r["sample"]) for r in rows) == [
+        ("w.xlsx", "s", 0, "Country", ["x", "z"]), ("w.xlsx", "s", 1, "Brand", ["y"]), ("w.xlsx", "s", 2, "Column_3", ["1", "2"]),
+    ]
+
+
+def test_report(spark, tmp_path):
+    summary = metric_summary(spark)
+    report = run_report(summary, {"Brand": "marca"}, ["Brand", "SKU"], "wide_period", ["look"], 1.5)
+    write_report(report, str(tmp_path / "r"))
+    line = json.loads(spark.read.text(str(tmp_path / "r")).first()[0])
+    assert line["mapping"] == {"Brand": "marca", "SKU": None} and line["review"] == ["look"] and line["input_rows"] == 2
+
+
+def metric_summary(spark):
+    rows = spark.sql("select 1 as source_row, 'x' as Brand union all select 2, 'x'")
+    totals = spark.sql("select 2L as input_rows, 0L as null_cells_in_source")
+    return reconciliation(totals, rows, issue_log(rows, "DUPLICATE_REMOVED"), 1, "f")
