@@ -80,11 +80,11 @@ def _(spark, sf_dir):
     return rows.where(~strict_aggregate(columns))
 
 
-@query("p12_row_tags", JUDGED + "select source_row, verdict from judged")
+@query("p12_row_tags", JUDGED + f"select source_row, verdict, case when verdict <> 'KEPT' then {_DETAIL} end as detail from judged")
 def _(spark, sf_dir):
     split = _split(spark, sf_dir)
-    kept = split.rows.select("source_row", F.lit("KEPT").alias("verdict"))
-    return kept.unionByName(split.issues.select("source_row", F.col("issue_type").alias("verdict")))
+    kept = split.rows.select("source_row", F.lit("KEPT").alias("verdict"), F.lit(None).cast("string").alias("detail"))
+    return kept.unionByName(split.issues.select("source_row", F.col("issue_type").alias("verdict"), "detail"))
 
 
 @query("p12_kept_rows", JUDGED + f"select source_row, {', '.join(CELLS)} from judged where verdict = 'KEPT'")
@@ -230,9 +230,9 @@ def _(spark, sf_dir):
 
 @query(
     "u2_issue_union",
-    JUDGED + """select source_row, verdict as issue_type from judged where verdict <> 'KEPT'
-       union all select source_row, 'INVALID_PERIOD' from shipments_long where periodo = 'P13'""",
+    JUDGED + f"""select source_row, verdict as issue_type, {_DETAIL} as detail from judged where verdict <> 'KEPT'
+       union all select source_row, 'INVALID_PERIOD', 'Could not parse year/period' from shipments_long where periodo = 'P13'""",
 )
 def _(spark, sf_dir):
     invalid = issue_log(view(spark, sf_dir, "shipments_long").where("periodo = 'P13'"), INVALID_PERIOD)
-    return _split(spark, sf_dir).issues.unionByName(invalid).drop("detail")
+    return _split(spark, sf_dir).issues.unionByName(invalid)

@@ -4,16 +4,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from checks.cleaning import JUDGED, METRIC_ROWS, _split, _summary
+from checks.cleaning import JUDGED, METRIC_ROWS, _DETAIL, _SUMMARY, _split, _summary
 from checks.fixtures import table, view
 from checks.registry import query
 from checks.shape import MONTHS, WIDE_MAPPING, _P_COLUMNS, _STRICT, _WIDE_TARGETS
+from tablesmith.operators.cleaning import split_duplicates
 from tablesmith.operators.reconcile import head
 from tablesmith.operators.reshape import wide_to_target
 from tablesmith.session import scratch_path
 from tablesmith.sinks.tables import (
     RUN_INFO,
     run_info,
+    run_report,
     write_bi_package,
     write_csv,
     write_issue_log,
@@ -66,7 +68,7 @@ def _(spark, sf_dir):
     records = _orders(spark, sf_dir).withColumn("batch", F.floor(F.col("o_orderkey") / 100))
     batches = records.groupBy("batch").agg(F.collect_list(F.struct(*_ORDER.split(", "))).alias("data"))
     batches.write.json(path)
-    return read_json(spark, path, lines=True)
+    return read_json(spark, path, lines=True, records="data")
 
 
 @query("s5_xml_scan", _ORDER_TEXT)
@@ -102,6 +104,23 @@ def _(spark, sf_dir):
     return number_text_rows(read_csv(spark, path), across_files=True)
 
 
+@query(
+    "s10_issue_log_two_files",
+    """with rows_ as (select row_number() over (order by o_orderkey % 2, o_orderkey) as source_row, o_custkey % 500 as k, o_orderpriority as p from orders)
+       select source_row, 'DUPLICATE_REMOVED' as issue_type, 'Exact duplicate row removed' as detail
+       from rows_ qualify row_number() over (partition by k, p order by source_row) > 1""",
+)
+def _(spark, sf_dir):
+    """Two files read as one table: the log and the kept rows together are all rows."""
+    path = scratch_path(spark, "s10-two")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 500).alias("k"), F.col("o_orderpriority").alias("p"))
+    for part in (0, 1):
+        rows = orders.where(F.col("o_orderkey") % 2 == part).orderBy("o_orderkey").drop("o_orderkey")
+        write_csv(rows.coalesce(1), f"{path}/{part}")
+    numbered = number_text_rows(read_csv(spark, [f"{path}/0", f"{path}/1"]))
+    return split_duplicates(numbered).issues
+
+
 @query("s11_sample_rows", "select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey limit 12")
 def _(spark, sf_dir):
     return head(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 12, "o_orderkey")
@@ -128,11 +147,11 @@ def _(spark, sf_dir):
     return read_table(spark, path, "parquet")
 
 
-@query("k4_issue_log_csv", JUDGED + "select cast(source_row as varchar) as source_row, verdict as issue_type from judged where verdict <> 'KEPT'")
+@query("k4_issue_log_csv", JUDGED + f"select cast(source_row as varchar) as source_row, verdict as issue_type, {_DETAIL} as detail from judged where verdict <> 'KEPT'")
 def _(spark, sf_dir):
     path = scratch_path(spark, "k4")
     write_issue_log(_split(spark, sf_dir).issues, path)
-    return read_csv(spark, path).drop("detail")
+    return read_csv(spark, path)
 
 
 @query("k5_reconciliation_csv", METRIC_ROWS)
@@ -142,28 +161,50 @@ def _(spark, sf_dir):
     return read_csv(spark, path)
 
 
-@query("k6_run_report_json", JUDGED + "select '7' as job_id, 'dirty_orders' as source_file, cast(count(*) as varchar) as input_rows, cast(count(*) filter (verdict = 'KEPT') as varchar) as output_rows from judged")
+@query(
+    "k6_run_report_json",
+    JUDGED + """select '7' as job_id, 'dirty_orders' as source_file, cast(count(*) as varchar) as input_rows,
+         cast(count(*) filter (verdict = 'KEPT') as varchar) as output_rows, 'normal' as dataset_mode,
+         '{"Country":"pais"}' as mapping, '["Country","SKU"]' as required_columns, '["check SKU"]' as review, '1.5' as duration_seconds from judged""",
+)
 def _(spark, sf_dir):
     path = scratch_path(spark, "k6")
-    write_report(_summary(spark, sf_dir).select("job_id", "source_file", "input_rows", "output_rows"), path)
-    return read_json(spark, path, lines=True)
+    write_report(run_report(_summary(spark, sf_dir), {"Country": "pais"}, ["Country", "SKU"], "normal", ["check SKU"], 1.5), path)
+    columns = ["job_id", "source_file", "input_rows", "output_rows", "dataset_mode", "mapping", "required_columns", "review", "duration_seconds"]
+    report = read_json(spark, path, lines=True).select(*columns)
+    return report
+
+
+def _cell_rows(name: str, columns: list[str], source: str) -> str:
+    """A table as one row per cell, so that tables of any shape can be compared together."""
+    return " union all ".join(f"""select '{name}' as name, '{c}' as col, cast("{c}" as varchar) as value from ({source}) as t""" for c in columns)
+
+
+_K7_ROWS = f"select {_WIDE_TARGETS}, {_P_COLUMNS} from shipments_wide where {_STRICT}"
+_K7_COLUMNS = sorted(["Country", "Region", "Channel", "City/State", "Category", "Brand", "SKU", "Fact", *MONTHS.values()])
+_K7_INFO = "select " + ", ".join(
+    {"job_id": "7", "filename": "'dirty_orders'", "engine": "'SPARK'"}.get(n, "null") + f" as {n}" for n in RUN_INFO
+)
 
 
 @query(
     "k7_bi_package",
-    JUDGED + f"""select 'Cleaned_Data' as name, (select count(*) from shipments_wide where {_STRICT}) as row_count,
-         '1997-01,1997-02,1997-03,1997-04,Brand,Category,Channel,City/State,Country,Fact,Region,SKU' as columns
-       union all select 'Issue_Log', count(*), 'source_row,issue_type,detail' from judged where verdict <> 'KEPT'
-       union all select 'Reconciliation_Summary', 12 + count(distinct verdict), 'section,metric,value' from judged where verdict <> 'KEPT'
-       union all select 'Run_Info', 1, '{",".join(RUN_INFO)}'""",
+    _SUMMARY + f""", metric_rows as ({METRIC_ROWS.removeprefix(_SUMMARY)}),
+        cells_of_all as (
+          {_cell_rows("Cleaned_Data", _K7_COLUMNS, _K7_ROWS)}
+          union all {_cell_rows("Issue_Log", ["source_row", "issue_type", "detail"], f"select source_row, verdict as issue_type, {_DETAIL} as detail from judged where verdict <> 'KEPT'")}
+          union all {_cell_rows("Reconciliation_Summary", ["section", "metric", "value"], "select * from metric_rows")}
+          union all {_cell_rows("Run_Info", RUN_INFO, _K7_INFO)})
+        select name, col, value, count(*) as n from cells_of_all group by all""",
 )
 def _(spark, sf_dir):
     info = run_info(spark, {"job_id": 7, "filename": "dirty_orders", "engine": "SPARK"})
     split = _split(spark, sf_dir)
     summary = _summary(spark, sf_dir, split)
     paths = write_bi_package(_wide_rows(spark, sf_dir), split.issues, summary, info, scratch_path(spark, "k7"))
-    counts = []
+    tables = []
     for name, path in paths.items():
         df = read_parquet(spark, path)
-        counts.append(df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("name"), "row_count", F.lit(",".join(df.columns)).alias("columns")))
-    return reduce(DataFrame.unionByName, counts)
+        cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+        tables.append(df.select(F.lit(name).alias("name"), F.inline(cells)))
+    return reduce(DataFrame.unionByName, tables).groupBy("name", "col", "value").agg(F.count("*").alias("n"))

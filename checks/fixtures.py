@@ -155,8 +155,9 @@ select * from (values
   ('KG',4,0,'Date'),('KG',4,1,'Category'),('KG',4,2,'Brand'),('KG',4,3,'Segment'),('KG',4,4,'Format'),('KG',4,5,'Retail'),
   ('KG',4,6,'Retail'),('KG',4,7,''),('KG',4,8,'Retail'),
   ('un',1,5,'Club'),('un',1,6,'Horeca'),('un',1,8,'Other'),('un',4,0,'Period'),('un',4,1,'Categoria'),('un',4,2,'Marca'),
-  ('LIT',1,5,'Web'),('LIT',1,6,'Web'),('LIT',1,7,'Club'),('LIT',4,0,'Calendar Date'),('LIT',4,1,'Brand'),
-  ('Cases',1,5,'Kiosk'),('Cases',1,6,'Kiosk'),('Cases',2,5,'East'),('Cases',3,6,'West'),('Cases',4,0,'Year'),('Cases',4,1,'SKU')
+  ('LIT',1,5,'Web'),('LIT',1,6,'Web'),('LIT',1,7,'Club'),('LIT',4,0,'Calendar Date'),('LIT',4,1,'Brand'),('LIT',4,2,'brand'),
+  ('LIT',4,4,'Column_4'),('Cases',1,5,'Kiosk'),('Cases',1,6,'Kiosk'),('Cases',2,5,'East'),('Cases',3,6,'West'),('Cases',4,0,'Year'),
+  ('Cases',4,1,'SKU'),('Cases',4,2,'SKU'),('Cases',4,3,'SKU_2'),('Cases',4,4,'source_row'),('Cases',4,5,'Sheet')
 ) as heads(sheet, row_idx, col_idx, value)
 union all
 select case when n_regionkey % 2 = 0 then 'Guide' else 'GUIDE' end, n_nationkey + 1, 0, concat('Fill in ', n_name) from nation

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import view
 from checks.registry import query
+from checks.sheets import MATRIX_SHEETS, _NAMES, _SCORES as _SCORES_OF_ROWS
 from tablesmith.functions.similarity import normalize_header, similarity
 from tablesmith.operators.layout import (
     build_mapping,
@@ -16,7 +17,9 @@ from tablesmith.operators.layout import (
     sample_numeric_share,
     synonym_bank,
 )
+from tablesmith.operators.matrix import looks_like_matrix
 from tablesmith.schema import TARGET_COLUMNS
+from tablesmith.sources.cells import catalog_of_cells
 
 _NORM = "trim(regexp_replace(lower(col_name), '[^a-z0-9]+', ' ', 'g'))"
 _NUM = r"coalesce(regexp_matches(trim(replace(replace(v, ',', ''), '$', '')), '^(?i)[+-]?(\d+(\.\d*)?(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf|infinity)$'), false)"
@@ -121,7 +124,7 @@ def _(spark, sf_dir):
 @query(
     "l4_ranked_candidates",
     _scores() + """select file, sheet, target, col_name, score, cast(row_number() over (partition by file, sheet, target_pos order by score desc, col_pos) as int) as rank
-        from scores qualify rank <= 8""",
+        from scores""",
 )
 def _(spark, sf_dir):
     ranked = rank_candidates(candidate_scores(_catalog(spark, sf_dir)))
@@ -194,3 +197,35 @@ def _(spark, sf_dir):
 @query("a12_sample_numeric_share", f"select file, col_pos, {_SHARE} as numeric_share from column_catalog")
 def _(spark, sf_dir):
     return _catalog(spark, sf_dir).select("file", "col_pos", sample_numeric_share(F.col("sample")).alias("numeric_share"))
+
+
+# The catalog of real sheets: their detected header rows, names, and first filled values.
+_SHEET_CATALOG = f"""
+{_SCORES_OF_ROWS},
+named as ({_NAMES.format(rows="select sheet, header_row from best where lower(sheet) <> 'guide'")}),
+sheet_catalog as (select 'book.xlsx' as file, n.sheet, cast(n.col_idx as int) as col_pos, n.name as col_name,
+    coalesce(list(c.value order by c.row_idx) filter (c.value <> ''), []) as sample
+  from named as n left join cells as c on c.sheet = n.sheet and c.col_idx = n.col_idx and c.row_idx > n.header_row and c.row_idx <= n.header_row + 12
+  group by all)
+"""
+
+
+def _book(spark, sf_dir):
+    return view(spark, sf_dir, "cells").select(F.lit("book.xlsx").alias("file"), "*")
+
+
+@query("s11_catalog", f"with {_SHEET_CATALOG} select * replace (array_to_string(sample, '|') as sample) from sheet_catalog")
+def _(spark, sf_dir):
+    return catalog_of_cells(_book(spark, sf_dir)).withColumn("sample", F.array_join("sample", "|"))
+
+
+_SHEET_MODES = _STRATEGY.replace("column_catalog", "sheet_catalog").replace(
+    "when file like '%7.csv' then 'matrix'", f"when sheet in (select sheet from ({MATRIX_SHEETS}) as m where looks_matrix) then 'matrix'"
+)
+
+
+@query("m7_sheet_modes", f"with {_SHEET_CATALOG}, {_SHEET_MODES} select * from modes")
+def _(spark, sf_dir):
+    """Worksheets through catalog, period strategy and matrix test."""
+    cells = _book(spark, sf_dir)
+    return dataset_mode(period_strategy(catalog_of_cells(cells)), looks_like_matrix(cells))

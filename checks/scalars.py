@@ -1,5 +1,7 @@
 """Scalar rules over text views and over whole documents."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import EM_SPACE, FI, NBSP, WIDE_ONE, table, view
@@ -78,6 +80,24 @@ def _(spark, sf_dir):
     return view(spark, sf_dir, "period_texts").select("id", dates.normalize_date(F.col("s")).alias("normalized"))
 
 
+_DAY_SHAPES = {
+    0: "%m/%d/%Y 10:15", 1: "%m/%d/%Y 9:05 PM", 2: "%m-%d-%Y", 3: "%d/%b/%Y", 4: "%B %dth %Y", 5: "%a, %d %b %Y", 6: "%d %B %Y 23:59:59",
+    7: "%Y-%m-%d 7:00", 8: "%Y/%m/%d",
+}
+
+
+@query("c7_complete_days", "select o_orderkey as id, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+def _(spark, sf_dir):
+    """Days written out in full, in many shapes, all read back."""
+    java = {"%m": "MM", "%d": "dd", "%Y": "yyyy", "%b": "MMM", "%B": "MMMM", "%a": "EEE"}
+    shapes = []
+    for shape in _DAY_SHAPES.values():
+        parts = re.split("(%[a-zA-Z])", shape)
+        shapes.append(F.concat(*[F.date_format("o_orderdate", java[p]) if p in java else F.lit(p) for p in parts if p]))
+    text = F.element_at(F.array(*shapes), (F.col("o_orderkey") % len(shapes) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), dates.normalize_date(text).alias("day"))
+
+
 _NUMBER_SQL = r"""
 case when regexp_matches(trim(X), '^\s*[$€£]?\s*-?\(?[\d,]+\.?\d*\)?\s*%?\s*$')
       and regexp_matches(trim(regexp_replace(trim(trim(X), '()'), '[$€£,%]', '', 'g')), '^-?\d+\.?\d*$') then

@@ -63,7 +63,19 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     long = view(spark, sf_dir, "shipments_long")
-    return long_to_wide(long, LONG_MAPPING, "display_year", "periodo", LONG_TARGETS, periods=[]).issues
+    return long_to_wide(long, LONG_MAPPING, "display_year", "periodo", LONG_TARGETS, periods=PERIODS).issues
+
+
+@query(
+    "r2_unlisted_periods",
+    f"""select source_row, case when p is null then 'INVALID_PERIOD' else 'UNLISTED_PERIOD' end as issue_type,
+          case when p is null then 'Could not parse year/period' else 'Period is not among the requested ones' end as detail
+        from (select source_row, {LONG_PERIOD_SQL} as p from shipments_long) as t where p is null or p not between '1996-03' and '1999-10'""",
+)
+def _(spark, sf_dir):
+    long = view(spark, sf_dir, "shipments_long")
+    some = [p for p in PERIODS if "1996-03" <= p <= "1999-10"]
+    return long_to_wide(long, LONG_MAPPING, "display_year", "periodo", LONG_TARGETS, periods=some).issues
 
 
 _A1_KEYS = "l_returnflag, l_linestatus, l_linenumber, l_discount"

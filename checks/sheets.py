@@ -15,7 +15,7 @@ from tablesmith.operators.matrix import (
     value_cells,
 )
 from tablesmith.operators.lookup import lookup_join
-from tablesmith.plans.transform import transform_matrix
+from tablesmith.plans.transform import transform_matrix, transform_sheets
 from tablesmith.sources.cells import (
     HEADER_WORDS,
     cells_from_lines,
@@ -55,14 +55,22 @@ def _(spark, sf_dir):
     return sheet_records(view(spark, sf_dir, "cells"), "KG", 4)
 
 
-_NAMES = """
-select sheet, col_idx, case when copy = 1 then base else base || '_' || copy end as name from (
-  select *, row_number() over (partition by sheet, base order by col_idx) as copy from (
-    select sheet, col_idx, case when value <> '' then trim(value) else 'Column_' || (col_idx + 1) end as base from ({rows}) as r) as b) as n
+# A position's name: its header cell, else its number; a taken name gets the least free number.
+_TAKEN = "list_contains(list_transform(acc, lambda a: lower(a)), lower({}))"
+_NAMES = f"""
+select sheet, header_row, unnest(range(len(names))) as col_idx, unnest(names) as name from (
+  select sheet, header_row, list_reduce(bases, lambda acc, b: list_append(acc, case when not {_TAKEN.format("b")} then b
+      else b || '_' || list_min(list_filter(range(2, len(acc) + 3), lambda n: not {_TAKEN.format("b || '_' || n")})) end),
+      ['sheet', 'source_row'])[3:] as names from (
+    select p.sheet, p.header_row, list(coalesce(nullif(trim(c.value), ''), 'Column_' || (p.col_idx + 1)) order by p.col_idx) as bases
+    from (select sheet, header_row, unnest(range(width)) as col_idx from (
+      select sheet, header_row, max(col_idx) + 1 as width from cells join ({{rows}}) as r using (sheet) group by all) as w) as p
+    left join cells as c on c.sheet = p.sheet and c.row_idx = p.header_row and c.col_idx = p.col_idx group by all) as b) as n
 """
+_FOURTH = "select distinct sheet, cast(4 as int) as header_row from cells"
 
 
-@query("s8_header_names", _NAMES.format(rows="select * from cells where row_idx = 4"))
+@query("s8_header_names", f"select sheet, header_row, cast(col_idx as int) as col_idx, name from ({_NAMES.format(rows=_FOURTH)}) as t")
 def _(spark, sf_dir):
     return header_names(view(spark, sf_dir, "cells"), 4)
 
@@ -82,31 +90,90 @@ def _(spark, sf_dir):
 
 @query(
     "s12_detected_header_names",
-    f"with {_SCORES} " + _NAMES.format(rows="select cells.* from cells join best on best.sheet = cells.sheet and header_row = row_idx"),
+    f"with {_SCORES} select sheet, header_row, cast(col_idx as int) as col_idx, name from ({_NAMES.format(rows='select sheet, header_row from best')}) as t",
 )
 def _(spark, sf_dir):
     cells = view(spark, sf_dir, "cells")
     return header_names(cells, header_rows(cells))
 
 
-_UNION_COLUMNS = {
-    "Brand": [("KG", 2), ("LIT", 1)], "Calendar Date": [("LIT", 0)], "Categoria": [("un", 1)], "Category": [("KG", 1)],
-    "Column_8": [("KG", 7)], "Date": [("KG", 0)], "Format": [("KG", 4)], "Marca": [("un", 2)], "Period": [("un", 0)],
-    "Retail": [("KG", 5)], "Retail_2": [("KG", 6)], "Retail_3": [("KG", 8)], "SKU": [("Cases", 1)], "Segment": [("KG", 3)],
-    "Year": [("Cases", 0)],
-}
+# The names of each sheet's columns by the rule for header cells, and for blanks, repeats
+# and reserved names.
+_SHEETS = {
+    "KG": _KG,
+    "un": ["Period", "Categoria", "Marca", "Column_4", "Column_5", "Column_6", "Column_7", "Column_8", "Column_9"],
+    "LIT": ["Calendar Date", "Brand", "brand_2", "Column_4", "Column_4_2", "Column_6", "Column_7", "Column_8", "Column_9"],
+    "Cases": ["Year", "SKU", "SKU_2", "SKU_2_2", "source_row_2", "Sheet_2", "Column_7", "Column_8", "Column_9"],
+}
+_UNION_NAMES = sorted({n for names in _SHEETS.values() for n in names})
 _UNION = ", ".join(
-    f"""max(value) filter ({" or ".join(f"(sheet = '{s}' and col_idx = {i})" for s, i in places)}) as "{n}\""""
-    for n, places in _UNION_COLUMNS.items()
+    "max(value) filter ("
+    + " or ".join(f"(sheet = '{s}' and col_idx = {names.index(n)})" for s, names in _SHEETS.items() if n in names)
+    + f') as "{n}"'
+    for n in _UNION_NAMES
 )
+_SHEET_ROWS = f"""select sheet, cast(row_idx - 4 as bigint) as source_row, {_UNION}
+    from cells where lower(sheet) <> 'guide' and row_idx > 4 group by sheet, row_idx"""
+
+
+@query("s9_sheet_union", _SHEET_ROWS)
+def _(spark, sf_dir):
+    return sheet_union(view(spark, sf_dir, "cells"), 4)
 
 
 @query(
-    "s9_sheet_union",
-    f"select sheet, cast(row_idx - 4 as bigint) as source_row, {_UNION} from cells where lower(sheet) <> 'guide' and row_idx > 4 group by sheet, row_idx",
+    "s9_cells_kept",
+    "select sheet, count(value) as cells, count(distinct row_idx) as row_count from cells where lower(sheet) <> 'guide' and row_idx > 4 group by sheet",
 )
 def _(spark, sf_dir):
-    return sheet_union(view(spark, sf_dir, "cells"), 4)
+    """Every cell below the header is in the result."""
+    rows = sheet_union(view(spark, sf_dir, "cells"), 4)
+    cells = [F.col(f"`{n}`").isNotNull().cast("bigint") for n in rows.columns if n not in ("sheet", "source_row")]
+    return rows.groupBy("sheet").agg(F.sum(sum(cells[1:], cells[0])).alias("cells"), F.count("*").alias("row_count"))
+
+
+def _blank(name: str) -> str:
+    return f"""nullif(trim(regexp_replace("{name}", '\\s+', ' ', 'g')), '')"""
+
+
+_FILLED = " + ".join(f'cast("{n}" is not null as int)' for n in _UNION_NAMES)
+_ALL = ", ".join(f'"{n}"' for n in _UNION_NAMES)
+# Rows of all sheets with their verdicts: the sheet takes part in the duplicate test only.
+_SHEET_RUN = f"""
+with plain as ({_SHEET_ROWS}),
+clean as (select sheet, source_row, {", ".join(f'{_blank(n)} as "{n}"' for n in _UNION_NAMES)} from plain),
+tagged as (select *, case when {_FILLED} = 0 then 'NULL_ROW_REMOVED' when {_FILLED} <= {max(2, len(_UNION_NAMES) // 3)}
+    and regexp_matches(concat_ws(' ', {_ALL}), '(?i)\\b(Result|Subtotal|Grand Total|Total)\\b') then 'AGGREGATE_ROW' end as tag from clean),
+judged as (select *, coalesce(tag, case when row_number() over (partition by sheet, tag, {_ALL} order by source_row) > 1 then 'DUPLICATE_REMOVED'
+    when regexp_matches(concat_ws(' ', {_ALL}), '(?i)\\b(Result|Subtotal|Total)\\b') then 'AGGREGATE_ROW' else 'KEPT' end) as verdict from tagged)
+"""
+_SHEET_MAPPING = {"Category": "Category", "Brand": "Brand", "SKU": "SKU"}
+
+
+def _run_sheets(spark, sf_dir):
+    """Orders without their own numbers repeat, so that sheets have equal rows."""
+    return transform_sheets(view(spark, sf_dir, "cells"), _SHEET_MAPPING, 4, required=["Brand"], field_kinds={n: "as_is" for n in _UNION_NAMES})
+
+
+@query("e1_transform_sheets", _SHEET_RUN + """select sheet as _sheet, source_row as _source_row, "Brand" from judged where verdict = 'KEPT'""")
+def _(spark, sf_dir):
+    return _run_sheets(spark, sf_dir).rows.drop("_source_trace")
+
+
+@query("e1_transform_sheets_issues", _SHEET_RUN + "select sheet, source_row, verdict as issue_type from judged where verdict <> 'KEPT'")
+def _(spark, sf_dir):
+    return _run_sheets(spark, sf_dir).issues.drop("detail")
+
+
+@query(
+    "e1_transform_sheets_balance",
+    _SHEET_RUN + """select count(*) as input_rows, count(*) filter (verdict = 'KEPT') as kept, count(*) filter (verdict <> 'KEPT') as removed,
+        true as balanced from judged""",
+)
+def _(spark, sf_dir):
+    run = _run_sheets(spark, sf_dir)
+    counts = run.summary.select("input_rows", F.col("output_rows").alias("kept"), F.col("total_rows_removed_or_flagged").alias("removed"))
+    return counts.withColumn("balanced", F.expr("kept + removed = input_rows"))
 
 
 _ROWS = f"""
@@ -119,12 +186,15 @@ filled as (select * from cells where lower(sheet) <> 'guide' and row_idx >= 5 an
 """
 
 
+_MATRIX_ISSUES = f"""with {_ROWS} select sheet, cast(row_idx as bigint) as source_row, 'AGGREGATE_ROW' as issue_type, 'Result row excluded from atomic output' as detail
+        from dims where lower(trim(category)) = 'result'
+        union all select f.sheet, f.row_idx, 'INVALID_FACT', 'Could not parse a number' from filled as f join dated as d using (sheet, row_idx)
+        where try_cast(f.value as double) is null"""
+
+
 @query(
     "p9_result_rows",
-    f"""with {_ROWS} select cast(row_idx as bigint) as source_row, 'AGGREGATE_ROW' as issue_type, 'Subtotal/Result/Total row excluded' as detail
-        from dims where lower(trim(category)) = 'result'
-        union all select f.row_idx, 'INVALID_FACT', 'Could not parse a number' from filled as f join dated as d using (sheet, row_idx)
-        where try_cast(f.value as double) is null""",
+    _MATRIX_ISSUES,
 )
 def _(spark, sf_dir):
     return matrix_to_target(view(spark, sf_dir, "cells")).issues
@@ -160,18 +230,20 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     cells = data_sheets(view(spark, sf_dir, "cells"))
-    return lookup_join(value_cells(cells), channel_headers(cells), ["sheet", "col_idx"], F.col("row_idx"), "left", max_rows=0)
+    return lookup_join(value_cells(cells), channel_headers(cells), ["sheet", "col_idx"], F.col("row_idx"), "left", max_bytes=0)
 
 
 _TARGET = """f.sheet, cast(null as varchar) as "Country", cast(null as varchar) as "Region", channel as "Channel", cast(null as varchar) as "City/State",
    category as "Category", brand as "Brand", coalesce(nullif(format, ''), segment) as "SKU",
    case upper(f.sheet) when 'KG' then 'KG' when 'UN' then 'UN' when 'LIT' then 'LT' else f.sheet end as "Fact" """
+_TRACE = """'{"Category":"B","Brand":"C","SKU":"' || case when nullif(format, '') is null then 'D' else 'E' end || '","Channel":"' || chr(cast(65 + f.col_idx as int))
+   || ' header rows 1","Fact":"' || case upper(f.sheet) when 'KG' then 'KG' when 'UN' then 'UN' when 'LIT' then 'LT' else f.sheet end || ' sheet"}' as _source_trace"""
 _FROM = "from filled as f join dated as d using (sheet, row_idx) left join heads as h using (sheet, col_idx)"
 
 
 @query(
     "r3_matrix_to_target",
-    f"""with {_ROWS} select {_TARGET}, period, try_cast(value as double) as value, cast(f.row_idx as bigint) as _source_row, f.col_idx as _source_column {_FROM}""",
+    f"""with {_ROWS} select {_TARGET}, period, try_cast(value as double) as value, cast(f.row_idx as bigint) as _source_row, f.col_idx as _source_column, {_TRACE} {_FROM}""",
 )
 def _(spark, sf_dir):
     return matrix_to_target(view(spark, sf_dir, "cells")).rows
@@ -182,12 +254,32 @@ _WIDE = ", ".join(f"""case when period = '{p}' then try_cast(value as double) en
 
 @query(
     "r3_matrix_wide",
-    f"""with {_ROWS} select {_TARGET}, cast(f.row_idx as bigint) as _source_row, f.col_idx as _source_column, {_WIDE} {_FROM}""",
+    f"""with {_ROWS} select {_TARGET}, cast(f.row_idx as bigint) as _source_row, f.col_idx as _source_column, {_TRACE}, {_WIDE} {_FROM}""",
 )
 def _(spark, sf_dir):
     return matrix_to_wide(matrix_to_target(view(spark, sf_dir, "cells")).rows, PERIODS)
 
 
+@query(
+    "e1_transform_matrix",
+    f"""with {_ROWS} select {_TARGET}, cast(f.row_idx as bigint) as _source_row, f.col_idx as _source_column, {_TRACE}, {_WIDE} {_FROM}""",
+)
+def _(spark, sf_dir):
+    return transform_matrix(view(spark, sf_dir, "cells"), periods=PERIODS).rows
+
+
+_SOME = PERIODS[: len(PERIODS) // 2]
+
+
+@query(
+    "e1_transform_matrix_issues",
+    _MATRIX_ISSUES + f""" union all select sheet, cast(f.row_idx as bigint), 'UNLISTED_PERIOD', 'Period is not among the requested ones'
+        from filled as f join dated as d using (sheet, row_idx) where period not in ({", ".join(f"'{p}'" for p in _SOME)})""",
+)
+def _(spark, sf_dir):
+    return transform_matrix(view(spark, sf_dir, "cells"), periods=_SOME).issues
+
+
 @query(
     "e1_transform_matrix_summary",
     f"""with {_ROWS} select (select cast(sum(h - 4) as bigint) from (select max(row_idx) as h from cells where lower(sheet) <> 'guide' group by sheet) as t) as input_rows,
@@ -201,10 +293,10 @@ def _(spark, sf_dir):
 _TEXT_ROW = lambda r: f"(count(*) filter (row_idx = {r} and value <> '') > 0 and count(*) filter (row_idx = {r} and value <> '' and try_cast(value as double) is not null) = 0)"
 
 
-@query(
-    "m8_looks_like_matrix",
-    f"""select sheet, max(row_idx) >= 5 and (count(*) filter (col_idx = 1 and row_idx <= 8 and lower(trim(value)) in ('result', 'total', 'subtotal')) >= 1
-        or {" + ".join(f"cast({_TEXT_ROW(r)} as int)" for r in range(1, 5))} >= 3) as looks_matrix from cells group by sheet""",
-)
+MATRIX_SHEETS = f"""select sheet, max(row_idx) >= 5 and (count(*) filter (col_idx = 1 and row_idx <= 8 and lower(trim(value)) in ('result', 'total', 'subtotal')) >= 1
+        or {" + ".join(f"cast({_TEXT_ROW(r)} as int)" for r in range(1, 5))} >= 3) as looks_matrix from cells group by sheet"""
+
+
+@query("m8_looks_like_matrix", MATRIX_SHEETS)
 def _(spark, sf_dir):
     return looks_like_matrix(view(spark, sf_dir, "cells"))

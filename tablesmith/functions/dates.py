@@ -45,15 +45,17 @@ def _day_text(c: Column) -> Column:
 # group that took no part in the match is empty.
 _YEAR = r"((?!0000)\d{4})"
 _DAY = r"( ?\d|\d\d)"
-_TIME = r"(?:[T ](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
+_TIME = r"(?:[T ](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?)?"
 _DIGITS = rf"^{_YEAR}[-/.](\d{{1,2}})[-/.]{_DAY}{_TIME}$|^{_DAY}\.(\d{{1,2}})\.{_YEAR}$|^{_YEAR}(\d\d)(\d\d)$"
 _DIGITS_YMD = "$1$6$7-$2$5$8-$3$4$9"
-_SLASHES = rf"^{_DAY}/{_DAY}/{_YEAR}$"
+_SLASHES = rf"^{_DAY}[/-]{_DAY}[/-]{_YEAR}{_TIME}$"
 # Shapes with a month name; a day that is not given is the first.
 _NAMED = (
     rf"(?i)^(?:{_NAMES})/{_YEAR}$|^[A-Za-z]+\s+{_YEAR}$|^c{_YEAR}\s+[A-Za-z]+$"
-    rf"|^(\d{{1,2}})[ -][A-Za-z]+[ -]{_YEAR}$|^[A-Za-z]+ (\d{{1,2}}),? {_YEAR}$"
+    rf"|^(\d{{1,2}})(?:st|nd|rd|th)?[ /-][A-Za-z]+[ /-]{_YEAR}{_TIME}$"
+    rf"|^[A-Za-z]+ (\d{{1,2}})(?:st|nd|rd|th)?,? {_YEAR}{_TIME}$"
 )
+_WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +"
 _NAMED_YEAR = "$1$2$3$5$7"
 _NAMED_DAY = "$4$6"
 _WORD = "[A-Za-z]{3,}"
@@ -63,11 +65,12 @@ _P_PERIOD = r"^[Pp](\d{1,2})$"
 def normalize_date(c: Column) -> Column:
     """Text with a known date or period shape in ISO form; any other text unchanged.
 
-    Month before day wins where both readings are possible. Besides the fixed formats, any
-    text that spells out a complete day (year first, a month name, or with a time of day)
-    is read; texts that leave a part open are never completed from today's date.
+    Month before day wins where both readings are possible. Besides the fixed formats, these
+    complete days are read, each also with a time of day: year, month, day; day and month
+    before a year of four digits with slashes or dashes; a day (also ``3rd``) and a month name
+    in either order, also after a weekday. Nothing is completed from today's date.
     """
-    s = strip(c)
+    s = F.regexp_replace(strip(c), _WEEKDAY, "")
     dash = F.lit("-")
     put = lambda pattern, order: F.regexp_replace(s, pattern, order)
     day = F.coalesce(F.nullif(put(_NAMED, _NAMED_DAY), F.lit("")), F.lit("1"))

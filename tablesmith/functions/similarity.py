@@ -7,9 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
+# Everything but these is a blank in a normalized header.
+NOT_PLAIN = "[^a-z0-9]+"
+
+
 def normalize_header(c: Column) -> Column:
     """Lower case, with every run of other characters than ``a-z0-9`` as one space."""
-    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(c), NOT_PLAIN, " "))
 
 
 def similarity(a: Column, b: Column) -> Column:

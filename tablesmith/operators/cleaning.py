@@ -29,27 +29,36 @@ class Result(NamedTuple):
     issues: DataFrame
 
 
-def cells_of(df: DataFrame, row_id: str = ROW_ID) -> list[str]:
-    return [n for n in df.columns if n != row_id]
+def cells_of(df: DataFrame, row_id: str = ROW_ID, scope: str | None = None) -> list[str]:
+    """The columns that hold data: neither the row number nor the scope of its numbering."""
+    return [n for n in df.columns if n not in (row_id, scope)]
 
 
-def issue_log(df: DataFrame, issue_type: str, detail: Column | None = None, row_id: str = ROW_ID) -> DataFrame:
-    """One log entry for every row of ``df``."""
+def row_key(row_id: str = ROW_ID, scope: str | None = None) -> list[str]:
+    """What names a row: its number, and where numbers restart (``sheet`` or ``file``) that too."""
+    return [scope, row_id] if scope else [row_id]
+
+
+def issue_log(
+    df: DataFrame, issue_type: str, detail: Column | None = None, row_id: str = ROW_ID, scope: str | None = None
+) -> DataFrame:
+    """One log entry for every row of ``df``, with its ``scope`` if row numbers restart there."""
     return df.select(
+        *([F.col(quoted(scope))] if scope else []),
         F.col(quoted(row_id)).cast("bigint").alias(ROW_ID),
         F.lit(issue_type).alias("issue_type"),
         (F.lit(DETAILS[issue_type]) if detail is None else detail).alias("detail"),
     )
 
 
-def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID) -> DataFrame:
+def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID, scope: str | None = None) -> DataFrame:
     """Apply ``clean_value`` to every text column, once per cell.
 
     The text cells of a row are cleaned as one array, so that the plan has the rule once
     however many columns there are; the ``explode`` of its single element keeps later
     filters from being pushed below it, which would repeat the rule.
     """
-    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name != row_id
+    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name not in (row_id, scope)
     text = [f.name for f in df.schema.fields if is_text(f)]
     if not text:
         return df
@@ -76,29 +85,34 @@ def row_issue(columns: list[str]) -> Column:
     )
 
 
-def tag_rows(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+def tag_rows(df: DataFrame, row_id: str = ROW_ID, scope: str | None = None) -> DataFrame:
     """Add ``issue_type``, null for rows that pass the row-local rules. No shuffle."""
-    return df.select("*", row_issue(cells_of(df, row_id)).alias("issue_type"))
+    return df.select("*", row_issue(cells_of(df, row_id, scope)).alias("issue_type"))
 
 
-def split_duplicates(df: DataFrame, row_id: str = ROW_ID, store: bool = False) -> Result:
+def split_duplicates(
+    df: DataFrame, row_id: str = ROW_ID, store: bool = False, scope: str | None = None, paths: list[str] | None = None
+) -> Result:
     """Keep the first of each group of equal rows and log the others.
 
     Copies collapse in the map-side half of the aggregate, so a row that makes up a third
     of the table still sends one record per task. The log is an anti-join on the unique row
-    number, which spreads evenly whatever the rows look like. ``store`` writes the kept rows
-    to the shared folder, so that rows and log together shuffle the whole rows only once.
+    key, which spreads evenly whatever the rows look like; rows of different scopes are never
+    equal. ``store`` writes the kept rows to the shared folder, so that rows and log together
+    shuffle the whole rows only once.
     """
-    cells = cells_of(df, row_id)
+    cells, key = [n for n in df.columns if n != row_id], row_key(row_id, scope)
     kept = df.groupBy(*[F.col(quoted(n)) for n in cells]).agg(F.min(quoted(row_id)).alias(row_id))
     kept = kept.select(*[F.col(quoted(n)) for n in df.columns])
-    kept = materialize(kept, "kept") if store else kept
-    numbers = kept.select(F.col(quoted(row_id)))
-    removed = df.select(F.col(quoted(row_id))).join(numbers, row_id, "left_anti")
-    return Result(kept, issue_log(removed, DUPLICATE, row_id=row_id))
+    kept = materialize(kept, "kept", paths) if store else kept
+    names = [F.col(quoted(n)) for n in key]
+    removed = df.select(*names).join(kept.select(*names), key, "left_anti")
+    return Result(kept, issue_log(removed, DUPLICATE, row_id=row_id, scope=scope))
 
 
-def remove_bad_rows(tagged: DataFrame, row_id: str = ROW_ID, store: bool = False) -> Result:
+def remove_bad_rows(
+    tagged: DataFrame, row_id: str = ROW_ID, store: bool = False, scope: str | None = None, paths: list[str] | None = None
+) -> Result:
     """Split rows tagged by :func:`tag_rows` and remove duplicates among the good ones.
 
     Rows and issues together read ``tagged`` three times, so it should be a stored table.
@@ -106,8 +120,9 @@ def remove_bad_rows(tagged: DataFrame, row_id: str = ROW_ID, store: bool = False
     good = tagged.where("issue_type is null").drop("issue_type")
     bad = tagged.where("issue_type is not null")
     detail = F.when(F.col("issue_type") == NULL_ROW, DETAILS[NULL_ROW]).otherwise(DETAILS[AGGREGATE_ROW])
-    log = bad.select(F.col(quoted(row_id)).cast("bigint").alias(ROW_ID), "issue_type", detail.alias("detail"))
-    unique = split_duplicates(good, row_id, store)
+    named = [*([F.col(quoted(scope))] if scope else []), F.col(quoted(row_id)).cast("bigint").alias(ROW_ID)]
+    log = bad.select(*named, "issue_type", detail.alias("detail"))
+    unique = split_duplicates(good, row_id, store, scope, paths)
     return Result(unique.rows, log.unionByName(unique.issues))
 
 
@@ -140,21 +155,23 @@ def _field(df: DataFrame, name: str, kind: str) -> Column:
     return rules[kind]().alias(name)
 
 
-def clean_fields(df: DataFrame, field_kinds: dict[str, str] | None = None, row_id: str = ROW_ID) -> Result:
+def clean_fields(
+    df: DataFrame, field_kinds: dict[str, str] | None = None, row_id: str = ROW_ID, scope: str | None = None
+) -> Result:
     """Normalize every column by its rule; cells that should be numbers but are not are logged.
 
     ``field_kinds`` overrides the rule of a column: ``email``, ``phone``, ``date``,
     ``number``, ``text`` or ``as_is``. Codes stay text unless declared ``number``.
     """
-    kinds = {n: field_kind(n) for n in cells_of(df, row_id)} | (field_kinds or {})
-    rows = compute_once(df, [F.col(quoted(n)) if n == row_id else _field(df, n, kinds[n]) for n in df.columns])
+    kinds = {n: field_kind(n) for n in cells_of(df, row_id, scope)} | (field_kinds or {})
+    rows = compute_once(df, [_field(df, n, kinds[n]) if n in kinds else F.col(quoted(n)) for n in df.columns])
     number_text = [
-        n for n, k in kinds.items() if k == "number" and isinstance(df.schema[n].dataType, T.StringType)
+        n for n, k in kinds.items() if k == "number" and n in df.columns and isinstance(df.schema[n].dataType, T.StringType)
     ]
-    return Result(rows, invalid_numbers(df, number_text, row_id))
+    return Result(rows, invalid_numbers(df, number_text, row_id, scope))
 
 
-def invalid_numbers(df: DataFrame, columns: list[str], row_id: str = ROW_ID) -> DataFrame:
+def invalid_numbers(df: DataFrame, columns: list[str], row_id: str = ROW_ID, scope: str | None = None) -> DataFrame:
     """Log the rows where a non-empty cell of ``columns`` is not a number, with their names."""
     bad = [
         F.when((F.col(quoted(n)) != "") & parse_numeric(F.col(quoted(n))).isNull(), F.lit(n)) for n in columns
@@ -162,7 +179,7 @@ def invalid_numbers(df: DataFrame, columns: list[str], row_id: str = ROW_ID) ->
     names = F.concat_ws(", ", *bad) if bad else F.lit("")
     detail = F.concat(F.lit(DETAILS[INVALID_FACT] + ": "), names)
     flagged = df.where(names != "") if bad else df.where(F.lit(False))
-    return issue_log(flagged, INVALID_FACT, detail, row_id)
+    return issue_log(flagged, INVALID_FACT, detail, row_id, scope)
 
 
 def clean_rows(
@@ -170,13 +187,17 @@ def clean_rows(
     field_kinds: dict[str, str] | None = None,
     unicode: bool = True,
     row_id: str = ROW_ID,
+    scope: str | None = None,
+    paths: list[str] | None = None,
 ) -> Result:
     """The whole cleaning pass: values, bad rows, duplicates, then fields by header.
 
-    The source is read once and the whole rows are shuffled once: the tagged rows and the
-    kept rows are both stored in the shared folder.
+    ``row_id`` must name a row, or do so together with ``scope``, a column that takes no part
+    in the row tests but keeps equal rows of different sheets or files apart. The source is
+    read once and the whole rows are shuffled once: the tagged rows and the kept rows are
+    both stored in the shared folder.
     """
-    tagged = materialize(tag_rows(clean_values(df, unicode, row_id), row_id), "tagged")
-    split = remove_bad_rows(tagged, row_id, store=True)
-    fields = clean_fields(split.rows, field_kinds, row_id)
+    tagged = materialize(tag_rows(clean_values(df, unicode, row_id, scope), row_id, scope), "tagged", paths)
+    split = remove_bad_rows(tagged, row_id, True, scope, paths)
+    fields = clean_fields(split.rows, field_kinds, row_id, scope)
     return Result(fields.rows, split.issues.unionByName(fields.issues))

@@ -4,13 +4,14 @@ A catalog has one row per column of any number of files: ``(file, sheet, col_pos
 col_name, sample)``, where ``sample`` is an array of the column's first values as text.
 """
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesmith.functions.dates import is_period_header
 from tablesmith.functions.numbers import float_value, is_numeric
-from tablesmith.functions.similarity import best_similarity, normalize_header
+from tablesmith.functions.similarity import NOT_PLAIN, best_similarity, normalize_header
 from tablesmith.functions.text import strip
 from tablesmith.operators.reshape import selected_targets
 from tablesmith.schema import TARGET_COLUMNS
@@ -61,7 +62,7 @@ MATRIX_CONFIDENCE = 0.6
 
 def _plain_name(name: str) -> str:
     """Driver-side twin of ``normalize_header`` for the few names of the bank."""
-    return " ".join("".join(ch if ch in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for ch in name.lower()).split())
+    return re.sub(NOT_PLAIN, " ", name.lower()).strip()
 
 
 def synonym_bank(extra: dict[str, list[str]] | None = None, targets: Iterable[str] = TARGET_COLUMNS) -> dict[str, list[str]]:
@@ -106,14 +107,15 @@ def _assign(candidates: Column) -> Column:
     return F.aggregate(candidates, taken, step)
 
 
-def rank_candidates(candidates: DataFrame, n: int = len(TARGET_COLUMNS)) -> DataFrame:
-    """The ``n`` best columns of each target, ranked by score, then by position.
+def rank_candidates(candidates: DataFrame, n: int | None = None) -> DataFrame:
+    """All columns of each target, ranked by score, then by position; with ``n`` only the best.
 
-    The limit is applied before the shuffle as well, so a table with very many columns
+    A limit is applied before the shuffle as well, so a table with very many columns
     sends ``n`` rows per target and task.
     """
     best = Window.partitionBy(*TABLE, "target_pos").orderBy(F.desc("score"), "col_pos")
-    return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    ranked = candidates.withColumn("rank", F.row_number().over(best))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def build_mapping(candidates: DataFrame, required: Iterable[str] = TARGET_COLUMNS) -> DataFrame:
@@ -137,6 +139,7 @@ def build_mapping(candidates: DataFrame, required: Iterable[str] = TARGET_COLUMN
     )
     match = F.try_element_at(F.filter("_chosen", lambda x: x["target_pos"] == F.col("target_pos")), F.lit(1))
     found = each.select(*TABLE, "target_pos", "target", match["col_name"].alias("col_name"), match["score"].alias("score"))
+    # The two review texts.
     unsure = F.format_string(
         "Low-confidence mapping: '%s' -> %s (score %.2f); please confirm.", "col_name", "target", "score"
     )
@@ -183,28 +186,21 @@ def period_strategy(catalog: DataFrame) -> DataFrame:
     """Per table the year and the period column, or null for both, and its period headers.
 
     The year column is the first that looks like one; the period column is the first that
-    looks like one and is not the year column, so two candidates per table are enough.
+    looks like one and is not the year column. One aggregate per table finds both.
     """
     flags = flag_columns(catalog)
-    year = F.when(F.col("is_year"), F.col("col_pos"))
+    column = F.struct("col_pos", "col_name")
     tables = flags.groupBy(*TABLE).agg(
-        F.min(year).alias("_year_pos"),
-        F.min_by("col_name", year).alias("_year"),
+        F.min(F.when(F.col("is_year"), column)).alias("_year"),
+        F.array_sort(F.collect_list(F.when(F.col("is_period"), column))).alias("_periods"),
         F.count_if("is_period_header").alias("period_headers"),
     )
-    first = Window.partitionBy(*TABLE).orderBy("col_pos")
-    two = flags.where("is_period").withColumn("_rank", F.row_number().over(first)).where("_rank <= 2")
-    periods = two.groupBy(*TABLE).agg(
-        F.min("col_pos").alias("_p1"),
-        F.min_by("col_name", "col_pos").alias("_n1"),
-        F.max(F.when(F.col("_rank") == 2, F.col("col_name"))).alias("_n2"),
-    )
-    joined = tables.join(periods, TABLE, "left")
-    period = F.when(F.col("_p1") == F.col("_year_pos"), F.col("_n2")).otherwise(F.col("_n1"))
+    others = F.filter("_periods", lambda p: ~p["col_pos"].eqNullSafe(F.col("_year.col_pos")))
+    period = F.try_element_at(others, F.lit(1))["col_name"]
     both = F.col("_year").isNotNull() & period.isNotNull()
-    return joined.select(
+    return tables.select(
         *TABLE,
-        F.when(both, F.col("_year")).alias("year_column"),
+        F.when(both, F.col("_year.col_name")).alias("year_column"),
         F.when(both, period).alias("period_column"),
         "period_headers",
     )

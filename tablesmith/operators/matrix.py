@@ -9,9 +9,10 @@ from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import first_filled, strip
 from tablesmith.operators.cleaning import Result, issue_log
 from tablesmith.operators.lookup import lookup_join
-from tablesmith.operators.reshape import SOURCE_ROW, distinct_periods, selected_targets
-from tablesmith.schema import AGGREGATE_ROW, INVALID_FACT, ROW_ID, TARGET_COLUMNS, quoted
-from tablesmith.sources.cells import data_sheets, filled
+from tablesmith.operators.reshape import SOURCE_ROW, SOURCE_TRACE, distinct_periods, selected_targets
+from tablesmith.schema import AGGREGATE_ROW, INVALID_FACT, MATRIX_RESULT, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
+from tablesmith.session import materialize
+from tablesmith.sources.cells import data_sheets, filled, table_key
 
 # Unit codes of well-known sheet names, and the layout of a matrix sheet.
 UNITS = {"KG": "KG", "UN": "UN", "LIT": "LT"}
@@ -32,15 +33,35 @@ def _cell(position: int) -> Column:
     return F.max(F.when(F.col("col_idx") == position, F.col("value")))
 
 
+def _leading_cells() -> list[Column]:
+    names = ["date_text", "category", "brand", "segment", "format"]
+    return [_cell(i).alias(n) for i, n in enumerate(names)]
+
+
 def row_dimensions(cells: DataFrame, value_start_row: int = FIRST_VALUE_ROW) -> DataFrame:
     """One record per data row with its five leading cells."""
     lead = cells.where((F.col("row_idx") >= value_start_row) & (F.col("col_idx") < FIRST_VALUE_COLUMN))
-    return lead.groupBy("sheet", "row_idx").agg(
-        _cell(DATE_CELL).alias("date_text"),
-        _cell(CATEGORY_CELL).alias("category"),
-        _cell(BRAND_CELL).alias("brand"),
-        _cell(SEGMENT_CELL).alias("segment"),
-        _cell(FORMAT_CELL).alias("format"),
+    return lead.groupBy("sheet", "row_idx").agg(*_leading_cells())
+
+
+def row_records(cells: DataFrame, value_start_row: int = FIRST_VALUE_ROW) -> DataFrame:
+    """One record per data row: its five leading cells and the list of its filled value cells.
+
+    A row's cells meet once, here; a row is as wide as its sheet.
+    """
+    body = data_sheets(cells).where(F.col("row_idx") >= value_start_row)
+    is_value = (F.col("col_idx") >= FIRST_VALUE_COLUMN) & filled(F.col("value"))
+    values = F.collect_list(F.when(is_value, F.struct("col_idx", "value"))).alias("values")
+    return body.groupBy("sheet", "row_idx").agg(*_leading_cells(), values)
+
+
+def column_letter(position: Column) -> Column:
+    """The letters of a spreadsheet column: 0 is A, 26 is AA, 702 is AAA."""
+    sign = lambda n: F.char(F.lit(65) + n % 26)
+    two = F.floor(position / 26) - 1
+    three = F.floor(two / 26) - 1
+    return F.concat(
+        F.when(position >= 702, sign(three)).otherwise(""), F.when(position >= 26, sign(two)).otherwise(""), sign(position)
     )
 
 
@@ -70,24 +91,18 @@ def _tall_sheets(cells: DataFrame, value_start_row: int) -> DataFrame:
     return lookup_join(cells, tall.select("sheet"), ["sheet"], F.col("row_idx"))
 
 
-def matrix_to_target(
-    cells: DataFrame,
-    required: Iterable[str] = TARGET_COLUMNS,
-    header_rows: Iterable[int] = (1,),
-    value_start_row: int = FIRST_VALUE_ROW,
-) -> Result:
-    """One row per filled value cell, with its ``sheet``, ``period`` and numeric ``value``.
+def records_to_target(
+    records: DataFrame, heads: DataFrame, required: Iterable[str] = TARGET_COLUMNS, header_rows: Iterable[int] = (1,),
+    paths: list[str] | None = None,
+) -> Result:
+    """Target rows and issues from :func:`row_records` and :func:`channel_headers`.
 
-    A cell meets its row's dimensions on (sheet, row) and its channel on (sheet, column).
-    The first is a join of evenly spread keys; the second has few header cells, all of
-    whose keys are hot, so it is a checked broadcast or a salted join.
+    The few header cells, all of whose keys are hot, are a checked broadcast or a salted join.
     """
-    cells = _tall_sheets(data_sheets(cells), value_start_row)
-    rows = row_dimensions(cells, value_start_row)
     period = F.nullif(normalize_period(F.col("date_text")), F.lit(""))
-    dated = rows.where(~is_result_row(F.col("category"))).withColumn("period", period).where("period is not null")
-    values = value_cells(cells, value_start_row).join(dated, ["sheet", "row_idx"])
-    joined = lookup_join(values, channel_headers(cells, header_rows), ["sheet", "col_idx"], F.col("row_idx"), "left")
+    atomic = records.where(~is_result_row(F.col("category"))).withColumn("period", period).where("period is not null")
+    values = atomic.select("*", F.inline("values")).drop("values")
+    joined = lookup_join(values, heads, ["sheet", "col_idx"], F.col("row_idx"), "left", paths=paths)
     nothing = F.lit(None).cast("string")
     targets = {
         "Country": nothing,
@@ -99,6 +114,13 @@ def matrix_to_target(
         "SKU": first_filled(F.col("format"), F.col("segment")),
         "Fact": unit_code(F.col("sheet")),
     }
+    rows = ", ".join(map(str, header_rows))
+    trace = {
+        "Category": F.lit("B"), "Brand": F.lit("C"),
+        "SKU": F.when(F.nullif("format", F.lit("")).isNotNull(), "E").otherwise("D"),
+        "Channel": F.concat(column_letter(F.col("col_idx")), F.lit(f" header rows {rows}")),
+        "Fact": F.concat(targets["Fact"], F.lit(" sheet")),
+    }
     out = joined.select(
         "sheet",
         *[targets[t].alias(t) for t in selected_targets(required)],
@@ -106,21 +128,51 @@ def matrix_to_target(
         parse_numeric(F.col("value")).alias("value"),
         F.col("row_idx").cast("bigint").alias(SOURCE_ROW),
         F.col("col_idx").alias("_source_column"),
+        F.to_json(F.struct(*[c.alias(t) for t, c in trace.items()])).alias(SOURCE_TRACE),
     )
-    results = rows.where(is_result_row(F.col("category"))).withColumnRenamed("row_idx", ROW_ID)
+    named = records.withColumnRenamed("row_idx", ROW_ID)
+    results = issue_log(named.where(is_result_row(F.col("category"))), AGGREGATE_ROW, F.lit(MATRIX_RESULT), scope="sheet")
     not_numbers = values.where(parse_numeric(F.col("value")).isNull()).withColumnRenamed("row_idx", ROW_ID)
-    return Result(out, issue_log(results, AGGREGATE_ROW).unionByName(issue_log(not_numbers, INVALID_FACT)))
+    return Result(out, results.unionByName(issue_log(not_numbers, INVALID_FACT, scope="sheet")))
+
 
+def matrix_to_target(
+    cells: DataFrame,
+    required: Iterable[str] = TARGET_COLUMNS,
+    header_rows: Iterable[int] = (1,),
+    value_start_row: int = FIRST_VALUE_ROW,
+    paths: list[str] | None = None,
+) -> Result:
+    """One row per filled value cell, with its ``sheet``, ``period`` and numeric ``value``.
 
-def matrix_to_wide(long: DataFrame, periods: list[str] | None = None) -> DataFrame:
-    """The same rows with a column per period, of which each row fills exactly one."""
-    periods = distinct_periods(long) if periods is None else periods
+    The rows of all sheets are put together once and stored; rows and issues come from there.
+    The log names a row by its sheet and number.
+    """
+    cells = _tall_sheets(data_sheets(cells), value_start_row)
+    records = materialize(row_records(cells, value_start_row), "matrix-rows", paths)
+    header_rows = list(header_rows)
+    return records_to_target(records, channel_headers(cells, header_rows), required, header_rows, paths)
+
+
+def matrix_to_wide(long: DataFrame, periods: list[str] | None = None, max_periods: int | None = None) -> DataFrame:
+    """The same rows with a column per period, of which each row fills at most one.
+
+    ``long`` should be a stored table if its periods are to be found; a row of a period that
+    ``periods`` does not list has none filled (see :func:`unlisted_periods`).
+    """
+    periods = distinct_periods(long, max_periods=max_periods) if periods is None else periods
     kept = [F.col(quoted(n)) for n in long.columns if n not in ("period", "value")]
     return long.select(*kept, *[F.when(F.col("period") == p, F.col("value")).alias(p) for p in periods])
 
 
+def unlisted_periods(long: DataFrame, periods: list[str]) -> DataFrame:
+    """One log entry for every matrix value whose period is not among ``periods``."""
+    other = long.where(~F.col("period").isin(periods)).withColumnRenamed(SOURCE_ROW, ROW_ID)
+    return issue_log(other, UNLISTED_PERIOD, scope="sheet")
+
+
 def looks_like_matrix(cells: DataFrame) -> DataFrame:
-    """Per sheet whether it has a matrix layout.
+    """Per sheet (and file, if the cells have one) whether it has a matrix layout.
 
     It needs five rows, and a sub-total word in the second column of its first eight, or
     three of the first four rows holding text only. A text grid has no cell types, so a
@@ -135,4 +187,5 @@ def looks_like_matrix(cells: DataFrame) -> DataFrame:
     text_rows = [((F.col(f"n{r}") > 0) & (F.col(f"n{r}") == F.col(f"t{r}"))).cast("int") for r in range(1, 5)]
     stacked = sum(text_rows[1:], text_rows[0]) >= 3
     looks = (F.col("height") >= MIN_ROWS) & ((F.col("result_rows") >= 1) | stacked)
-    return cells.groupBy("sheet").agg(*per_sheet).select("sheet", looks.alias("looks_matrix"))
+    key = table_key(cells)
+    return cells.groupBy(*key).agg(*per_sheet).select(*key, looks.alias("looks_matrix"))

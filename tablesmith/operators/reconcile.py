@@ -58,7 +58,7 @@ def reconciliation(
     )
     is_issue = F.col("metric").startswith("issue:")
     value = lambda name: F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(0))
-    breakdown = F.collect_list(F.when(is_issue, F.struct(F.substring("metric", 7, 1000), "value")))
+    breakdown = F.collect_list(F.when(is_issue, F.struct(F.regexp_replace("metric", "^issue:", "").alias("name"), "value")))
     row = metrics.agg(
         value("input_rows").alias("input_rows"),
         value("output_rows").alias("output_rows"),
@@ -86,14 +86,12 @@ def reconciliation(
 
 def metric_rows(summary: DataFrame) -> DataFrame:
     """The summary as (section, metric, value) rows: the metrics, then the issue types."""
-    metrics = F.inline(
-        F.array(*[F.struct(F.lit("Metric").alias("section"), F.lit(n).alias("metric"), F.col(n).cast("string").alias("value")) for n in METRICS])
+    row = lambda section, metric, value: F.struct(
+        F.lit(section).alias("section"), metric.alias("metric"), value.cast("string").alias("value")
     )
-    types = F.transform(
-        F.map_entries("issue_breakdown"),
-        lambda e: F.struct(F.lit("Issue type").alias("section"), e["key"].alias("metric"), e["value"].cast("string").alias("value")),
-    )
-    return summary.select(metrics).unionByName(summary.select(F.inline(types)))
+    metrics = F.array(*[row("Metric", F.lit(n), F.col(n)) for n in METRICS])
+    types = F.transform(F.map_entries("issue_breakdown"), lambda e: row("Issue type", e["key"], e["value"]))
+    return summary.select(F.inline(F.concat(metrics, types)))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -9,12 +9,14 @@ from tablesmith.functions.dates import header_is_period, header_period, long_per
 from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import trace_json
 from tablesmith.operators.cleaning import Result, cells_of, invalid_numbers, issue_log, strict_aggregate
-from tablesmith.schema import AGGREGATE_ROW, INVALID_PERIOD, ROW_ID, TARGET_COLUMNS, quoted
+from tablesmith.schema import AGGREGATE_ROW, INVALID_PERIOD, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
 from tablesmith.session import compute_once
 
 SOURCE_ROW = "_source_row"
 SOURCE_TRACE = "_source_trace"
-# A table has one column per period; more than this is a sign of a wrong period column.
+SOURCE_SHEET = "_sheet"
+# A table has one column per period; by default more than this is taken for a wrong period
+# column. Tables with more periods stay in long form (``long_rows``).
 MAX_PERIODS = 10_000
 
 Mapping = dict[str, str | None]
@@ -48,10 +50,13 @@ def target_columns(df: DataFrame, mapping: Mapping, required: Iterable[str] = TA
     return [(nothing if c is None else c).cast("string").alias(t) for t, c in sources.items()]
 
 
-def provenance_columns(mapping: Mapping, required: Iterable[str] = TARGET_COLUMNS, row_id: str = ROW_ID) -> list[Column]:
-    """The source row number and the constant target -> source map."""
+def provenance_columns(
+    mapping: Mapping, required: Iterable[str] = TARGET_COLUMNS, row_id: str = ROW_ID, scope: str | None = None
+) -> list[Column]:
+    """The sheet if there are several, the source row number, and the constant target -> source map."""
     trace = {t: mapping.get(t) for t in selected_targets(required)}
-    return [F.col(quoted(row_id)).alias(SOURCE_ROW), trace_json(trace).alias(SOURCE_TRACE)]
+    sheet = [F.col(quoted(scope)).alias(SOURCE_SHEET)] if scope else []
+    return [*sheet, F.col(quoted(row_id)).alias(SOURCE_ROW), trace_json(trace).alias(SOURCE_TRACE)]
 
 
 def project_targets(
@@ -75,23 +80,31 @@ def wide_to_target(
     required: Iterable[str] = TARGET_COLUMNS,
     strict: bool = True,
     row_id: str = ROW_ID,
+    scope: str | None = None,
+    flag: str | None = None,
 ) -> Result:
-    """Normal and wide tables: drop sub-total rows, project targets, keep period columns."""
+    """Normal and wide tables: drop sub-total rows, project targets, keep period columns.
+
+    ``flag`` names a boolean column that already says which rows are sub-totals, for tables
+    that no longer have all their columns.
+    """
     required = list(required)
-    flag = strict_aggregate(cells_of(df, row_id)) if strict else F.lit(False)
-    rows = df.where(~flag).select(
+    cells = [n for n in cells_of(df, row_id, scope) if n != flag]
+    bad = F.col(quoted(flag)) if flag else strict_aggregate(cells) if strict else F.lit(False)
+    rows = df.where(~bad).select(
         *target_columns(df, mapping, required),
-        *provenance_columns(mapping, required, row_id),
+        *provenance_columns(mapping, required, row_id, scope),
         *select_periods(df),
     )
-    return Result(rows, issue_log(df.where(flag), AGGREGATE_ROW, row_id=row_id))
+    return Result(rows, issue_log(df.where(bad), AGGREGATE_ROW, row_id=row_id, scope=scope))
 
 
-def distinct_periods(df: DataFrame, column: str = "period") -> list[str]:
+def distinct_periods(df: DataFrame, column: str = "period", max_periods: int | None = None) -> list[str]:
     """The period columns a table will have; a job of its own, like any pivot without a list."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_PERIODS + 1).collect()
-    if len(found) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods: check the year and period columns")
+    most = MAX_PERIODS if max_periods is None else max_periods
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} periods: check the year and period columns, or use the long form")
     return sorted(row[0] for row in found)
 
 
@@ -101,7 +114,8 @@ def sum_by_period(df: DataFrame, keys: list[str], periods: list[str] | None = No
     ``df`` has the keys, ``period``, ``fact`` and a unique ``source_row``; the first row's
     fact and number are carried along. The first aggregate works on (keys, period) and
     combines on the map side, so a hot key never travels row by row; the second only sees
-    one record per group and period, whatever the number of periods.
+    one record per group and period, whatever the number of periods. Rows of a period that
+    ``periods`` does not list still make up groups; ``long_to_wide`` logs them.
     """
     names = [F.col(quoted(k)) for k in keys]
     periods = distinct_periods(df) if periods is None else periods
@@ -127,6 +141,7 @@ def long_rows(
     period_column: str,
     required: Iterable[str] = TARGET_COLUMNS,
     row_id: str = ROW_ID,
+    scope: str | None = None,
 ) -> DataFrame:
     """Target dimensions, ``period`` (null if invalid), numeric ``fact`` and ``source_row``."""
     dimensions = [t for t in selected_targets(required) if t != "Fact"]
@@ -136,6 +151,7 @@ def long_rows(
         _long_period(year_column, period_column),
         (_as_number(df, fact) if fact in df.columns else F.lit(None).cast("double")).alias("fact"),
         F.col(quoted(row_id)).alias(ROW_ID),
+        *([F.col(quoted(scope)).alias(SOURCE_SHEET)] if scope else []),
     ]
     return compute_once(df, columns)
 
@@ -149,30 +165,40 @@ def long_to_wide(
     periods: list[str] | None = None,
     null_fact: str = "zero",
     row_id: str = ROW_ID,
+    scope: str | None = None,
+    max_periods: int | None = None,
 ) -> Result:
     """Long tables (one row per period) to one row per group with a column per period.
 
-    Rows without a valid period are logged and left out. A null fact counts as 0, or as
-    missing with ``null_fact="null"``; a fact that is text but no number is logged, too.
+    Rows without a valid period are logged and left out. Rows of a period that ``periods``
+    does not list are logged; they count for their group's first row only. A null fact counts as 0, or as missing with
+    ``null_fact="null"``; a fact that is text but no number is logged, too. With ``scope``
+    each sheet has groups of its own.
     """
     required = list(required)
     targets = selected_targets(required)
     period = _long_period(year_column, period_column)
-    periods = distinct_periods(df.select(period)) if periods is None else periods
-    valid = long_rows(df, mapping, year_column, period_column, required, row_id).where("period is not null")
-    wide = sum_by_period(valid, [t for t in targets if t != "Fact"], periods, null_fact)
-    fixed = {*targets, "Fact", SOURCE_ROW}
+    listed = periods is not None
+    periods = distinct_periods(df.select(period), max_periods=max_periods) if periods is None else periods
+    valid = long_rows(df, mapping, year_column, period_column, required, row_id, scope).where("period is not null")
+    keys = [*([SOURCE_SHEET] if scope else []), *[t for t in targets if t != "Fact"]]
+    wide = sum_by_period(valid, keys, periods, null_fact)
+    fixed = {*targets, "Fact", SOURCE_ROW, SOURCE_SHEET}
     trace = trace_json({t: mapping.get(t) for t in targets}).alias(SOURCE_TRACE)
     out = wide.select(
         *[F.col(quoted(t)) for t in targets],
+        *([SOURCE_SHEET] if scope else []),
         SOURCE_ROW,
         trace,
         *[F.col(quoted(n)) for n in wide.columns if n not in fixed],
     )
     fact = mapping.get("Fact")
     text_fact = fact in df.columns and isinstance(df.schema[fact].dataType, T.StringType)
-    issues = issue_log(df.where(period.isNull()), INVALID_PERIOD, row_id=row_id)
-    return Result(out, issues.unionByName(invalid_numbers(df, [fact], row_id)) if text_fact else issues)
+    issues = issue_log(df.where(period.isNull()), INVALID_PERIOD, row_id=row_id, scope=scope)
+    if listed:
+        other = df.where(period.isNotNull() & ~period.isin(periods))
+        issues = issues.unionByName(issue_log(other, UNLISTED_PERIOD, row_id=row_id, scope=scope))
+    return Result(out, issues.unionByName(invalid_numbers(df, [fact], row_id, scope)) if text_fact else issues)
 
 
 def wide_to_long(df: DataFrame, ids: list[str], periods: list[str] | None = None, value: str = "value") -> DataFrame:

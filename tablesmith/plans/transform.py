@@ -1,9 +1,9 @@
 """Clean and reshape one source.
 
-The caller says which of the three shapes the source has; ``operators.layout`` helps to find
-out. The source is read once: its cleaned and tagged rows, and those that are kept, are
-written to the shared folder, and everything else is computed from there, so that a lost
-executor costs no second reading and no second shuffle of whole rows.
+The caller says which shape the source has; ``operators.layout`` helps to find out. The
+source is read once: its cleaned and tagged rows, those that are kept, and the reshaped rows
+are written to the shared folder, and everything else is computed from there, so that a
+lost executor costs no second reading and no second shuffle of whole rows.
 """
 
 from collections.abc import Iterable
@@ -11,21 +11,41 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablesmith.operators.cleaning import Result, cells_of, clean_fields, clean_values, remove_bad_rows, row_issue
-from tablesmith.operators.matrix import MIN_ROWS, matrix_to_target, matrix_to_wide
+from tablesmith.operators.cleaning import (
+    Result,
+    cells_of,
+    clean_fields,
+    clean_values,
+    remove_bad_rows,
+    row_issue,
+    strict_aggregate,
+)
+from tablesmith.operators.matrix import FIRST_VALUE_ROW, channel_headers, matrix_to_wide, records_to_target, row_records, unlisted_periods
 from tablesmith.operators.reconcile import null_count, reconciliation
-from tablesmith.operators.reshape import Mapping, long_to_wide, wide_to_target
-from tablesmith.schema import ROW_ID, TARGET_COLUMNS
-from tablesmith.session import materialize
-from tablesmith.sources.cells import data_sheets
+from tablesmith.operators.reshape import Mapping, absent_sources, long_to_wide, period_columns, selected_targets, wide_to_target
+from tablesmith.schema import ROW_ID, SHEET, TARGET_COLUMNS, quoted
+from tablesmith.session import materialize, release
+from tablesmith.sources.cells import data_sheets, sheet_union
 
 
 class Outcome(NamedTuple):
-    """Target rows, issue log, and the one-row reconciliation of a run."""
+    """Target rows, issue log, and the one-row reconciliation of a run.
+
+    ``review`` has notes on the mapping; ``paths`` are the stored tables that the frames read.
+    """
 
     rows: DataFrame
     issues: DataFrame
     summary: DataFrame
+    review: list[str]
+    paths: list[str]
+
+    def release(self) -> None:
+        """Delete the stored tables once rows, issues and summary are written elsewhere."""
+        release(self.rows.sparkSession, self.paths)
+
+
+_STRICT = "_strict"
 
 
 def clean_source(
@@ -34,25 +54,41 @@ def clean_source(
     field_kinds: dict[str, str] | None = None,
     unicode: bool = True,
     row_id: str = ROW_ID,
+    scope: str | None = None,
+    needed: Iterable[str] | None = None,
+    paths: list[str] | None = None,
 ) -> tuple[Result, DataFrame]:
     """Cleaned rows with their issues, and the source's row and null counts.
 
-    The column mapped to the measure is a number unless ``field_kinds`` says otherwise.
+    All columns take part in the tests of whole rows; field rules run over the ``needed``
+    ones only, which are all that is left then, next to the flag ``_strict``: whether any
+    cell of the row holds a sub-total word. The column mapped to the measure is a number
+    unless ``field_kinds`` says otherwise.
     """
-    cells = cells_of(source, row_id)
+    cells = cells_of(source, row_id, scope)
     counted = source.select("*", null_count(cells).alias("_nulls"))
-    cleaned = clean_values(counted, unicode, row_id).select("*", row_issue(cells).alias("issue_type"))
-    tagged = materialize(cleaned, "tagged")
+    cleaned = clean_values(counted, unicode, row_id, scope).select("*", row_issue(cells).alias("issue_type"))
+    tagged = materialize(cleaned, "tagged", paths)
     totals = tagged.agg(
         F.count("*").alias("input_rows"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("null_cells_in_source")
     )
-    split = remove_bad_rows(tagged.drop("_nulls"), row_id, store=True)
+    split = remove_bad_rows(tagged.drop("_nulls"), row_id, True, scope, paths)
     fact = mapping.get("Fact")
     kinds = ({fact: "number"} if fact in cells else {}) | (field_kinds or {})
-    fields = clean_fields(split.rows, kinds, row_id)
+    kept = split.rows
+    if needed is not None:
+        wanted = {*needed, row_id, scope}
+        strict = strict_aggregate(cells).alias(_STRICT)
+        kept = kept.select(*[F.col(quoted(n)) for n in kept.columns if n in wanted], strict)
+        kinds = {n: k for n, k in kinds.items() if n in wanted} | {_STRICT: "as_is"}
+    fields = clean_fields(kept, kinds, row_id, scope)
     return Result(fields.rows, split.issues.unionByName(fields.issues)), totals
 
 
+def _sources(source: DataFrame, mapping: Mapping, required: list[str]) -> set[str]:
+    return {mapping[t] for t in selected_targets(required) if mapping.get(t)}
+
+
 def transform_wide(
     source: DataFrame,
     mapping: Mapping,
@@ -62,12 +98,21 @@ def transform_wide(
     job_id: int | None = None,
     source_file: str | None = None,
     row_id: str = ROW_ID,
+    scope: str | None = None,
 ) -> Outcome:
-    """A normal table, or one with a column per period."""
-    cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id)
-    shaped = wide_to_target(cleaned.rows, mapping, required, row_id=row_id)
+    """A normal table, or one with a column per period.
+
+    ``scope`` names the column of the sheet or file a row number belongs to, if numbers
+    restart there.
+    """
+    required, paths = list(required), []
+    needed = _sources(source, mapping, required) | set(period_columns(cells_of(source, row_id, scope)).values())
+    cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id, scope, needed, paths)
+    shaped = wide_to_target(cleaned.rows, mapping, required, row_id=row_id, scope=scope, flag=_STRICT)
+    rows = materialize(shaped.rows, "rows", paths)
     issues = cleaned.issues.unionByName(shaped.issues)
-    return Outcome(shaped.rows, issues, reconciliation(totals, shaped.rows, issues, job_id, source_file))
+    summary = reconciliation(totals, rows, issues, job_id, source_file)
+    return Outcome(rows, issues, summary, absent_sources(source, mapping, required), paths)
 
 
 def transform_long(
@@ -83,12 +128,37 @@ def transform_long(
     job_id: int | None = None,
     source_file: str | None = None,
     row_id: str = ROW_ID,
+    scope: str | None = None,
 ) -> Outcome:
     """A table with a row per period, named by a year and a period column."""
-    cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id)
-    shaped = long_to_wide(cleaned.rows, mapping, year_column, period_column, required, periods, null_fact, row_id)
+    required, paths = list(required), []
+    needed = _sources(source, mapping, [*required, "Fact"]) | {year_column, period_column}
+    cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id, scope, needed, paths)
+    shaped = long_to_wide(cleaned.rows, mapping, year_column, period_column, required, periods, null_fact, row_id, scope)
+    rows = materialize(shaped.rows, "rows", paths)
     issues = cleaned.issues.unionByName(shaped.issues)
-    return Outcome(shaped.rows, issues, reconciliation(totals, shaped.rows, issues, job_id, source_file))
+    summary = reconciliation(totals, rows, issues, job_id, source_file)
+    return Outcome(rows, issues, summary, absent_sources(source, mapping, required), paths)
+
+
+def transform_sheets(
+    cells: DataFrame,
+    mapping: Mapping,
+    header_row: int | DataFrame = 1,
+    year_column: str | None = None,
+    period_column: str | None = None,
+    **options,
+) -> Outcome:
+    """The sheets of workbooks as one run, each cleaned and reshaped on its own.
+
+    ``header_row`` may be the result of :func:`tablesmith.sources.cells.header_rows`. Equal
+    rows of two sheets are no duplicates, and the log names a row by sheet and number. With a
+    year and a period column the sheets are long tables, else normal or wide ones.
+    """
+    source = sheet_union(cells, header_row)
+    if year_column and period_column:
+        return transform_long(source, mapping, year_column, period_column, scope=SHEET, **options)
+    return transform_wide(source, mapping, scope=SHEET, **options)
 
 
 def transform_matrix(
@@ -99,12 +169,18 @@ def transform_matrix(
     job_id: int | None = None,
     source_file: str | None = None,
 ) -> Outcome:
-    """Matrix worksheets as a cell table; blank, sub-total and duplicate rules do not apply."""
-    shaped = matrix_to_target(cells, required, header_rows)
-    rows = matrix_to_wide(shaped.rows, periods)
-    heights = data_sheets(cells).groupBy("sheet").agg(F.max("row_idx").alias("height"))
-    below = F.greatest(F.col("height") - (MIN_ROWS - 1), F.lit(0))
+    """Matrix worksheets as a cell table; blank, sub-total and duplicate rules do not apply.
+
+    Two passes over the cells: one puts rows together, one reads the header cells.
+    """
+    header_rows, paths = list(header_rows), []
+    records = materialize(row_records(cells), "matrix-rows", paths)
+    shaped = records_to_target(records, channel_headers(data_sheets(cells), header_rows), required, header_rows, paths)
+    long = materialize(shaped.rows, "matrix-values", paths)
+    rows = matrix_to_wide(long, periods)
+    issues = shaped.issues if periods is None else shaped.issues.unionByName(unlisted_periods(long, periods))
+    heights = records.groupBy("sheet").agg((F.max("row_idx") - (FIRST_VALUE_ROW - 1)).alias("below"))
     totals = heights.agg(
-        F.coalesce(F.sum(below), F.lit(0)).alias("input_rows"), F.lit(0).cast("bigint").alias("null_cells_in_source")
+        F.coalesce(F.sum("below"), F.lit(0)).alias("input_rows"), F.lit(0).cast("bigint").alias("null_cells_in_source")
     )
-    return Outcome(rows, shaped.issues, reconciliation(totals, rows, shaped.issues, job_id, source_file))
+    return Outcome(rows, issues, reconciliation(totals, long, issues, job_id, source_file), [], paths)

@@ -1,10 +1,10 @@
 """Cleaned data, issue log, reconciliation, run report and the four-table BI package."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesmith.operators.reconcile import metric_rows
 from tablesmith.operators.reshape import visible
-from tablesmith.schema import ISSUE_SCHEMA, quoted
+from tablesmith.schema import ISSUE_SCHEMA, SHEET, quoted
 
 # Names of the BI tables, and the columns of the run table.
 BI_TABLES = ["Cleaned_Data", "Issue_Log", "Reconciliation_Summary", "Run_Info"]
@@ -24,10 +24,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     visible(df).write.mode(mode).parquet(path)
 
 
+def _log_columns(issues: DataFrame) -> list[Column]:
+    """The columns of a log; the sheet comes first where rows are named by it."""
+    sheet = [F.col(SHEET)] if SHEET in issues.columns else []
+    return [*sheet, *[F.col(f.name).cast(f.dataType) for f in ISSUE_SCHEMA.fields]]
+
+
 def write_issue_log(issues: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The issue log as CSV; a clean run still gets a header."""
-    columns = [F.col(f.name).cast(f.dataType) for f in ISSUE_SCHEMA.fields]
-    issues.select(*columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    issues.select(*_log_columns(issues)).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_reconciliation(summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -40,6 +45,23 @@ def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> N
     report.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def run_report(
+    summary: DataFrame, mapping: dict[str, str | None], required: list[str], mode: str, review: list[str] | None = None,
+    duration_seconds: float | None = None,
+) -> DataFrame:
+    """The one-row report of a run: its counts, what was mapped to what, and what to review."""
+    pairs = [F.lit(mapping.get(t)).cast("string").alias(t) for t in required]
+    notes = F.array(*[F.lit(n) for n in review or []]).cast("array<string>")
+    return summary.select(
+        "*",
+        F.lit(mode).alias("dataset_mode"),
+        F.struct(*pairs).alias("mapping"),
+        F.array(*[F.lit(t) for t in required]).alias("required_columns"),
+        notes.alias("review"),
+        F.lit(duration_seconds).cast("double").alias("duration_seconds"),
+    )
+
+
 def run_info(spark: SparkSession, report: dict) -> DataFrame:
     """The one-row run table, from whichever of its fields are known."""
     types = {"job_id": "bigint", "confidence": "double", "duration_seconds": "double"}
@@ -54,7 +76,7 @@ def write_bi_package(
     plain = visible(rows)
     frames = [
         plain.select(*[F.col(quoted(n)) for n in sorted(plain.columns)]),
-        issues.select(*ISSUE_SCHEMA.fieldNames()),
+        issues.select(*_log_columns(issues)),
         metric_rows(summary),
         info.select(*RUN_INFO),
     ]

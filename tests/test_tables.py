@@ -1,11 +1,13 @@
 """Row rules, reshape, reconciliation and skew on small tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.operators.cleaning import clean_fields, clean_rows, clean_values, field_kind, remove_bad_rows, split_duplicates, tag_rows
-from tablesmith.operators.lookup import SALTS, lookup_join
-from tablesmith.operators.matrix import matrix_to_target, matrix_to_wide
+from tablesmith.operators.lookup import lookup_join, salts_for
+from tablesmith.operators.matrix import column_letter, matrix_to_target, matrix_to_wide
 from tablesmith.operators.reconcile import column_profile, metric_rows
 from tablesmith.operators.reshape import (
     absent_sources,
@@ -18,7 +20,8 @@ from tablesmith.operators.reshape import (
     wide_to_long,
     wide_to_target,
 )
-from tablesmith.plans.transform import transform_long, transform_matrix, transform_wide
+from tablesmith.plans.transform import transform_long, transform_matrix, transform_sheets, transform_wide
+from tablesmith.sources.cells import header_rows
 
 COLUMNS = [f"c{i}" for i in range(9)]
 
@@ -32,10 +35,13 @@ def make(spark, rows, schema):
 
 
 def test_cleaning_pass(spark):
-    row = (" A ", " X@EXAMPLE.COM ", " +1 (555) 123-4567 ")
-    out = clean_rows(make(spark, [row, row, (None, None, None)], "Name string, Email string, Phone string"))
-    assert rows_of(out.rows, "source_row", "Name", "Email", "Phone") == [(1, "A", "x@example.com", "+15551234567")]
-    assert rows_of(out.issues, "source_row", "issue_type") == [(2, "DUPLICATE_REMOVED"), (3, "NULL_ROW_REMOVED")]
+    shop, twin = ("  Corner   Shop", "Orders@Corner.test ", "0049-30/901820"), ("Corner Shop ", "Orders@Corner.test", " 0049-30/901820")
+    rows = [(" ", None, "\t"), shop, ("Kiosk 9", "none", "ext. 12"), twin, shop]
+    out = clean_rows(make(spark, rows, "Client string, Email string, Mobile string"))
+    assert rows_of(out.rows, "source_row", "Client", "Email", "Mobile") == [
+        (2, "Corner Shop", "orders@corner.test", "004930901820"), (3, "Kiosk 9", "none", "12"),
+    ]
+    assert rows_of(out.issues, "source_row", "issue_type") == [(1, "NULL_ROW_REMOVED"), (4, "DUPLICATE_REMOVED"), (5, "DUPLICATE_REMOVED")]
 
 
 def nine(*cells):
@@ -146,22 +152,22 @@ def test_visible_hides_provenance(spark):
     assert visible(spark.sql("select 1 as a, 2 as _source_row")).columns == ["a"]
 
 
-@pytest.mark.parametrize("max_rows", [0, 100])
+@pytest.mark.parametrize("max_bytes", [0, 10_000])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_lookup_join_is_the_same_either_way(spark, how, max_rows):
+def test_lookup_join_is_the_same_either_way(spark, how, max_bytes):
     big = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = lookup_join(big, small, ["k"], F.col("id"), how, max_rows)
+    got = lookup_join(big, small, ["k"], F.col("id"), how, max_bytes)
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, big.join(small, "k", how).select("id", "k", "v").collect()), key=lambda r: r[0])
 
 
-def test_salted_join_spreads_a_hot_key(spark):
+def test_salts_follow_the_hot_key(spark):
     big = spark.range(3200).select("id", F.lit(1).alias("k"))
+    assert salts_for(big, ["k"]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert salts_for(spark.range(3200).withColumnRenamed("id", "k"), ["k"]) == 1
+    assert salts_for(big.limit(0), ["k"]) == 1
     small = spark.createDataFrame([(1, "v")], "k int, v string")
-    plan = lookup_join(big, small, ["k"], F.col("id"), max_rows=0)
-    assert plan.count() == 3200
-    salts = big.select(F.pmod(F.hash("id"), F.lit(SALTS)).alias("s")).distinct().count()
-    assert salts == SALTS
+    assert lookup_join(big, small, ["k"], F.col("id"), max_bytes=0).count() == 3200
 
 
 def sheet(spark, grids):
@@ -190,7 +196,11 @@ def test_matrix(spark):
         ("Web", "Food", "B2", "S2", "LT", "2025-01", None, 8),
         (None, "Food", "B1", "F1", "LT", "2025-01", 3.0, 5),
     ]
-    assert rows_of(out.issues, "source_row", "issue_type") == [(6, "AGGREGATE_ROW"), (8, "INVALID_FACT")]
+    assert rows_of(out.issues, "sheet", "source_row", "issue_type", "detail") == [
+        ("LIT", 6, "AGGREGATE_ROW", "Result row excluded from atomic output"), ("LIT", 8, "INVALID_FACT", "Could not parse a number"),
+    ]
+    trace = out.rows.where("Channel = 'Web'").first()["_source_trace"]
+    assert trace == '{"Category":"B","Brand":"C","SKU":"D","Channel":"G header rows 1","Fact":"LT sheet"}'
     wide = matrix_to_wide(out.rows)
     assert "2025-01" in wide.columns and wide.count() == 4
 
@@ -238,6 +248,49 @@ def test_matrix_run(spark):
     assert (row["input_rows"], row["output_rows"], row["rows_removed_aggregate"]) == (4, 4, 1)
 
 
+def test_matrix_values_of_unlisted_periods_are_logged(spark):
+    out = transform_matrix(sheet(spark, {"KG": GRID}), periods=["2024-12"])
+    assert rows_of(out.issues.where("issue_type = 'UNLISTED_PERIOD'"), "sheet", "source_row") == [("KG", 5), ("KG", 5), ("KG", 8), ("KG", 8)]
+
+
+def test_unlisted_periods_are_logged(spark):
+    rows = [("A", "2024", "P01", "5"), ("A", "2025", "P01", "7")]
+    out = transform_long(make(spark, rows, LONG), {"Country": "pais", "Fact": "qty"}, "anio", "periodo", ["Country", "Fact"], periods=["2024-01"])
+    assert rows_of(out.rows, "Country", "2024-01") == [("A", 5.0)]
+    assert rows_of(out.issues, "source_row", "issue_type") == [(2, "UNLISTED_PERIOD")]
+
+
+def test_column_letters(spark):
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in (0, 25, 26, 701, 702, 18277)], "i int").select(column_letter(F.col("i"))).collect()]
+    assert got == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_sheets_keep_their_own_rows(spark):
+    """Blank and equal rows are judged within a sheet, and every row is kept or logged."""
+    grid = [["Brand", "Qty"], ["a", "1"], ["", None], ["a", "1"], ["b", "2"]]
+    cells = sheet(spark, {"North": grid, "South": [["report"], *grid, ["Total", ""]], "Guide": grid})
+    out = transform_sheets(cells, {"Brand": "Brand"}, header_rows(cells), required=["Brand"])
+    assert rows_of(out.rows, "_sheet", "_source_row", "Brand") == [("North", 1, "a"), ("North", 4, "b"), ("South", 1, "a"), ("South", 4, "b")]
+    assert rows_of(out.issues, "sheet", "source_row", "issue_type") == [
+        ("North", 2, "NULL_ROW_REMOVED"), ("North", 3, "DUPLICATE_REMOVED"), ("South", 2, "NULL_ROW_REMOVED"),
+        ("South", 3, "DUPLICATE_REMOVED"), ("South", 5, "AGGREGATE_ROW"),
+    ]
+    row = out.summary.first()
+    assert row["input_rows"] == row["output_rows"] + row["total_rows_removed_or_flagged"] == 9
+    long = [["Brand", "Year", "Month", "Qty"], ["a", "2024", "P1", "3"], ["a", "2024", "P1", "4"]]
+    both = transform_sheets(sheet(spark, {"x": long, "y": long}), {"Brand": "Brand", "Fact": "Qty"}, 1, "Year", "Month", required=["Brand", "Fact"])
+    assert rows_of(both.rows, "_sheet", "Brand", "2024-01") == [("x", "a", 7.0), ("y", "a", 7.0)]
+
+
+def test_release_removes_what_a_run_stored(spark):
+    out = transform_wide(make(spark, [("x",)], "Brand string"), {"Brand": "Brand", "SKU": "none"}, ["Brand", "SKU"])
+    paths = [p.removeprefix("file:") for p in out.paths]
+    assert len(paths) == 3 and all(os.path.isdir(p) for p in paths)
+    assert out.review == ["Column 'none' mapped to 'SKU' is not in the source."]
+    out.release()
+    assert out.paths == [] and not any(os.path.exists(p) for p in paths)
+
+
 def test_cleaning_twice_changes_nothing(spark):
     df = make(spark, [(" A  B ", "1"), ("x", " ")], "a string, b string")
     once = clean_values(df)
