@@ -9,7 +9,6 @@ from checks.fixtures import table, view
 from checks.registry import query
 from checks.shape import MONTHS, WIDE_MAPPING, _P_COLUMNS, _STRICT, _WIDE_TARGETS
 from tablesmith.operators.cleaning import split_duplicates
-from tablesmith.operators.reconcile import head
 from tablesmith.operators.reshape import wide_to_target
 from tablesmith.session import scratch_path
 from tablesmith.sinks.tables import (
@@ -23,7 +22,7 @@ from tablesmith.sinks.tables import (
     write_reconciliation,
     write_report,
 )
-from tablesmith.sources.files import read_csv, read_json, read_parquet, read_table, read_tsv, read_xml
+from tablesmith.sources.files import read_csv, read_json, read_parquet, read_table, read_tsv, read_xml, sample
 from tablesmith.sources.numbering import number_parquet_rows, number_text_rows
 
 _ORDER = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority"
@@ -123,7 +122,7 @@ def _(spark, sf_dir):
 
 @query("s11_sample_rows", "select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey limit 12")
 def _(spark, sf_dir):
-    return head(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 12, "o_orderkey")
+    return sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").orderBy("o_orderkey"))
 
 
 def _wide_rows(spark, sf_dir) -> DataFrame:

@@ -248,14 +248,17 @@ def _(spark, sf_dir):
 
 @query(
     "e1_transform_long_summary",
-    _RUN + f"""select (select count(*) from shipments_long) as input_rows, (select count(*) from (select distinct {_DIMS} from valid) as t) as output_rows,
-        (select count(*) from shipments_long) - (select count(*) from kept) as rows_removed_duplicate,
-        (select count(*) from parsed where period is null) as rows_flagged_invalid_period,
-        (select count(*) from shipments_long where quantity is null) as null_cells_in_source""",
+    _RUN + f""", counts as (select (select count(*) from shipments_long) as input_rows, (select count(*) from (select distinct {_DIMS} from valid) as t) as output_rows,
+        cast(0 as bigint) as rows_removed_null, (select count(*) from shipments_long) - (select count(*) from kept) as rows_removed_duplicate,
+        cast(0 as bigint) as rows_removed_aggregate, (select count(*) from parsed where period is null) as rows_flagged_invalid_period,
+        (select count(*) from shipments_long where quantity is null) as null_cells_in_source)
+        select cast(1 as bigint) as job_id, 'shipments_long' as source_file, *,
+          rows_removed_duplicate + rows_flagged_invalid_period as total_rows_removed_or_flagged,
+          round(output_rows / input_rows * 100, 2) as net_reconciliation_pct,
+          rows_removed_duplicate + rows_flagged_invalid_period as total_issues_logged from counts""",
 )
 def _(spark, sf_dir):
-    columns = ["input_rows", "output_rows", "rows_removed_duplicate", "rows_flagged_invalid_period", "null_cells_in_source"]
-    return run_long(spark, sf_dir).summary.select(*columns)
+    return run_long(spark, sf_dir).summary.drop("issue_breakdown")
 
 
 _UNIQUE = "qualify row_number() over (partition by pais, canal, categoria, marca, p1, p2, p3, p4 order by source_row) = 1"
