@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import Row
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +22,3 @@ ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a"), (5, "a"), (6, "\U00
 
 def by_id(df, *columns):
     return {r["doc_id"]: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
-
-
-__all__ = ["ODD", "Row", "by_id"]

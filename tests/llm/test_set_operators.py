@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tablesmith.llm import jaccard, repeats
+from tablesmith.llm import jaccard, repeats, tokens
 from tablesmith.llm.base import components
 from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.packing import best_fit, pack
@@ -224,8 +224,11 @@ def test_best_fit(make):
     assert best_fit(make([])).collect() == [] and best_fit(make(ODD)).count() == len(ODD)
 
 
+PIECES = ["a", "bc", " ", "  ", "\n", "\t", "é", "\u3000", "'s", "12", "<|endoftext|>", "!", ".", ",", "\x1c", "Ġ", "\u0301"]
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\t", "é", "　", "'s", "12", "<|endoftext|>", "!", "\x1c", "Ġ", "́"]), max_size=12).map("".join), max_size=4))
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=4))
 def test_ids_word_by_word(texts):
     plain = Tokenizer.from_file(TOKENIZER)
     plain.encode_special_tokens = True
@@ -234,6 +237,15 @@ def test_ids_word_by_word(texts):
         assert np.frombuffer(raw, own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_ids_with_a_small_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    rng, own = random.Random(1), tokens.Encoder(TOKENIZER)
+    for _ in range(30):
+        text = " ".join(prose(rng, 12, 30)) + rng.choice([".", " ", "\n"])
+        ids = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == [*ids, 0]
+
+
 @pytest.mark.parametrize("n", [0, 3, 400])
 def test_token_files(spark, make, tmp_path, n):
     rng, plain = random.Random(n), Tokenizer.from_file(TOKENIZER)
