@@ -6,8 +6,8 @@ from tablesmith.session import materialize
 
 # ASCII white space in the sense of all contracts here: space and \t \n \v \f \r.
 BLANKS = "[\\x20\\x09-\\x0D]+"
-# A list of ids is broadcast up to this many rows (16 bytes a row); beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+# A side of a join is broadcast up to this many values of fixed size; beyond it, joins shuffle.
+BROADCAST_VALUES = 3_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small; ``df`` should be stored."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def few(df: DataFrame, *lists: str, limit: int = BROADCAST_VALUES) -> DataFrame:
+    """``df`` with a broadcast hint if counting proves it small; ``df`` should be stored.
+
+    Counted are its numbers and digests, in the named list columns one by one with their
+    fields; other columns must be of fixed size.
+    """
+    width = len(df.columns) - len(lists)
+    values = [F.size(n) * len(df.schema[n].dataType.elementType.fields) for n in lists]
+    total = df.agg(F.coalesce(F.sum(sum(values, F.lit(width)).cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= limit else df
 
 
 def components(links: DataFrame, name: str) -> DataFrame:

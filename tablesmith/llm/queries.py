@@ -130,7 +130,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path, tokenizer)
 
 
-@query("op1_jaccard_join")
+@query(
+    "op1_jaccard_join",
+    f"""
+    with recursive d as (select doc_id, {shingle_sql(4)} as s from (select doc_id, {WORDS} as w from documents)),
+    n as (select doc_id, len(s) as n, case when len(s) = 0 then doc_id else min(doc_id) over (partition by list_sort(s)) end as copy_of from d),
+    g as (select doc_id, unnest(s) as g from d),
+    pairs as (select x.doc_id as a, y.doc_id as b, count(*) as o from g as x join g as y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+    links as (select a, b from pairs join n as p on p.doc_id = a join n as q on q.doc_id = b where 100 * o >= 85 * (p.n + q.n - o)),
+    reach as (select doc_id, doc_id as r from n union select doc_id, b from reach join links on a = r)
+    select doc_id, any_value(n) as n_shingles, any_value(copy_of) as copy_of, min(r) as component_id from n join reach using (doc_id) group by doc_id
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir), size=4, percent=85)
 
