@@ -16,7 +16,7 @@ KINDS = ("email", "ip", "card", "phone")
 # that a long run of letters or digits is read once only.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MAY_HOLD = re.compile(r"[0-9@]")
@@ -45,7 +45,7 @@ def identifiers(text: str) -> list[tuple[int, int, int]]:
             free = m.end()
             found.append((0, start, free))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+        if m[1] and all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             found.append((1, *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
@@ -75,12 +75,14 @@ SPELLED = {
 SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "dash": "-"}
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SIGN = "|".join(SIGNS)
-# Four spoken digits in a row at least; digits in figures may stand among them.
+# Four digits in a row, two of them spoken side by side; others may be in figures.
 RUN = re.compile(
     rf"(?i)(?:\bplus[ ,-]+)?\b(?:{_DIGIT})\b(?:[ ,-]+(?:(?:{_SIGN})[ ,-]+)?(?:(?:{_DIGIT})\b|[0-9]+\b)){{3,}}"
 )
+SPOKEN = frozenset(SPELLED).__contains__
 WORD = re.compile(r"(?i)[^\W_]+")
 # A bracketed sign stands for itself; bare words only where "at" and "dot" come together.
+BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s?[\])}>]")
 AT = re.compile(r"(?i)\s?[\[({<]\s?(?:at|@|arroba|ät)\s?[\])}>]\s?")
 DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?")
 BARE = re.compile(
@@ -158,6 +160,17 @@ def _spoken(match: re.Match) -> str:
     return out
 
 
+def _runs(text: str) -> list[tuple[int, int, str]]:
+    words = text.lower().replace("-", " ").replace(",", " ").split()
+    if b"\1\1" not in bytes(map(SPOKEN, words)):
+        return []
+    return [(m.start(), m.end(), _spoken(m)) for m in RUN.finditer(text)]
+
+
+def _bracketed(text: str, sign: re.Pattern, plain: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), plain) for m in sign.finditer(text)] if BRACKET.search(text) else []
+
+
 def _bare(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in BARE.finditer(text):
@@ -170,9 +183,9 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     """``rank, start, end`` of identifiers that show only once the text is normalized."""
     steps = (
         lambda t: [(m.start(), m.end(), _glyph(m[0])) for m in GLYPH.finditer(t)],
-        lambda t: [(m.start(), m.end(), _spoken(m)) for m in RUN.finditer(t)],
-        lambda t: [(m.start(), m.end(), "@") for m in AT.finditer(t)],
-        lambda t: [(m.start(), m.end(), ".") for m in DOT.finditer(t)],
+        _runs,
+        lambda t: _bracketed(t, AT, "@"),
+        lambda t: _bracketed(t, DOT, "."),
         lambda t: _bare(t) if BARE_HINT.search(t) else [],
     )
     mapped, changed = Mapped(text), False
