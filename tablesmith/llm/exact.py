@@ -3,11 +3,12 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.llm.base import BLANKS, texts
+from tablesmith.session import materialize
 
-# A chunk ends after a word that ends in one of these (about one word in nine of running
-# text), once it has MIN_CHUNK characters, or after MAX_CHUNK characters at the latest.
-MIN_CHUNK, MAX_CHUNK = 1_000, 8_000
-CUT = "[.!?;:}>]"
+# A chunk ends at a sign of the first kind before a space and a sign of the second kind,
+# wherever that is in the text, so chunks after an insertion are the same as before it. A
+# text without such a place is cut after MAX_CHUNK characters.
+CUT, NEXT, MAX_CHUNK = "[.!?;:}>]", "[A-Ca-c]", 8_000
 
 
 def normalized(text: Column) -> Column:
@@ -17,7 +18,7 @@ def normalized(text: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """The text cut at places that its content decides; joined they are the text again."""
-    shape = f"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?{CUT}(?= )|.{{1,{MAX_CHUNK}}}"
+    shape = f"(?s).{{1,{MAX_CHUNK - 1}}}?{CUT}(?= {NEXT})|.{{1,{MAX_CHUNK}}}"
     return F.regexp_extract_all(text, F.lit(shape), F.lit(0))
 
 
@@ -49,8 +50,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     each other, further columns are ignored, an empty table gives an empty result. Rows that
     repeat a ``doc_id`` count one by one, and all rows with the kept id stay.
     """
-    listed = recipes(docs)
+    listed = materialize(recipes(docs), "recipes")
     groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = listed.join(groups, "recipe")
-    kept = (F.col("doc_id") == F.col("keep_id")).alias("kept")
-    return joined.select("doc_id", "keep_id", "group_size", kept, "text_sha256")
+    # Stored, so that both sides of the join are plain exchanges: one large group of copies is
+    # then split over several tasks.
+    groups = materialize(groups.where("group_size > 1"), "copies")
+    joined = listed.join(groups, "recipe", "left")
+    keep, size = F.coalesce("keep_id", "doc_id"), F.coalesce("group_size", F.lit(1).cast("bigint"))
+    return joined.select(
+        "doc_id", keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256"
+    )
