@@ -16,6 +16,8 @@ from tablesmith.session import materialize
 BLOCK = 256
 # N-grams of the global order whose partial overlaps are counted at once.
 FRAGMENT = 4_096
+# Bits of the filter that keeps unshared segments out of the second exchange (16 MB).
+FILTER_BITS = 2**27
 # Other cuts of the order that are tried for a set with too many empty fragments.
 CUTS = 64
 
@@ -62,6 +64,22 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _filter(segments: DataFrame) -> np.ndarray:
+    """A bit for each segment's remainder; its size is fixed, whatever the number of segments."""
+    place = F.pmod("segment", F.lit(FILTER_BITS)) + 1
+    parts = segments.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        bits = np.frombuffer(bytes(row["bits"]), np.uint8)
+        table[(row["part"] - 1) * len(bits) : row["part"] * len(bits)] = bits
+    return table
+
+
+def _kept(segments: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = (segments % np.uint64(FILTER_BITS)).astype(np.int64)
+    return segments[(table[at >> 3] >> (at & 7) & 1).astype(bool)]
+
+
 def overlaps(many: list[np.ndarray]) -> np.ndarray:
     """Shared n-grams of each pair: counted fragment by fragment of the order, summed per pair."""
     tokens = np.concatenate(many)
@@ -133,7 +151,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     columns are ignored. Shingles are compared by 64-bit hashes.
 
     Copies are one set. Sets that share a segment of the vertically cut order form star
-    groups around their least id. A group is compared in blocks, each pair of blocks in one
+    groups around their least id; a filter of fixed size keeps most others from being moved
+    for that. A group is compared in blocks, each pair of blocks in one
     task: no task holds a whole group and no pair list is written, only edges that connect.
     """
 
@@ -152,8 +171,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     doubles = few(materialize(each.where("doc_id != copy_of").select("doc_id").distinct(), "shingle-doubles"))
     single = whole.join(doubles, "doc_id", "left_anti")
 
-    def sign(batch: pa.RecordBatch) -> dict:
+    def sign(batch: pa.RecordBatch, table: np.ndarray | None = None) -> dict:
         own = [signatures(s, percent) if len(s) else s for s in sets(batch["text"].to_pylist(), size)]
+        own = own if table is None else [_kept(s, table) for s in own]
         ids = np.repeat(batch["doc_id"].to_numpy(zero_copy_only=False), [len(s) for s in own])
         flat = np.concatenate([np.zeros(0, np.uint64), *own])
         return {"segment": flat.view(np.int64), "node": ids.astype(np.int64)}
@@ -161,15 +181,35 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     named = single.where("doc_id is not null")
     signed = map_texts(named, sign, "segment bigint, node bigint")
     stars = signed.groupBy("segment").agg(F.min("node").alias("center"), F.max("node").alias("last"))
-    stars = few(materialize(stars.where("center < last").drop("last"), "shingle-stars"))
-    members = signed.join(stars, "segment").where("node > center").select("center", "node").distinct()
+    stars = materialize(stars.where("center < last").drop("last"), "shingle-stars")
+    # Once more, but only segments that may be shared travel to their star.
+    table = _filter(stars.select("segment"))
+    shared = map_texts(named, lambda batch: sign(batch, table), "segment bigint, node bigint")
+    members = shared.join(stars, "segment").where("node > center").select("center", "node").distinct()
     members = materialize(members, "shingle-members")
-    return _label(each, _components(named, members, size, percent))
+    return _label(each, _components(named, _needed(members), size, percent))
+
+
+def _needed(members: DataFrame) -> DataFrame:
+    """Without groups that lie in another one as a whole, whose pairs are compared there.
+
+    Copies with few changes share most segments with their least id, but some with the next
+    one only; that one's group then has nothing new.
+    """
+    names = members.select(F.col("node").alias("center"), F.col("center").alias("outer"))
+    outer = names.groupBy("center").agg(F.min("outer").alias("outer"))
+    inside = members.join(outer, "center").select("center", F.col("outer").alias("o"), "node")
+    known = members.select(F.col("center").alias("o"), "node")
+    found = inside.join(known, ["o", "node"], "left_semi").groupBy("center").agg(F.count("*").alias("found"))
+    sizes = members.groupBy("center").agg(F.count("*").alias("size"))
+    kept = materialize(sizes.join(found, "center", "left").where("found is null or found < size").select("center"), "shingle-kept")
+    return materialize(members.join(kept, "center", "left_semi"), "shingle-groups")
 
 
 def _components(single: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, component`` from the star groups ``members (center, node)``."""
     counts = members.groupBy("center").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
+    counts = materialize(counts, "shingle-counts")
     full = members.union(members.select("center", F.col("center").alias("node")).distinct())
     own = F.pmod(F.xxhash64("node", "center"), F.col("blocks")).cast("int")
     dealt = full.join(counts, "center").withColumn("own", own)
