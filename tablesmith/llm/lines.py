@@ -2,22 +2,45 @@
 
 import re
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesmith.llm.arrow import map_texts
 from tablesmith.llm.base import texts
+from tablesmith.session import materialize
 
 # Units of fewer words are common phrases, list marks or brackets; they stay.
 MIN_WORDS = 5
+# A longer sentence is also cut into phrases, after words whose checksum is 0 modulo
+# PHRASE_CUT; so a passage inside it is found wherever it starts. Shorter phrases stay.
+LONG_WORDS, PHRASE_CUT, PHRASE_WORDS = 40, 8, 8
 LINE = re.compile(r"[^\n]+")
 STOP = re.compile("[.!?] ")
+WORD = re.compile(r"\S+")
 SPANS = "array<struct<start: int, end: int>>"
 
 
+def _digest(words: list[str]) -> bytes:
+    return blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _phrases(text: str, start: int, end: int):
+    first, held = None, []
+    for m in WORD.finditer(text, start, end):
+        first = m.start() if first is None else first
+        held += m[0].lower().split()
+        if crc32(held[-1].encode("utf-8", "surrogatepass")) % PHRASE_CUT == 0:
+            if len(held) >= PHRASE_WORDS:
+                yield first, m.end(), _digest(held)
+            first, held = None, []
+    if len(held) >= PHRASE_WORDS:
+        yield first, end, _digest(held)
+
+
 def _units(text: str, min_words: int):
-    """``start, end, digest`` of the lines of a text, and of the sentences of longer lines."""
+    """``start, end, digest`` of the lines, of the sentences of longer lines, of the phrases of long sentences."""
     for line in LINE.finditer(text):
         first, last = line.span()
         stops = [m.start() + 1 for m in STOP.finditer(text, first, last)]
@@ -25,15 +48,18 @@ def _units(text: str, min_words: int):
         for start, end in [(first, last), *sentences]:
             words = text[start:end].lower().split()
             if len(words) >= min_words:
-                yield start, end, blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                yield start, end, _digest(words)
+            if len(words) > LONG_WORDS and ((start, end) != (first, last) or not stops):
+                yield from _phrases(text, start, end)
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, start, end, digest`` of all units; offsets in code points, end exclusive.
 
     A unit is a line, and in a line of several sentences also each sentence (up to a full
-    stop, question or exclamation mark before a space, without that space). Its digest is
-    taken from its lower-case words with one space between.
+    stop, question or exclamation mark before a space, without that space), and in a long
+    sentence each longer phrase. Its digest is taken from its lower-case words with one space
+    between.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -54,6 +80,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = units(docs, min_words)
     first = F.min(F.struct("doc_id", "start", "end")).alias("first")
     known = found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
+    # Stored, so that the rows of one very common line are split over several tasks.
+    known = materialize(known, "unit-digests")
     at = F.struct("doc_id", "start", "end")
     return found.join(known, "digest").where(at > F.col("first")).select("doc_id", "start", "end")
 
