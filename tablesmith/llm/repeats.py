@@ -220,8 +220,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = each.join(twice, context, "left_semi").select("doc_id", "start", "end")
     # Contexts that differ around one anchor are compared byte by byte.
     many = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("rare")).where("m > 1 and rare = 1")
-    wanted = kinds.join(many.drop("rare"), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "c", "m", "start", "end")).alias("wanted"))
-    wanted = few(materialize(wanted, "repeat-wanted"))
+    many = materialize(many.drop("rare"), "repeat-anchors")
+    wanted = kinds.join(many, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "c", "m", "start", "end")).alias("wanted"))
+    wanted = few(materialize(wanted, "repeat-wanted"), "wanted")
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("anchor", "c", "m", "doc_id", "start", "data")}
@@ -253,8 +254,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         arrays = {n: np.concatenate(out[n]) if out[n] else np.zeros(0, np.int64) for n in ("start", "h1", "h2")}
         return {**out, **arrays}
 
-    large = map_texts(cuts.where(F.col("m") > GROUP), windows, "doc_id bigint, start bigint, h1 bigint, h2 bigint, rare boolean", "data")
-    again = large.groupBy("h1", "h2").agg(F.count_distinct("doc_id", "start").alias("n")).where("n > 1")
+    wide = cuts.where(F.col("m") > GROUP).select("c", "doc_id", "start", "data").distinct()
+    large = map_texts(wide, windows, "doc_id bigint, start bigint, h1 bigint, h2 bigint, rare boolean", "data")
+    again = large.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(again, "repeat-windows")
     hashed = large.where("rare").join(again, ["h1", "h2"], "left_semi").select("doc_id", "start", (F.col("start") + length).alias("end"))
     return copies.union(indexed).union(hashed)
 
