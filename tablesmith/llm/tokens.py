@@ -1,5 +1,6 @@
 """Token ids of all documents in files: a frame per document under one shared dictionary."""
 
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -20,13 +21,17 @@ from tablesmith.session import materialize
 END_ID = 0
 # The dictionary is trained on at most so many arrays, each cut to so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 64_000
-# Distinct words whose ids a worker remembers.
+# A worker remembers the ids of the last so many distinct words or a few more, twice: words
+# that go on occurring move from the older half to the newer.
 CACHE_WORDS = 300_000
 
 # A space before a sign always starts a new piece of byte-level BPE, so ids can be looked up
 # word by word. A word keeps white space that no sign follows.
 WORDS = re.compile(r" (?=\S)")
+ODD = re.compile(r" (?:\s|\Z)")
 PLAIN = re.compile(r"\S(?:[^ ]*\S)?")
+# A sign after a word of letters only is a piece of its own.
+SIGNS = ".,;:!?"
 
 BLOCK = (
     "part int, block int, first_doc_id bigint, last_doc_id bigint, dictionary string, "
@@ -38,6 +43,7 @@ class Encoder:
     """Ids of texts as little-endian bytes, word by word, by one tokenizer file."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,31 +54,38 @@ class Encoder:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.spaced[number] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
+        self.signs = {s: self._ids([s])[0].tobytes() for s in SIGNS}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.dtype) for x in found]
 
     def _learn(self, words: set[str]) -> None:
-        """Encode words after a space: plain ones in one go, split where an id starts with a space."""
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
-            ids = self._ids(" " + " ".join(some))
+        """Encode words after a space: plain ones many at once, split where an id starts with a space."""
+        ended = [w for w in words if w[-1] in SIGNS and w[:-1].isalpha()]
+        needed = words.difference(ended).union(w[:-1] for w in ended).difference(self.known)
+        plain = [w for w in needed if PLAIN.fullmatch(w)]
+        some = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for group, ids in zip(some, self._ids([" " + " ".join(g) for g in some])):
             starts = np.flatnonzero(self.spaced[ids])
-            assert len(starts) == len(some)
+            assert len(starts) == len(group)
             raw, edges = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), None]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, edges, edges[1:]))
-        for word in words.difference(plain):
-            self.known[word] = self._ids(" " + word).tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(group, edges, edges[1:]))
+        rest = list(needed.difference(plain))
+        self.known.update((w, ids.tobytes()) for w, ids in zip(rest, self._ids([" " + w for w in rest])))
+        self.known.update((w, self.known[w[:-1]] + self.signs[w[-1]]) for w in ended)
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text with the end id."""
-        split = [WORDS.split(t) for t in many]
+        split = [WORDS.split(t) if ODD.search(t) else t.split(" ") for t in many]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self._learn({w for words in split for w in words[1:]}.difference(self.known))
-        first = [self._ids(words[0]).tobytes() if words[0] else b"" for words in split]
+            self.older, self.known = self.known, {}
+        new = {w for words in split for w in words[1:]}.difference(self.known)
+        self.known.update((w, self.older[w]) for w in new.intersection(self.older))
+        self._learn(new.difference(self.known))
+        first = [ids.tobytes() for ids in self._ids([words[0] for words in split])]
         known = self.known.__getitem__
         return [b"".join([f, *map(known, words[1:]), self.end]) for f, words in zip(first, split)]
 
@@ -86,7 +99,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary from a bounded sample of documents, taken by the hash of their id."""
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = docs.select("doc_id").orderBy(*order).limit(SAMPLE_ROWS).distinct()
-    sample = texts(docs).join(few(materialize(chosen, "token-sample"), SAMPLE_ROWS), "doc_id", "left_semi")
+    sample = texts(docs).join(few(materialize(chosen, "token-sample")), "doc_id", "left_semi")
 
     def encode(batch: pa.RecordBatch) -> dict:
         return {"ids": [x[:SAMPLE_BYTES] for x in encoder(tokenizer).encode(batch["text"].to_pylist())]}
