@@ -100,7 +100,8 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     Plain secrets (``base``) always count. A weak part counts if a complement lies in the same
     document at most ``reach`` characters away: a key for an identifier or an endpoint, either
     of them for a key; plain secrets are complements too. Parts are joined on the document and
-    the cell of ``reach`` characters, so that a long document is spread over many tasks. Null
+    the cells of ``reach`` characters that they touch, a complement's widened by ``reach`` on
+    both sides, so that a long document is spread over many tasks and no near pair is lost. Null
     and empty texts have no spans, other columns are ignored; rows that repeat a ``doc_id``
     form one scope and all get the union of their spans.
     """
@@ -108,9 +109,9 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     one = all_parts.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").distinct()
     # Sides: 1 names or locates, 2 opens. Only unlike sides complement each other.
     one = one.withColumn("side", F.when(F.col("kind").isin("access", "id", "endpoint"), 1).otherwise(2))
-    weak = one.where("not base").withColumn("cell", F.floor(F.col("start") / reach).cast("int"))
-    covered = F.sequence(F.floor(F.col("start") / reach).cast("int") - 1, F.floor(F.col("end") / reach).cast("int") + 1)
-    other = one.select("doc_id", "side", "start", "end", F.explode(covered).alias("cell"))
+    first, last = (F.floor(F.col(n) / reach).cast("int") for n in ("start", "end"))
+    weak = one.where("not base").withColumn("cell", F.explode(F.sequence(first, last)))
+    other = one.select("doc_id", "side", "start", "end", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
     near = (
         (F.col("w.doc_id") == F.col("o.doc_id")) & (F.col("w.cell") == F.col("o.cell"))
         & (F.col("w.side") != F.col("o.side"))
@@ -118,6 +119,6 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     )
     linked = weak.alias("w").join(other.alias("o"), near, "left_semi").drop("cell")
     fields = F.struct("rank", "kind", "start", "end", "base")
-    kept = one.where("base").unionByName(linked).groupBy("doc_id").agg(F.collect_list(fields).alias("kept"))
+    kept = one.where("base").unionByName(linked).groupBy("doc_id").agg(F.collect_set(fields).alias("kept"))
     joined = all_parts.select("doc_id").join(kept, "doc_id", "left")
     return joined.select("doc_id", F.coalesce("kept", F.array().cast(kept.schema["kept"].dataType)).alias("spans"))

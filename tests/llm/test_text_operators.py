@@ -9,7 +9,7 @@ from tablesmith.llm.exact import MAX_CHUNK, chunks, exact_groups
 from tablesmith.llm.language import UNKNOWN, identify, learn, split_identify
 from tablesmith.llm.lines import without_repeats
 from tablesmith.llm.pii import disguised, identifiers, personal_data, personal_spans
-from tablesmith.llm.secrets import KINDS, base_spans, secrets
+from tablesmith.llm.secrets import KINDS, REACH, base_spans, secrets, weak_spans
 from tests.llm import brute
 from tests.llm.conftest import ODD, by_id
 
@@ -148,6 +148,29 @@ def test_linked_parts(make):
     assert secrets(make(ODD)).count() == len(ODD)
 
 
+def near_parts(text):
+    """Spans of the plain secrets, and of the weak parts with a complement in reach, by comparing all pairs."""
+    base = base_spans(text)
+    found = [(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in weak_spans(text, base)]
+    names = lambda k: KINDS[k] in ("access", "id", "endpoint")
+    near = lambda a, b: names(a[0]) != names(b[0]) and max(a[1], b[1]) - min(a[2], b[2]) <= REACH
+    return sorted((KINDS[a[0]], a[1], a[2]) for a in found if a[3] or any(near(a, b) for b in found))
+
+
+def test_linked_parts_at_every_offset(make):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh0123XYZ") for _ in range(n))
+    texts = []
+    for size, gap in ((32, 379), (128, 389), (256, 300), (500, 100), (500, 300), (64, 411)):
+        for at in range(0, REACH, 1 if gap == 379 else 7):
+            key, name = f"pass={word(size)}", "login=jane.roe"
+            between = " " * (gap - len("login="))
+            texts += [" " * at + key + between + name, " " * at + name + between + key]
+    got = by_id(secrets(make(list(enumerate(texts)), extra=False)), "spans")
+    assert [sorted((s["kind"], s["start"], s["end"]) for s in got[i]) for i in range(len(texts))] == list(map(near_parts, texts))
+    assert sum(len(near_parts(t)) for t in texts) > len(texts)
+
+
 def test_language(make, spark):
     words = {"en": "the house and the river were with them", "de": "das haus und der fluss waren nicht mit ihnen"}
     rng = random.Random(5)
