@@ -22,14 +22,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-# Weak parts: what names an account, what may be a key, where one could use it.
-ID = re.compile(r"(?ai:access_?key_?id|client_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{4,128})")
+# Weak parts: what names an account, what may be a key, where one could use it. No part has
+# a greatest length; each pattern reads a run of its characters once.
+ID = re.compile(r"(?ai:access_?key_?id|client_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{4,})")
 ID_SHAPE = re.compile(r"(?<![A-Za-z0-9])A[A-Z]IA[A-Z0-9]{12,16}(?![A-Za-z0-9])")
-KEY = re.compile(r"(?ai:private_?key|access_?key|client_?key|auth|signature|pwd|pass)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,512})")
-KEY_SHAPE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])")
+KEY = re.compile(r"(?ai:private_?key|access_?key|client_?key|auth|signature|pwd|pass)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})")
+KEY_SHAPE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 DIGIT = re.compile("[0-9]")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/%-]{0,512})?")
-ENDPOINT_NAME = re.compile(r"(?ai:endpoint|host|server|region|bucket)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9./:_-]{4,253})")
+ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{3,}(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/%-]*)?")
+ENDPOINT_NAME = re.compile(r"(?ai:endpoint|host|server|region|bucket)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9./:_-]{4,})")
 # Words without which a pattern cannot match, in lower case; looked for first, being cheaper.
 HINTS = {
     ASSIGN: ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -70,12 +71,13 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         *((5, *m.span(1)) for m in _matches(ENDPOINT_NAME, text, lower)),
     ]
     taken = sorted((s, e) for _, s, e in base)
-    out, at = [], 0
+    out, at, free = [], 0, {}
     for start, end, kind in sorted((s, e, k) for k, s, e in found):
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if (at == len(taken) or taken[at][0] >= end) and not (out and out[-1][2] > start):
+        if (at == len(taken) or taken[at][0] >= end) and free.get(kind, 0) <= start:
             out.append((kind, start, end))
+            free[kind] = end
     return out
 
 
@@ -99,8 +101,9 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Plain secrets (``base``) always count. A weak part counts if a complement lies in the same
     document at most ``reach`` characters away: a key for an identifier or an endpoint, either
-    of them for a key; plain secrets are complements too. Parts are joined on the document and
-    the cells of ``reach`` characters that they touch, a complement's widened by ``reach`` on
+    of them for a key; plain secrets are complements too. A key may lie in its endpoint, but a
+    weak key and an identifier that overlap are two readings of one word and do not link each
+    other. Parts are joined on the document and the cells of ``reach`` characters that they touch, a complement's widened by ``reach`` on
     both sides, so that a long document is spread over many tasks and no near pair is lost. Null
     and empty texts have no spans, other columns are ignored; rows that repeat a ``doc_id``
     form one scope and all get the union of their spans.
@@ -111,11 +114,15 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     one = one.withColumn("side", F.when(F.col("kind").isin("access", "id", "endpoint"), 1).otherwise(2))
     first, last = (F.floor(F.col(n) / reach).cast("int") for n in ("start", "end"))
     weak = one.where("not base").withColumn("cell", F.explode(F.sequence(first, last)))
-    other = one.select("doc_id", "side", "start", "end", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
+    other = one.select("doc_id", "kind", "side", "start", "end", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
     near = (
         (F.col("w.doc_id") == F.col("o.doc_id")) & (F.col("w.cell") == F.col("o.cell"))
         & (F.col("w.side") != F.col("o.side"))
         & (F.col("o.start") - F.col("w.end") <= reach) & (F.col("w.start") - F.col("o.end") <= reach)
+        & ~(
+            ((F.col("w.kind") == "id") | (F.col("o.kind") == "id"))
+            & (F.col("o.start") < F.col("w.end")) & (F.col("w.start") < F.col("o.end"))
+        )
     )
     linked = weak.alias("w").join(other.alias("o"), near, "left_semi").drop("cell")
     fields = F.struct("rank", "kind", "start", "end", "base")

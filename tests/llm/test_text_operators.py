@@ -171,6 +171,26 @@ def test_linked_parts_at_every_offset(make):
     assert sum(len(near_parts(t)) for t in texts) > len(texts)
 
 
+def test_long_keys_and_keys_in_endpoints(make):
+    rng = random.Random(7)
+    keys = ["aB3" + "".join(rng.choice("abcdefghijkXYZ0123456789") for _ in range(n - 3)) for n in (300, 360, 2000)]
+    url = "https://hooks.example.com/services/T0A1B2C3/B9z8Y7x6/aB3dE5fG7hI9jK1lM2n"
+    far = "https://a.example.org/" + "x." * 500 + keys[0] + ".y" * 500
+    rows = [(0, url), (1, far), (2, f"client_id = {keys[0]}"), (3, "https://api.example.org/v1")]
+    rows += [(10 + i, f"login: jane.roe {k}") for i, k in enumerate(keys)]
+    rows += [(20 + i, f"login: jane.roe pwd={k}") for i, k in enumerate(keys)]
+    rows += [(30, f"login={'j' * 3000} {keys[0]}"), (31, f"https://api.example.org/{'p/' * 900} {keys[0]}")]
+    text, got = dict(rows), by_id(secrets(make(rows)), "spans")
+    named = {i: sorted((s["kind"], text[i][s["start"] : s["end"]]) for s in spans) for i, spans in got.items()}
+    assert named[0] == [("endpoint", url), ("key", url[url.index("com/") :])]
+    assert named[1] == [("endpoint", far), ("key", keys[0])]
+    assert named[2] == named[3] == []
+    for i, k in enumerate(keys):
+        assert named[10 + i] == named[20 + i] == [("id", "jane.roe"), ("key", k)]
+    assert named[30] == [("id", "j" * 3000), ("key", keys[0])]
+    assert named[31] == [("endpoint", f"https://api.example.org/{'p/' * 900}"), ("key", keys[0])]
+
+
 def test_language(make, spark):
     words = {"en": "the house and the river were with them", "de": "das haus und der fluss waren nicht mit ihnen"}
     rng = random.Random(5)
