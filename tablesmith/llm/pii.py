@@ -75,11 +75,13 @@ SPELLED = {
 SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "dash": "-"}
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SIGN = "|".join(SIGNS)
-# Four digits in a row, two of them spoken side by side; others may be in figures.
+# Four digits in a row, the first of them spoken; others may be in figures.
 RUN = re.compile(
     rf"(?i)(?:\bplus[ ,-]+)?\b(?:{_DIGIT})\b(?:[ ,-]+(?:(?:{_SIGN})[ ,-]+)?(?:(?:{_DIGIT})\b|[0-9]+\b)){{3,}}"
 )
-SPOKEN = frozenset(SPELLED).__contains__
+# Letters that the pattern takes for an "i" or "s" although they are none in lower case.
+FOLDED = re.compile("[ıİſ]")
+TOKEN = re.compile(r"\w+")
 WORD = re.compile(r"(?i)[^\W_]+")
 # A bracketed sign stands for itself; bare words only where "at" and "dot" come together.
 BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s?[\])}>]")
@@ -160,9 +162,18 @@ def _spoken(match: re.Match) -> str:
     return out
 
 
+def _may_hold_run(text: str) -> bool:
+    """Whether a spoken digit stands before a digit or a sign, as in each match of RUN; cheaper."""
+    if FOLDED.search(text):
+        return True
+    words = TOKEN.findall(text.lower())
+    if SPELLED.keys().isdisjoint(words):
+        return False
+    return any(w in SPELLED and (n in SPELLED or n in SIGNS or n.isdigit()) for w, n in zip(words, words[1:]))
+
+
 def _runs(text: str) -> list[tuple[int, int, str]]:
-    words = text.lower().replace("-", " ").replace(",", " ").split()
-    if b"\1\1" not in bytes(map(SPOKEN, words)):
+    if not _may_hold_run(text):
         return []
     return [(m.start(), m.end(), _spoken(m)) for m in RUN.finditer(text)]
 

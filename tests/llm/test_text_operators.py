@@ -1,6 +1,8 @@
 """Exact and line de-duplication, the scans and language identification."""
 
 import random
+import re
+import sys
 from hashlib import sha256
 
 from hypothesis import given, settings, strategies as st
@@ -8,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from tablesmith.llm.exact import MAX_CHUNK, chunks, exact_groups
 from tablesmith.llm.language import UNKNOWN, identify, learn, split_identify
 from tablesmith.llm.lines import without_repeats
-from tablesmith.llm.pii import disguised, identifiers, personal_data, personal_spans
+from tablesmith.llm.pii import FOLDED, RUN, SIGNS, SPELLED, _may_hold_run, disguised, identifiers, personal_data, personal_spans
 from tablesmith.llm.secrets import KINDS, REACH, base_spans, secrets, weak_spans
 from tests.llm import brute
 from tests.llm.conftest import ODD, by_id
@@ -102,6 +104,34 @@ def test_disguised_identifiers():
         assert shown(clean) == []
 
 
+def test_spoken_and_written_digits_in_turn():
+    for kind, run in (
+        ("ip", "one dot two dot three dot four"),
+        ("phone", "plus one 415 five 550 one 234"),
+        ("card", "four 111 one 111 one 111 one 111"),
+    ):
+        for text in (run, f"({run})", f"see:{run}; bye", run.upper()):
+            start = text.lower().index(run)
+            assert shown(text) == [(kind, text[start : start + len(run)])]
+
+
+RUN_PIECES = [*SPELLED, *SIGNS, "One", "\u017fix", "f\u0131ve", "SİX", "1", "415", "x", "_", "(", ".", " ", " ", " ", "-", ",", ", "]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(RUN_PIECES), max_size=12), st.sampled_from(["", " ", "-"]))
+def test_gate_of_spoken_digits_follows_from_the_pattern(pieces, between):
+    text = between.join(pieces)
+    assert _may_hold_run(text) or not RUN.search(text)
+
+
+def test_gate_knows_the_letters_of_the_pattern():
+    letters = set("".join([*SPELLED, *SIGNS]))
+    signs = "".join(map(chr, range(sys.maxunicode + 1)))
+    for c in re.findall(f"(?i)[{''.join(letters)}]", signs) + [c for x in letters for c in re.findall(f"(?i){x}", signs)]:
+        assert c.lower() in letters or FOLDED.match(c)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("аo1.@ ​０(at)[dot]five one"), max_size=80))
 def test_disguised_spans_lie_in_the_text(text):
