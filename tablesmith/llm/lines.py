@@ -76,14 +76,19 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, start, end`` of every unit whose digest occurs earlier; least (doc_id, start) first."""
+    """``doc_id, start, end`` of every unit whose digest occurs earlier; least (doc_id, start) first.
+
+    What overlaps the first occurrence is the same text, not a repeat: a line and its only
+    sentence have the same words.
+    """
     found = units(docs, min_words)
     first = F.min(F.struct("doc_id", "start", "end")).alias("first")
     known = found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
     # Stored, so that the rows of one very common line are split over several tasks.
     known = materialize(known, "unit-digests")
     at = F.struct("doc_id", "start", "end")
-    return found.join(known, "digest").where(at > F.col("first")).select("doc_id", "start", "end")
+    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("start") >= F.col("first.end"))
+    return found.join(known, "digest").where((at > F.col("first")) & apart).select("doc_id", "start", "end")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

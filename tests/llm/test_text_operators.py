@@ -70,6 +70,17 @@ def test_lines(make):
     assert without_repeats(make(ODD)).count() >= len(ODD)
 
 
+def test_lines_that_occur_once_stay(make):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "A b c d e. "), (2, f"  {long}. "), (4, "p q r s t! \np q r s t! ")]
+    got = by_id(without_repeats(make(rows)), "text", "removed")
+    assert got[1] == (rows[0][1], []) and got[2] == (rows[1][1], [])
+    assert got[4][0] == "p q r s t! \n"
+    alone = [(i, t) for i, t in enumerate(["A b c d e. ", f"{long} ", f" {long}. ", f"{long}. Then comes another sentence here. "])]
+    for row in alone:
+        assert by_id(without_repeats(make([row])), "text", "removed") == {row[0]: (row[1], [])}
+
+
 IDS = st.text(st.sampled_from("a1. @+-()09%_xé4"), max_size=60)
 
 
