@@ -1,9 +1,11 @@
 """Substring de-duplication by hashed lines and sentences."""
 
 import re
+from bisect import bisect_left
 from hashlib import blake2b
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,59 +15,116 @@ from tablesmith.session import materialize
 
 # Units of fewer words are common phrases, list marks or brackets; they stay.
 MIN_WORDS = 5
-# A longer sentence is also cut into phrases, after words whose checksum is 0 modulo
-# PHRASE_CUT; so a passage inside it is found wherever it starts. Shorter phrases stay.
-LONG_WORDS, PHRASE_CUT, PHRASE_WORDS = 40, 8, 8
+# In scripts without spaces each character is read as a word and counts as half a one.
+UNSPACED = (
+    "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9d\U00020000-\U000323af"
+)
+# A phrase that finds no end in its own words is cut after so many.
+LONG_WORDS = 40
 LINE = re.compile(r"[^\n]+")
 STOP = re.compile("[.!?] ")
 WORD = re.compile(r"\S+")
+UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
+MIXED = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 SPANS = "array<struct<start: int, end: int>>"
 
 
+class Checksums(dict):
+    """Of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = crc32(word.encode("utf-8", "surrogatepass"))
+        return self[word]
+
+
 def _digest(words: list[str]) -> bytes:
     return blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _phrases(text: str, start: int, end: int):
-    first, held = None, []
-    for m in WORD.finditer(text, start, end):
-        first = m.start() if first is None else first
-        held += m[0].lower().split()
-        if crc32(held[-1].encode("utf-8", "surrogatepass")) % PHRASE_CUT == 0:
-            if len(held) >= PHRASE_WORDS:
-                yield first, m.end(), _digest(held)
-            first, held = None, []
-    if len(held) >= PHRASE_WORDS:
-        yield first, end, _digest(held)
+def _ends(keys: np.ndarray, unspaced: np.ndarray | None, least: int) -> list[int]:
+    """Where phrases end: after words whose key is the least among ``least - 1`` words on both sides.
 
-
-def _units(text: str, min_words: int):
-    """``start, end, digest`` of the lines, of the sentences of longer lines, of the phrases of long sentences."""
+    So an end depends on the words around it alone, wherever they stand, and a phrase has
+    ``least`` words or more; characters of scripts without spaces count half.
+    """
+    near = max(least - 1, 1)
+    far = near if unspaced is None else 2 * least - 1
+    ends = np.ones(len(keys), bool)
+    for d in range(1, min(far, len(keys) - 1) + 1):
+        after, before = keys[d:] < keys[:-d], keys[:-d] <= keys[d:]
+        if d > near:
+            after, before = after | ~unspaced[d:], before | ~unspaced[:-d]
+        ends[d:] &= after
+        ends[:-d] &= before
+    ends[:near] = ends[max(len(keys) - near - 1, 0) :] = False
+    return (np.flatnonzero(ends) + 1).tolist()
+
+
+def _phrases(keys: np.ndarray, unspaced: np.ndarray | None, size, min_words: int):
+    """The text as word ranges of ``min_words`` or more; a rest that is shorter goes to a neighbour."""
+    bounds = [0]
+    for end in [*_ends(keys, unspaced, min_words), len(keys)]:
+        while end - bounds[-1] > LONG_WORDS + min_words:
+            bounds.append(bounds[-1] + LONG_WORDS)
+        bounds.append(end)
+    first, held = 0, None
+    for end in bounds[1:]:
+        if size(first, end) >= min_words:
+            if held:
+                yield held
+            first, held = end, (first, end)
+    if held:
+        yield held[0], len(keys)
+
+
+def _units(text: str, min_words: int, checksums: Checksums):
+    """``start, end, digest`` of the lines, of the sentences of longer lines, of the phrases of the whole text."""
+    low = text.lower()
+    if UNSPACED_SIGN.search(text):
+        spans, words = [m.span() for m in MIXED.finditer(text)], MIXED.findall(low)
+        unspaced = np.fromiter((UNSPACED_SIGN.match(w) is not None for w in words), bool, len(words))
+        sums = np.concatenate([[0], np.cumsum(np.where(unspaced, 1, 2))]).tolist()
+        size = lambda i, j: (sums[j] - sums[i]) / 2
+    else:
+        spans, words, unspaced = [m.span() for m in WORD.finditer(text)], low.split(), None
+        size = lambda i, j: j - i
+    if not size(0, len(words)) >= min_words:
+        return
+    starts, found = [s for s, _ in spans], {}
     for line in LINE.finditer(text):
         first, last = line.span()
         stops = [m.start() + 1 for m in STOP.finditer(text, first, last)]
         sentences = zip([first, *(s + 1 for s in stops)], [*stops, last]) if stops else ()
         for start, end in [(first, last), *sentences]:
-            words = text[start:end].lower().split()
-            if len(words) >= min_words:
-                yield start, end, _digest(words)
-            if len(words) > LONG_WORDS and ((start, end) != (first, last) or not stops):
-                yield from _phrases(text, start, end)
+            i, j = bisect_left(starts, start), bisect_left(starts, end)
+            if size(i, j) >= min_words:
+                found.setdefault((i, j), (start, end))
+    keys = np.fromiter(map(checksums.__getitem__, words), np.uint64, len(words))
+    # Of a word and the next one, so that one common word alone does not decide.
+    keys = keys * np.uint64(0x9E3779B97F4A7C15) + np.append(keys[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for i, j in _phrases(keys ^ (keys >> np.uint64(29)), unspaced, size, min_words):
+        found.setdefault((i, j), (spans[i][0], spans[j - 1][1]))
+    for (i, j), (start, end) in found.items():
+        yield start, end, _digest(words[i:j])
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, start, end, digest`` of all units; offsets in code points, end exclusive.
 
     A unit is a line, and in a line of several sentences also each sentence (up to a full
-    stop, question or exclamation mark before a space, without that space), and in a long
-    sentence each longer phrase. Its digest is taken from its lower-case words with one space
-    between.
+    stop, question or exclamation mark before a space, without that space), if it has
+    ``min_words``. The whole text is also cut into phrases of ``min_words`` or more at places
+    that the words around them decide; they may run over the ends of sentences and short
+    lines, so that a passage is found wherever it starts, but for a few words at its edges.
+    A digest is taken from the lower-case words with one space between; in scripts without
+    spaces a character is a word, and two of them count as one.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
-        ids, starts, ends, digests = [], [], [], []
+        ids, starts, ends, digests, checksums = [], [], [], [], Checksums()
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            for start, end, digest in _units(text, min_words):
+            for start, end, digest in _units(text, min_words, checksums):
                 ids.append(doc_id)
                 starts.append(start)
                 ends.append(end)
@@ -95,7 +154,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text, removed``: what stays of each text, and the removed spans of the original.
 
     Of equal units of ``docs (doc_id, text)`` the one with the least ``(doc_id, start)`` stays,
-    also within one document. The white space between units stays. ``removed`` has merged,
+    also within one document. The white space between units stays, but not inside a phrase. ``removed`` has merged,
     ascending spans in code points, end exclusive, and is empty where nothing went. Null
     texts count as empty; rows without units come back as they are; other columns are ignored.
     ``doc_id`` is expected to be unique: rows that share one are each cut at the spans of all.

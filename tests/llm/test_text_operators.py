@@ -81,6 +81,35 @@ def test_lines_that_occur_once_stay(make):
         assert by_id(without_repeats(make([row])), "text", "removed") == {row[0]: (row[1], [])}
 
 
+def test_short_lines_and_parts_of_sentences(make):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    menu = "\n".join(f"{word()} {word()}" for _ in range(60))
+    verse, other = ("".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n)) for n in (120, 400))
+    part, sentence = text(120), [text(18) for _ in range(4)]
+    passages = {
+        "menu": (f"{text(7)}\n{menu}\n{text(5)}", f"{text(2)}\n{menu}\nend", menu),
+        "verse": (verse, f"{verse}\n{text(3)}", verse),
+        "inside a line": (f"甲乙{other}丙", f"丁{other}戊己", other),
+        "part": (f"{text(9)} {part} {text(3)}.", f"{text(4)} {part} {text(8)}.", part),
+        "sentences": (f"{text(9)} {'. '.join(sentence)} {text(6)}", f"x {'. '.join(sentence)} {text(9)}", ". ".join(sentence)),
+    }
+    rows = [(2 * i + k, texts[k]) for i, texts in enumerate(passages.values()) for k in (0, 1)]
+    got = by_id(without_repeats(make(rows)), "text", "removed")
+    for i, (name, (first, second, passage)) in enumerate(passages.items()):
+        assert got[2 * i] == (first, []), name
+        start, end = second.index(passage), second.index(passage) + len(passage)
+        removed = sum(min(e, end) - max(s, start) for s, e in got[2 * i + 1][1])
+        assert all(start <= s and e <= end for s, e in got[2 * i + 1][1]), name
+        assert removed > 0.7 * len(passage), name
+    assert got[3] == ("\n" + rows[3][1].split("\n")[1], [(0, len(verse))])
+    alone = [(1, " ".join(["ha"] * 500)), (2, "one two " * 300), (3, "好" * 90)]
+    for row in alone:
+        kept = without_repeats(make([row])).first()["text"]
+        assert len(kept.split()) >= 5 or len(kept) >= 10
+
+
 IDS = st.text(st.sampled_from("a1. @+-()09%_xé4"), max_size=60)
 
 
