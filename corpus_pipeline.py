@@ -1,12 +1,12 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesmith.llm.base import documents
 from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.exact import exact_groups
 from tablesmith.llm.jaccard import similar_groups
-from tablesmith.llm.language import UNKNOWN, held_out, identify, learn
+from tablesmith.llm.language import UNKNOWN, held_out, identify, learn, lettered
 from tablesmith.llm.packing import best_fit
 from tablesmith.session import materialize
 
@@ -14,29 +14,55 @@ from tablesmith.session import materialize
 ORACLE_SQL = None
 
 
+def _with_ids(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` where each row without a ``doc_id`` has one of its own above all others; the id to give back."""
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return docs, F.col("doc_id")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    top = F.lit(-1 if top is None else top).cast("bigint")
+    # Stored, so that a row has the same id wherever it is read.
+    unnamed = materialize(unnamed.withColumn("doc_id", top + 1 + F.monotonically_increasing_id()), "unnamed")
+    return docs.where("doc_id is not null").unionByName(unnamed), F.when(F.col("doc_id") <= top, F.col("doc_id"))
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame, how: str, own: Column) -> DataFrame:
+    columns = [own.alias("doc_id") if n == "doc_id" else n for n in docs.columns]
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter."""
-    profiles = learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    """Drops null texts and texts without a letter, which are of no language.
+
+    Without any labelled document nothing is learned, and still no other text is dropped.
+    """
     whole = docs.select("text", F.struct("*").alias("document"))
+    profiles = learn(docs.where(~F.coalesce(held_out(), F.lit(False)))) if "lang" in docs.columns else None
+    if not (profiles and profiles.languages):
+        return lettered(whole, "document").select("document.*")
     return identify(whole, profiles, "document").where(F.col("lang_pred") != UNKNOWN).select("document.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least ``doc_id`` of each group of equal texts."""
-    return docs.join(exact_groups(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Keeps the least ``doc_id`` of each group of equal texts; rows without one come last, each on its own."""
+    docs, own = _with_ids(docs)
+    return _of_ids(docs, exact_groups(docs).where("kept"), "left_semi", own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least ``doc_id`` of each group of near copies: five words, similarity 0.8."""
-    least = similar_groups(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(least, "doc_id", "left_semi").select(docs.columns)
+    """Keeps the least ``doc_id`` of each group of near copies: five words, similarity 0.8.
+
+    Rows without a ``doc_id`` come last, each on its own.
+    """
+    docs, own = _with_ids(docs)
+    return _of_ids(docs, similar_groups(docs, size=5, percent=80).where("doc_id = component_id"), "left_semi", own)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item: five words, containment 0.8."""
+    """Drops documents that hold a benchmark item, with a ``doc_id`` or not: five words, containment 0.8."""
+    docs, own = _with_ids(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contained_items(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return _of_ids(docs, contained_items(docs, items), "left_anti", own)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,6 +143,16 @@ def identify(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
     return map_texts(docs.select("text", *keep), predict, f"{fields}, lang_pred string, score double")
 
 
+def lettered(docs: DataFrame, *keep: str) -> DataFrame:
+    """The named columns of the rows of ``docs`` whose ``text`` has a letter, as :func:`identify` sees it."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def look(batch: pa.RecordBatch) -> dict:
+        return {**{k: batch[k] for k in keep}, "lettered": [any(map(str.isalpha, t or "")) for t in batch["text"].to_pylist()]}
+
+    return map_texts(docs.select("text", *keep), look, f"{fields}, lettered boolean").where("lettered").select(*keep)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is never learned from: the crc32 of its id as text leaves 2 by 4."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
