@@ -15,6 +15,8 @@ from tablesmith.session import materialize
 ORDER, PLACES = 3, 400
 # Learned from at most so many labelled documents per language, taken by the hash of their id.
 SAMPLE_ROWS = 5_000
+# Of each language first so many shares are ranked on their own, so no task sorts all its ids.
+SAMPLE_SHARES = 256
 # A profile table of more languages is refused, so what is sent to the tasks stays bounded.
 MAX_LANGUAGES = 2_000
 UNKNOWN = "und"
@@ -84,6 +86,15 @@ class Profiles:
         return self.languages[best], float(1 - away[best] / (PLACES * len(own)))
 
 
+def _sample(usable: DataFrame, sample_rows: int) -> DataFrame:
+    """``doc_id, lang`` of the ``sample_rows`` rows of each language that come first by the hash of their id."""
+    rows = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARES)).alias("share"))
+    for own in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*own).orderBy(F.xxhash64("doc_id"), "doc_id")
+        rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n")
+    return rows.drop("share")
+
+
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """Profiles from ``labelled (doc_id, text, lang)``; rows without text or language are left out.
 
@@ -91,9 +102,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     the PLACES best n-grams of each language reach the driver.
     """
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order))
-    chosen = few(materialize(chosen.where(F.col("n") <= sample_rows).drop("n").distinct(), "language-sample"))
+    chosen = few(materialize(_sample(usable, sample_rows).distinct(), "language-sample"))
 
     def count(batch: pa.RecordBatch) -> dict:
         held: dict[str, list] = {}

@@ -8,7 +8,7 @@ from hashlib import sha256
 from hypothesis import given, settings, strategies as st
 
 from tablesmith.llm.exact import MAX_CHUNK, chunks, exact_groups
-from tablesmith.llm.language import UNKNOWN, identify, learn, split_identify
+from tablesmith.llm.language import UNKNOWN, _sample, identify, learn, split_identify
 from tablesmith.llm.lines import without_repeats
 from tablesmith.llm.pii import FOLDED, RUN, SIGNS, SPELLED, _may_hold_run, disguised, identifiers, personal_data, personal_spans
 from tablesmith.llm.secrets import KINDS, REACH, base_spans, secrets, weak_spans
@@ -283,5 +283,16 @@ def test_language(make, spark):
     assert {r["lang_pred"] for r in split_identify(make(ODD)).collect()} == {UNKNOWN}
 
 
+def test_language_sample(spark):
+    """The same rows as one ranking, which reads at most a bounded number of rows per language."""
+    rows = spark.range(6000).selectExpr("id % 5900 as doc_id", "if(id % 10 = 0, 'de', 'en') as lang", "'x' as text")
+    hashed = rows.selectExpr("xxhash64(doc_id) as h", "doc_id", "lang").collect()
+    for most in (1, 7, 900, 10_000):
+        expected = [(r["lang"], r["doc_id"]) for g in ("de", "en") for r in sorted(x for x in hashed if x["lang"] == g)[:most]]
+        assert sorted((r["lang"], r["doc_id"]) for r in _sample(rows, most).collect()) == sorted(expected)
+    plan = _sample(rows, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "share" in plan and plan.count("row_number()") >= 2
+
+
 def test_kept_text_digest(spark, make):
     assert sha256(b"").hexdigest() == without_repeats(make([(1, "")])).selectExpr("sha2(text, 256) as h").first()["h"]
