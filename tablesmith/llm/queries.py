@@ -5,9 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tablesmith.llm import repeats
+from tablesmith.llm import conversations_sql, repeats
 from tablesmith.llm.base import documents
 from tablesmith.llm.contamination import contained_items
+from tablesmith.llm.conversations import repair_damaged
 from tablesmith.llm.exact import exact_groups
 from tablesmith.llm.jaccard import similar_groups
 from tablesmith.llm.language import split_identify
@@ -156,6 +157,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_conversation_repair", conversations_sql.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
