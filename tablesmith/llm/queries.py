@@ -18,6 +18,7 @@ from tablesmith.llm.pii import personal_data
 from tablesmith.llm.secrets import secrets
 from tablesmith.llm.spans import count, joined
 from tablesmith.llm.tokens import token_index, write_tokens
+from tablesmith.llm.toxicity import split_score
 from tablesmith.llm.whitening import whiten
 from tablesmith.session import scratch_path
 
@@ -163,6 +164,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
