@@ -5,16 +5,14 @@ from dataclasses import dataclass
 from pyspark.ml.classification import FMClassificationModel, FMClassifier
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.session import materialize, release
 
 # Terms (runs of letters, in lower case) fall into 2**TERM_BITS numbers.
 TERM_BITS = 18
-# Learned from at most so many labelled documents of either label, taken by the hash of their id.
+# Learned from about so many labelled documents of either label, taken by the hash of their id.
 SAMPLE_ROWS = 20_000
-# Of each label first so many shares are ranked on their own, so no task sorts all its ids.
-SAMPLE_SHARES = 256
 # A term is tied to label 1 if chance alone would tie fewer than so many terms of the table so strongly.
 CHANCE_TERMS = 0.05
 FACTORS, ROUNDS, STEP, PENALTY = 8, 120, 0.1, 1e-4
@@ -30,22 +28,22 @@ def terms(docs: DataFrame) -> DataFrame:
 
 
 def _sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
-    """The ``sample_rows`` rows ``doc_id, toxic`` of either label that come first by the hash of their id."""
-    rows = labelled.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARES)))
-    for own in (["toxic", "share"], ["toxic"]):
-        order = Window.partitionBy(*own).orderBy(F.xxhash64("doc_id"), "doc_id")
-        rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n")
-    return rows.drop("share")
+    """About ``sample_rows`` rows ``doc_id, toxic`` of either label: those whose hashed id is below a threshold."""
+    counts = dict(labelled.groupBy("toxic").count().collect())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    most = {label: (1 << 40) * min(1, sample_rows / n) for label, n in counts.items()}
+    return labelled.where(place < F.when(F.col("toxic") == 1, most.get(1, 0)).otherwise(most.get(0, 0)))
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``label, terms`` of the bounded sample; documents of equal terms and label count once.
 
-    Ids whose labels contradict each other are not learned from.
+    Ids whose labels contradict each other are not learned from. The ids of the sample are so
+    few, whatever the input, that they are sent to the texts.
     """
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     chosen = _sample(marks.where("toxic = most").select("doc_id", "toxic"), sample_rows)
-    rows = terms(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("double").alias("label")))
+    rows = terms(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("double").alias("label")))
     return rows.dropDuplicates(["label", "terms"])
 
 
