@@ -169,6 +169,15 @@ union all
 select sheet, row_idx, cast(unnest(range(9)) as int) as col_idx, unnest([{", ".join(CELL_NAMES)}]) as value from ({_MATRIX_ROWS}) as matrix_rows
 """
 
+# Two workbooks with sheets of one name, whose headers differ in one column and one channel.
+BOOK_CELLS = f"""
+select 'north.xlsx' as file, sheet, row_idx, col_idx, value from ({CELLS}) as north
+union all
+select 'south.xlsx', sheet, row_idx, col_idx,
+       case when row_idx = 4 and col_idx = 2 then 'Marke' when row_idx = 1 and col_idx = 5 then 'Kiosk' else value end
+from ({CELLS}) as south where sheet in ('KG', 'un')
+"""
+
 # Columns of five kinds of file, and the kind of sample values each column has.
 _LAYOUTS = """
 (values
@@ -203,6 +212,7 @@ VIEWS = {
     "text_noise": TEXT_NOISE,
     "job_runs": JOB_RUNS,
     "cells": CELLS,
+    "book_cells": BOOK_CELLS,
     "column_catalog": COLUMN_CATALOG,
 }
 _TABLES = ["region", "nation", "orders", "events", "documents"]
@@ -238,6 +248,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         rows = _select(spark, sf_dir, _MATRIX_ROWS)
         cells = F.posexplode(F.array(*CELL_NAMES)).alias("col_idx", "value")
         return rows.select("sheet", "row_idx", cells).unionByName(_select(spark, sf_dir, _MATRIX_HEADS))
+    if name == "book_cells":
+        north = view(spark, sf_dir, "cells")
+        marke = (F.col("row_idx") == 4) & (F.col("col_idx") == 2)
+        kiosk = (F.col("row_idx") == 1) & (F.col("col_idx") == 5)
+        value = F.when(marke, "Marke").when(kiosk, "Kiosk").otherwise(F.col("value"))
+        south = north.where("sheet in ('KG', 'un')").withColumn("value", value)
+        return north.select(F.lit("north.xlsx").alias("file"), "*").unionByName(south.select(F.lit("south.xlsx").alias("file"), "*"))
     if name == "column_catalog":
         rows = _select(spark, sf_dir, _CATALOG_ROWS)
         return rows.select("file", "sheet", "col_pos", "col_name", F.array("s1", "s2", "s3", "s4").alias("sample"))

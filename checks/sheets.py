@@ -132,6 +132,34 @@ def _(spark, sf_dir):
     return rows.groupBy("sheet").agg(F.sum(sum(cells[1:], cells[0])).alias("cells"), F.count("*").alias("row_count"))
 
 
+_KG_SOUTH = ["Date", "Category", "Marke", *_KG[3:]]
+
+
+@query(
+    "s7_sheet_records_workbooks",
+    f"""select file, cast(row_idx - 4 as bigint) as source_row,
+        {", ".join(f"""max(value) filter (col_idx = {i} and file = 'north.xlsx') as "{n}\"""" if n == "Brand" else f"""max(value) filter (col_idx = {i}) as "{n}\"""" for i, n in enumerate(_KG))},
+        max(value) filter (col_idx = 2 and file = 'south.xlsx') as "Marke"
+        from book_cells where sheet = 'KG' and row_idx > 4 group by file, row_idx""",
+)
+def _(spark, sf_dir):
+    return sheet_records(view(spark, sf_dir, "book_cells"), "KG", 4)
+
+
+_LATE = ", ".join(f"""coalesce(nullif(trim(max(value) filter (row_idx = 20 and col_idx = {i})), ''), 'Column_{i + 1}') as n{i}""" for i in range(5))
+
+
+@query(
+    "s8_late_header_names",
+    f"""select sheet, 20 as header_row, unnest(range(5))::int as col_idx, unnest([n0, n1, n2, n3, n4]) as name from (
+        select sheet, {_LATE} from cells where lower(sheet) <> 'guide' group by sheet) as t""",
+)
+def _(spark, sf_dir):
+    """A table of header rows beyond the rows that are searched for one."""
+    cells = data_sheets(view(spark, sf_dir, "cells")).where("col_idx < 5")
+    return header_names(cells, cells.select("sheet").distinct().withColumn("header_row", F.lit(20)))
+
+
 def _blank(name: str) -> str:
     return f"""nullif(trim(regexp_replace("{name}", '\\s+', ' ', 'g')), '')"""
 
@@ -176,6 +204,62 @@ def _(spark, sf_dir):
     return counts.withColumn("balanced", F.expr("kept + removed = input_rows"))
 
 
+_BOOK_SHEETS = {
+    **{("north.xlsx", sheet): names for sheet, names in _SHEETS.items()},
+    ("south.xlsx", "KG"): _KG_SOUTH,
+    ("south.xlsx", "un"): ["Marke" if n == "Marca" else n for n in _SHEETS["un"]],
+}
+_BOOK_NAMES = sorted({n for names in _BOOK_SHEETS.values() for n in names})
+_BOOK_UNION = ", ".join(
+    "max(value) filter ("
+    + " or ".join(f"(file = '{f}' and sheet = '{s}' and col_idx = {names.index(n)})" for (f, s), names in _BOOK_SHEETS.items() if n in names)
+    + f') as "{n}"'
+    for n in _BOOK_NAMES
+)
+_BOOK_FILLED = " + ".join(f'cast("{n}" is not null as int)' for n in _BOOK_NAMES)
+_BOOK_ALL = ", ".join(f'"{n}"' for n in _BOOK_NAMES)
+_BOOK_RUN = f"""
+with plain as (select file, sheet, cast(row_idx - 4 as bigint) as source_row, {_BOOK_UNION}
+    from book_cells where lower(sheet) <> 'guide' and row_idx > 4 group by file, sheet, row_idx),
+clean as (select file, sheet, source_row, {", ".join(f'{_blank(n)} as "{n}"' for n in _BOOK_NAMES)} from plain),
+tagged as (select *, case when {_BOOK_FILLED} = 0 then 'NULL_ROW_REMOVED' when {_BOOK_FILLED} <= {max(2, len(_BOOK_NAMES) // 3)}
+    and regexp_matches(concat_ws(' ', {_BOOK_ALL}), '(?i)\\b(Result|Subtotal|Grand Total|Total)\\b') then 'AGGREGATE_ROW' end as tag from clean),
+judged as (select *, coalesce(tag, case when row_number() over (partition by file, sheet, tag, {_BOOK_ALL} order by source_row) > 1 then 'DUPLICATE_REMOVED'
+    when regexp_matches(concat_ws(' ', {_BOOK_ALL}), '(?i)\\b(Result|Subtotal|Total)\\b') then 'AGGREGATE_ROW' else 'KEPT' end) as verdict from tagged)
+"""
+
+
+def _run_books(spark, sf_dir):
+    kinds = {n: "as_is" for n in _BOOK_NAMES}
+    return transform_sheets(view(spark, sf_dir, "book_cells"), _SHEET_MAPPING, 4, required=["Category", "Brand"], field_kinds=kinds)
+
+
+@query("e1_transform_workbooks", _BOOK_RUN + """select file as _file, sheet as _sheet, source_row as _source_row, "Category", "Brand" from judged where verdict = 'KEPT'""")
+def _(spark, sf_dir):
+    return _run_books(spark, sf_dir).rows.drop("_source_trace")
+
+
+@query(
+    "e1_transform_workbooks_issues",
+    _BOOK_RUN + """select file, sheet, source_row, verdict as issue_type, case verdict when 'NULL_ROW_REMOVED' then 'Entirely blank row removed'
+        when 'DUPLICATE_REMOVED' then 'Exact duplicate row removed' else 'Subtotal/Result/Total row excluded' end as detail from judged where verdict <> 'KEPT'""",
+)
+def _(spark, sf_dir):
+    return _run_books(spark, sf_dir).issues
+
+
+@query(
+    "e1_transform_workbooks_balance",
+    _BOOK_RUN + """select count(*) as input_rows, count(*) filter (verdict = 'KEPT') as kept, count(*) filter (verdict <> 'KEPT') as issues,
+        true as balanced from judged""",
+)
+def _(spark, sf_dir):
+    """Each row of each workbook is kept or logged, once."""
+    run = _run_books(spark, sf_dir)
+    counts = run.summary.select("input_rows", F.col("output_rows").alias("kept"), F.col("total_issues_logged").alias("issues"))
+    return counts.withColumn("balanced", F.expr("kept + issues = input_rows"))
+
+
 _ROWS = f"""
 dims as (select sheet, row_idx, max(value) filter (col_idx = 0) as date_text, max(value) filter (col_idx = 1) as category,
    max(value) filter (col_idx = 2) as brand, max(value) filter (col_idx = 3) as segment, max(value) filter (col_idx = 4) as format
@@ -225,8 +309,10 @@ def _(spark, sf_dir):
 
 @query(
     "j1_header_lookup_salted",
-    f"""with {_ROWS} select f.sheet, f.row_idx, f.col_idx, f.value, h.channel
-        from filled as f left join heads as h using (sheet, col_idx)""",
+    """with channels as materialized (select sheet, col_idx, nullif(trim(max(value)), '') as channel from cells where row_idx = 1 group by sheet, col_idx),
+        values_ as materialized (select sheet, row_idx, col_idx, value from cells where lower(sheet) <> 'guide' and row_idx >= 5 and col_idx >= 5 and value <> '')
+        select v.sheet, v.row_idx, v.col_idx, v.value, c.channel
+        from values_ as v left join channels as c on c.sheet = v.sheet and c.col_idx = v.col_idx""",
 )
 def _(spark, sf_dir):
     cells = data_sheets(view(spark, sf_dir, "cells"))
@@ -249,6 +335,39 @@ def _(spark, sf_dir):
     return matrix_to_target(view(spark, sf_dir, "cells")).rows
 
 
+_BOOK_ROWS = _ROWS.replace("from cells", "from book_cells").replace("select sheet,", "select file, sheet,")
+_BOOK_FROM = "from filled as f join dated as d using (file, sheet, row_idx) left join heads as h using (file, sheet, col_idx)"
+
+
+@query(
+    "r3_two_workbooks",
+    f"""with {_BOOK_ROWS} select f.file, {_TARGET}, period, try_cast(value as double) as value, cast(f.row_idx as bigint) as _source_row, f.col_idx as _source_column, {_TRACE} {_BOOK_FROM}""",
+)
+def _(spark, sf_dir):
+    return matrix_to_target(view(spark, sf_dir, "book_cells")).rows
+
+
+@query(
+    "p9_result_rows_workbooks",
+    f"""with {_BOOK_ROWS} select file, sheet, cast(row_idx as bigint) as source_row, 'AGGREGATE_ROW' as issue_type, 'Result row excluded from atomic output' as detail
+        from dims where lower(trim(category)) = 'result'
+        union all select f.file, f.sheet, f.row_idx, 'INVALID_FACT', 'Could not parse a number' from filled as f join dated as d using (file, sheet, row_idx)
+        where try_cast(f.value as double) is null""",
+)
+def _(spark, sf_dir):
+    return matrix_to_target(view(spark, sf_dir, "book_cells")).issues
+
+
+@query(
+    "e1_transform_matrix_workbooks",
+    f"""with {_BOOK_ROWS} select (select cast(sum(h - 4) as bigint) from (select max(row_idx) as h from book_cells where lower(sheet) <> 'guide' group by file, sheet) as t) as input_rows,
+        (select count(*) {_BOOK_FROM}) as output_rows, (select count(*) from dims where lower(trim(category)) = 'result') as rows_removed_aggregate""",
+)
+def _(spark, sf_dir):
+    run = transform_matrix(view(spark, sf_dir, "book_cells"), periods=PERIODS)
+    return run.summary.select("input_rows", "output_rows", "rows_removed_aggregate")
+
+
 _WIDE = ", ".join(f"""case when period = '{p}' then try_cast(value as double) end as "{p}\"""" for p in PERIODS)
 
 

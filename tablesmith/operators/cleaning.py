@@ -29,36 +29,44 @@ class Result(NamedTuple):
     issues: DataFrame
 
 
-def cells_of(df: DataFrame, row_id: str = ROW_ID, scope: str | None = None) -> list[str]:
+# Columns in which row numbers restart: one name, or several (``file`` and ``sheet``).
+Scope = str | list[str] | None
+
+
+def scope_names(scope: Scope) -> list[str]:
+    return [scope] if isinstance(scope, str) else list(scope or [])
+
+
+def cells_of(df: DataFrame, row_id: str = ROW_ID, scope: Scope = None) -> list[str]:
     """The columns that hold data: neither the row number nor the scope of its numbering."""
-    return [n for n in df.columns if n not in (row_id, scope)]
+    return [n for n in df.columns if n not in (row_id, *scope_names(scope))]
 
 
-def row_key(row_id: str = ROW_ID, scope: str | None = None) -> list[str]:
-    """What names a row: its number, and where numbers restart (``sheet`` or ``file``) that too."""
-    return [scope, row_id] if scope else [row_id]
+def row_key(row_id: str = ROW_ID, scope: Scope = None) -> list[str]:
+    """What names a row: its number, and where numbers restart (``sheet``, ``file`` or both) that too."""
+    return [*scope_names(scope), row_id]
 
 
 def issue_log(
-    df: DataFrame, issue_type: str, detail: Column | None = None, row_id: str = ROW_ID, scope: str | None = None
+    df: DataFrame, issue_type: str, detail: Column | None = None, row_id: str = ROW_ID, scope: Scope = None
 ) -> DataFrame:
     """One log entry for every row of ``df``, with its ``scope`` if row numbers restart there."""
     return df.select(
-        *([F.col(quoted(scope))] if scope else []),
+        *[F.col(quoted(n)) for n in scope_names(scope)],
         F.col(quoted(row_id)).cast("bigint").alias(ROW_ID),
         F.lit(issue_type).alias("issue_type"),
         (F.lit(DETAILS[issue_type]) if detail is None else detail).alias("detail"),
     )
 
 
-def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID, scope: str | None = None) -> DataFrame:
+def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID, scope: Scope = None) -> DataFrame:
     """Apply ``clean_value`` to every text column, once per cell.
 
     The text cells of a row are cleaned as one array, so that the plan has the rule once
     however many columns there are; the ``explode`` of its single element keeps later
     filters from being pushed below it, which would repeat the rule.
     """
-    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name not in (row_id, scope)
+    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name not in row_key(row_id, scope)
     text = [f.name for f in df.schema.fields if is_text(f)]
     if not text:
         return df
@@ -85,13 +93,13 @@ def row_issue(columns: list[str]) -> Column:
     )
 
 
-def tag_rows(df: DataFrame, row_id: str = ROW_ID, scope: str | None = None) -> DataFrame:
+def tag_rows(df: DataFrame, row_id: str = ROW_ID, scope: Scope = None) -> DataFrame:
     """Add ``issue_type``, null for rows that pass the row-local rules. No shuffle."""
     return df.select("*", row_issue(cells_of(df, row_id, scope)).alias("issue_type"))
 
 
 def split_duplicates(
-    df: DataFrame, row_id: str = ROW_ID, store: bool = False, scope: str | None = None, paths: list[str] | None = None
+    df: DataFrame, row_id: str = ROW_ID, store: bool = False, scope: Scope = None, paths: list[str] | None = None
 ) -> Result:
     """Keep the first of each group of equal rows and log the others.
 
@@ -111,7 +119,7 @@ def split_duplicates(
 
 
 def remove_bad_rows(
-    tagged: DataFrame, row_id: str = ROW_ID, store: bool = False, scope: str | None = None, paths: list[str] | None = None
+    tagged: DataFrame, row_id: str = ROW_ID, store: bool = False, scope: Scope = None, paths: list[str] | None = None
 ) -> Result:
     """Split rows tagged by :func:`tag_rows` and remove duplicates among the good ones.
 
@@ -120,7 +128,7 @@ def remove_bad_rows(
     good = tagged.where("issue_type is null").drop("issue_type")
     bad = tagged.where("issue_type is not null")
     detail = F.when(F.col("issue_type") == NULL_ROW, DETAILS[NULL_ROW]).otherwise(DETAILS[AGGREGATE_ROW])
-    named = [*([F.col(quoted(scope))] if scope else []), F.col(quoted(row_id)).cast("bigint").alias(ROW_ID)]
+    named = [*[F.col(quoted(n)) for n in scope_names(scope)], F.col(quoted(row_id)).cast("bigint").alias(ROW_ID)]
     log = bad.select(*named, "issue_type", detail.alias("detail"))
     unique = split_duplicates(good, row_id, store, scope, paths)
     return Result(unique.rows, log.unionByName(unique.issues))
@@ -156,7 +164,7 @@ def _field(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def clean_fields(
-    df: DataFrame, field_kinds: dict[str, str] | None = None, row_id: str = ROW_ID, scope: str | None = None
+    df: DataFrame, field_kinds: dict[str, str] | None = None, row_id: str = ROW_ID, scope: Scope = None
 ) -> Result:
     """Normalize every column by its rule; cells that should be numbers but are not are logged.
 
@@ -171,7 +179,7 @@ def clean_fields(
     return Result(rows, invalid_numbers(df, number_text, row_id, scope))
 
 
-def invalid_numbers(df: DataFrame, columns: list[str], row_id: str = ROW_ID, scope: str | None = None) -> DataFrame:
+def invalid_numbers(df: DataFrame, columns: list[str], row_id: str = ROW_ID, scope: Scope = None) -> DataFrame:
     """Log the rows where a non-empty cell of ``columns`` is not a number, with their names."""
     bad = [
         F.when((F.col(quoted(n)) != "") & parse_numeric(F.col(quoted(n))).isNull(), F.lit(n)) for n in columns
@@ -187,13 +195,13 @@ def clean_rows(
     field_kinds: dict[str, str] | None = None,
     unicode: bool = True,
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
     paths: list[str] | None = None,
 ) -> Result:
     """The whole cleaning pass: values, bad rows, duplicates, then fields by header.
 
-    ``row_id`` must name a row, or do so together with ``scope``, a column that takes no part
-    in the row tests but keeps equal rows of different sheets or files apart. The source is
+    ``row_id`` must name a row, or do so together with ``scope``, one or more columns that take no
+    part in the row tests but keep equal rows of different sheets or files apart. The source is
     read once and the whole rows are shuffled once: the tagged rows and the kept rows are
     both stored in the shared folder.
     """

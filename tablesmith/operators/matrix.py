@@ -41,7 +41,7 @@ def _leading_cells() -> list[Column]:
 def row_dimensions(cells: DataFrame, value_start_row: int = FIRST_VALUE_ROW) -> DataFrame:
     """One record per data row with its five leading cells."""
     lead = cells.where((F.col("row_idx") >= value_start_row) & (F.col("col_idx") < FIRST_VALUE_COLUMN))
-    return lead.groupBy("sheet", "row_idx").agg(*_leading_cells())
+    return lead.groupBy(*table_key(cells), "row_idx").agg(*_leading_cells())
 
 
 def row_records(cells: DataFrame, value_start_row: int = FIRST_VALUE_ROW) -> DataFrame:
@@ -52,7 +52,7 @@ def row_records(cells: DataFrame, value_start_row: int = FIRST_VALUE_ROW) -> Dat
     body = data_sheets(cells).where(F.col("row_idx") >= value_start_row)
     is_value = (F.col("col_idx") >= FIRST_VALUE_COLUMN) & filled(F.col("value"))
     values = F.collect_list(F.when(is_value, F.struct("col_idx", "value"))).alias("values")
-    return body.groupBy("sheet", "row_idx").agg(*_leading_cells(), values)
+    return body.groupBy(*table_key(cells), "row_idx").agg(*_leading_cells(), values)
 
 
 def column_letter(position: Column) -> Column:
@@ -80,15 +80,16 @@ def channel_headers(cells: DataFrame, header_rows: Iterable[int] = (1,)) -> Data
     rows = list(header_rows)
     head = cells.where(F.col("row_idx").isin(rows) & (F.col("col_idx") >= FIRST_VALUE_COLUMN))
     parts = [F.nullif(strip(F.max(F.when(F.col("row_idx") == r, F.col("value")))), F.lit("")) for r in rows]
-    return head.groupBy("sheet", "col_idx").agg(F.nullif(F.concat_ws(" / ", *parts), F.lit("")).alias("channel"))
+    return head.groupBy(*table_key(cells), "col_idx").agg(F.nullif(F.concat_ws(" / ", *parts), F.lit("")).alias("channel"))
 
 
-def _tall_sheets(cells: DataFrame, value_start_row: int) -> DataFrame:
+def _tall_sheets(cells: DataFrame, value_start_row: int, paths: list[str] | None) -> DataFrame:
     """Sheets below the least height hold no data; with the usual layout they have no data rows."""
     if value_start_row >= MIN_ROWS:
         return cells
-    tall = cells.groupBy("sheet").agg(F.max("row_idx").alias("height")).where(F.col("height") >= MIN_ROWS)
-    return lookup_join(cells, tall.select("sheet"), ["sheet"], F.col("row_idx"))
+    key = table_key(cells)
+    tall = cells.groupBy(*key).agg(F.max("row_idx").alias("height")).where(F.col("height") >= MIN_ROWS)
+    return lookup_join(cells, tall.select(*key), key, F.col("row_idx"), paths=paths)
 
 
 def records_to_target(
@@ -98,11 +99,13 @@ def records_to_target(
     """Target rows and issues from :func:`row_records` and :func:`channel_headers`.
 
     The few header cells, all of whose keys are hot, are a checked broadcast or a salted join.
+    Sheets of several workbooks are told apart by their ``file``.
     """
+    key = table_key(records)
     period = F.nullif(normalize_period(F.col("date_text")), F.lit(""))
     atomic = records.where(~is_result_row(F.col("category"))).withColumn("period", period).where("period is not null")
     values = atomic.select("*", F.inline("values")).drop("values")
-    joined = lookup_join(values, heads, ["sheet", "col_idx"], F.col("row_idx"), "left", paths=paths)
+    joined = lookup_join(values, heads, [*key, "col_idx"], F.col("row_idx"), "left", paths=paths)
     nothing = F.lit(None).cast("string")
     targets = {
         "Country": nothing,
@@ -122,7 +125,7 @@ def records_to_target(
         "Fact": F.concat(targets["Fact"], F.lit(" sheet")),
     }
     out = joined.select(
-        "sheet",
+        *key,
         *[targets[t].alias(t) for t in selected_targets(required)],
         "period",
         parse_numeric(F.col("value")).alias("value"),
@@ -131,9 +134,9 @@ def records_to_target(
         F.to_json(F.struct(*[c.alias(t) for t, c in trace.items()])).alias(SOURCE_TRACE),
     )
     named = records.withColumnRenamed("row_idx", ROW_ID)
-    results = issue_log(named.where(is_result_row(F.col("category"))), AGGREGATE_ROW, F.lit(MATRIX_RESULT), scope="sheet")
+    results = issue_log(named.where(is_result_row(F.col("category"))), AGGREGATE_ROW, F.lit(MATRIX_RESULT), scope=key)
     not_numbers = values.where(parse_numeric(F.col("value")).isNull()).withColumnRenamed("row_idx", ROW_ID)
-    return Result(out, results.unionByName(issue_log(not_numbers, INVALID_FACT, scope="sheet")))
+    return Result(out, results.unionByName(issue_log(not_numbers, INVALID_FACT, scope=key)))
 
 
 def matrix_to_target(
@@ -146,9 +149,9 @@ def matrix_to_target(
     """One row per filled value cell, with its ``sheet``, ``period`` and numeric ``value``.
 
     The rows of all sheets are put together once and stored; rows and issues come from there.
-    The log names a row by its sheet and number.
+    Rows and log name a row by its sheet and number, those of several workbooks by file, too.
     """
-    cells = _tall_sheets(data_sheets(cells), value_start_row)
+    cells = _tall_sheets(data_sheets(cells), value_start_row, paths)
     records = materialize(row_records(cells, value_start_row), "matrix-rows", paths)
     header_rows = list(header_rows)
     return records_to_target(records, channel_headers(cells, header_rows), required, header_rows, paths)
@@ -168,7 +171,7 @@ def matrix_to_wide(long: DataFrame, periods: list[str] | None = None, max_period
 def unlisted_periods(long: DataFrame, periods: list[str]) -> DataFrame:
     """One log entry for every matrix value whose period is not among ``periods``."""
     other = long.where(~F.col("period").isin(periods)).withColumnRenamed(SOURCE_ROW, ROW_ID)
-    return issue_log(other, UNLISTED_PERIOD, scope="sheet")
+    return issue_log(other, UNLISTED_PERIOD, scope=table_key(long))
 
 
 def looks_like_matrix(cells: DataFrame) -> DataFrame:

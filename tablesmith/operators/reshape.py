@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablesmith.functions.dates import header_is_period, header_period, long_period
 from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import trace_json
-from tablesmith.operators.cleaning import Result, cells_of, invalid_numbers, issue_log, strict_aggregate
+from tablesmith.operators.cleaning import Result, Scope, cells_of, invalid_numbers, issue_log, scope_names, strict_aggregate
 from tablesmith.schema import AGGREGATE_ROW, INVALID_PERIOD, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
 from tablesmith.session import compute_once
 
 SOURCE_ROW = "_source_row"
 SOURCE_TRACE = "_source_trace"
-SOURCE_SHEET = "_sheet"
 # A table has one column per period; by default more than this is taken for a wrong period
 # column. Tables with more periods stay in long form (``long_rows``).
 MAX_PERIODS = 10_000
@@ -22,6 +21,15 @@ MAX_PERIODS = 10_000
 Mapping = dict[str, str | None]
 
 
+def source_names(scope: Scope) -> list[str]:
+    """The output columns that say where a row comes from: ``_file``, ``_sheet``."""
+    return [f"_{n}" for n in scope_names(scope)]
+
+
+def _source_columns(scope: Scope) -> list[Column]:
+    return [F.col(quoted(n)).alias(f"_{n}") for n in scope_names(scope)]
+
+
 def selected_targets(required: Iterable[str] = TARGET_COLUMNS) -> list[str]:
     """The requested columns that are targets, in the caller's order; others are ignored."""
     return [t for t in required if t in TARGET_COLUMNS]
@@ -51,12 +59,11 @@ def target_columns(df: DataFrame, mapping: Mapping, required: Iterable[str] = TA
 
 
 def provenance_columns(
-    mapping: Mapping, required: Iterable[str] = TARGET_COLUMNS, row_id: str = ROW_ID, scope: str | None = None
+    mapping: Mapping, required: Iterable[str] = TARGET_COLUMNS, row_id: str = ROW_ID, scope: Scope = None
 ) -> list[Column]:
-    """The sheet if there are several, the source row number, and the constant target -> source map."""
+    """File and sheet if there are several, the source row number, and the constant target -> source map."""
     trace = {t: mapping.get(t) for t in selected_targets(required)}
-    sheet = [F.col(quoted(scope)).alias(SOURCE_SHEET)] if scope else []
-    return [*sheet, F.col(quoted(row_id)).alias(SOURCE_ROW), trace_json(trace).alias(SOURCE_TRACE)]
+    return [*_source_columns(scope), F.col(quoted(row_id)).alias(SOURCE_ROW), trace_json(trace).alias(SOURCE_TRACE)]
 
 
 def project_targets(
@@ -80,7 +87,7 @@ def wide_to_target(
     required: Iterable[str] = TARGET_COLUMNS,
     strict: bool = True,
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
     flag: str | None = None,
 ) -> Result:
     """Normal and wide tables: drop sub-total rows, project targets, keep period columns.
@@ -141,7 +148,7 @@ def long_rows(
     period_column: str,
     required: Iterable[str] = TARGET_COLUMNS,
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
 ) -> DataFrame:
     """Target dimensions, ``period`` (null if invalid), numeric ``fact`` and ``source_row``."""
     dimensions = [t for t in selected_targets(required) if t != "Fact"]
@@ -151,7 +158,7 @@ def long_rows(
         _long_period(year_column, period_column),
         (_as_number(df, fact) if fact in df.columns else F.lit(None).cast("double")).alias("fact"),
         F.col(quoted(row_id)).alias(ROW_ID),
-        *([F.col(quoted(scope)).alias(SOURCE_SHEET)] if scope else []),
+        *_source_columns(scope),
     ]
     return compute_once(df, columns)
 
@@ -165,7 +172,7 @@ def long_to_wide(
     periods: list[str] | None = None,
     null_fact: str = "zero",
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
     max_periods: int | None = None,
 ) -> Result:
     """Long tables (one row per period) to one row per group with a column per period.
@@ -181,13 +188,13 @@ def long_to_wide(
     listed = periods is not None
     periods = distinct_periods(df.select(period), max_periods=max_periods) if periods is None else periods
     valid = long_rows(df, mapping, year_column, period_column, required, row_id, scope).where("period is not null")
-    keys = [*([SOURCE_SHEET] if scope else []), *[t for t in targets if t != "Fact"]]
+    keys = [*source_names(scope), *[t for t in targets if t != "Fact"]]
     wide = sum_by_period(valid, keys, periods, null_fact)
-    fixed = {*targets, "Fact", SOURCE_ROW, SOURCE_SHEET}
+    fixed = {*targets, "Fact", SOURCE_ROW, *source_names(scope)}
     trace = trace_json({t: mapping.get(t) for t in targets}).alias(SOURCE_TRACE)
     out = wide.select(
         *[F.col(quoted(t)) for t in targets],
-        *([SOURCE_SHEET] if scope else []),
+        *source_names(scope),
         SOURCE_ROW,
         trace,
         *[F.col(quoted(n)) for n in wide.columns if n not in fixed],

@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablesmith.operators.cleaning import (
     Result,
+    Scope,
     cells_of,
     clean_fields,
     clean_values,
     remove_bad_rows,
     row_issue,
+    scope_names,
     strict_aggregate,
 )
 from tablesmith.operators.matrix import FIRST_VALUE_ROW, channel_headers, matrix_to_wide, records_to_target, row_records, unlisted_periods
 from tablesmith.operators.reconcile import null_count, reconciliation
 from tablesmith.operators.reshape import Mapping, absent_sources, long_to_wide, period_columns, selected_targets, wide_to_target
-from tablesmith.schema import ROW_ID, SHEET, TARGET_COLUMNS, quoted
+from tablesmith.schema import ROW_ID, TARGET_COLUMNS, quoted
 from tablesmith.session import materialize, release
-from tablesmith.sources.cells import data_sheets, sheet_union
+from tablesmith.sources.cells import data_sheets, sheet_union, table_key
 
 
 class Outcome(NamedTuple):
@@ -54,7 +56,7 @@ def clean_source(
     field_kinds: dict[str, str] | None = None,
     unicode: bool = True,
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
     needed: Iterable[str] | None = None,
     paths: list[str] | None = None,
 ) -> tuple[Result, DataFrame]:
@@ -77,7 +79,7 @@ def clean_source(
     kinds = ({fact: "number"} if fact in cells else {}) | (field_kinds or {})
     kept = split.rows
     if needed is not None:
-        wanted = {*needed, row_id, scope}
+        wanted = {*needed, row_id, *scope_names(scope)}
         strict = strict_aggregate(cells).alias(_STRICT)
         kept = kept.select(*[F.col(quoted(n)) for n in kept.columns if n in wanted], strict)
         kinds = {n: k for n, k in kinds.items() if n in wanted} | {_STRICT: "as_is"}
@@ -98,11 +100,11 @@ def transform_wide(
     job_id: int | None = None,
     source_file: str | None = None,
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
 ) -> Outcome:
     """A normal table, or one with a column per period.
 
-    ``scope`` names the column of the sheet or file a row number belongs to, if numbers
+    ``scope`` names the columns of the sheet or file a row number belongs to, if numbers
     restart there.
     """
     required, paths = list(required), []
@@ -128,7 +130,7 @@ def transform_long(
     job_id: int | None = None,
     source_file: str | None = None,
     row_id: str = ROW_ID,
-    scope: str | None = None,
+    scope: Scope = None,
 ) -> Outcome:
     """A table with a row per period, named by a year and a period column."""
     required, paths = list(required), []
@@ -149,16 +151,20 @@ def transform_sheets(
     period_column: str | None = None,
     **options,
 ) -> Outcome:
-    """The sheets of workbooks as one run, each cleaned and reshaped on its own.
+    """The sheets of one or more workbooks as one run, each cleaned and reshaped on its own.
 
     ``header_row`` may be the result of :func:`tablesmith.sources.cells.header_rows`. Equal
-    rows of two sheets are no duplicates, and the log names a row by sheet and number. With a
-    year and a period column the sheets are long tables, else normal or wide ones.
+    rows of two sheets are no duplicates, and the log names a row by sheet and number, with
+    cells of several workbooks by file, sheet and number. With a year and a period column the
+    sheets are long tables, else normal or wide ones.
     """
-    source = sheet_union(cells, header_row)
+    paths: list[str] = []
+    source, scope = sheet_union(cells, header_row, paths), table_key(cells)
     if year_column and period_column:
-        return transform_long(source, mapping, year_column, period_column, scope=SHEET, **options)
-    return transform_wide(source, mapping, scope=SHEET, **options)
+        run = transform_long(source, mapping, year_column, period_column, scope=scope, **options)
+    else:
+        run = transform_wide(source, mapping, scope=scope, **options)
+    return run._replace(paths=[*paths, *run.paths])
 
 
 def transform_matrix(
@@ -179,7 +185,7 @@ def transform_matrix(
     long = materialize(shaped.rows, "matrix-values", paths)
     rows = matrix_to_wide(long, periods)
     issues = shaped.issues if periods is None else shaped.issues.unionByName(unlisted_periods(long, periods))
-    heights = records.groupBy("sheet").agg((F.max("row_idx") - (FIRST_VALUE_ROW - 1)).alias("below"))
+    heights = records.groupBy(*table_key(records)).agg((F.max("row_idx") - (FIRST_VALUE_ROW - 1)).alias("below"))
     totals = heights.agg(
         F.coalesce(F.sum("below"), F.lit(0)).alias("input_rows"), F.lit(0).cast("bigint").alias("null_cells_in_source")
     )

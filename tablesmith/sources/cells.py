@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablesmith.functions.text import strip
 from tablesmith.operators.lookup import lookup_join
 from tablesmith.schema import ROW_ID, SHEET, quoted
+from tablesmith.session import compute_once, materialize
 from tablesmith.sources.files import unique_names
 
 # The sheet that holds no data, how many rows are searched for a header, and
@@ -21,8 +22,6 @@ HEADER_WORDS = [
     "country", "pais", "channel", "category", "categoria", "brand", "marca",
     "sku", "date", "year", "period", "calendar", "fact",
 ]
-# A union has a column per distinct name; more than this is a sign of wrong header rows.
-MAX_COLUMNS = 20_000
 
 
 def table_key(cells: DataFrame) -> list[str]:
@@ -65,25 +64,27 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return ranked.where("_rank = 1").select(*key, F.col("row_idx").alias("header_row"), "score")
 
 
-def header_names(cells: DataFrame, header_row: int | DataFrame = 1) -> DataFrame:
+def _with_header_row(cells: DataFrame, header_row: int | DataFrame, paths: list[str] | None) -> DataFrame:
+    if isinstance(header_row, int):
+        return cells.withColumn("header_row", F.lit(header_row))
+    key = table_key(cells)
+    return lookup_join(cells, header_row.select(*key, "header_row"), key, F.col("row_idx"), paths=paths)
+
+
+def header_names(cells: DataFrame, header_row: int | DataFrame = 1, paths: list[str] | None = None) -> DataFrame:
     """``(sheet, header_row, col_idx, name)`` of every column position of each sheet.
 
     Positions go up to the greatest of any row; one without a filled header cell is
     ``Column_{position}``. Names are unique within a sheet without regard to case, and none
-    is ``sheet`` or ``source_row``. ``header_row`` is one number for all sheets, or the result
-    of :func:`header_rows`.
+    is ``sheet`` or ``source_row`` (nor ``file``, if the cells have one). ``header_row`` is one
+    number for all sheets, or a table of them such as the result of :func:`header_rows`. Widths
+    and header cells come from one pass over the cells.
     """
     key = table_key(cells)
-    if isinstance(header_row, int):
-        rows = cells.select(*key).distinct().withColumn("header_row", F.lit(header_row))
-    else:
-        rows = header_row.select(*key, "header_row")
-    widths = cells.groupBy(*key).agg((F.max("col_idx") + 1).cast("int").alias("width"))
-    sheets = widths.join(rows, key)
-    top = cells.where(F.col("row_idx") == header_row) if isinstance(header_row, int) else cells.where(F.col("row_idx") <= HEADER_SCAN_ROWS)
-    head = top.join(F.broadcast(rows) if isinstance(header_row, int) else rows, key).where("row_idx = header_row")
-    given = head.groupBy(*key).agg(F.collect_list(F.struct("col_idx", strip(F.col("value")).alias("value"))).alias("given"))
-    listed = sheets.join(given, key, "left").select(*key, "header_row", "width", "given")
+    head = F.when(F.col("row_idx") == F.col("header_row"), F.struct("col_idx", strip(F.col("value")).alias("value")))
+    listed = _with_header_row(cells, header_row, paths).groupBy(*key, F.col("header_row").cast("int").alias("header_row")).agg(
+        (F.max("col_idx") + 1).cast("int").alias("width"), F.collect_list(head).alias("given")
+    )
     fields = ", ".join(f"{k} string" for k in key)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,51 +94,56 @@ def header_names(cells: DataFrame, header_row: int | DataFrame = 1) -> DataFrame
                 values = {c["col_idx"]: c["value"] for c in row["given"] or []}
                 for n in (*key, "header_row"):
                     out[n].append(row[n])
-                out["names"].append(unique_names((values.get(i) for i in range(row["width"])), [SHEET, ROW_ID]))
+                out["names"].append(unique_names((values.get(i) for i in range(row["width"])), [*key, ROW_ID]))
             types = [*[pa.string()] * len(key), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(out, types)], names=list(out))
 
-    named = listed.withColumn("header_row", F.col("header_row").cast("int"))
-    named = named.mapInArrow(name, f"{fields}, header_row int, names array<string>")
+    named = listed.mapInArrow(name, f"{fields}, header_row int, names array<string>")
     return named.select(*key, "header_row", F.posexplode("names").alias("col_idx", "name"))
 
 
-def sheet_records(cells: DataFrame, sheet: str, header_row: int | DataFrame = 1) -> DataFrame:
+def sheet_records(cells: DataFrame, sheet: str, header_row: int | DataFrame = 1, file: str | None = None) -> DataFrame:
     """The rows below a sheet's header row as a table; ``source_row`` counts them from 1.
 
-    Only the names of the sheet's columns come to the driver, since they are the schema.
+    Of several workbooks, ``file`` names the one to read; without it the sheets of that name
+    are read from all of them, by column name, and each row has its ``file``.
     """
     one = cells.where(F.col("sheet") == sheet)
-    if not isinstance(header_row, int):
-        header_row = header_row.where(F.col("sheet") == sheet).first()["header_row"]
-    names = {r["col_idx"]: r["name"] for r in header_names(one, header_row).collect()}
-    columns = [
-        F.first(F.when(F.col("col_idx") == i, F.col("value")), ignorenulls=True).alias(names[i]) for i in sorted(names)
-    ]
-    body = one.where(F.col("row_idx") > header_row)
-    return body.groupBy((F.col("row_idx") - header_row).cast("bigint").alias(ROW_ID)).agg(*columns)
+    if file is not None:
+        one = one.where(F.col("file") == file)
+    rows = _records(one, header_row, None)
+    return rows.drop(SHEET) if file is None else rows.drop(SHEET, "file")
 
 
-def sheet_union(cells: DataFrame, header_row: int | DataFrame = 1) -> DataFrame:
+def sheet_union(cells: DataFrame, header_row: int | DataFrame = 1, paths: list[str] | None = None) -> DataFrame:
     """Records of all sheets but guides in one table; a column that a sheet lacks is null.
 
-    All sheets are read in one pass: each cell is given its column's name, and a row is put
-    together by one aggregate. ``header_row`` is one number, or the result of
-    :func:`header_rows` for a header row per sheet. Names that differ in case only are one
-    column. Rows are told by (sheet, source_row).
+    ``header_row`` is one number, or a table of one per sheet such as the result of
+    :func:`header_rows`. Names that differ in case only are one column. Rows are told by
+    (sheet, source_row), those of several workbooks by (file, sheet, source_row).
+    """
+    return _records(data_sheets(cells), header_row, paths)
+
+
+def _records(data: DataFrame, header_row: int | DataFrame, paths: list[str] | None) -> DataFrame:
+    """All sheets in one pass: each cell gets the number of its column, a row is one map of its cells.
+
+    The work follows the cells, not the columns; only the distinct names come to the driver,
+    since they are the schema. Of several cells in one place the least filled one counts.
     """
-    data = data_sheets(cells)
     key = table_key(data)
-    names = header_names(data, header_row).withColumn("low", F.lower("name"))
-    found = names.groupBy("low").agg(F.min(F.struct("col_idx", "name")).alias("first")).limit(MAX_COLUMNS + 1)
-    columns = sorted(found.collect(), key=lambda r: tuple(r["first"]))
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} columns: check the header rows")
-    body = lookup_join(data, names.drop("name"), [*key, "col_idx"], F.col("row_idx")).where("row_idx > header_row")
+    names = materialize(header_names(data, header_row, paths).withColumn("low", F.lower("name")), "names", paths)
+    found = names.groupBy("low").agg(F.min(F.struct("col_idx", "name")).alias("first")).collect()
+    columns = sorted(found, key=lambda r: tuple(r["first"]))
+    numbers = data.sparkSession.createDataFrame([(r["low"], i) for i, r in enumerate(columns)], "low string, _column int")
+    places = names.join(numbers, "low").select(*key, "header_row", "col_idx", "_column")
+    body = lookup_join(data, places, [*key, "col_idx"], F.col("row_idx"), paths=paths).where("row_idx > header_row")
+    cell = F.when(F.col("value").isNotNull(), F.struct("_column", "value"))
     row = (F.col("row_idx") - F.col("header_row")).cast("bigint").alias(ROW_ID)
-    return body.groupBy(*key, row).agg(
-        *[F.first(F.when(F.col("low") == r["low"], F.col("value")), ignorenulls=True).alias(r["first"]["name"]) for r in columns]
-    )
+    rows = body.groupBy(*key, row).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    first = F.filter("_cells", lambda c, i: (i == 0) | (c["_column"] != F.col("_cells")[F.greatest(i - 1, F.lit(0))]["_column"]))
+    rows = compute_once(rows, [*[F.col(n) for n in (*key, ROW_ID)], F.map_from_entries(first).alias("_cells")])
+    return rows.select(*key, ROW_ID, *[F.col("_cells")[F.lit(i)].alias(r["first"]["name"]) for i, r in enumerate(columns)])
 
 
 def catalog_of(df: DataFrame, file: str, sheet: str = "data", n: int = HEADER_SCAN_ROWS) -> DataFrame:
@@ -154,7 +160,8 @@ def catalog_of_cells(cells: DataFrame, header_row: int | DataFrame | None = None
     data = data_sheets(cells)
     key = table_key(data)
     names = header_names(data, header_rows(data) if header_row is None else header_row)
-    top = data.where(F.col("row_idx") <= HEADER_SCAN_ROWS + n)
+    last = HEADER_SCAN_ROWS if header_row is None else header_row
+    top = data.where(F.col("row_idx") <= last + n) if isinstance(last, int) else data
     near = top.join(names, [*key, "col_idx"]).where((F.col("row_idx") > F.col("header_row")) & (F.col("row_idx") <= F.col("header_row") + n))
     values = F.array_sort(F.collect_list(F.when(filled(F.col("value")), F.struct("row_idx", "value"))))
     samples = near.groupBy(*key, "col_idx").agg(F.transform(values, lambda v: v["value"]).alias("sample"))

@@ -21,7 +21,7 @@ from tablesmith.operators.reshape import (
     wide_to_target,
 )
 from tablesmith.plans.transform import transform_long, transform_matrix, transform_sheets, transform_wide
-from tablesmith.sources.cells import header_rows
+from tablesmith.sources.cells import header_names, header_rows, sheet_records, sheet_union
 
 COLUMNS = [f"c{i}" for i in range(9)]
 
@@ -300,3 +300,62 @@ def test_cleaning_twice_changes_nothing(spark):
 def test_profile(spark):
     out = column_profile(spark.sql("select 1 as `a.b`, cast(null as string) as c union all select 2, 'x'"))
     assert rows_of(out, "name", "dtype", "null_count", "row_count") == [("a.b", "int", 0, 2), ("c", "string", 1, 2)]
+
+
+def books(spark, files):
+    """A cell table of several workbooks from ``{file: {sheet: grid}}``."""
+    from functools import reduce
+
+    frames = [sheet(spark, grids).select(F.lit(file).alias("file"), "*") for file, grids in files.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def test_workbooks_keep_their_own_rows(spark):
+    """Sheets of one name in two files: own headers, own blanks, own duplicates, own row numbers."""
+    north = [["Brand", "Pack"], ["a", "x"], ["", ""], ["a", "x"], ["b", "y"]]
+    south = [["Pack", "brand", "file"], ["x", "a", "q"], ["", "", ""], ["x", "a", "q"]]
+    cells = books(spark, {"n": {"S": north}, "s": {"S": south}})
+    out = transform_sheets(cells, {"Brand": "Brand", "SKU": "Pack"}, 1, required=["Brand", "SKU"], field_kinds={"Brand": "as_is", "Pack": "as_is"})
+    assert rows_of(out.rows, "_file", "_sheet", "_source_row", "Brand", "SKU") == [
+        ("n", "S", 1, "a", "x"), ("n", "S", 4, "b", "y"), ("s", "S", 1, "a", "x"),
+    ]
+    assert rows_of(out.issues, "file", "sheet", "source_row", "issue_type") == [
+        ("n", "S", 2, "NULL_ROW_REMOVED"), ("n", "S", 3, "DUPLICATE_REMOVED"),
+        ("s", "S", 2, "NULL_ROW_REMOVED"), ("s", "S", 3, "DUPLICATE_REMOVED"),
+    ]
+    totals = out.summary.first()
+    assert totals["output_rows"] + totals["total_issues_logged"] == totals["input_rows"] == 7
+    out.release()
+    long = [["Brand", "Year", "Month", "Qty"], ["a", "2024", "P01", "7"]]
+    both = transform_sheets(books(spark, {"n": {"S": long}, "s": {"S": long}}), {"Brand": "Brand", "Fact": "Qty"}, 1, "Year", "Month", required=["Brand", "Fact"])
+    assert rows_of(both.rows, "_file", "_sheet", "Brand", "2024-01") == [("n", "S", "a", 7.0), ("s", "S", "a", 7.0)]
+
+
+def test_matrix_workbooks_are_not_mixed(spark):
+    grid = lambda category, channel: [["", "", "", "", "", channel], *[[""]] * 3, ["2024-01", category, "B", "S", "F", "5"], ["2024-01", "Result", "", "", "", "9"]]
+    cells = books(spark, {"n": {"KG": grid("Cata", "Cha")}, "s": {"KG": grid("Catb", "Chb")}})
+    out = transform_matrix(cells)
+    assert rows_of(out.rows, "file", "sheet", "Category", "Channel", "2024-01") == [("n", "KG", "Cata", "Cha", 5.0), ("s", "KG", "Catb", "Chb", 5.0)]
+    assert rows_of(out.issues, "file", "sheet", "source_row") == [("n", "KG", 6), ("s", "KG", 6)]
+    totals = out.summary.first()
+    assert (totals["input_rows"], totals["output_rows"]) == (4, 2)
+
+
+def test_records_of_one_workbook_or_all(spark):
+    cells = books(spark, {"n": {"S": [["A"], ["1"]]}, "s": {"S": [["B", "a"], ["2", "3"]]}})
+    assert rows_of(sheet_records(cells, "S", file="s"), "source_row", "B", "a") == [(1, "2", "3")]
+    both = sheet_records(cells, "S")
+    assert both.columns == ["file", "source_row", "A", "B"]
+    assert rows_of(both, "file", "source_row", "A", "B") == [("n", 1, "1", None), ("s", 1, "3", "2")]
+
+
+def test_wide_sheets_and_late_headers(spark):
+    """A header row beyond those that are searched, thousands of columns, cells given twice."""
+    rows = [("S", 20, i, f"c{i}") for i in range(3_000)] + [("S", 21, i, str(i)) for i in range(3_000)] + [("S", 21, 7, "0"), ("T", 1, 0, "Brand"), ("T", 2, 0, "z")]
+    cells = spark.createDataFrame(rows, "sheet string, row_idx int, col_idx int, value string")
+    heads = spark.createDataFrame([("S", 20), ("T", 1)], "sheet string, header_row int")
+    out = sheet_union(cells, heads)
+    assert len(out.columns) == 3_003
+    first = out.where("sheet = 'S'").first()
+    assert first["c2999"] == "2999" and first["c7"] == "0" and first["Brand"] is None
+    assert rows_of(header_names(cells, heads).where("sheet = 'T' or col_idx = 5"), "sheet", "header_row", "col_idx", "name") == [("S", 20, 5, "c5"), ("T", 1, 0, "Brand")]
