@@ -8,8 +8,9 @@ from checks.cleaning import JUDGED, METRIC_ROWS, _DETAIL, _SUMMARY, _split, _sum
 from checks.fixtures import table, view
 from checks.registry import query
 from checks.shape import MONTHS, WIDE_MAPPING, _P_COLUMNS, _STRICT, _WIDE_TARGETS
-from tablesmith.operators.cleaning import split_duplicates
+from tablesmith.operators.cleaning import clean_rows, split_duplicates
 from tablesmith.operators.reshape import wide_to_target
+from tablesmith.schema import MISFIT
 from tablesmith.session import scratch_path
 from tablesmith.sinks.tables import (
     RUN_INFO,
@@ -22,6 +23,8 @@ from tablesmith.sinks.tables import (
     write_reconciliation,
     write_report,
 )
+from tablesmith.plans.transform import transform_wide
+from tablesmith.sources.delimited import read_numbered
 from tablesmith.sources.files import read_csv, read_json, read_parquet, read_table, read_tsv, read_xml, sample
 from tablesmith.sources.numbering import number_parquet_rows, number_text_rows
 
@@ -39,14 +42,95 @@ def _orders(spark, sf_dir) -> DataFrame:
 def _(spark, sf_dir):
     path = scratch_path(spark, "s1")
     write_csv(_orders(spark, sf_dir), path)
-    return read_csv(spark, path)
+    return read_csv(spark, path).drop(MISFIT)
 
 
 @query("s2_tsv_scan", _ORDER_TEXT)
 def _(spark, sf_dir):
     path = scratch_path(spark, "s2")
     _orders(spark, sf_dir).write.option("sep", "\t").option("header", True).csv(path)
-    return read_tsv(spark, path)
+    return read_tsv(spark, path).drop(MISFIT)
+
+
+def _write_lines(lines: DataFrame, path: str, header: str | None) -> None:
+    """``lines (key, line)`` as one text file in the order of the keys, below a header line."""
+    head = lines.sparkSession.createDataFrame([(-1, header)] if header else [], "key bigint, line string")
+    lines.unionByName(head).repartition(1).sortWithinPartitions("key").select("line").write.text(path)
+
+
+@query(
+    "s1_mixed_headers",
+    """select cast(o_orderkey as varchar) as "Key", case when o_orderkey % 3 <> 2 then lpad(cast(o_custkey as varchar), 9, '0') end as "Customer",
+        o_orderpriority as "Priority", case when o_orderkey % 3 = 2 then o_orderstatus end as "Status" from orders""",
+)
+def _(spark, sf_dir):
+    """Files of three header lines: another order of columns, another case, a column more and one less."""
+    path, orders = scratch_path(spark, "s1-mixed"), _orders(spark, sf_dir)
+    names = {"o_orderkey": "Key", "o_custkey": "Customer", "o_orderpriority": "Priority", "o_orderstatus": "Status"}
+    kinds = [("Key", "Customer", "Priority"), ("priority", "KEY", "Customer"), ("Status", "Priority", "Key")]
+    for i, kind in enumerate(kinds):
+        rows = orders.withColumnsRenamed(names).where(F.col("Key") % 3 == i)
+        write_csv(rows.select(*[F.col(n).alias(n) for n in kind]), f"{path}/{i}")
+    return read_csv(spark, [f"{path}/{i}" for i in range(3)]).drop(MISFIT)
+
+
+# One row in ten has a cell too many, one a cell too few; one line in ten is blank.
+_RAGGED = """select o_orderkey as key, case o_orderkey % 10 when 1 then concat(cast(o_orderkey as varchar(20)), ',', o_orderpriority, ',LOST,', cast(o_custkey as varchar(20)))
+    when 2 then cast(o_orderkey as varchar(20)) when 3 then case when o_orderkey % 20 = 3 then '' else '  ' end
+    else concat(cast(o_orderkey as varchar(20)), ',', o_orderpriority) end as line from orders"""
+
+
+def _ragged_file(spark, sf_dir) -> str:
+    path = scratch_path(spark, "s1-ragged")
+    _write_lines(spark.sql(_RAGGED.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")), path, "Key,Priority")
+    return path
+
+
+@query(
+    "s1_ragged_rows",
+    f"""select split_part(line, ',', 1) as "Key", nullif(split_part(line, ',', 2), '') as "Priority", case when key % 10 in (1, 2) then line end as _misfit
+        from ({_RAGGED}) as t where trim(line) <> ''""",
+)
+def _(spark, sf_dir):
+    return read_csv(spark, _ragged_file(spark, sf_dir))
+
+
+_LINES = f"select row_number() over (order by key) as source_row, key, line from ({_RAGGED}) as t"
+
+
+@query(
+    "s10_blank_lines",
+    f"""select source_row, nullif(trim(split_part(line, ',', 1)), '') as "Key", nullif(split_part(line, ',', 2), '') as "Priority",
+        case when key % 10 in (1, 2) then line end as _misfit from ({_LINES}) as n""",
+)
+def _(spark, sf_dir):
+    """Blank lines are rows of nulls, so all other numbers agree with the file."""
+    return read_numbered(spark, _ragged_file(spark, sf_dir))
+
+
+@query(
+    "s10_blank_lines_issues",
+    f"""select source_row, 'NULL_ROW_REMOVED' as issue_type, 'Entirely blank row removed' as detail from ({_LINES}) as n where trim(line) = ''
+        union all select source_row, 'RAGGED_ROW', 'Row has more or fewer cells than the header: ' || line from ({_LINES}) as n where key % 10 in (1, 2)""",
+)
+def _(spark, sf_dir):
+    """The log of a run over a file with blank and ragged lines names them by their place in the file."""
+    return transform_wide(read_numbered(spark, _ragged_file(spark, sf_dir)), {"SKU": "Key"}, required=["SKU"]).issues
+
+
+@query(
+    "s10_two_files_with_headers",
+    """with rows_ as (select row_number() over (order by o_orderkey % 2, o_orderkey) as source_row, o_orderkey, o_orderpriority, o_orderstatus from orders)
+       select source_row, cast(o_orderkey as varchar) as "Key", case when o_orderkey % 2 = 0 then o_orderpriority end as "Priority",
+              case when o_orderkey % 2 = 1 then o_orderstatus end as "Status" from rows_""",
+)
+def _(spark, sf_dir):
+    """Numbers run on over files of different headers."""
+    path, orders = scratch_path(spark, "s10-heads"), table(spark, sf_dir, "orders")
+    for i, (name, header) in enumerate([("o_orderpriority", "Key,Priority"), ("o_orderstatus", "key,Status")]):
+        lines = orders.where(F.col("o_orderkey") % 2 == i).select(F.col("o_orderkey").alias("key"), F.concat_ws(",", F.col("o_orderkey").cast("string"), name).alias("line"))
+        _write_lines(lines, f"{path}/{i}", header)
+    return read_numbered(spark, [f"{path}/0", f"{path}/1"]).drop(MISFIT)
 
 
 @query("s3_parquet_scan", "select l_orderkey, l_quantity, l_shipdate from lineitem")
@@ -100,7 +184,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch_path(spark, "s10-text")
     write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey"), path)
-    return number_text_rows(read_csv(spark, path), across_files=True)
+    return number_text_rows(read_csv(spark, path), across_files=True).drop(MISFIT)
 
 
 @query(
@@ -136,7 +220,7 @@ _TEXT_MONTHS = ", ".join(f'cast({p} as varchar) as "{m}"' for p, m in MONTHS.ite
 def _(spark, sf_dir):
     path = scratch_path(spark, "k1")
     write_csv(_wide_rows(spark, sf_dir), path)
-    return read_table(spark, path, "csv")
+    return read_table(spark, path, "csv").drop(MISFIT)
 
 
 @query("k2_cleaned_parquet", f"select {_WIDE_TARGETS}, {_P_COLUMNS} from shipments_wide where {_STRICT}")
@@ -150,14 +234,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch_path(spark, "k4")
     write_issue_log(_split(spark, sf_dir).issues, path)
-    return read_csv(spark, path)
+    return read_csv(spark, path).drop(MISFIT)
 
 
 @query("k5_reconciliation_csv", METRIC_ROWS)
 def _(spark, sf_dir):
     path = scratch_path(spark, "k5")
     write_reconciliation(_summary(spark, sf_dir), path)
-    return read_csv(spark, path)
+    return read_csv(spark, path).drop(MISFIT)
 
 
 @query(

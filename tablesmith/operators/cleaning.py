@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablesmith.functions.dates import date_text, header_is_period, normalize_date
 from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import clean_value, nfkc, normalize_email, normalize_phone, normalize_text, row_text
-from tablesmith.schema import AGGREGATE_ROW, DETAILS, DUPLICATE, INVALID_FACT, NULL_ROW, ROW_ID, quoted
+from tablesmith.schema import AGGREGATE_ROW, DETAILS, DUPLICATE, INVALID_FACT, MISFIT, NULL_ROW, RAGGED_ROW, ROW_ID, quoted
 from tablesmith.session import compute_once, materialize
 
 # Words that mark a sub-total row, and header parts that decide a field's rule.
@@ -38,8 +38,8 @@ def scope_names(scope: Scope) -> list[str]:
 
 
 def cells_of(df: DataFrame, row_id: str = ROW_ID, scope: Scope = None) -> list[str]:
-    """The columns that hold data: neither the row number nor the scope of its numbering."""
-    return [n for n in df.columns if n not in (row_id, *scope_names(scope))]
+    """The columns that hold data: not the row number, the scope of its numbering or the text of ragged rows."""
+    return [n for n in df.columns if n not in (row_id, *scope_names(scope), MISFIT)]
 
 
 def row_key(row_id: str = ROW_ID, scope: Scope = None) -> list[str]:
@@ -59,6 +59,14 @@ def issue_log(
     )
 
 
+def ragged_log(df: DataFrame, row_id: str = ROW_ID, scope: Scope = None) -> DataFrame:
+    """One log entry with the whole text of every row that did not fit its file's header."""
+    if MISFIT not in df.columns:
+        return issue_log(df.where(F.lit(False)), RAGGED_ROW, row_id=row_id, scope=scope)
+    detail = F.concat(F.lit(DETAILS[RAGGED_ROW] + ": "), F.col(MISFIT))
+    return issue_log(df.where(F.col(MISFIT).isNotNull()), RAGGED_ROW, detail, row_id, scope)
+
+
 def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID, scope: Scope = None) -> DataFrame:
     """Apply ``clean_value`` to every text column, once per cell.
 
@@ -66,7 +74,7 @@ def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID, scop
     however many columns there are; the ``explode`` of its single element keeps later
     filters from being pushed below it, which would repeat the rule.
     """
-    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name not in row_key(row_id, scope)
+    is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name not in (*row_key(row_id, scope), MISFIT)
     text = [f.name for f in df.schema.fields if is_text(f)]
     if not text:
         return df
@@ -198,7 +206,7 @@ def clean_rows(
     scope: Scope = None,
     paths: list[str] | None = None,
 ) -> Result:
-    """The whole cleaning pass: values, bad rows, duplicates, then fields by header.
+    """The whole cleaning pass: values, bad rows, duplicates, then fields by header; ragged rows are logged.
 
     ``row_id`` must name a row, or do so together with ``scope``, one or more columns that take no
     part in the row tests but keep equal rows of different sheets or files apart. The source is
@@ -208,4 +216,7 @@ def clean_rows(
     tagged = materialize(tag_rows(clean_values(df, unicode, row_id, scope), row_id, scope), "tagged", paths)
     split = remove_bad_rows(tagged, row_id, True, scope, paths)
     fields = clean_fields(split.rows, field_kinds, row_id, scope)
-    return Result(fields.rows, split.issues.unionByName(fields.issues))
+    issues = split.issues.unionByName(fields.issues)
+    # A table that no text file can have filled has no ragged rows to look for.
+    issues = issues.unionByName(ragged_log(tagged, row_id, scope)) if MISFIT in df.columns else issues
+    return Result(fields.rows.drop(MISFIT), issues)

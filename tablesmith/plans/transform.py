@@ -17,6 +17,7 @@ from tablesmith.operators.cleaning import (
     cells_of,
     clean_fields,
     clean_values,
+    ragged_log,
     remove_bad_rows,
     row_issue,
     scope_names,
@@ -25,7 +26,7 @@ from tablesmith.operators.cleaning import (
 from tablesmith.operators.matrix import FIRST_VALUE_ROW, channel_headers, matrix_to_wide, records_to_target, row_records, unlisted_periods
 from tablesmith.operators.reconcile import null_count, reconciliation
 from tablesmith.operators.reshape import Mapping, absent_sources, long_to_wide, period_columns, selected_targets, wide_to_target
-from tablesmith.schema import ROW_ID, TARGET_COLUMNS, quoted
+from tablesmith.schema import MISFIT, ROW_ID, TARGET_COLUMNS, quoted
 from tablesmith.session import materialize, release
 from tablesmith.sources.cells import data_sheets, sheet_union, table_key
 
@@ -64,7 +65,8 @@ def clean_source(
 
     All columns take part in the tests of whole rows; field rules run over the ``needed``
     ones only, which are all that is left then, next to the flag ``_strict``: whether any
-    cell of the row holds a sub-total word. The column mapped to the measure is a number
+    cell of the row holds a sub-total word. Rows that did not fit their file's header are kept
+    and logged with their whole text. The column mapped to the measure is a number
     unless ``field_kinds`` says otherwise.
     """
     cells = cells_of(source, row_id, scope)
@@ -84,7 +86,9 @@ def clean_source(
         kept = kept.select(*[F.col(quoted(n)) for n in kept.columns if n in wanted], strict)
         kinds = {n: k for n, k in kinds.items() if n in wanted} | {_STRICT: "as_is"}
     fields = clean_fields(kept, kinds, row_id, scope)
-    return Result(fields.rows, split.issues.unionByName(fields.issues)), totals
+    issues = split.issues.unionByName(fields.issues)
+    issues = issues.unionByName(ragged_log(tagged, row_id, scope)) if MISFIT in source.columns else issues
+    return Result(fields.rows.drop(MISFIT), issues), totals
 
 
 def _sources(source: DataFrame, mapping: Mapping, required: list[str]) -> set[str]:

@@ -12,6 +12,7 @@ DUPLICATE = "DUPLICATE_REMOVED"
 INVALID_PERIOD = "INVALID_PERIOD"
 INVALID_FACT = "INVALID_FACT"
 UNLISTED_PERIOD = "UNLISTED_PERIOD"
+RAGGED_ROW = "RAGGED_ROW"
 DETAILS = {
     NULL_ROW: "Entirely blank row removed",
     AGGREGATE_ROW: "Subtotal/Result/Total row excluded",
@@ -19,12 +20,15 @@ DETAILS = {
     INVALID_PERIOD: "Could not parse year/period",
     INVALID_FACT: "Could not parse a number",
     UNLISTED_PERIOD: "Period is not among the requested ones",
+    RAGGED_ROW: "Row has more or fewer cells than the header",
 }
 # Fixed value: the detail text of sub-total rows in matrix sheets.
 MATRIX_RESULT = "Result row excluded from atomic output"
 
 ROW_ID = "source_row"
 SHEET = "sheet"
+# The whole text of a delimited row that does not fit its header; it is no data column.
+MISFIT = "_misfit"
 
 ISSUE_SCHEMA = T.StructType(
     [

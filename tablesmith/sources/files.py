@@ -1,17 +1,14 @@
 """File scans. Every reader yields text columns with unique, case-insensitively distinct names."""
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablesmith.schema import quoted
+from tablesmith.schema import MISFIT, quoted
 from tablesmith.session import materialize
 
 
-# Files whose headers the driver compares one by one.
-MAX_HEADER_FILES = 10_000
-
-
 def unique_names(headers: Iterable[str | None], reserved: Iterable[str] = ()) -> list[str]:
     """Strip, name blanks ``Column_{position}``, number a taken name with the least free ``_2``, ``_3``...
 
@@ -35,32 +32,21 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
     return spark.read.options(**options)
 
 
-def _first_lines(spark: SparkSession, path: str | list[str], encoding: str, most: int) -> dict[str, list[str]]:
-    """The first line of each file, with the files that start with it; read by the driver.
+def _is_line() -> Column:
+    return F.trim("value", F.lit(" \t\ufeff")) != ""
+
+
+def header_kinds(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """The files of each header line (the first line that is not blank), found by one job.
 
-    Only the first kilobytes of a file are read, through the file system that Spark uses.
+    The header lines are few, since they are the schema; the file names are those that the
+    driver lists for any scan.
     """
-    hadoop, found = spark._jvm.org.apache.hadoop, {}
-    conf, seen = spark._jsc.hadoopConfiguration(), 0
-    for pattern in [path] if isinstance(path, str) else path:
-        at = hadoop.fs.Path(pattern)
-        fs = at.getFileSystem(conf)
-        for match in fs.globStatus(at) or []:
-            listed = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
-            for file in listed:
-                name = file.getPath().getName()
-                if file.isDirectory() or name.startswith(("_", ".")) or not file.getLen():
-                    continue
-                seen += 1
-                if seen > most:
-                    raise ValueError(f"more than {most} files: compare their headers yourself and pass same_header=True")
-                raw = fs.open(file.getPath())
-                try:
-                    line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(raw, encoding)).readLine()
-                finally:
-                    raw.close()
-                found.setdefault((line or "").lstrip("\ufeff"), []).append(file.getPath().toString())
-    return found
+    text = spark.read.option("encoding", encoding).text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    heads = lines.where(_is_line()).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    kinds = heads.groupBy(F.ltrim("head", F.lit("\ufeff")).alias("head")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return {r["head"]: r["files"] for r in kinds.orderBy(F.col("files")[0]).collect()}
 
 
 def read_delimited(
@@ -71,24 +57,27 @@ def read_delimited(
     header: bool = True,
     multi_line: bool = False,
     same_header: bool = False,
-    misfit: str | None = None,
+    misfit: str | None = MISFIT,
 ) -> DataFrame:
-    """Delimited files with one header; all columns are text, so codes keep their zeros.
-
-    Files with different first lines are refused, since cells go by position: read each kind
-    on its own and append them with ``append_outputs``. ``same_header`` skips that look at
-    every file. ``misfit`` names a further column that has the whole text of rows with more or
-    fewer cells than the header; without it surplus cells are not read. Blank lines are no
-    rows. Without a header row the columns are ``Column_1``, ``Column_2``... ``multi_line`` is
-    for quoted cells that hold line breaks; such a file cannot be split over tasks.
+    """Delimited files; all columns are text, so codes keep their zeros.
+
+    Files with different header lines are read kind by kind and put together by column name; a
+    column that a file lacks is null. ``same_header`` skips the job that looks at the headers
+    of several files. The column ``misfit`` has the whole text of rows with more or fewer cells
+    than their header, so that no cell is lost; with None it is left out, and surplus cells are
+    not read. Blank lines are no rows (``read_numbered`` counts them). Without a header row the
+    columns are ``Column_1``, ``Column_2``... ``multi_line`` is for quoted cells that hold line
+    breaks; such a file cannot be split over tasks.
     """
-    if header and not same_header:
-        kinds = _first_lines(spark, path, encoding, MAX_HEADER_FILES)
-        if len(kinds) > 1:
-            raise ValueError(f"files with different headers: {', '.join(files[0] for files in kinds.values())}")
-    # The header as it stands in the file: Spark would rename repeated names its own way.
+    many = header and not same_header and len(spark.read.text(path).inputFiles()) > 1
+    kinds = list(header_kinds(spark, path, encoding).values()) if many and not multi_line else []
+    if len(kinds) > 1:
+        parts = [read_delimited(spark, files, sep, encoding, same_header=True, misfit=misfit) for files in kinds]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return rows.select(*[F.col(quoted(n)) for n in rows.columns if n != misfit], *([misfit] if misfit else []))
     first = _reader(spark, sep, encoding, multi_line).csv(path).first()
     headers = list(first) if first else []
+    # The header as it stands in the file: Spark would rename repeated names its own way.
     names = unique_names(headers if header else [None] * len(headers), [misfit] if misfit else [])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([misfit] if misfit else [])]])
     reader = _reader(spark, sep, encoding, multi_line).schema(schema).option("header", header)
@@ -191,8 +180,9 @@ def sample(df: DataFrame, n: int = 12) -> DataFrame:
 def sample_file(spark: SparkSession, path: str, fmt: str | None = None, n: int = 12, **options) -> DataFrame:
     """The first rows of a file; a delimited one whose first row has repeated or blank names
     is read again without a header, since that row is then no header."""
-    df = read_table(spark, path, fmt, **options)
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    options = {"misfit": None, **options} if fmt in ("csv", "txt", "tsv") else options
+    df = read_table(spark, path, fmt, **options)
     if fmt in ("csv", "txt", "tsv") and options.get("header", True):
         sep = options.get("sep", "\t" if fmt == "tsv" else ",")
         first = _reader(spark, sep, options.get("encoding", "UTF-8"), options.get("multi_line", False)).csv(path).first()

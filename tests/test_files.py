@@ -8,7 +8,10 @@ from tablesmith.operators.cleaning import clean_rows, issue_log
 from tablesmith.operators.reconcile import reconciliation
 from tablesmith.sinks.tables import run_report, write_csv, write_issue_log, write_report
 from tablesmith.sources.cells import catalog_of, catalog_of_cells, header_names, header_rows, sheet_records, sheet_union
+from tablesmith.session import release
+from tablesmith.sources.delimited import read_numbered
 from tablesmith.sources.files import (
+    header_kinds,
     read_csv,
     read_delimited,
     read_json,
@@ -33,16 +36,16 @@ def test_unique_names():
 def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Code,Brand,Brand,\n007,"x, ""y""",b,1\n,,,\n')
     df = read_csv(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["Code", "Brand", "Brand_2", "Column_4"]
-    assert [tuple(r) for r in df.collect()][0] == ("007", 'x, "y"', "b", "1")
+    assert df.columns == ["Code", "Brand", "Brand_2", "Column_4", "_misfit"]
+    assert [tuple(r) for r in df.collect()][0] == ("007", 'x, "y"', "b", "1", None)
     (tmp_path / "a.txt").write_text("a,b\n1,2\n")
-    assert read_table(spark, str(tmp_path / "a.txt")).columns == ["a", "b"]
+    assert read_table(spark, str(tmp_path / "a.txt"), misfit=None).columns == ["a", "b"]
     (tmp_path / "a.tsv").write_text("a\tb.c\n1\t2\n")
-    assert [tuple(r) for r in read_tsv(spark, str(tmp_path / "a.tsv")).collect()] == [("1", "2")]
-    assert read_delimited(spark, str(tmp_path / "a.txt"), header=False).columns == ["Column_1", "Column_2"]
+    assert [tuple(r) for r in read_tsv(spark, str(tmp_path / "a.tsv"), misfit=None).collect()] == [("1", "2")]
+    assert read_delimited(spark, str(tmp_path / "a.txt"), header=False).columns == ["Column_1", "Column_2", "_misfit"]
     assert sample(df, 1).count() == 1
     (tmp_path / "b.csv").write_text('a,b\n"1\n2",3\n')
-    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "b.csv"), multi_line=True).collect()] == [("1\n2", "3")]
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "b.csv"), multi_line=True).collect()] == [("1\n2", "3", None)]
 
 
 def test_json_shapes(spark, tmp_path):
@@ -79,18 +82,68 @@ def test_json_loses_nothing(spark, tmp_path):
         read_json(spark, str(tmp_path / "mixed"))
 
 
-def test_files_with_different_headers_are_refused(spark, tmp_path):
+def test_files_with_different_headers(spark, tmp_path):
+    """Cells go by name, whatever the order, case or number of columns of a file."""
     (tmp_path / "a.csv").write_text("Pais,Marca\nx,y\n")
-    (tmp_path / "b.csv").write_text("Marca,Pais,Extra\ny1,x1,z\n")
-    with pytest.raises(ValueError, match="different headers"):
-        read_csv(spark, str(tmp_path))
-    assert read_csv(spark, str(tmp_path / "a.csv")).count() == 1
+    (tmp_path / "b.csv").write_text("\n\ufeffmarca,PAIS,Extra\ny1,x1,z\n")
+    (tmp_path / "c.csv").write_text("Pais,Marca\nx2,y2\n")
+    (tmp_path / "d.csv").write_text("")
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == ["Pais", "Marca", "Extra", "_misfit"]
+    assert sorted(map(tuple, df.collect())) == [("x", "y", None, None), ("x1", "y1", "z", None), ("x2", "y2", None, None)]
+    assert header_kinds(spark, str(tmp_path)).keys() == {"Pais,Marca", "marca,PAIS,Extra"}
+    numbered = read_numbered(spark, str(tmp_path))
+    assert sorted(map(tuple, numbered.collect())) == [(1, "x", "y", None, None), (2, "x1", "y1", "z", None), (3, "x2", "y2", None, None)]
+    each = read_numbered(spark, str(tmp_path), across_files=False)
+    assert sorted((r["source_row"], r["file"][-5:]) for r in each.collect()) == [(1, "a.csv"), (1, "b.csv"), (1, "c.csv")]
+
+
+def test_surplus_cells_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n1,2,3\n\n4\n")
+    rows = [("1", "2", "1,2,3"), ("1", "2", None), ("4", None, "4")]
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "a.csv")).collect()), key=str) == rows
+    assert read_csv(spark, str(tmp_path / "a.csv"), misfit="rest").columns == ["a", "b", "rest"]
+    source = number_text_rows(read_csv(spark, str(tmp_path / "a.csv")))
+    out = clean_rows(source)
+    assert out.rows.columns == ["source_row", "a", "b"]
+    assert sorted((r["source_row"], r["detail"].split(": ")[1]) for r in out.issues.where("issue_type = 'RAGGED_ROW'").collect()) == [(2, "1,2,3"), (3, "4")]
+
+
+def test_numbers_follow_the_lines(spark, tmp_path):
+    """Blank lines count, over many splits and several files; headers do not."""
+    lines = [["", " "][i % 2] if i % 7 == 3 else f'{i},"{"x" * (i % 60)},"' for i in range(1, 20_001)]
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("\n".join(["", "n,text", *lines]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    paths = []
+    try:
+        rows = {r["source_row"]: r["n"] for r in read_numbered(spark, str(tmp_path), paths=paths).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == {i + k * 20_000: None if i % 7 == 3 else str(i) for i in range(1, 20_001) for k in (0, 1)}
+    assert len(paths) >= 3
+    release(spark, paths)
+    assert not list((tmp_path / "none").glob("*"))
 
 
-def test_surplus_cells_can_be_kept(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("a,b\n1,2\n1,2,3\n\n4\n")
-    df = read_csv(spark, str(tmp_path / "a.csv"), misfit="rest")
-    assert sorted(map(tuple, df.cache().collect()), key=str) == [("1", "2", "1,2,3"), ("1", "2", None), ("4", None, "4")]
+def test_blank_lines_are_logged(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Brand,Qty\n\nx,1\n  \nx,1\ny,2,z\n")
+    out = clean_rows(read_numbered(spark, str(tmp_path / "a.csv")), {"Qty": "number"})
+    log = sorted((r["source_row"], r["issue_type"]) for r in out.issues.collect())
+    assert log == [(1, "NULL_ROW_REMOVED"), (3, "NULL_ROW_REMOVED"), (4, "DUPLICATE_REMOVED"), (5, "RAGGED_ROW")]
+    assert sorted(map(tuple, out.rows.collect())) == [(2, "x", 1.0), (5, "y", 2.0)]
+
+
+def test_numbered_files_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n \n")
+    (tmp_path / "b.csv").write_text("a,a\n")
+    assert read_numbered(spark, str(tmp_path / "a.csv")).collect() == []
+    empty = read_numbered(spark, str(tmp_path / "b.csv"))
+    assert empty.columns == ["source_row", "a", "a_2", "_misfit"] and empty.collect() == []
+    (tmp_path / "c.csv").write_text("1;2\n\n3;4")
+    got = read_numbered(spark, str(tmp_path / "c.csv"), sep=";", header=False).collect()
+    assert sorted(map(tuple, got)) == [(1, "1", "2", None), (2, None, None, None), (3, "3", "4", None)]
 
 
 def test_sample_without_a_header(spark, tmp_path):
@@ -141,7 +194,7 @@ def test_row_numbers_over_several_files(spark, tmp_path):
     each = number_text_rows(read_csv(spark, path), across_files=False)
     assert sorted(r[0] for r in each.select("source_row").collect()) == [1, 1, 1, 2, 2, 2, 3, 3, 4]
     all_rows = number_text_rows(read_csv(spark, path), across_files=True)
-    assert [tuple(r) for r in all_rows.orderBy("source_row").collect()] == list(zip(range(1, 10), ["00", "01", "02", "10", "11", "20", "21", "22", "23"]))
+    assert [tuple(r)[:2] for r in all_rows.orderBy("source_row").collect()] == list(zip(range(1, 10), ["00", "01", "02", "10", "11", "20", "21", "22", "23"]))
 
 
 def test_parquet_row_numbers(spark, tmp_path):
@@ -156,12 +209,12 @@ def test_clean_run_still_has_a_log_header(spark, tmp_path):
     issues = issue_log(spark.range(1).withColumnRenamed("id", "source_row").where("source_row < 0"), "AGGREGATE_ROW")
     write_issue_log(issues, str(tmp_path / "log"))
     df = read_csv(spark, str(tmp_path / "log"))
-    assert df.columns == ["source_row", "issue_type", "detail"] and df.count() == 0
+    assert df.columns == ["source_row", "issue_type", "detail", "_misfit"] and df.count() == 0
 
 
 def test_empty_output_keeps_its_columns(spark, tmp_path):
     write_csv(spark.sql("select 'a' as Brand, 1 as `2024-01`, 1 as _source_row").where("Brand = ''"), str(tmp_path / "out"))
-    assert read_csv(spark, str(tmp_path / "out")).columns == ["Brand", "2024-01"]
+    assert read_csv(spark, str(tmp_path / "out"), misfit=None).columns == ["Brand", "2024-01"]
 
 
 def test_header_detection_on_a_short_sheet(spark):
