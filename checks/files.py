@@ -24,7 +24,7 @@ from tablesmith.sinks.tables import (
     write_report,
 )
 from tablesmith.plans.transform import transform_wide
-from tablesmith.sources.delimited import read_numbered
+from tablesmith.sources.delimited import catalog_of_files, read_numbered
 from tablesmith.sources.files import read_csv, read_json, read_parquet, read_table, read_tsv, read_xml, sample
 from tablesmith.sources.numbering import number_parquet_rows, number_text_rows
 
@@ -204,6 +204,34 @@ def _(spark, sf_dir):
     return split_duplicates(numbered).issues
 
 
+# A hundred files; every third has another header, and a blank line stands in front of each fourth.
+_MANY = """select cast(o_orderkey % 100 as int) as part, row_number() over (partition by o_orderkey % 100 order by o_orderkey) as n,
+    cast(o_orderkey as varchar(20)) as k, o_orderpriority as p, cast(o_custkey as varchar(20)) as c from orders"""
+
+
+@query(
+    "s11_catalog_many",
+    f"""with firsts as (select * from ({_MANY}) as t where n <= 12),
+        cols as (select part, 0 as col_pos, 'Key' as col_name, string_agg(k, '|' order by n) as sample from firsts group by part
+          union all select part, 1, case when part % 3 = 0 then 'Column_2' else 'Priority' end, string_agg(p, '|' order by n) from firsts group by part
+          union all select part, 2, 'Key_2', string_agg(c, '|' order by n) from firsts where part % 3 = 0 group by part)
+        select part, 'data' as sheet, cast(col_pos as int) as col_pos, col_name, sample from cols""",
+)
+def _(spark, sf_dir):
+    path, orders = scratch_path(spark, "s11-many"), table(spark, sf_dir, "orders")
+    rows = spark.sql(_MANY.replace("from orders", "from {orders}"), orders=orders)
+    wide = F.col("part") % 3 == 0
+    line = F.when(wide, F.concat_ws(",", "k", "p", "c")).otherwise(F.concat_ws(",", "k", "p"))
+    parts = spark.range(100).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("n"), F.when(F.col("id") % 3 == 0, "Key,,key").otherwise("Key,Priority").alias("line"))
+    blank = spark.range(0, 100, 4).select(F.col("id").cast("int").alias("part"), F.lit(-1).alias("n"), F.lit("").alias("line"))
+    lines = rows.select("part", "n", line.alias("line")).unionByName(parts).unionByName(blank)
+    lines.repartition(4, "part").sortWithinPartitions("part", "n").select("part", "line").write.partitionBy("part").text(path)
+    found = catalog_of_files(spark, path)
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part")
+    name = F.regexp_replace("col_name", "^key_2$", "Key_2").alias("col_name")
+    return found.select(part, "sheet", "col_pos", name, F.array_join("sample", "|").alias("sample"))
+
+
 @query("s11_sample_rows", "select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey limit 12")
 def _(spark, sf_dir):
     return sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").orderBy("o_orderkey"))

@@ -7,7 +7,7 @@ from checks.fixtures import WIDE_HEADERS, table, view
 from checks.registry import query
 from checks.scalars import LONG_PERIOD_SQL
 from tablesmith.functions.text import collapse_whitespace
-from tablesmith.operators.portfolio import totals_by_dimension
+from tablesmith.operators.portfolio import totals_by_dimension, totals_rollup
 from tablesmith.operators.reshape import (
     append_outputs,
     append_runs,
@@ -21,6 +21,8 @@ from tablesmith.operators.reshape import (
     wide_to_target,
 )
 from tablesmith.plans.transform import transform_long, transform_wide
+from tablesmith.session import scratch_path
+from tablesmith.sinks.tables import read_runs, write_run
 
 PERIODS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)]
 MONTHS = dict(zip(WIDE_HEADERS, ["1997-01", "1997-02", "1997-03", "1997-04"]))
@@ -132,6 +134,19 @@ def _(spark, sf_dir):
     return visible(_long_result(spark, sf_dir, periods=PERIODS, null_fact="null").rows)
 
 
+@query(
+    "r2_period_map",
+    _LONG + f"""select {_DIMS}, {_FIRST}, string_agg(period || '=' || cast(cast(total as bigint) as varchar), ',' order by period) as periods from (
+        select {_DIMS}, period, sum(coalesce(quantity, 0)) as total, min(source_row) as source_row, arg_min(struct_pack(q := quantity), source_row).q as quantity
+        from valid group by {_DIMS}, period) as t group by {_DIMS}""",
+)
+def _(spark, sf_dir):
+    """One map per group, for any number of periods; here as text, since maps cannot be compared."""
+    rows = visible(_long_result(spark, sf_dir, as_map=True).rows)
+    entries = F.transform(F.map_entries("periods"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("bigint").cast("string")))
+    return rows.withColumn("periods", F.array_join(entries, ","))
+
+
 @query(
     "r2_discovered_periods",
     _LONG + f"""select {_DIMS}, period, sum(coalesce(quantity, 0)) as value from valid group by {_DIMS}, period""",
@@ -193,6 +208,19 @@ def _(spark, sf_dir):
     return rows.drop("Fact", "_source_trace")
 
 
+@query(
+    "a11_rollup",
+    f"""select canal as "Channel", categoria as "Category", marca as "Brand", cast(3 - bit_count(grouping_id(canal, categoria, marca)) as int) as _level,
+        count(*) as row_count, {_SUMS} from (select * replace (case when categoria = '1-URGENT' then null else categoria end as categoria) from shipments_wide where {_STRICT}) as t
+        group by rollup (canal, categoria, marca)""",
+)
+def _(spark, sf_dir):
+    """Sub-totals next to rows whose category is null in the data."""
+    rows = wide_to_target(view(spark, sf_dir, "shipments_wide"), WIDE_MAPPING).rows
+    rows = rows.withColumn("Category", F.when(F.col("Category") != "1-URGENT", F.col("Category")))
+    return totals_rollup(rows, ["Channel", "Category", "Brand"], list(MONTHS.values()))
+
+
 _TWO_SHEETS = f"""
 select 'North' as sheet, pais as "Country", canal as "Channel", p1 as "1997-01", p2 as "1997-02", cast(null as double) as "1997-03" from shipments_wide
 union all select 'South', pais, cast(null as varchar), cast(null as double), p2, p3 from shipments_wide
@@ -218,6 +246,15 @@ def _(spark, sf_dir):
     return append_runs({11: north, 12: south})
 
 
+@query("u3_runs_dataset", f"select cast(case sheet when 'North' then 11 else 12 end as bigint) as job_id, * from ({_TWO_SHEETS}) as t")
+def _(spark, sf_dir):
+    """Runs written one by one into one dataset; the first is written twice."""
+    folder, (north, south) = scratch_path(spark, "u3"), _two_sheets(spark, sf_dir)
+    for job, rows in ((11, south), (12, south), (11, north)):
+        write_run(rows, folder, job)
+    return read_runs(spark, folder)
+
+
 _DISTINCT = "qualify row_number() over (partition by pais, region, canal, categoria, display_year, periodo, quantity order by source_row) = 1"
 _RUN = f"""
 with cleaned as (select * replace ({cleaned_sql("pais")} as pais) from shipments_long),

@@ -9,7 +9,7 @@ from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import first_filled, strip
 from tablesmith.operators.cleaning import Result, issue_log
 from tablesmith.operators.lookup import lookup_join
-from tablesmith.operators.reshape import SOURCE_ROW, SOURCE_TRACE, distinct_periods, selected_targets
+from tablesmith.operators.reshape import PERIOD_MAP, SOURCE_ROW, SOURCE_TRACE, distinct_periods, selected_targets
 from tablesmith.schema import AGGREGATE_ROW, INVALID_FACT, MATRIX_RESULT, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
 from tablesmith.session import materialize
 from tablesmith.sources.cells import data_sheets, filled, table_key
@@ -168,6 +168,16 @@ def matrix_to_wide(long: DataFrame, periods: list[str] | None = None, max_period
     return long.select(*kept, *[F.when(F.col("period") == p, F.col("value")).alias(p) for p in periods])
 
 
+def matrix_to_map(long: DataFrame) -> DataFrame:
+    """The same rows with a map ``periods`` from the one period of each to its value, for any number of periods.
+
+    A value that is no number is logged by :func:`records_to_target` and gives an empty map.
+    """
+    kept = [F.col(quoted(n)) for n in long.columns if n not in ("period", "value")]
+    entry = F.when(F.col("value").isNotNull(), F.create_map("period", "value"))
+    return long.select(*kept, F.coalesce(entry, F.create_map().cast("map<string,double>")).alias(PERIOD_MAP))
+
+
 def unlisted_periods(long: DataFrame, periods: list[str]) -> DataFrame:
     """One log entry for every matrix value whose period is not among ``periods``."""
     other = long.where(~F.col("period").isin(periods)).withColumnRenamed(SOURCE_ROW, ROW_ID)

@@ -54,6 +54,19 @@ def totals_by_dimension(df: DataFrame, dimension: str, periods: list[str]) -> Da
     )
 
 
+def totals_rollup(df: DataFrame, dimensions: list[str], periods: list[str]) -> DataFrame:
+    """Row count and sums of the period columns for each prefix of ``dimensions``, down to the grand total.
+
+    ``_level`` is the number of dimensions that a row is told by, so that a null of the data is
+    not taken for a sub-total: rows of the full number are those of ``totals_by_dimension`` over
+    all of them, and the row of level 0 is the total.
+    """
+    keys = [F.col(quoted(d)) for d in dimensions]
+    level = len(dimensions) - F.bit_count(F.grouping_id())
+    sums = [F.sum(F.col(quoted(p)).cast("double")).alias(p) for p in periods]
+    return df.rollup(*keys).agg(level.cast("int").alias("_level"), F.count("*").alias("row_count"), *sums)
+
+
 def with_run_info(rows: DataFrame, run_info: DataFrame, spread: str = SOURCE_ROW) -> DataFrame:
     """Add the run's columns to its cleaned rows; one run may hold most of the rows."""
     return lookup_join(rows, run_info, ["job_id"], F.col(quoted(spread)), "left")

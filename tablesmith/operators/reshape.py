@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablesmith.functions.dates import header_is_period, header_period, long_period
 from tablesmith.functions.numbers import parse_numeric
 from tablesmith.functions.text import trace_json
-from tablesmith.operators.cleaning import Result, Scope, cells_of, invalid_numbers, issue_log, scope_names, strict_aggregate
-from tablesmith.schema import AGGREGATE_ROW, INVALID_PERIOD, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
+from tablesmith.operators.cleaning import Result, Scope, cells_of, invalid_numbers, issue_log, row_key, scope_names, strict_aggregate
+from tablesmith.schema import AGGREGATE_ROW, DETAILS, INVALID_PERIOD, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
 from tablesmith.session import compute_once
 
 SOURCE_ROW = "_source_row"
 SOURCE_TRACE = "_source_trace"
 # A table has one column per period; by default more than this is taken for a wrong period
-# column. Tables with more periods stay in long form (``long_rows``).
+# column. Tables of any number of periods have them in one column of maps instead.
 MAX_PERIODS = 10_000
+PERIOD_MAP = "periods"
 
 Mapping = dict[str, str | None]
 
@@ -111,12 +112,14 @@ def distinct_periods(df: DataFrame, column: str = "period", max_periods: int | N
     most = MAX_PERIODS if max_periods is None else max_periods
     found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"more than {most} periods: check the year and period columns, or use the long form")
+        raise ValueError(f"more than {most} periods: check the year and period columns, or ask for a map of periods")
     return sorted(row[0] for row in found)
 
 
-def sum_by_period(df: DataFrame, keys: list[str], periods: list[str] | None = None, null_fact: str = "zero") -> DataFrame:
-    """Group by ``keys`` and sum ``fact`` into one column per ``period``.
+def sum_by_period(
+    df: DataFrame, keys: list[str], periods: list[str] | None = None, null_fact: str = "zero", as_map: bool = False
+) -> DataFrame:
+    """Group by ``keys`` and sum ``fact`` into one column per ``period``, or into one map of them.
 
     ``df`` has the keys, ``period``, ``fact`` and a unique ``source_row``; the first row's
     fact and number are carried along. The first aggregate works on (keys, period) and
@@ -125,15 +128,18 @@ def sum_by_period(df: DataFrame, keys: list[str], periods: list[str] | None = No
     ``periods`` does not list still make up groups; ``long_to_wide`` logs them.
     """
     names = [F.col(quoted(k)) for k in keys]
-    periods = distinct_periods(df) if periods is None else periods
+    periods = distinct_periods(df) if periods is None and not as_map else periods
     fact = F.coalesce("fact", F.lit(0.0)) if null_fact == "zero" else F.col("fact")
     cells = df.groupBy(*names, "period").agg(
         F.sum(fact).alias("total"), F.min(ROW_ID).alias("first_row"), F.min_by("fact", ROW_ID).alias("first_fact")
     )
+    filled = F.col("period").isNotNull() & F.col("total").isNotNull()
+    listed = filled if periods is None else filled & F.col("period").isin(periods)
+    as_one = F.map_from_entries(F.array_sort(F.collect_list(F.when(listed, F.struct("period", "total"))))).alias(PERIOD_MAP)
     return cells.groupBy(*names).agg(
         F.min_by("first_fact", "first_row").alias("Fact"),
         F.min("first_row").alias(SOURCE_ROW),
-        *[F.max(F.when(F.col("period") == p, F.col("total"))).alias(p) for p in periods],
+        *[as_one] if as_map else [F.max(F.when(F.col("period") == p, F.col("total"))).alias(p) for p in periods],
     )
 
 
@@ -163,6 +169,23 @@ def long_rows(
     return compute_once(df, columns)
 
 
+def period_issues(
+    df: DataFrame, period: Column, periods: list[str] | None = None, row_id: str = ROW_ID, scope: Scope = None
+) -> DataFrame:
+    """One log entry for every row without a period, or with one that ``periods`` does not list.
+
+    The period is computed once per row.
+    """
+    names = [F.col(quoted(n)) for n in row_key(row_id, scope)]
+    read = compute_once(df, [*names, period.alias("_period")])
+    kind = F.when(F.col("_period").isNull(), INVALID_PERIOD)
+    kind = kind if periods is None else kind.when(~F.col("_period").isin(periods), UNLISTED_PERIOD)
+    tagged = compute_once(read, [*names, kind.alias("issue_type")]).where("issue_type is not null")
+    detail = F.when(F.col("issue_type") == INVALID_PERIOD, DETAILS[INVALID_PERIOD]).otherwise(DETAILS[UNLISTED_PERIOD])
+    own = [F.col(quoted(n)) for n in scope_names(scope)]
+    return tagged.select(*own, F.col(quoted(row_id)).cast("bigint").alias(ROW_ID), "issue_type", detail.alias("detail"))
+
+
 def long_to_wide(
     df: DataFrame,
     mapping: Mapping,
@@ -174,9 +197,13 @@ def long_to_wide(
     row_id: str = ROW_ID,
     scope: Scope = None,
     max_periods: int | None = None,
+    as_map: bool = False,
 ) -> Result:
     """Long tables (one row per period) to one row per group with a column per period.
 
+    ``as_map`` gives one column ``periods`` instead, a map from period to sum, for any number of
+    periods; nothing is read beforehand to find them.
+
     Rows without a valid period are logged and left out. Rows of a period that ``periods``
     does not list are logged; they count for their group's first row only. A null fact counts as 0, or as missing with
     ``null_fact="null"``; a fact that is text but no number is logged, too. With ``scope``
@@ -186,10 +213,11 @@ def long_to_wide(
     targets = selected_targets(required)
     period = _long_period(year_column, period_column)
     listed = periods is not None
-    periods = distinct_periods(df.select(period), max_periods=max_periods) if periods is None else periods
+    if periods is None and not as_map:
+        periods = distinct_periods(df.select(period), max_periods=max_periods)
     valid = long_rows(df, mapping, year_column, period_column, required, row_id, scope).where("period is not null")
     keys = [*source_names(scope), *[t for t in targets if t != "Fact"]]
-    wide = sum_by_period(valid, keys, periods, null_fact)
+    wide = sum_by_period(valid, keys, periods, null_fact, as_map)
     fixed = {*targets, "Fact", SOURCE_ROW, *source_names(scope)}
     trace = trace_json({t: mapping.get(t) for t in targets}).alias(SOURCE_TRACE)
     out = wide.select(
@@ -201,10 +229,7 @@ def long_to_wide(
     )
     fact = mapping.get("Fact")
     text_fact = fact in df.columns and isinstance(df.schema[fact].dataType, T.StringType)
-    issues = issue_log(df.where(period.isNull()), INVALID_PERIOD, row_id=row_id, scope=scope)
-    if listed:
-        other = df.where(period.isNotNull() & ~period.isin(periods))
-        issues = issues.unionByName(issue_log(other, UNLISTED_PERIOD, row_id=row_id, scope=scope))
+    issues = period_issues(df, period, periods if listed else None, row_id, scope)
     return Result(out, issues.unionByName(invalid_numbers(df, [fact], row_id, scope)) if text_fact else issues)
 
 
@@ -223,7 +248,7 @@ def append_outputs(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def append_runs(frames: dict[int, DataFrame]) -> DataFrame:
-    """Append the outputs of several runs, each marked with its ``job_id``."""
+    """Append the outputs of several runs, each marked with its ``job_id`` (see ``sinks.tables.write_run``)."""
     return append_outputs([df.select(F.lit(job).cast("bigint").alias("job_id"), "*") for job, df in frames.items()])
 
 

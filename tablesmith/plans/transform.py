@@ -135,12 +135,16 @@ def transform_long(
     source_file: str | None = None,
     row_id: str = ROW_ID,
     scope: Scope = None,
+    as_map: bool = False,
 ) -> Outcome:
-    """A table with a row per period, named by a year and a period column."""
+    """A table with a row per period, named by a year and a period column.
+
+    ``as_map`` keeps the periods of a row in one map, so that there may be any number of them.
+    """
     required, paths = list(required), []
     needed = _sources(source, mapping, [*required, "Fact"]) | {year_column, period_column}
     cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id, scope, needed, paths)
-    shaped = long_to_wide(cleaned.rows, mapping, year_column, period_column, required, periods, null_fact, row_id, scope)
+    shaped = long_to_wide(cleaned.rows, mapping, year_column, period_column, required, periods, null_fact, row_id, scope, as_map=as_map)
     rows = materialize(shaped.rows, "rows", paths)
     issues = cleaned.issues.unionByName(shaped.issues)
     summary = reconciliation(totals, rows, issues, job_id, source_file)

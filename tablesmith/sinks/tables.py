@@ -25,9 +25,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def _log_columns(issues: DataFrame) -> list[Column]:
-    """The columns of a log; the sheet comes first where rows are named by it."""
-    sheet = [F.col(SHEET)] if SHEET in issues.columns else []
-    return [*sheet, *[F.col(f.name).cast(f.dataType) for f in ISSUE_SCHEMA.fields]]
+    """The columns of a log; file and sheet come first where rows are named by them."""
+    scope = [F.col(n) for n in ("file", SHEET) if n in issues.columns]
+    return [*scope, *[F.col(f.name).cast(f.dataType) for f in ISSUE_SCHEMA.fields]]
 
 
 def write_issue_log(issues: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -84,3 +84,18 @@ def write_bi_package(
     for name, df in zip(BI_TABLES, frames):
         df.write.mode(mode).parquet(paths[name])
     return paths
+
+
+def write_run(rows: DataFrame, folder: str, job_id: int) -> None:
+    """The output of a run into the dataset of all runs, as the partition of its ``job_id``.
+
+    Writing a job again replaces its rows and no others. Runs may differ in their columns.
+    """
+    marked = visible(rows).withColumn("job_id", F.lit(job_id).cast("bigint"))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(folder)
+
+
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The dataset of all runs; a column that a run lacks is null. A filter on ``job_id`` reads only those runs."""
+    runs = spark.read.option("mergeSchema", True).parquet(folder)
+    return runs.select(F.col("job_id").cast("bigint").alias("job_id"), *[F.col(quoted(n)) for n in runs.columns if n != "job_id"])

@@ -2,7 +2,10 @@
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablesmith.operators.lookup import lookup_join
 from tablesmith.schema import MISFIT, ROW_ID, quoted
@@ -77,3 +80,32 @@ def read_numbered(
     source = [] if across_files else [F.col("_file").alias("file")]
     out = compute_once(rows, [number, *source, F.coalesce(*parsed).alias("_row")])
     return out.select(row_id, *([] if across_files else ["file"]), *[F.col("_row")[n].alias(n) for n in [*columns, misfit]])
+
+
+def catalog_of_files(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8", n: int = 12, sheet: str = "data") -> DataFrame:
+    """The column catalog of all files at once: ``(file, sheet, col_pos, col_name, sample)``.
+
+    One job takes the first lines of every file that are not blank: its header and ``n`` rows.
+    The limit per file is applied before anything is shuffled. Empty files have no columns.
+    """
+    text = spark.read.option("encoding", encoding).text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    # A file's first lines are in its first split, or, if lines are very long, in the next ones.
+    filled = text.select(*place, "value").where(F.trim("value", F.lit(f" \t{BOM}")) != "")
+    order = Window.partitionBy("file").orderBy("_block", "_at")
+    first = filled.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= n + 1)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_row", "value"))), lambda r: r["value"]).alias("lines")
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for file, own in zip(batch["file"].to_pylist(), batch["lines"].to_pylist()):
+                header, *rows = csv.reader([own[0].lstrip(BOM), *own[1:]], delimiter=sep)
+                for i, name in enumerate(unique_names(header)):
+                    out.append((file, i, name, [r[i] if i < len(r) and r[i] != "" else None for r in rows]))
+            types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
+            fields = ["file", "col_pos", "col_name", "sample"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=fields)
+
+    found = first.groupBy("file").agg(lines).mapInArrow(columns, "file string, col_pos int, col_name string, sample array<string>")
+    return found.select("file", F.lit(sheet).alias("sheet"), "col_pos", "col_name", F.array_compact("sample").alias("sample"))

@@ -9,7 +9,7 @@ from tablesmith.operators.reconcile import reconciliation
 from tablesmith.sinks.tables import run_report, write_csv, write_issue_log, write_report
 from tablesmith.sources.cells import catalog_of, catalog_of_cells, header_names, header_rows, sheet_records, sheet_union
 from tablesmith.session import release
-from tablesmith.sources.delimited import read_numbered
+from tablesmith.sources.delimited import catalog_of_files, read_numbered
 from tablesmith.sources.files import (
     header_kinds,
     read_csv,
@@ -265,3 +265,17 @@ def metric_summary(spark):
     rows = spark.sql("select 1 as source_row, 'x' as Brand union all select 2, 'x'")
     totals = spark.sql("select 2L as input_rows, 0L as null_cells_in_source")
     return reconciliation(totals, rows, issue_log(rows, "DUPLICATE_REMOVED"), 1, "f")
+
+
+def test_catalog_of_many_files_is_one_job(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i:03}.csv").write_text(f'Brand,"Qty, {i % 2}",brand\n\n' + "".join(f'b{j},{j},"x ""{i}"""\n' for j in range(20)))
+    (tmp_path / "empty.csv").write_text("\n")
+    spark.sparkContext.setJobGroup("catalog", "catalog")
+    try:
+        got = catalog_of_files(spark, str(tmp_path), n=3).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("catalog")) <= 2
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    one = {r["col_pos"]: (r["col_name"], r["sample"]) for r in got if r["file"].endswith("/007.csv")}
+    assert len(got) == 900 and one == {0: ("Brand", ["b0", "b1", "b2"]), 1: ("Qty, 1", ["0", "1", "2"]), 2: ("brand_2", ['x "7"'] * 3)}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tablesmith.operators.cleaning import clean_fields, clean_rows, clean_values, field_kind, remove_bad_rows, split_duplicates, tag_rows
 from tablesmith.operators.lookup import lookup_join, salts_for
-from tablesmith.operators.matrix import column_letter, matrix_to_target, matrix_to_wide
+from tablesmith.operators.matrix import column_letter, matrix_to_map, matrix_to_target, matrix_to_wide
+from tablesmith.operators.portfolio import totals_rollup
 from tablesmith.operators.reconcile import column_profile, metric_rows
 from tablesmith.operators.reshape import (
     absent_sources,
@@ -21,6 +22,7 @@ from tablesmith.operators.reshape import (
     wide_to_target,
 )
 from tablesmith.plans.transform import transform_long, transform_matrix, transform_sheets, transform_wide
+from tablesmith.sinks.tables import read_runs, write_run
 from tablesmith.sources.cells import header_names, header_rows, sheet_records, sheet_union
 
 COLUMNS = [f"c{i}" for i in range(9)]
@@ -359,3 +361,48 @@ def test_wide_sheets_and_late_headers(spark):
     first = out.where("sheet = 'S'").first()
     assert first["c2999"] == "2999" and first["c7"] == "0" and first["Brand"] is None
     assert rows_of(header_names(cells, heads).where("sheet = 'T' or col_idx = 5"), "sheet", "header_row", "col_idx", "name") == [("S", 20, 5, "c5"), ("T", 1, 0, "Brand")]
+
+
+def test_period_map_has_no_limit(spark):
+    rows = spark.range(10_002).select(
+        (F.col("id") + 1).alias("source_row"), F.lit("a").alias("Brand"), (F.floor(F.col("id") / 12)).cast("string").alias("year"),
+        F.concat(F.lit("P"), F.col("id") % 12 + 1).alias("month"), F.lit(2.0).alias("qty"),
+    )
+    run = transform_long(rows, {"Brand": "Brand", "Fact": "qty"}, "year", "month", required=["Brand", "Fact"], as_map=True)
+    row = run.rows.first()
+    assert len(row["periods"]) == 10_002 and set(row["periods"].values()) == {2.0} and row["periods"]["0833-06"] == 2.0
+    run.release()
+    few = transform_long(rows, {"Brand": "Brand", "Fact": "qty"}, "year", "month", required=["Brand"], periods=["0001-02"], as_map=True)
+    assert few.rows.first()["periods"] == {"0001-02": 2.0}
+    assert few.issues.where("issue_type = 'UNLISTED_PERIOD'").count() == 10_001
+
+
+def test_matrix_as_map(spark):
+    long = matrix_to_target(sheet(spark, {"KG": GRID})).rows
+    wide, maps = matrix_to_wide(long), matrix_to_map(long)
+    filled = lambda r: {k: v for k, v in r.items() if k[:2] == "20" and v is not None}
+    place = lambda r: (r["_source_row"], r["_source_column"])
+    assert {place(r): filled(r.asDict()) for r in wide.collect()} == {place(r): r["periods"] for r in maps.collect()}
+
+
+def test_rollup_tells_nulls_from_totals(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", "x", 2.0), (None, "x", 4.0)], "Channel string, Brand string, `2024-01` double")
+    got = rows_of(totals_rollup(df, ["Channel", "Brand"], ["2024-01"]), "_level", "Channel", "Brand", "row_count", "2024-01")
+    assert got == [
+        (0, None, None, 3, 7.0), (1, "a", None, 2, 3.0), (1, None, None, 1, 4.0),
+        (2, "a", "x", 1, 2.0), (2, "a", None, 1, 1.0), (2, None, "x", 1, 4.0),
+    ]
+
+
+def test_runs_as_one_dataset(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    run = lambda brand, column: spark.createDataFrame([(brand, 1.0, 1)], f"Brand string, `{column}` double, _source_row bigint")
+    write_run(run("old", "2024-01"), folder, 1)
+    write_run(run("b", "2024-02"), folder, 2)
+    kept = sorted(p.name for p in (tmp_path / "runs" / "job_id=2").glob("*.parquet"))
+    write_run(run("new", "2024-01"), folder, 1)
+    assert sorted(p.name for p in (tmp_path / "runs" / "job_id=2").glob("*.parquet")) == kept
+    runs = read_runs(spark, folder)
+    assert rows_of(runs, "job_id", "Brand", "2024-01", "2024-02") == [(1, "new", 1.0, None), (2, "b", None, 1.0)]
+    plan = runs.where("job_id = 2")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(job_id" in plan
