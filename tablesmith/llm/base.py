@@ -19,6 +19,31 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def with_rows(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``df`` with a number ``row`` of its own for every row: the ``doc_id`` where only one row has it.
+
+    Rows without a ``doc_id``, or with one that others have too, get numbers above all ids (below
+    all, if there is no room above). Only such rows are stored, so that a number stays with its
+    row wherever it is read; without any, finding that out is one count of the ids.
+    """
+    counts = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    odd = materialize(counts.select("doc_id"), "odd-ids", paths)
+    if odd.isEmpty():
+        return df.withColumn("row", F.col("doc_id"))
+    low, top = df.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, top = (-1, -1) if top is None else (low, top)
+    # Numbers of rows in tasks stay below 2**60.
+    above = top < 2**63 - 2**60
+    if not above and low < -(2**63) + 2**60:
+        raise ValueError("the ids leave no room for numbers of rows without an id of their own")
+    number = F.monotonically_increasing_id()
+    number = F.lit(top + 1).cast("bigint") + number if above else F.lit(low - 1).cast("bigint") - number
+    shared = df.join(odd, df["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi")
+    shared = materialize(shared.withColumn("row", number), "odd-rows", paths)
+    single = df.where("doc_id is not null").join(odd, "doc_id", "left_anti")
+    return single.select(*df.columns, F.col("doc_id").alias("row")).unionByName(shared)
+
+
 def few(df: DataFrame, *lists: str, limit: int = BROADCAST_VALUES) -> DataFrame:
     """``df`` with a broadcast hint if counting proves it small; ``df`` should be stored.
 

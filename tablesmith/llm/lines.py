@@ -2,15 +2,16 @@
 
 import re
 from bisect import bisect_left
-from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh32_intdigest
 
 from tablesmith.llm.arrow import map_texts
-from tablesmith.llm.base import texts
+from tablesmith.llm.base import texts, with_rows
+from tablesmith.llm.shingles import mix, powers
 from tablesmith.session import materialize
 
 # Units of fewer words are common phrases, list marks or brackets; they stay.
@@ -24,22 +25,30 @@ UNSPACED = (
 LONG_WORDS = 40
 LINE = re.compile(r"[^\n]+")
 STOP = re.compile("[.!?] ")
-WORD = re.compile(r"\S+")
 UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
 MIXED = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+# Whether a character is white space; there is none beyond the last place.
+BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 SPANS = "array<struct<start: int, end: int>>"
 
 
 class Checksums(dict):
-    """Of words, each computed once."""
+    """64-bit hashes of words, the low half a checksum; each computed once."""
 
     def __missing__(self, word: str) -> int:
-        self[word] = crc32(word.encode("utf-8", "surrogatepass"))
+        raw = word.encode("utf-8", "surrogatepass")
+        self[word] = crc32(raw) | xxh32_intdigest(raw) << 32
         return self[word]
 
 
-def _digest(words: list[str]) -> bytes:
-    return blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each range of words, from two sums over all of them."""
+    up, down = powers(max(12, int(len(hashes)).bit_length()))
+    out = []
+    for shift in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + shift) * up[: len(hashes)])])
+        out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def _ends(keys: np.ndarray, unspaced: np.ndarray | None, least: int) -> list[int]:
@@ -78,20 +87,29 @@ def _phrases(keys: np.ndarray, unspaced: np.ndarray | None, size, min_words: int
         yield held[0], len(keys)
 
 
+def _word_places(text: str) -> tuple[list[int], list[int]]:
+    """Where the words of a text, as ``str.split`` sees them, start and end."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = BLANK[np.minimum(codes, len(BLANK) - 1)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    return edges[::2].tolist(), edges[1::2].tolist()
+
+
 def _units(text: str, min_words: int, checksums: Checksums):
-    """``start, end, digest`` of the lines, of the sentences of longer lines, of the phrases of the whole text."""
+    """``start, end, d1, d2`` (arrays) of the lines, of the sentences of longer lines, of the phrases of the whole text."""
     low = text.lower()
     if UNSPACED_SIGN.search(text):
-        spans, words = [m.span() for m in MIXED.finditer(text)], MIXED.findall(low)
+        words = MIXED.findall(low)
+        starts, ends = ([at(m) for m in MIXED.finditer(text)] for at in (re.Match.start, re.Match.end))
         unspaced = np.fromiter((UNSPACED_SIGN.match(w) is not None for w in words), bool, len(words))
         sums = np.concatenate([[0], np.cumsum(np.where(unspaced, 1, 2))]).tolist()
         size = lambda i, j: (sums[j] - sums[i]) / 2
     else:
-        spans, words, unspaced = [m.span() for m in WORD.finditer(text)], low.split(), None
+        (starts, ends), words, unspaced = _word_places(text), low.split(), None
         size = lambda i, j: j - i
     if not size(0, len(words)) >= min_words:
-        return
-    starts, found = [s for s, _ in spans], {}
+        return None
+    found: dict[tuple, tuple] = {}
     for line in LINE.finditer(text):
         first, last = line.span()
         stops = [m.start() + 1 for m in STOP.finditer(text, first, last)]
@@ -100,54 +118,54 @@ def _units(text: str, min_words: int, checksums: Checksums):
             i, j = bisect_left(starts, start), bisect_left(starts, end)
             if size(i, j) >= min_words:
                 found.setdefault((i, j), (start, end))
-    keys = np.fromiter(map(checksums.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(checksums.__getitem__, words), np.uint64, len(words))
+    keys = hashes & np.uint64(0xFFFFFFFF)
     # Of a word and the next one, so that one common word alone does not decide.
     keys = keys * np.uint64(0x9E3779B97F4A7C15) + np.append(keys[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)
     for i, j in _phrases(keys ^ (keys >> np.uint64(29)), unspaced, size, min_words):
-        found.setdefault((i, j), (spans[i][0], spans[j - 1][1]))
-    for (i, j), (start, end) in found.items():
-        yield start, end, _digest(words[i:j])
+        found.setdefault((i, j), (starts[i], ends[j - 1]))
+    ranges, places = (np.array(list(x), np.int64).reshape(-1, 2) for x in (found.keys(), found.values()))
+    return (*places.T, *_digests(hashes, *ranges.T))
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, start, end, digest`` of all units; offsets in code points, end exclusive.
+def units(whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``row, start, end, d1, d2`` of all units of ``whole (row, text)``; offsets in code points, end exclusive.
 
     A unit is a line, and in a line of several sentences also each sentence (up to a full
     stop, question or exclamation mark before a space, without that space), if it has
     ``min_words``. The whole text is also cut into phrases of ``min_words`` or more at places
     that the words around them decide; they may run over the ends of sentences and short
     lines, so that a passage is found wherever it starts, but for a few words at its edges.
-    A digest is taken from the lower-case words with one space between; in scripts without
+    The digest, 128 bits, is taken from the sequence of lower-case words; in scripts without
     spaces a character is a word, and two of them count as one.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
-        ids, starts, ends, digests, checksums = [], [], [], [], Checksums()
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            for start, end, digest in _units(text, min_words, checksums):
-                ids.append(doc_id)
-                starts.append(start)
-                ends.append(end)
-                digests.append(digest)
-        return {"doc_id": ids, "start": starts, "end": ends, "digest": digests}
+        checksums, rows, columns = Checksums(), [], []
+        for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
+            if (own := _units(text, min_words, checksums)) is not None:
+                rows.append(np.full(len(own[0]), row))
+                columns.append(own)
+        joined = [np.concatenate(c) for c in (rows, *zip(*columns))] if rows else [np.zeros(0, np.int64)] * 5
+        return dict(zip(("row", "start", "end", "d1", "d2"), joined))
 
-    return map_texts(texts(docs), cut, "doc_id bigint, start int, end int, digest binary")
+    return map_texts(whole, cut, "row bigint, start bigint, end bigint, d1 bigint, d2 bigint")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, start, end`` of every unit whose digest occurs earlier; least (doc_id, start) first.
+def repeated_units(whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``row, start, end`` of every unit whose digest occurs earlier; least (row, start) first.
 
     What overlaps the first occurrence is the same text, not a repeat: a line and its only
     sentence have the same words.
     """
-    found = units(docs, min_words)
-    first = F.min(F.struct("doc_id", "start", "end")).alias("first")
-    known = found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
+    found = units(whole, min_words)
+    first = F.min(F.struct("row", "start", "end")).alias("first")
+    known = found.groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
     # Stored, so that the rows of one very common line are split over several tasks.
     known = materialize(known, "unit-digests")
-    at = F.struct("doc_id", "start", "end")
-    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("start") >= F.col("first.end"))
-    return found.join(known, "digest").where((at > F.col("first")) & apart).select("doc_id", "start", "end")
+    at = F.struct("row", "start", "end")
+    apart = ~F.col("row").eqNullSafe(F.col("first.row")) | (F.col("start") >= F.col("first.end"))
+    return found.join(known, ["d1", "d2"]).where((at > F.col("first")) & apart).select("row", "start", "end")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -157,9 +175,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     also within one document. The white space between units stays, but not inside a phrase. ``removed`` has merged,
     ascending spans in code points, end exclusive, and is empty where nothing went. Null
     texts count as empty; rows without units come back as they are; other columns are ignored.
-    ``doc_id`` is expected to be unique: rows that share one are each cut at the spans of all.
+    Each row is a document of its own; those without a ``doc_id``, or with one that other rows
+    have, too, come after all others, in any order. So of repeated rows one keeps its text.
     """
-    spans = repeated_units(docs, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    whole = with_rows(texts(docs))
+    spans = repeated_units(whole, min_words).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         kept, removed = [], []
@@ -178,5 +198,5 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             removed.append([{"start": s, "end": e} for s, e in merged])
         return {"doc_id": batch["doc_id"], "text": kept, "removed": removed}
 
-    joined = texts(docs).join(spans, "doc_id", "left")
+    joined = whole.join(spans, "row", "left")
     return map_texts(joined, cut, f"doc_id bigint, text string, removed {SPANS}")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesmith.llm.arrow import map_texts
-from tablesmith.llm.base import few, texts
+from tablesmith.llm.base import few, texts, with_rows
 from tablesmith.llm.shingles import powers, mix
 from tablesmith.session import materialize
 
@@ -89,10 +89,10 @@ def _pieces(raw: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 def _scan(batch: pa.RecordBatch, length: int) -> dict:
     """All contexts of a slice of documents."""
     names = ("anchor", "d1", "d2", "start", "end")
-    out = {n: [] for n in ("doc_id", *names)}
+    out = {n: [] for n in ("row", *names)}
     pieces = [
         (d, at, p)
-        for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
+        for d, t in zip(batch["row"].to_pylist(), batch["text"].to_pylist())
         for at, p in _pieces(t.encode("utf-8", "surrogatepass"), length)
     ]
     while pieces:
@@ -108,9 +108,9 @@ def _scan(batch: pa.RecordBatch, length: int) -> dict:
         shift = np.array([at for _, at, _ in some], np.int64)[text] - firsts[text]
         for name, values in zip(names, (*found[:3], found[3] + shift, found[4] + shift)):
             out[name].append(values)
-        out["doc_id"] += [some[i][0] for i in text.tolist()]
+        out["row"] += [some[i][0] for i in text.tolist()]
     joined = {n: np.concatenate(out[n]) if out[n] else np.zeros(0, np.int64) for n in names}
-    return {"doc_id": out["doc_id"], **joined}
+    return {"row": out["row"], **joined}
 
 
 def long_matches(many: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -190,9 +190,9 @@ def _index_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
     def index(rows: list[dict]) -> pa.RecordBatch:
         found = long_matches([r["data"] for r in rows], length)
-        spans = [(r["doc_id"], r["start"] + s, r["start"] + e) for r, own in zip(rows, found) if r["c"] == 1 for s, e in own]
+        spans = [(r["row"], r["start"] + s, r["start"] + e) for r, own in zip(rows, found) if r["c"] == 1 for s, e in own]
         columns = [pa.array([x[i] for x in spans], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays(columns, names=["row", "start", "end"])
 
     held, size = [], 0
     for batch in batches:
@@ -206,59 +206,61 @@ def _index_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         yield index(held)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, start, end``: spans of bytes covered by strings that also start elsewhere; they may overlap."""
-    whole = texts(docs)
-    schema = "doc_id bigint, anchor bigint, d1 bigint, d2 bigint, start bigint, end bigint"
+def repeated_spans(whole: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``row, start, end``: spans of bytes covered by strings that also start elsewhere; they may overlap.
+
+    ``whole`` has ``row``, which names a row, and ``text``.
+    """
+    schema = "row bigint, anchor bigint, d1 bigint, d2 bigint, start bigint, end bigint"
     each = materialize(map_texts(whole, lambda b: _scan(b, length), schema), "repeat-contexts")
     context = ["anchor", "d1", "d2"]
-    place = F.min(F.struct("doc_id", "start", "end")).alias("p")
+    place = F.min(F.struct("row", "start", "end")).alias("p")
     kinds = each.groupBy(*context).agg(F.count("*").alias("c"), place)
     kinds = materialize(kinds.select(*context, "c", "p.*"), "repeat-kinds")
     # A context that occurs twice is repeated as a whole.
     twice = kinds.where("c > 1").select(*context)
-    copies = each.join(twice, context, "left_semi").select("doc_id", "start", "end")
+    copies = each.join(twice, context, "left_semi").select("row", "start", "end")
     # Contexts that differ around one anchor are compared byte by byte.
     many = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("rare")).where("m > 1 and rare = 1")
     many = materialize(many.drop("rare"), "repeat-anchors")
-    wanted = kinds.join(many, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "c", "m", "start", "end")).alias("wanted"))
+    wanted = kinds.join(many, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "c", "m", "start", "end")).alias("wanted"))
     wanted = few(materialize(wanted, "repeat-wanted"), "wanted")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out = {n: [] for n in ("anchor", "c", "m", "doc_id", "start", "data")}
-        for doc_id, text, own in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist()):
+        out = {n: [] for n in ("anchor", "c", "m", "row", "start", "data")}
+        for row, text, own in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
             for w in own:
                 for name in ("anchor", "c", "m", "start"):
                     out[name].append(w[name])
-                out["doc_id"].append(doc_id)
+                out["row"].append(row)
                 out["data"].append(raw[w["start"] : w["end"]])
         return out
 
-    cuts = map_texts(whole.join(wanted, "doc_id"), cut, "anchor bigint, c bigint, m bigint, doc_id bigint, start bigint, data binary")
+    cuts = map_texts(whole.join(wanted, "row"), cut, "anchor bigint, c bigint, m bigint, row bigint, start bigint, data binary")
     cuts = materialize(cuts, "repeat-cuts")
-    small = cuts.where(F.col("m") <= GROUP).select("anchor", "c", "doc_id", "start", "data").distinct()
+    small = cuts.where(F.col("m") <= GROUP).select("anchor", "c", "row", "start", "data").distinct()
     small = small.repartition("anchor").sortWithinPartitions("anchor")
-    indexed = small.mapInArrow(lambda b: _index_groups(b, length), "doc_id bigint, start bigint, end bigint")
+    indexed = small.mapInArrow(lambda b: _index_groups(b, length), "row bigint, start bigint, end bigint")
 
     def windows(batch: pa.RecordBatch) -> dict:
-        out = {n: [] for n in ("doc_id", "start", "h1", "h2", "rare")}
-        for row in batch.to_pylist():
-            grams = _grams(np.frombuffer(row["data"], np.uint8))
-            starts = np.arange(len(row["data"]) - length + 1)
-            out["doc_id"] += [row["doc_id"]] * len(starts)
-            out["rare"] += [row["c"] == 1] * len(starts)
-            out["start"].append(starts + row["start"])
+        out = {n: [] for n in ("row", "start", "h1", "h2", "rare")}
+        for r in batch.to_pylist():
+            grams = _grams(np.frombuffer(r["data"], np.uint8))
+            starts = np.arange(len(r["data"]) - length + 1)
+            out["row"] += [r["row"]] * len(starts)
+            out["rare"] += [r["c"] == 1] * len(starts)
+            out["start"].append(starts + r["start"])
             for name, v in (("h1", grams), ("h2", mix(grams + np.uint64(0x5851F42D4C957F2D)))):
                 out[name].append(_hash(_sums(v), starts, starts + length - ANCHOR + 1).view(np.int64))
         arrays = {n: np.concatenate(out[n]) if out[n] else np.zeros(0, np.int64) for n in ("start", "h1", "h2")}
         return {**out, **arrays}
 
-    wide = cuts.where(F.col("m") > GROUP).select("c", "doc_id", "start", "data").distinct()
-    large = map_texts(wide, windows, "doc_id bigint, start bigint, h1 bigint, h2 bigint, rare boolean", "data")
+    wide = cuts.where(F.col("m") > GROUP).select("c", "row", "start", "data").distinct()
+    large = map_texts(wide, windows, "row bigint, start bigint, h1 bigint, h2 bigint, rare boolean", "data")
     again = large.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     again = materialize(again, "repeat-windows")
-    hashed = large.where("rare").join(again, ["h1", "h2"], "left_semi").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    hashed = large.where("rare").join(again, ["h1", "h2"], "left_semi").select("row", "start", (F.col("start") + length).alias("end"))
     return copies.union(indexed).union(hashed)
 
 
@@ -269,11 +271,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bytes covers which also starts anywhere else, in another document or the same one, also
     overlapping; what is left may thus end inside a character. Strings are judged on the input
     and never cross documents. ``removed`` has the maximal spans in bytes, ascending, end
-    exclusive. ``doc_id`` is expected to be unique: rows that share one are each cut at the
-    spans of all. Other columns are ignored.
+    exclusive. Each row is a document of its own, also without a ``doc_id`` or with one that
+    other rows have, too; so a repeated row loses all that is long enough, in each copy. Other
+    columns are ignored.
     """
-    span = F.struct("start", "end")
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    span, whole = F.struct("start", "end"), with_rows(texts(docs))
+    spans = repeated_spans(whole, length).groupBy("row").agg(F.collect_list(span).alias("spans"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("n_bytes", "removed", "kept")}
@@ -288,5 +291,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out["kept"].append(b"".join([*parts, raw[at:]]))
         return {"doc_id": batch["doc_id"], **out}
 
-    joined = texts(docs).join(spans, "doc_id", "left")
+    joined = whole.join(spans, "row", "left")
     return map_texts(joined, cut, f"doc_id bigint, n_bytes bigint, removed array<{SPAN}>, kept binary")

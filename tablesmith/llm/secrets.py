@@ -103,20 +103,21 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     document at most ``reach`` characters away: a key for an identifier or an endpoint, either
     of them for a key; plain secrets are complements too. A key may lie in its endpoint, but a
     weak key and an identifier that overlap are two readings of one word and do not link each
-    other. Parts are joined on the document and the cells of ``reach`` characters that they touch, a complement's widened by ``reach`` on
+    other. Parts are joined on the row and the cells of ``reach`` characters that they touch, a complement's widened by ``reach`` on
     both sides, so that a long document is spread over many tasks and no near pair is lost. Null
-    and empty texts have no spans, other columns are ignored; rows that repeat a ``doc_id``
-    form one scope and all get the union of their spans.
+    and empty texts have no spans, other columns are ignored. Each row is a scope of its own,
+    also without a ``doc_id`` or with one that other rows have, too.
     """
-    all_parts = materialize(parts(docs), "secret-parts")
-    one = all_parts.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").distinct()
+    # Rows are numbered where they are stored, so that a number stays with its row.
+    all_parts = materialize(parts(docs).withColumn("row", F.monotonically_increasing_id()), "secret-parts")
+    one = all_parts.select("row", F.explode("spans").alias("s")).select("row", "s.*").distinct()
     # Sides: 1 names or locates, 2 opens. Only unlike sides complement each other.
     one = one.withColumn("side", F.when(F.col("kind").isin("access", "id", "endpoint"), 1).otherwise(2))
     first, last = (F.floor(F.col(n) / reach).cast("int") for n in ("start", "end"))
     weak = one.where("not base").withColumn("cell", F.explode(F.sequence(first, last)))
-    other = one.select("doc_id", "kind", "side", "start", "end", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
+    other = one.select("row", "kind", "side", "start", "end", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
     near = (
-        (F.col("w.doc_id") == F.col("o.doc_id")) & (F.col("w.cell") == F.col("o.cell"))
+        (F.col("w.row") == F.col("o.row")) & (F.col("w.cell") == F.col("o.cell"))
         & (F.col("w.side") != F.col("o.side"))
         & (F.col("o.start") - F.col("w.end") <= reach) & (F.col("w.start") - F.col("o.end") <= reach)
         & ~(
@@ -126,6 +127,6 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     )
     linked = weak.alias("w").join(other.alias("o"), near, "left_semi").drop("cell")
     fields = F.struct("rank", "kind", "start", "end", "base")
-    kept = one.where("base").unionByName(linked).groupBy("doc_id").agg(F.collect_set(fields).alias("kept"))
-    joined = all_parts.select("doc_id").join(kept, "doc_id", "left")
+    kept = one.where("base").unionByName(linked).groupBy("row").agg(F.collect_set(fields).alias("kept"))
+    joined = all_parts.select("row", "doc_id").join(kept, "row", "left")
     return joined.select("doc_id", F.coalesce("kept", F.array().cast(kept.schema["kept"].dataType)).alias("spans"))
