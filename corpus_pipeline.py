@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesmith.llm.base import documents
+from tablesmith.llm.base import documents, with_rows
 from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.exact import exact_groups
 from tablesmith.llm.jaccard import similar_groups
@@ -14,55 +14,55 @@ from tablesmith.session import materialize
 ORACLE_SQL = None
 
 
-def _with_ids(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """``docs`` where each row without a ``doc_id`` has one of its own above all others; the id to give back."""
-    unnamed = docs.where("doc_id is null")
-    if unnamed.isEmpty():
-        return docs, F.col("doc_id")
-    top = docs.agg(F.max("doc_id")).first()[0]
-    top = F.lit(-1 if top is None else top).cast("bigint")
-    # Stored, so that a row has the same id wherever it is read.
-    unnamed = materialize(unnamed.withColumn("doc_id", top + 1 + F.monotonically_increasing_id()), "unnamed")
-    return docs.where("doc_id is not null").unionByName(unnamed), F.when(F.col("doc_id") <= top, F.col("doc_id"))
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with a number ``row`` each, and ``doc_id, text`` of them by that number.
+
+    It is the ``doc_id`` where only one row has it; rows without one, or with one that others
+    have too, come after all others (before them if ids next to 2**63 leave no room).
+    """
+    named = with_rows(docs.select("doc_id", "text", F.struct("*").alias("document")))
+    return named, named.select(F.col("row").alias("doc_id"), "text")
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame, how: str, own: Column) -> DataFrame:
-    columns = [own.alias("doc_id") if n == "doc_id" else n for n in docs.columns]
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(columns)
+def _of_rows(named: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    ids = found.select(F.col("doc_id").alias("row")).distinct()
+    return named.join(ids, "row", how).select("document.*")
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and texts without a letter, which are of no language.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[str] | None = None) -> DataFrame:
+    """Drops null texts and texts without a letter, which are of no language; with ``languages``, all others, too.
 
-    Without any labelled document nothing is learned, and still no other text is dropped.
+    The predicted language is written into ``lang`` where that is null. Without any labelled
+    document nothing is learned, and then no text with a letter is dropped.
     """
     whole = docs.select("text", F.struct("*").alias("document"))
     profiles = learn(docs.where(~F.coalesce(held_out(), F.lit(False)))) if "lang" in docs.columns else None
     if not (profiles and profiles.languages):
         return lettered(whole, "document").select("document.*")
-    return identify(whole, profiles, "document").where(F.col("lang_pred") != UNKNOWN).select("document.*")
+    kept = identify(whole, profiles, "document").where(F.col("lang_pred") != UNKNOWN)
+    kept = kept if languages is None else kept.where(F.col("lang_pred").isin(languages))
+    return kept.select(F.col("document").withField("lang", F.coalesce("document.lang", "lang_pred")).alias("document")).select("document.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least ``doc_id`` of each group of equal texts; rows without one come last, each on its own."""
-    docs, own = _with_ids(docs)
-    return _of_ids(docs, exact_groups(docs).where("kept"), "left_semi", own)
+    """Keeps the first row of each group of equal texts: the least ``doc_id``, rows without one of their own last."""
+    named, own = _rows(docs)
+    return _of_rows(named, exact_groups(own).where("kept"), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least ``doc_id`` of each group of near copies: five words, similarity 0.8.
+    """Keeps the first row of each group of near copies: five words, similarity 0.8.
 
-    Rows without a ``doc_id`` come last, each on its own.
+    The first is that of the least ``doc_id``; rows without one of their own come last.
     """
-    docs, own = _with_ids(docs)
-    return _of_ids(docs, similar_groups(docs, size=5, percent=80).where("doc_id = component_id"), "left_semi", own)
+    named, own = _rows(docs)
+    return _of_rows(named, similar_groups(own, size=5, percent=80).where("doc_id = component_id"), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, with a ``doc_id`` or not: five words, containment 0.8."""
-    docs, own = _with_ids(docs)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _of_ids(docs, contained_items(docs, items), "left_anti", own)
+    """Drops rows that hold a benchmark item, whatever their ``doc_id``: five words, containment 0.8."""
+    named, own = _rows(docs)
+    return _of_rows(named, contained_items(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
