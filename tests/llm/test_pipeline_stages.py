@@ -57,6 +57,26 @@ def test_stages_on_odd_rows(spark, make, name, stage):
     assert stage(spark, make([]), SF_DIR).collect() == []
 
 
+def test_rows_that_share_an_id(spark, make):
+    """A row is judged by its own text, not by that of another row with its id."""
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    assert rows(decontamination(spark, make([(5, item), (5, "clean words here"), (6, "more")]), SF_DIR)) == Counter([(5, "clean words here"), (6, "more")])
+    given = [(4, "one text"), (5, "one  text"), (5, "another text"), (7, "third"), (None, "third")]
+    assert rows(exact_dedup(spark, make(given), SF_DIR)) == Counter([(4, "one text"), (5, "another text"), (7, "third")])
+    given = [(2**63 - 1, "third"), (None, "third"), (None, "fourth")]
+    assert sorted(t for _, t in rows(exact_dedup(spark, make(given), SF_DIR)).elements()) == ["fourth", "third"]
+    given = [(4, LONG), (5, LONG + " more"), (5, "quite another text of some words")]
+    assert rows(near_dedup(spark, make(given), SF_DIR)) == Counter([(4, LONG), given[2]])
+
+
+def test_predicted_languages_fill_gaps(spark, make):
+    labelled = [(i, "the river and the house of the king", "en") for i in range(100, 120)] + [(i, "der fluss und das haus des herrn", "de") for i in range(200, 220)]
+    given = make([*labelled, (1, "the house and the king"), (2, "das haus und der herr"), (3, "12")])
+    got = {r["doc_id"]: r["lang"] for r in language_id(spark, given, SF_DIR).collect()}
+    assert len(got) == 42 and (got[1], got[2]) == ("en", "de")
+    assert {r["lang"] for r in language_id(spark, given, SF_DIR, ["de"]).collect()} == {"de"}
+
+
 def test_packing_without_ids(spark, make):
     got = packing(spark, make(ODD), SF_DIR).where("doc_id is null").collect()
     assert sum(r["length"] for r in got) == 4
