@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from checks.cleaning import JUDGED, METRIC_ROWS, _DETAIL, _SUMMARY, _split, _summary
 from checks.fixtures import table, view
@@ -154,6 +154,26 @@ def _(spark, sf_dir):
     return read_json(spark, path, lines=True, records="data")
 
 
+@query(
+    "s4_json_list_file",
+    _ORDER_TEXT.replace("from orders", """, '{"b":"}{","n":{"k":"' || o_custkey % 7 || '"}}' as "extra" from orders"""),
+)
+def _(spark, sf_dir):
+    """One file that is one list, pretty-printed, with nested objects and braces in texts."""
+    orders, path = _orders(spark, sf_dir), scratch_path(spark, "s4-list")
+    extra = F.struct(F.lit("}{").alias("b"), F.struct((F.col("o_custkey").cast("bigint") % 7).cast("string").alias("k")).alias("n"))
+    rows = orders.select(F.col("o_orderkey").alias("key"), F.to_json(F.struct(*_ORDER.split(", "), extra.alias("extra"))).alias("line"))
+    first = F.when(F.row_number().over(Window.orderBy("key")) == 1, "[ ").otherwise(", ")
+    lines = rows.select("key", F.concat(first, F.replace("line", F.lit(":"), F.lit("\n: "))).alias("line"))
+    _write_lines(lines.unionByName(spark.range(1).select(F.lit(2**60).alias("key"), F.lit("]").alias("line"))), path, None)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        return read_json(spark, path, split=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @query("s5_xml_scan", _ORDER_TEXT)
 def _(spark, sf_dir):
     path = scratch_path(spark, "s5")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablesmith.schema import MISFIT, quoted
 from tablesmith.session import materialize
+from tablesmith.sources.json_lists import json_lines
 
 
 def unique_names(headers: Iterable[str | None], reserved: Iterable[str] = ()) -> list[str]:
@@ -112,17 +113,26 @@ def _is_records(df: DataFrame, name: str) -> bool:
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], lines: bool = False, records: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    lines: bool = False,
+    records: str | None = None,
+    schema: T.StructType | str | None = None,
+    split: bool = False,
+    paths: list[str] | None = None,
 ) -> DataFrame:
     """JSON records as text columns: a list of objects, or one object, or an object with a
     ``data`` or ``rows`` list of objects, which is then the table.
 
-    ``lines`` reads one object per line, the form that Spark can split over tasks; any other
-    file is read by one task, so large input should come as lines. ``records`` names the list
+    ``lines`` reads one object per line, the form that Spark can split over tasks. ``split`` is
+    for large files that are one list of objects: they are cut over tasks, too, and stored as
+    lines first. Any other file is read by one task. ``records`` names the list
     to unfold in each line; a line without it is a row of nulls. Nested values become JSON
     text, and names that differ in case only are numbered (such a table is stored once). With ``schema`` the input is not
     read first to find its columns.
     """
+    if split:
+        return read_json(spark, json_lines(spark, path, paths=paths), True, records, schema)
     reader = spark.read.option("primitivesAsString", True).option("multiLine", not lines)
     old = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")

@@ -1,6 +1,7 @@
 """File scans and sinks."""
 
 import json
+import random
 
 import pytest
 
@@ -22,6 +23,7 @@ from tablesmith.sources.files import (
     sample_file,
     unique_names,
 )
+from tablesmith.sources.json_lists import json_lines
 from tablesmith.sources.numbering import number_parquet_rows, number_text_rows, repeated_ids
 
 from tests.test_tables import sheet
@@ -279,3 +281,35 @@ def test_catalog_of_many_files_is_one_job(spark, tmp_path):
         spark.sparkContext.setJobGroup("", "")
     one = {r["col_pos"]: (r["col_name"], r["sample"]) for r in got if r["file"].endswith("/007.csv")}
     assert len(got) == 900 and one == {0: ("Brand", ["b0", "b1", "b2"]), 1: ("Qty, 1", ["0", "1", "2"]), 2: ("brand_2", ['x "7"'] * 3)}
+
+
+@pytest.mark.parametrize("split_bytes", [60, 700, 10**9])
+def test_json_lists_over_many_splits(spark, tmp_path, split_bytes):
+    """The same rows as one task reads, wherever the file is cut: in strings, escapes, nested objects, between rows."""
+    dice = random.Random(11)
+    odd = ['plain', 'a } brace', '{ "quoted" }', 'back\\slash', 'end\\', '"', '\\"}', 'é {日本} 😀', '', 'two\nlines', '}{][,']
+    rows = [
+        {"a": str(i), "b": dice.choice(odd), "c": {"d": dice.choice(odd), "e": [{"f": dice.choice(odd)}] * dice.randint(0, 2)}, dice.choice(odd[:3]): "x"}
+        for i in range(24)
+    ]
+    for name, layout in (("a", {"indent": 2}), ("b", {"separators": (",", ":"), "ensure_ascii": False})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows if name == "a" else rows[::-1], **layout))
+    (tmp_path / "c.json").write_text(" [ ]\n")
+    (tmp_path / "d.json").write_text("[1, {}, [2]]")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    paths = []
+    try:
+        assert split_bytes > 100 or spark.read.text(str(tmp_path / "a.json")).rdd.getNumPartitions() > 20
+        got = [json.loads(r[0]) for r in spark.read.text(json_lines(spark, str(tmp_path), paths=paths)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    key = lambda r: json.dumps(r, sort_keys=True)
+    assert sorted(map(key, got)) == sorted(map(key, [*rows, *rows, {}]))
+    release(spark, paths)
+
+
+def test_json_list_as_a_table(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": "007", "b": 1, "c": {"x": "}"}},\n {"a": null, "B": 2}]')
+    whole, cut = read_json(spark, str(tmp_path / "a.json")), read_json(spark, str(tmp_path / "a.json"), split=True)
+    assert whole.columns == cut.columns and sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
