@@ -296,3 +296,45 @@ def test_language_sample(spark):
 
 def test_kept_text_digest(spark, make):
     assert sha256(b"").hexdigest() == without_repeats(make([(1, "")])).selectExpr("sha2(text, 256) as h").first()["h"]
+
+
+def plain_language(text, profiles):
+    """The language of the least summed out-of-place distance, by plain lists of n-grams."""
+    from collections import Counter
+
+    def ranked(counts):
+        # Equal counts by the n-gram's characters, a shorter one first.
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0].lstrip("\0")), x[0]))][:400]
+
+    def grams(t):
+        signs = "".join(c if c.isalpha() else " " for c in t.lower())
+        line = " " + "".join(c for c, before in zip(signs, " " + signs) if c != " " or before != " ") + " "
+        found = Counter(c for c in line if c != " ")
+        for n in (2, 3):
+            found.update(line[i : i + n] for i in range(len(line) - n + 1))
+        return found
+
+    if profiles is None:
+        return ranked(grams(text))
+    own = ranked(grams(text))
+    far = {
+        lang: sum(abs(places.index(g) - i) if g in places else 400 for i, g in enumerate(own))
+        for lang, places in profiles.items()
+    }
+    return min(sorted(far), key=far.get), 1 - min(far.values()) / (400 * len(own))
+
+
+def test_languages_against_plain_profiles(spark, make):
+    """Profiles and distances as stated, for texts of letters and blanks."""
+    from tablesmith.llm.language import identify, learn
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id")
+    rows = [tuple(r) for r in source.select("doc_id", "text", "lang").collect()]
+    known, asked = rows[:80], rows[80:140]
+    whole = {lang: "\n".join(t for _, t, own in known if own == lang) for lang in {r[2] for r in known}}
+    profiles = {lang: plain_language(t, None) for lang, t in whole.items()}
+    got = by_id(identify(make(asked), learn(make(known)), "doc_id"), "lang_pred", "score")
+    for i, t, _ in asked:
+        if any(map(str.isalpha, t)):
+            lang, score = plain_language(t, profiles)
+            assert got[i][0] == lang and abs(got[i][1] - score) < 0.02
