@@ -41,17 +41,21 @@ def input_totals(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def reconciliation(
-    totals: DataFrame, output: DataFrame, issues: DataFrame, job_id: int | None = None, source_file: str | None = None
+    totals: DataFrame, output: DataFrame | int, issues: DataFrame, job_id: int | None = None, source_file: str | None = None
 ) -> DataFrame:
     """One row of counts, with the issue breakdown as a map.
 
     Each input shrinks to a handful of (metric, value) rows first; those are put together
-    by one small aggregate.
+    by one small aggregate. ``output`` is the output, or its number of rows if that is known.
     """
+    if isinstance(output, int):
+        rows = totals.sparkSession.createDataFrame([(output,)], "value bigint")
+    else:
+        rows = output.agg(F.count("*").alias("value"))
     pair = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("bigint").alias("value"))
     metrics = (
         totals.select(F.inline(F.array(*[pair(n, F.col(n)) for n in ("input_rows", "null_cells_in_source")])))
-        .unionByName(output.agg(F.count("*").alias("value")).select(F.lit("output_rows").alias("metric"), "value"))
+        .unionByName(rows.select(F.lit("output_rows").alias("metric"), "value"))
         .unionByName(
             issue_breakdown(issues).select(F.concat(F.lit("issue:"), F.col("issue_type")).alias("metric"), F.col("count").alias("value"))
         )

@@ -27,7 +27,7 @@ from tablesmith.operators.matrix import FIRST_VALUE_ROW, channel_headers, matrix
 from tablesmith.operators.reconcile import null_count, reconciliation
 from tablesmith.operators.reshape import Mapping, absent_sources, long_to_wide, period_columns, selected_targets, wide_to_target
 from tablesmith.schema import MISFIT, ROW_ID, TARGET_COLUMNS, quoted
-from tablesmith.session import materialize, release
+from tablesmith.session import materialize, materialize_counted, release
 from tablesmith.sources.cells import data_sheets, sheet_union, table_key
 
 
@@ -61,7 +61,7 @@ def clean_source(
     needed: Iterable[str] | None = None,
     paths: list[str] | None = None,
 ) -> tuple[Result, DataFrame]:
-    """Cleaned rows with their issues, and the source's row and null counts.
+    """Cleaned rows with their issues, and the source's row and null counts, seen while writing.
 
     All columns take part in the tests of whole rows; field rules run over the ``needed``
     ones only, which are all that is left then, next to the flag ``_strict``: whether any
@@ -72,10 +72,9 @@ def clean_source(
     cells = cells_of(source, row_id, scope)
     counted = source.select("*", null_count(cells).alias("_nulls"))
     cleaned = clean_values(counted, unicode, row_id, scope).select("*", row_issue(cells).alias("issue_type"))
-    tagged = materialize(cleaned, "tagged", paths)
-    totals = tagged.agg(
-        F.count("*").alias("input_rows"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("null_cells_in_source")
-    )
+    counts = {"input_rows": F.count("*"), "null_cells_in_source": F.sum("_nulls")}
+    tagged, seen = materialize_counted(cleaned, "tagged", paths, **counts)
+    totals = source.sparkSession.createDataFrame([tuple(seen.values())], ", ".join(f"{n} bigint" for n in seen))
     split = remove_bad_rows(tagged.drop("_nulls"), row_id, True, scope, paths)
     fact = mapping.get("Fact")
     kinds = ({fact: "number"} if fact in cells else {}) | (field_kinds or {})
@@ -115,9 +114,9 @@ def transform_wide(
     needed = _sources(source, mapping, required) | set(period_columns(cells_of(source, row_id, scope)).values())
     cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id, scope, needed, paths)
     shaped = wide_to_target(cleaned.rows, mapping, required, row_id=row_id, scope=scope, flag=_STRICT)
-    rows = materialize(shaped.rows, "rows", paths)
+    rows, seen = materialize_counted(shaped.rows, "rows", paths, output_rows=F.count("*"))
     issues = cleaned.issues.unionByName(shaped.issues)
-    summary = reconciliation(totals, rows, issues, job_id, source_file)
+    summary = reconciliation(totals, seen["output_rows"], issues, job_id, source_file)
     return Outcome(rows, issues, summary, absent_sources(source, mapping, required), paths)
 
 
@@ -145,9 +144,9 @@ def transform_long(
     needed = _sources(source, mapping, [*required, "Fact"]) | {year_column, period_column}
     cleaned, totals = clean_source(source, mapping, field_kinds, unicode, row_id, scope, needed, paths)
     shaped = long_to_wide(cleaned.rows, mapping, year_column, period_column, required, periods, null_fact, row_id, scope, as_map=as_map)
-    rows = materialize(shaped.rows, "rows", paths)
+    rows, seen = materialize_counted(shaped.rows, "rows", paths, output_rows=F.count("*"))
     issues = cleaned.issues.unionByName(shaped.issues)
-    summary = reconciliation(totals, rows, issues, job_id, source_file)
+    summary = reconciliation(totals, seen["output_rows"], issues, job_id, source_file)
     return Outcome(rows, issues, summary, absent_sources(source, mapping, required), paths)
 
 
@@ -190,11 +189,11 @@ def transform_matrix(
     header_rows, paths = list(header_rows), []
     records = materialize(row_records(cells), "matrix-rows", paths)
     shaped = records_to_target(records, channel_headers(data_sheets(cells), header_rows), required, header_rows, paths)
-    long = materialize(shaped.rows, "matrix-values", paths)
+    long, seen = materialize_counted(shaped.rows, "matrix-values", paths, output_rows=F.count("*"))
     rows = matrix_to_wide(long, periods)
     issues = shaped.issues if periods is None else shaped.issues.unionByName(unlisted_periods(long, periods))
     heights = records.groupBy(*table_key(records)).agg((F.max("row_idx") - (FIRST_VALUE_ROW - 1)).alias("below"))
     totals = heights.agg(
         F.coalesce(F.sum("below"), F.lit(0)).alias("input_rows"), F.lit(0).cast("bigint").alias("null_cells_in_source")
     )
-    return Outcome(rows, issues, reconciliation(totals, long, issues, job_id, source_file), [], paths)
+    return Outcome(rows, issues, reconciliation(totals, seen["output_rows"], issues, job_id, source_file), [], paths)

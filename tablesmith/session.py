@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Settings that suit these jobs. Generated methods above 8000 bytes are never compiled by
 # the JVM; rules over many columns are faster as smaller functions.
@@ -44,6 +44,20 @@ def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(
+    df: DataFrame, name: str, paths: list[str] | None = None, **counts: Column
+) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize`, and the named aggregates of ``df`` as the write itself has seen them.
+
+    Only tasks whose output is kept count, so a task that runs again changes nothing.
+    """
+    seen = Observation()
+    stored = materialize(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name, paths)
+    found = seen.get
+    # A write that Spark knows to be empty beforehand reports nothing.
+    return stored, {n: found.get(n) or 0 for n in counts}
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored intermediate tables; frames that read them can no longer be used."""
     for path in paths:

@@ -406,3 +406,28 @@ def test_runs_as_one_dataset(spark, tmp_path):
     assert rows_of(runs, "job_id", "Brand", "2024-01", "2024-02") == [(1, "new", 1.0, None), (2, "b", None, 1.0)]
     plan = runs.where("job_id = 2")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PartitionFilters: [isnotnull(job_id" in plan
+
+
+def test_summary_counts_come_from_the_writes(spark):
+    """The summary reads neither the source nor the stored output again; empty runs count 0."""
+    df = make(spark, [("a", "1"), (None, None), ("a", "1"), ("b", "x")], "Brand string, Qty string")
+    run = transform_wide(df, {"Brand": "Brand", "Fact": "Qty"}, required=["Brand"])
+    totals = run.summary.first()
+    assert (totals["input_rows"], totals["output_rows"], totals["null_cells_in_source"]) == (4, 2, 2)
+    plan = run.summary._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    rows_path = next(p for p in run.paths if "/rows-" in p).rsplit("/", 1)[1]
+    assert rows_path not in plan
+    empty = transform_wide(df.where("source_row < 0"), {"Brand": "Brand"}, required=["Brand"]).summary.first()
+    assert (empty["input_rows"], empty["output_rows"], empty["total_issues_logged"]) == (0, 0, 0)
+    nothing = spark.createDataFrame([], "source_row bigint, Brand string, Qty string")
+    assert transform_wide(nothing, {"Brand": "Brand"}, required=["Brand"]).summary.first()["input_rows"] == 0
+
+
+def test_counts_of_a_write_that_runs_again(spark):
+    from tablesmith.session import materialize_counted
+
+    rows = spark.range(0, 1_000, 1, 7).withColumn("k", F.col("id") % 5)
+    stored, seen = materialize_counted(rows.groupBy("k").agg(F.sum("id").alias("s")), "counted", n=F.count("*"), total=F.sum("s"))
+    assert stored.count() == seen["n"] == 5 and seen["total"] == 499_500
+    stored.collect()
+    assert seen == {"n": 5, "total": 499_500}
