@@ -1,23 +1,27 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search."""
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesmith.llm.arrow import map_texts
-from tablesmith.llm.base import texts
-from tablesmith.llm.shingles import sets, shingles
+from tablesmith.llm.base import few, texts
+from tablesmith.llm.presence import bit_table, maybe
+from tablesmith.llm.shingles import mix, sets, shingles
+from tablesmith.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
-# Hash functions of a signature. A window holds an item of its class with a similarity of at
-# least 0.25, so that all of them miss with a chance below 0.75 ** HASHES = 0.00001.
-HASHES = 40
+# Hash functions of a signature. A contained item of n shingles shares 0.8 n of them with the
+# document, and windows of its class have less than 3 n. A shared shingle that is the least one
+# of the item and of its own window gives a match, which for each of them has a chance of more
+# than 1 / (4 n): together 0.2, wherever they lie. All functions miss below 0.8 ** HASHES = 0.00001.
+HASHES = 52
 # Items of at most TINY shingles are looked up shingle by shingle: windows of one, no sketch.
 TINY = 8
-# Items are compared with all documents in blocks of so many rows or bytes of text.
-BLOCK_ROWS, BLOCK_BYTES = 20_000, 16_000_000
 
 _RANDOM = np.random.default_rng(20_240_501)
 _MASKS = _RANDOM.integers(0, 2**63, HASHES, np.uint64)
@@ -29,124 +33,131 @@ def _permuted(hashes: np.ndarray, j: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@dataclass
-class Index:
-    """A block of items: their sets, and per size class and hash function the sorted least values.
+def _class(n: int) -> int:
+    """The size class of a set: ``u`` for ``u / 2 < n <= u``, 0 for tiny and empty ones."""
+    return 1 << (n - 1).bit_length() if n > TINY else 0
 
-    Class ``u`` has the items of ``u / 2`` to ``u`` shingles. Windows of 1.5 ``u`` shingle
-    positions start every ``u / 2``, so each run of ``u`` positions lies in one of them.
-    """
 
-    ids: list[int]
-    sets: list[np.ndarray]
-    tiny: tuple[np.ndarray, np.ndarray]
-    classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
-
-
-def _lookup(values: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted values with their items, and which leading 16 bits occur among them."""
-    order = np.argsort(values, kind="stable")
-    leading = np.zeros(65_536, bool)
-    leading[(values >> np.uint64(48)).astype(np.int64)] = True
-    return values[order], items[order], leading
-
-
-def _matches(values: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``values`` and items with an equal value."""
-    keys, items, leading = table
-    at = np.flatnonzero(leading[(values >> np.uint64(48)).astype(np.int64)])
-    low = np.searchsorted(keys, values[at], "left")
-    n = np.searchsorted(keys, values[at], "right") - low
-    each = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(at, n), items[each]
-
-
-def build(ids: list[int], many: list[str]) -> Index:
-    own = sets(many, SHINGLE)
-    small = [i for i, s in enumerate(own) if 0 < len(s) <= TINY]
-    flat = [np.zeros(0, np.uint64), *(own[i] for i in small)]
-    tiny = _lookup(np.concatenate(flat), np.repeat(np.array(small, np.int64), [len(own[i]) for i in small]))
-    by_class: dict[int, list[int]] = {}
-    for i, s in enumerate(own):
-        if len(s) > TINY:
-            by_class.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
-    classes = {}
-    for u, members in sorted(by_class.items()):
-        places = np.array(members, np.int64)
-        least = [np.array([_permuted(own[i], j).min() for i in members], np.uint64) for j in range(HASHES)]
-        classes[u] = [_lookup(v, places) for v in least]
-    return Index(ids, own, tiny, classes)
-
-
-def _candidates(index: Index, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Pairs of a document and an item that share a value, as one number, distinct."""
-    n, pairs = len(index.sets), [np.zeros(0, np.int64)]
-    doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at, items = _matches(hashes, index.tiny)
-    pairs.append(doc_of[at] * n + items)
-    if index.classes and len(hashes):
-        base = min(index.classes) // 2
-        counts = -(-np.diff(offsets) // base)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        doc_of_cell = np.repeat(np.arange(len(counts)), counts)
-        within = np.arange(first[-1]) - first[doc_of_cell]
-        starts = offsets[:-1][doc_of_cell] + within * base
-        for j in range(HASHES):
-            cells = np.minimum.reduceat(_permuted(hashes, j), starts)
-            for u, tables in index.classes.items():
-                step = u // 2 // base
-                edge = np.flatnonzero(within % step == 0)
-                least, docs = np.minimum.reduceat(cells, edge), doc_of_cell[edge]
-                for shift in (1, 1):  # the next cell of the document, and the one after it
-                    same = docs[shift:] == docs[:-shift]
-                    least[:-shift] = np.where(same, np.minimum(least[:-shift], least[shift:]), least[:-shift])
-                at, items = _matches(least, tables[j])
-                pairs.append(docs[at] * n + items)
-    return np.unique(np.concatenate(pairs))
-
-
-def find(index: Index, many: list[str], threshold: float):
-    """``document, item, shared, size`` of all candidates whose containment is high enough."""
-    hashes, offsets = shingles(many, SHINGLE)
-    for pair in _candidates(index, hashes, offsets).tolist():
-        doc, item = divmod(pair, len(index.sets))
-        own = index.sets[item]
-        shared = int(np.isin(own, hashes[offsets[doc] : offsets[doc + 1]]).sum())
-        if shared >= threshold * len(own) - 1e-9:
-            yield doc, item, shared, len(own)
+def _key(least: np.ndarray, u: int, j: int) -> np.ndarray:
+    """Least values of function ``j`` in class ``u`` as numbers that differ from those of all others."""
+    return mix(least + np.uint64(u.bit_length() * HASHES + j))
+
 
+def item_keys(own: np.ndarray) -> np.ndarray:
+    """The numbers under which an item is found: its signature, or its shingles if they are few."""
+    u = _class(len(own))
+    if not u:
+        return own
+    return np.concatenate([_key(_permuted(own, j).min(keepdims=True), u, j) for j in range(HASHES)])
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def _windows(hashes: np.ndarray, offsets: np.ndarray, classes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents and keys of all windows, for each hash function and class.
+
+    Windows of class ``u`` take 1.5 ``u`` shingle positions and start every ``u / 2``, so each
+    run of ``u`` positions lies in one of them.
+    """
+    base = min(classes) // 2
+    counts = -(-np.diff(offsets) // base)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    doc_of_cell = np.repeat(np.arange(len(counts)), counts)
+    within = np.arange(first[-1]) - first[doc_of_cell]
+    starts = offsets[:-1][doc_of_cell] + within * base
+    edges = {u: np.flatnonzero(within % (u // 2 // base) == 0) for u in classes}
+    for j in range(HASHES):
+        cells = np.minimum.reduceat(_permuted(hashes, j), starts)
+        for u, edge in edges.items():
+            least, docs = np.minimum.reduceat(cells, edge), doc_of_cell[edge]
+            for _ in range(2):  # the next cell of the document, and the one after it
+                same = docs[1:] == docs[:-1]
+                least[:-1] = np.where(same, np.minimum(least[:-1], least[1:]), least[:-1])
+            yield docs, _key(least, u, j)
+
+
+def document_keys(many: list[str], classes: list[int], key_bits: np.ndarray, shingle_bits: np.ndarray):
+    """``document, keys, shingles`` of the documents with a key that items may have.
+
+    ``shingles`` are its distinct shingles that items may have.
+    """
+    hashes, offsets = shingles(many, SHINGLE)
+    if not len(hashes):
+        return
+    doc_of = np.repeat(np.arange(len(many)), np.diff(offsets))
+    sketched = [u for u in classes if u]
+    found_docs, found_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    tiny = [(doc_of, hashes)] if 0 in classes else []
+    for docs, keys in chain(tiny, _windows(hashes, offsets, sketched) if sketched else []):
+        at = np.flatnonzero(maybe(keys, key_bits))
+        found_docs.append(docs[at])
+        found_keys.append(keys[at])
+    docs, keys = np.concatenate(found_docs), np.concatenate(found_keys)
+    order = np.argsort(docs, kind="stable")
+    docs, keys = docs[order], keys[order]
+    for doc in np.unique(docs).tolist():
+        a, b = np.searchsorted(docs, [doc, doc + 1])
+        own = hashes[offsets[doc] : offsets[doc + 1]]
+        yield doc, np.unique(keys[a:b]), np.unique(own[maybe(own, shingle_bits)])
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, paths: list[str] | None = None
+) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` of every item held by a document.
 
     Words are runs other than ASCII white space, A-Z as a-z; a set is the distinct shingles of
     five words, or the whole sequence of a shorter text. ``containment`` is the share of the
     item's set in the document's. Candidates come from signatures; each is verified over the
-    whole document. What is found is exact; an item in one passage is missed with a chance
-    below 0.00001; one whose parts lie far apart may be missed. Null texts and texts without words hold nothing and are held by nothing;
-    rows that repeat an id are compared one by one; other columns are ignored.
-
-    Items are gathered in blocks of a bounded size and each block is compared with all
-    documents where they lie, so nothing is shuffled.
+    whole document, by 64-bit hashes. What is found is exact; a contained item is missed with a
+    chance below 0.00001, whether it lies in one passage or in parts. Null texts and texts
+    without words hold nothing and are held by nothing; rows that repeat an id are compared one
+    by one, null ids are returned as such; other columns are ignored.
+
+    Items of equal sets are one. The documents are read once, however many items there are:
+    bit tables of bounded size leave only keys and shingles that items may have, and
+    these meet the items in joins by key and by shingle. Tables stored on the way are added
+    to ``paths``.
     """
+
+    def sketch(batch: pa.RecordBatch) -> dict:
+        own = sets(batch["text"].to_pylist(), SHINGLE)
+        return {
+            "item_id": batch["item_id"], "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in own],
+            "shingles": [s.view(np.int64) for s in own], "keys": [item_keys(s).view(np.int64) for s in own],
+        }
+
     known = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ROWS), -(-size["b"] // BLOCK_BYTES))
-    schema = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint, containment double"
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = None
-    for b in range(blocks):
-        rows = known.where(block == b).orderBy("item_id", "text").collect()
-        index = build([r["item_id"] for r in rows], [r["text"] for r in rows])
-
-        def search(batch: pa.RecordBatch, index: Index = index) -> dict:
-            out = {n: [] for n in ("doc_id", "item_id", "n_shared", "n_item", "containment")}
-            ids = batch["doc_id"].to_pylist()
-            for doc, item, shared, n in find(index, batch["text"].to_pylist(), threshold):
-                for name, value in zip(out, (ids[doc], index.ids[item], shared, n, shared / n)):
-                    out[name].append(value)
-            return out
-
-        part = map_texts(texts(docs), search, schema)
-        found = part if found is None else found.union(part)
-    return found
+    schema = "item_id bigint, digest binary, shingles array<bigint>, keys array<bigint>"
+    given = materialize(map_texts(known, sketch, schema).where(F.size("shingles") > 0), "benchmark-items", paths)
+    each = given.groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    each = materialize(each.withColumn("item", F.monotonically_increasing_id()), "benchmark-sets", paths)
+    item_key = each.select("item", F.explode("keys").alias("key"))
+    item_shingle = each.select("item", F.explode("shingles").alias("shingle"))
+    # At most a number per power of two, and one for tiny items.
+    n = F.size("shingles")
+    kind = F.when(n > TINY, F.ceil(F.log2(n.cast("double")))).otherwise(0)
+    classes = sorted({_class(r["n"]) for r in each.groupBy(kind).agg(F.max(n).alias("n")).collect()})
+
+    context = docs.sparkSession.sparkContext
+    key_bits = context.broadcast(bit_table(item_key, "key"))
+    shingle_bits = context.broadcast(bit_table(item_shingle, "shingle"))
+
+    def search(batch: pa.RecordBatch) -> dict:
+        out = {"doc_id": [], "keys": [], "shingles": []}
+        ids = batch["doc_id"].to_pylist()
+        for doc, keys, own in document_keys(batch["text"].to_pylist(), classes, key_bits.value, shingle_bits.value):
+            for name, value in zip(out, (ids[doc], keys.view(np.int64), own.view(np.int64))):
+                out[name].append(value)
+        return out
+
+    hits = map_texts(texts(docs), search, "doc_id bigint, keys array<bigint>, shingles array<bigint>")
+    hits = materialize(hits.withColumn("hit", F.monotonically_increasing_id()), "benchmark-hits", paths)
+    pairs = hits.select("hit", F.explode("keys").alias("key")).join(few(item_key), "key").select("hit", "item").distinct()
+    pairs = materialize(pairs, "benchmark-pairs", paths)
+    # Containment shingle by shingle: each is a row of its own, so no key gathers a document.
+    wanted = pairs.join(few(item_shingle), "item")
+    held = hits.select("hit", F.explode("shingles").alias("shingle"))
+    shared = wanted.join(held, ["hit", "shingle"]).groupBy("hit", "item").agg(F.count("*").alias("n_shared"))
+    size = each.select("item", "digest", F.size("shingles").cast("bigint").alias("n_item"))
+    found = shared.join(few(size), "item").where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
+    found = found.join(given.select("item_id", "digest"), "digest").join(hits.select("hit", "doc_id"), "hit")
+    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

@@ -140,6 +140,25 @@ def test_recall_of_signatures(make, spark):
     assert got <= expected and len(got) >= 0.99 * len(expected) and len(expected) > 100
 
 
+def test_items_in_scattered_parts(make, spark):
+    """Parts of an item all over a long document, equal items, null ids, documents that hold many items."""
+    rng = random.Random(16)
+    items = [(i, " ".join(prose(rng, rng.randint(40, 130), 10**6))) for i in range(40)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        cuts = [w[k : k + 34] for k in range(0, len(w), 30)]  # neighbours share four words, so no shingle is lost
+        rng.shuffle(cuts)
+        rows.append((i, " ".join(" ".join([*c, *prose(rng, 500, 10**6)]) for c in cuts)))
+    rows += [(100, " x y z ".join(t for _, t in items[:25])), (None, items[0][1]), (None, items[1][1]), (3, "a b c d e f")]
+    items += [(None, items[2][1]), (77, items[3][1].upper()), (77, "A b"), (78, "a b c d e"), (79, None)]
+    known = spark.createDataFrame(items, "item_id bigint, text string")
+    found = contained_items(make(rows), known).collect()
+    named = lambda i: -1 if i is None else i
+    got = sorted((named(r["doc_id"]), named(r["item_id"]), r["n_shared"], r["n_item"]) for r in found)
+    assert got == brute.containment([(named(i), t) for i, t in rows], [(named(i), t) for i, t in items]) and len(got) > 65
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab"), min_size=1, max_size=40), min_size=1, max_size=8), st.integers(2, 9))
 def test_run_length_index(texts, length):
