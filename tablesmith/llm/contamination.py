@@ -2,7 +2,6 @@
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,8 @@ def item_keys(own: np.ndarray) -> np.ndarray:
     return np.concatenate([_key(_permuted(own, j).min(keepdims=True), u, j) for j in range(HASHES)])
 
 
-def _windows(hashes: np.ndarray, offsets: np.ndarray, classes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Documents and keys of all windows, for each hash function and class.
+def _windows(hashes: np.ndarray, offsets: np.ndarray, classes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Class, documents and keys of all windows, for each hash function and class.
 
     Windows of class ``u`` take 1.5 ``u`` shingle positions and start every ``u / 2``, so each
     run of ``u`` positions lies in one of them.
@@ -71,32 +70,43 @@ def _windows(hashes: np.ndarray, offsets: np.ndarray, classes: list[int]) -> Ite
             for _ in range(2):  # the next cell of the document, and the one after it
                 same = docs[1:] == docs[:-1]
                 least[:-1] = np.where(same, np.minimum(least[:-1], least[1:]), least[:-1])
-            yield docs, _key(least, u, j)
+            yield u, docs, _key(least, u, j)
 
 
-def document_keys(many: list[str], classes: list[int], key_bits: np.ndarray, shingle_bits: np.ndarray):
+def document_keys(many: list[str], classes: list[int], threshold: float, key_bits: np.ndarray, shingle_bits: np.ndarray):
     """``document, keys, shingles`` of the documents with a key that items may have.
 
-    ``shingles`` are its distinct shingles that items may have.
+    ``shingles`` are its distinct shingles that items may have. A document with too few of them
+    for any item of a class holds none, so it gets no signature there.
     """
     hashes, offsets = shingles(many, SHINGLE)
-    if not len(hashes):
-        return
     doc_of = np.repeat(np.arange(len(many)), np.diff(offsets))
+    passed = maybe(hashes, shingle_bits)
+    held = np.bincount(doc_of[passed], minlength=len(many))
+    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    if 0 in classes:
+        docs.append(doc_of[passed])
+        keys.append(hashes[passed])
     sketched = [u for u in classes if u]
-    found_docs, found_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    tiny = [(doc_of, hashes)] if 0 in classes else []
-    for docs, keys in chain(tiny, _windows(hashes, offsets, sketched) if sketched else []):
-        at = np.flatnonzero(maybe(keys, key_bits))
-        found_docs.append(docs[at])
-        found_keys.append(keys[at])
-    docs, keys = np.concatenate(found_docs), np.concatenate(found_keys)
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
+    least = {u: threshold * (u // 2 + 1) - 1e-9 for u in sketched}
+    some = np.flatnonzero(held >= min(least.values(), default=np.inf))
+    if len(some):
+        own = np.concatenate([hashes[offsets[d] : offsets[d + 1]] for d in some])
+        edges = np.concatenate([[0], np.cumsum(np.diff(offsets)[some])])
+        for u, at, found in _windows(own, edges, sketched):
+            at = some[at]
+            enough = np.flatnonzero(held[at] >= least[u])
+            enough = enough[maybe(found[enough], key_bits)]
+            docs.append(at[enough])
+            keys.append(found[enough])
+    docs, keys = np.concatenate(docs), np.concatenate(keys)
+    at = maybe(keys, key_bits)
+    at = at[np.argsort(docs[at], kind="stable")]
+    docs, keys = docs[at], keys[at]
     for doc in np.unique(docs).tolist():
         a, b = np.searchsorted(docs, [doc, doc + 1])
-        own = hashes[offsets[doc] : offsets[doc + 1]]
-        yield doc, np.unique(keys[a:b]), np.unique(own[maybe(own, shingle_bits)])
+        low, high = np.searchsorted(passed, [offsets[doc], offsets[doc + 1]])
+        yield doc, np.unique(keys[a:b]), np.unique(hashes[passed[low:high]])
 
 
 def contained_items(
@@ -113,8 +123,8 @@ def contained_items(
     by one, null ids are returned as such; other columns are ignored.
 
     Items of equal sets are one. The documents are read once, however many items there are:
-    bit tables of bounded size leave only keys and shingles that items may have, and
-    these meet the items in joins by key and by shingle. Tables stored on the way are added
+    filters of bounded size leave only keys and shingles that items may have, and these meet
+    the items in joins by key and by shingle. Tables stored on the way are added
     to ``paths``.
     """
 
@@ -144,7 +154,8 @@ def contained_items(
     def search(batch: pa.RecordBatch) -> dict:
         out = {"doc_id": [], "keys": [], "shingles": []}
         ids = batch["doc_id"].to_pylist()
-        for doc, keys, own in document_keys(batch["text"].to_pylist(), classes, key_bits.value, shingle_bits.value):
+        many = batch["text"].to_pylist()
+        for doc, keys, own in document_keys(many, classes, threshold, key_bits.value, shingle_bits.value):
             for name, value in zip(out, (ids[doc], keys.view(np.int64), own.view(np.int64))):
                 out[name].append(value)
         return out
