@@ -8,6 +8,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
@@ -25,10 +26,14 @@ SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 64_000
 # that go on occurring move from the older half to the newer.
 CACHE_WORDS = 300_000
 
-# A space before a sign always starts a new piece of byte-level BPE, so ids can be looked up
-# word by word. A word keeps white space that no sign follows.
-WORDS = re.compile(r" (?=\S)")
-ODD = re.compile(r" (?:\s|\Z)")
+# A space or line break before a sign always starts a new piece of byte-level BPE, so ids can
+# be looked up word by word. A word keeps white space that no sign follows, and the line break
+# before it; the space before it is left out.
+WORDS = re.compile(r" (?=\S)|(?=\n\S)")
+# The texts in which white space or the end follows a space or line break.
+ODD = (
+    r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+)
 PLAIN = re.compile(r"\S(?:[^ ]*\S)?")
 # A sign after a word of letters only is a piece of its own.
 SIGNS = ".,;:!?"
@@ -74,20 +79,45 @@ class Encoder:
             raw, edges = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), None]
             self.known.update((w, raw[a:b]) for w, a, b in zip(group, edges, edges[1:]))
         rest = list(needed.difference(plain))
-        self.known.update((w, ids.tobytes()) for w, ids in zip(rest, self._ids([" " + w for w in rest])))
+        spaced = self._ids([w if w[:1] == "\n" else " " + w for w in rest])
+        self.known.update((w, ids.tobytes()) for w, ids in zip(rest, spaced))
         self.known.update((w, self.known[w[:-1]] + self.signs[w[-1]]) for w in ended)
 
-    def encode(self, many: list[str]) -> list[bytes]:
-        """The ids of each text with the end id."""
-        split = [WORDS.split(t) if ODD.search(t) else t.split(" ") for t in many]
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
-        new = {w for words in split for w in words[1:]}.difference(self.known)
-        self.known.update((w, self.older[w]) for w in new.intersection(self.older))
-        self._learn(new.difference(self.known))
-        first = [ids.tobytes() for ids in self._ids([words[0] for words in split])]
-        known = self.known.__getitem__
-        return [b"".join([f, *map(known, words[1:]), self.end]) for f, words in zip(first, split)]
+        new = [w for w, ids in zip(words, map(self.known.get, words)) if ids is None]
+        kept = [(w, ids) for w, ids in zip(new, map(self.older.get, new)) if ids is not None]
+        self.known.update(kept)
+        self._learn(set(new).difference(w for w, _ in kept))
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, many: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text with the end id."""
+        texts = pa.array(many, pa.string()).cast(pa.large_string())
+        if not len(texts):
+            return []
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        others = pa.array([WORDS.split(t) for t in texts.filter(odd).to_pylist()], plain.type)
+        split = pa.concat_arrays([plain, others])
+        starts, words = split.offsets.to_numpy(), split.values
+        first = [ids.tobytes() for ids in self._ids(words.take(pa.array(starts[:-1])).to_pylist())]
+        later = np.ones(len(words), bool)
+        later[starts[:-1]] = False
+        each = words.filter(pa.array(later)).dictionary_encode()
+        different = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._look_up(different), pa.large_binary()).take(each.indices)
+        edges = starts - np.arange(len(starts))
+        at, raw = [0] * len(edges), b""
+        if len(ids):
+            _, places, data = ids.buffers()
+            at, raw = np.frombuffer(places, np.int64)[edges].tolist(), memoryview(data)
+        found = [b"".join((f, raw[a:b], self.end)) for f, a, b in zip(first, at, at[1:])]
+        mask = odd.to_numpy(zero_copy_only=False)
+        place = np.argsort(np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)])).tolist()
+        return [found[i] for i in place]
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +132,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     sample = texts(docs).join(few(materialize(chosen, "token-sample")), "doc_id", "left_semi")
 
     def encode(batch: pa.RecordBatch) -> dict:
-        return {"ids": [x[:SAMPLE_BYTES] for x in encoder(tokenizer).encode(batch["text"].to_pylist())]}
+        return {"ids": [x[:SAMPLE_BYTES] for x in encoder(tokenizer).encode(batch["text"])]}
 
     arrays = map_texts(sample, encode, "ids binary").limit(2 * SAMPLE_ROWS).collect()
     arrays = sorted(bytes(r["ids"]) for r in arrays)
@@ -139,7 +169,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         own, block = encoder(tokenizer), 0
         for batch in batches:
             for some in slices(batch):
-                arrays = own.encode(some["text"].to_pylist())
+                arrays = own.encode(some["text"])
                 frames = [press.compress(a) for a in arrays]
                 ids = some["doc_id"].to_pylist()
                 row = {

@@ -243,7 +243,7 @@ def test_best_fit(make):
     assert best_fit(make([])).collect() == [] and best_fit(make(ODD)).count() == len(ODD)
 
 
-PIECES = ["a", "bc", " ", "  ", "\n", "\t", "é", "\u3000", "'s", "12", "<|endoftext|>", "!", ".", ",", "\x1c", "Ġ", "\u0301"]
+PIECES = ["a", "bc", " ", "  ", "\n", "\t", "é", "\u3000", "'s", "12", "<|endoftext|>", "!", ".", ",", "\x1c", "Ġ", "\u0301", "\r", "\x0b", "\x85", "\u2028"]
 
 
 @settings(max_examples=200, deadline=None)
