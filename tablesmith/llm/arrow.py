@@ -12,9 +12,15 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 4_000_000
 
 
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or a field of a struct column as ``column.field``."""
+    first, *inner = name.split(".")
+    return pc.struct_field(batch.column(first), inner) if inner else batch.column(first)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut so that each part holds about ``most`` bytes of ``column``."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(field(batch, column)).fill_null(0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most:

@@ -1,5 +1,6 @@
 """Language identification by rank-order profiles of character n-grams."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -7,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablesmith.llm.arrow import map_texts
+from tablesmith.llm.arrow import field, map_texts
 from tablesmith.llm.base import few
 from tablesmith.session import materialize
 
 # N-grams of one to ORDER characters; the PLACES most frequent ones make a profile.
 ORDER, PLACES = 3, 400
+# So many characters are counted at once, which bounds memory for very long texts.
+PIECE = 131_072
 # Learned from at most so many labelled documents per language, taken by the hash of their id.
 SAMPLE_ROWS = 5_000
 # Of each language first so many shares are ranked on their own, so no task sorts all its ids.
@@ -32,31 +35,49 @@ def _letters() -> np.ndarray:
     return table
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text with their counts; letters in lower case, all else one space.
+def _lines(text: str) -> Iterator[np.ndarray]:
+    """The folded characters of a text, in pieces: letters in lower case, all else one space.
 
-    An n-gram packs its characters into 16 bits each. Letters beyond the basic plane are
-    folded into its private area.
+    A piece begins with the last ``ORDER - 1`` characters of the one before. Letters beyond the
+    basic plane are folded into its private area.
     """
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(codes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    plain = _letters()[np.minimum(codes, 0xFFFF)]
-    for code in np.unique(codes[codes > 0xFFFF]):
-        if chr(code).isalpha():
-            plain[codes == code] = 0xE000 + code % 6_400
-    space = plain == 32
-    if space.all():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    line = np.concatenate([[32], plain[keep], [32]]).astype(np.uint64)
-    grams, packed = [line[line != 32]], line
-    for n in range(2, ORDER + 1):
-        packed = (packed[:-1] << np.uint64(16)) | line[n - 1 :]
-        grams.append(packed)
-    found, counts = np.unique(np.concatenate(grams), return_counts=True)
-    return found, counts
+    lower, before, gap = text.lower(), np.full(1, 32, np.uint16), True
+    for start in range(0, len(lower), PIECE):
+        codes = np.frombuffer(lower[start : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        plain = _letters()[np.minimum(codes, 0xFFFF)]
+        for code in np.unique(codes[codes > 0xFFFF]):
+            if chr(code).isalpha():
+                plain[codes == code] = 0xE000 + code % 6_400
+        space = plain == 32
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] |= not gap
+        end = np.full(int(start + PIECE >= len(lower)), 32, np.uint16)
+        line = np.concatenate([before, plain[keep], end])
+        yield line
+        before, gap = line[1 - ORDER :], bool(space[-1])
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text with their counts, ascending; an n-gram packs its characters into 16 bits each."""
+    found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    known = 0
+    for piece in _lines(text):
+        piece = piece.astype(np.uint64)
+        fresh = piece[known:]
+        packed, grams = piece, [fresh[fresh != 32]]
+        for n in range(2, ORDER + 1):
+            packed = (packed[:-1] << np.uint64(16)) | piece[n - 1 :]
+            # Those that end within the characters carried over have been counted.
+            grams.append(packed[max(known - n + 1, 0) :])
+        known = min(ORDER - 1, len(piece))
+        own, n = np.unique(np.concatenate(grams), return_counts=True)
+        if len(found):
+            own, at = np.unique(np.concatenate([found, own]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+        found, counts = own, n
+    # Letters come first; without any, the text has no n-gram that counts.
+    return (found, counts) if len(found) and found[0] < 2**16 else (found[:0], counts[:0])
 
 
 def _profile(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -133,9 +154,11 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     return Profiles(languages, grams, matrix)
 
 
-def identify(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
+def identify(docs: DataFrame, profiles: Profiles, *keep: str, text: str = "text") -> DataFrame:
     """``docs`` (the named columns) with ``lang_pred`` and ``score`` from its ``text`` alone.
 
+    ``text`` may name a field of a struct column among ``keep``, so that no text travels twice.
+
     The language whose profile has the least summed out-of-place distance to the document's
     own; equal distances go to the first name. The score is 1 less the distance as a share of the
     greatest possible one. Null texts and texts without a letter are ``und`` with score 0, and
@@ -145,21 +168,23 @@ def identify(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def predict(batch: pa.RecordBatch) -> dict:
-        found = [profiles.predict(t) for t in batch["text"].to_pylist()]
+        found = [profiles.predict(t) for t in field(batch, text).to_pylist()]
         out = {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
         return {**{k: batch[k] for k in keep}, **out}
 
-    return map_texts(docs.select("text", *keep), predict, f"{fields}, lang_pred string, score double")
+    needed = docs.select(*dict.fromkeys([text.split(".")[0], *keep]))
+    return map_texts(needed, predict, f"{fields}, lang_pred string, score double", text)
 
 
-def lettered(docs: DataFrame, *keep: str) -> DataFrame:
+def lettered(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The named columns of the rows of ``docs`` whose ``text`` has a letter, as :func:`identify` sees it."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def look(batch: pa.RecordBatch) -> dict:
-        return {**{k: batch[k] for k in keep}, "lettered": [any(map(str.isalpha, t or "")) for t in batch["text"].to_pylist()]}
+        return {**{k: batch[k] for k in keep}, "lettered": [any(map(str.isalpha, t or "")) for t in field(batch, text).to_pylist()]}
 
-    return map_texts(docs.select("text", *keep), look, f"{fields}, lettered boolean").where("lettered").select(*keep)
+    needed = docs.select(*dict.fromkeys([text.split(".")[0], *keep]))
+    return map_texts(needed, look, f"{fields}, lettered boolean", text).where("lettered").select(*keep)
 
 
 def held_out(doc_id: str = "doc_id"):

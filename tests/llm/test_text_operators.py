@@ -338,3 +338,22 @@ def test_languages_against_plain_profiles(spark, make):
         if any(map(str.isalpha, t)):
             lang, score = plain_language(t, profiles)
             assert got[i][0] == lang and abs(got[i][1] - score) < 0.02
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 50])
+def test_grams_in_pieces(monkeypatch, piece):
+    """The same counts, however a text is cut, as by a plain walk over it."""
+    from collections import Counter
+
+    from tablesmith.llm import language
+
+    monkeypatch.setattr(language, "PIECE", piece)
+    rng = random.Random(piece)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  .\nÉß1") for _ in range(rng.randint(0, 25)))
+        line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        line = " " + " ".join(line.split()) + " "
+        plain = Counter(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if line[i : i + n] != " ")
+        packed = {sum(ord(c) << 16 * (len(g) - 1 - i) for i, c in enumerate(g)): n for g, n in plain.items()}
+        found, counts = language._grams(text)
+        assert dict(zip(found.tolist(), counts.tolist())) == (packed if line.strip() else {})
