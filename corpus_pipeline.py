@@ -35,11 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: li
     The predicted language is written into ``lang`` where that is null. Without any labelled
     document nothing is learned, and then no text with a letter is dropped.
     """
-    whole = docs.select("text", F.struct("*").alias("document"))
+    whole = docs.select(F.struct("*").alias("document"))
     profiles = learn(docs.where(~F.coalesce(held_out(), F.lit(False)))) if "lang" in docs.columns else None
     if not (profiles and profiles.languages):
-        return lettered(whole, "document").select("document.*")
-    kept = identify(whole, profiles, "document").where(F.col("lang_pred") != UNKNOWN)
+        return lettered(whole, "document", text="document.text").select("document.*")
+    kept = identify(whole, profiles, "document", text="document.text").where(F.col("lang_pred") != UNKNOWN)
     kept = kept if languages is None else kept.where(F.col("lang_pred").isin(languages))
     return kept.select(F.col("document").withField("lang", F.coalesce("document.lang", "lang_pred")).alias("document")).select("document.*")
 
