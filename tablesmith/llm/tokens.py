@@ -22,21 +22,24 @@ from tablesmith.session import materialize
 END_ID = 0
 # The dictionary is trained on at most so many arrays, each cut to so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 64_000
-# A worker remembers the ids of the last so many distinct words or a few more, twice: words
-# that go on occurring move from the older half to the newer.
+# A worker remembers the ids of so many distinct words, those it met last, and of as many more between
+# two clearings.
 CACHE_WORDS = 300_000
 
 # A space or line break before a sign always starts a new piece of byte-level BPE, so ids can
 # be looked up word by word. A word keeps white space that no sign follows, and the line break
 # before it; the space before it is left out.
 WORDS = re.compile(r" (?=\S)|(?=\n\S)")
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # The texts in which white space or the end follows a space or line break.
-ODD = (
-    r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
-)
-PLAIN = re.compile(r"\S(?:[^ ]*\S)?")
-# A sign after a word of letters only is a piece of its own.
+ODD = rf"[ \n](?:{BLANK}|\z)"
+# The words with a space in them or white space at an end.
+EDGED = rf"\A{BLANK}| |{BLANK}\z"
+# A sign after a word of Latin letters only is a piece of its own.
 SIGNS = ".,;:!?"
+SIGNED = rf"\A[A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{17f}}]+[{SIGNS}]\z"
+# So many words are encoded as one text.
+TOGETHER = 500
 
 BLOCK = (
     "part int, block int, first_doc_id bigint, last_doc_id bigint, dictionary string, "
@@ -44,6 +47,16 @@ BLOCK = (
 )
 
 
+def _order(mask: pa.Array) -> np.ndarray:
+    """Where each row lies once those outside the mask come first."""
+    held = mask.to_numpy(zero_copy_only=False)
+    return np.argsort(np.concatenate([np.flatnonzero(~held), np.flatnonzero(held)]))
+
+
+def _merged(mask: pa.Array, outside: pa.Array, inside: pa.Array) -> pa.Array:
+    return pa.concat_arrays([outside, inside]).take(pa.array(_order(mask)))
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, word by word, by one tokenizer file."""
 
@@ -58,40 +71,52 @@ class Encoder:
         self.spaced = np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.spaced[number] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.round = np.zeros(0, np.int64), 0
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.signs = {s: self._ids([s])[0].tobytes() for s in SIGNS}
+        self.signs = pa.array([*(self._ids([s])[0].tobytes() for s in SIGNS), b""], pa.large_binary())
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype) for x in found]
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode words after a space: plain ones many at once, split where an id starts with a space."""
-        ended = [w for w in words if w[-1] in SIGNS and w[:-1].isalpha()]
-        needed = words.difference(ended).union(w[:-1] for w in ended).difference(self.known)
-        plain = [w for w in needed if PLAIN.fullmatch(w)]
-        some = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for group, ids in zip(some, self._ids([" " + " ".join(g) for g in some])):
-            starts = np.flatnonzero(self.spaced[ids])
-            assert len(starts) == len(group)
-            raw, edges = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), None]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(group, edges, edges[1:]))
-        rest = list(needed.difference(plain))
-        spaced = self._ids([w if w[:1] == "\n" else " " + w for w in rest])
-        self.known.update((w, ids.tobytes()) for w, ids in zip(rest, spaced))
-        self.known.update((w, self.known[w[:-1]] + self.signs[w[-1]]) for w in ended)
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """The ids of words after a space: plain ones many at once, split where an id starts with a space."""
+        edged = pc.match_substring_regex(words, EDGED)
+        plain = words.filter(pc.invert(edged))
+        cuts = pa.array([*range(0, len(plain), TOGETHER), len(plain)], pa.int32())
+        some = pc.binary_join(pa.ListArray.from_arrays(cuts, plain), pa.scalar(" ", plain.type)).to_pylist() if len(plain) else []
+        ids = np.concatenate([np.zeros(0, self.dtype), *self._ids([" " + s for s in some])])
+        starts = np.flatnonzero(self.spaced[ids])
+        assert len(starts) == len(plain)
+        edges = np.append(starts, len(ids)).astype(np.int64) * self.dtype.itemsize
+        found = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+        rest = self._ids([w if w[:1] == "\n" else " " + w for w in words.filter(edged).to_pylist()])
+        return _merged(edged, found, pa.array([x.tobytes() for x in rest], pa.large_binary()))
+
+    def _look_up(self, words: pa.Array) -> pa.Array:
         """The ids of different words."""
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        new = [w for w, ids in zip(words, map(self.known.get, words)) if ids is None]
-        kept = [(w, ids) for w, ids in zip(new, map(self.older.get, new)) if ids is not None]
-        self.known.update(kept)
-        self._learn(set(new).difference(w for w, _ in kept))
-        return list(map(self.known.__getitem__, words))
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self._learn(new)])
+        self.round += 1
+        self.met = np.append(self.met, np.full(len(new), self.round))
+        self.met[place] = self.round
+        found = self.ids.take(pa.array(place))
+        if len(self.words) > 2 * CACHE_WORDS:
+            last = pa.array(np.argsort(-self.met, kind="stable")[:CACHE_WORDS])
+            self.words, self.ids, self.met = self.words.take(last), self.ids.take(last), self.met[last]
+        return found
+
+    def _different(self, words: pa.Array) -> pa.Array:
+        """The ids of different words, with a sign at their end or without."""
+        signed = pc.match_substring_regex(words, SIGNED)
+        bare = pc.if_else(signed, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        sign = pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(SIGNS), pa.large_string()))
+        ends = self.signs.take(pc.if_else(signed, sign, len(SIGNS)))
+        return pc.binary_join_element_wise(self._look_up(bare.dictionary).take(bare.indices), ends, pa.scalar(b"", ends.type))
 
     def encode(self, many: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text with the end id."""
@@ -107,17 +132,14 @@ class Encoder:
         later = np.ones(len(words), bool)
         later[starts[:-1]] = False
         each = words.filter(pa.array(later)).dictionary_encode()
-        different = each.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = pa.array(self._look_up(different), pa.large_binary()).take(each.indices)
+        ids = self._different(each.dictionary).take(each.indices)
         edges = starts - np.arange(len(starts))
         at, raw = [0] * len(edges), b""
         if len(ids):
             _, places, data = ids.buffers()
             at, raw = np.frombuffer(places, np.int64)[edges].tolist(), memoryview(data)
         found = [b"".join((f, raw[a:b], self.end)) for f, a, b in zip(first, at, at[1:])]
-        mask = odd.to_numpy(zero_copy_only=False)
-        place = np.argsort(np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)])).tolist()
-        return [found[i] for i in place]
+        return [found[i] for i in _order(odd).tolist()]
 
 
 @lru_cache(maxsize=2)
