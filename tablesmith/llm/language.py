@@ -52,7 +52,7 @@ def _lines(text: str) -> Iterator[np.ndarray]:
         keep = ~space
         keep[1:] |= ~space[:-1]
         keep[0] |= not gap
-        end = np.full(int(start + PIECE >= len(lower)), 32, np.uint16)
+        end = np.full(int(start + PIECE >= len(lower) and not space[-1]), 32, np.uint16)
         line = np.concatenate([before, plain[keep], end])
         yield line
         before, gap = line[1 - ORDER :], bool(space[-1])

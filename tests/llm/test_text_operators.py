@@ -5,6 +5,7 @@ import re
 import sys
 from hashlib import sha256
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tablesmith.llm.exact import MAX_CHUNK, chunks, exact_groups
