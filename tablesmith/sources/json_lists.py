@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesmith.session import materialize, scratch_path
 
+# Splits are read by so many tasks a core at most, several one after the other if they are small.
+# A task passes its text on as it reads, so its memory does not depend on how many splits it has.
+TASKS_PER_CORE = 8
 _SPLIT = "file string, block bigint"
 _EFFECT = "quoted int, delta int, delta_quoted int, closes string, closes_quoted string"
 
@@ -22,6 +25,7 @@ _EFFECT = "quoted int, delta int, delta_quoted int, closes string, closes_quoted
 def _chunks(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """``file, block, value`` and how many braces a chunk opens if it starts outside or inside a string."""
     text = spark.read.option("lineSep", "}").option("encoding", encoding).text(path)
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     plain = F.regexp_replace("value", r"(?s)\\.", "")
     outside = lambda c: F.regexp_replace(c, r'"[^"]*+("|$)', "")
     opened = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("{")))).cast("int")
@@ -30,7 +34,7 @@ def _chunks(spark: SparkSession, path: str | list[str], encoding: str) -> DataFr
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
         (quotes % 2).cast("int").alias("odd"), opened(outside(plain)).alias("opens"),
         opened(outside(F.concat(F.lit('"'), plain))).alias("opens_quoted"),
-    )
+    ).coalesce(tasks)
 
 
 def _by_split(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, Iterable[tuple]]]:

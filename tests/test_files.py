@@ -4,7 +4,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from checks.files import _write_lines
 from tablesmith.operators.cleaning import clean_rows, issue_log
 from tablesmith.operators.reconcile import reconciliation
 from tablesmith.sinks.tables import run_report, write_csv, write_issue_log, write_report
@@ -23,7 +25,7 @@ from tablesmith.sources.files import (
     sample_file,
     unique_names,
 )
-from tablesmith.sources.json_lists import json_lines
+from tablesmith.sources.json_lists import TASKS_PER_CORE, json_lines
 from tablesmith.sources.numbering import number_parquet_rows, number_text_rows, repeated_ids
 
 from tests.test_tables import sheet
@@ -313,3 +315,36 @@ def test_json_list_as_a_table(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": "007", "b": 1, "c": {"x": "}"}},\n {"a": null, "B": 2}]')
     whole, cut = read_json(spark, str(tmp_path / "a.json")), read_json(spark, str(tmp_path / "a.json"), split=True)
     assert whole.columns == cut.columns and sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_many_small_splits_share_tasks(spark, tmp_path):
+    """So many splits that a task each would mostly start tasks: several are read by one."""
+    (tmp_path / "a.json").write_text(json.dumps([{"a": str(i), "b": "}{"} for i in range(3000)], indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    paths = []
+    try:
+        splits = spark.read.text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+        got = spark.read.text(json_lines(spark, str(tmp_path), paths=paths)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    stored = next(p for p in paths if "json-objects" in p)
+    assert sorted(json.loads(r[0])["a"] for r in got) == sorted(map(str, range(3000)))
+    assert splits > 400 and len(spark.read.parquet(stored).inputFiles()) <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    release(spark, paths)
+
+
+def test_fixture_lines_are_written_by_ranges(spark, tmp_path):
+    """Files in the order of the keys, each with its own header and footer: no task sorts the whole table."""
+    lines = spark.range(4000, -1, -1).select(F.col("id").alias("key"), F.col("id").cast("string").alias("line"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _write_lines(lines, str(tmp_path / "rows"), "[", "]", ", ")
+        _write_lines(lines.where("key < 0"), str(tmp_path / "none"), "[", "]", ", ")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    texts = [json.loads(f.read_text()) for f in sorted((tmp_path / "rows").glob("part-*"))]
+    assert len(texts) > 1 and max(map(len, texts)) < 2000
+    assert [n for text in texts for n in text] == list(range(4001))
+    assert all(json.loads(f.read_text()) == [] for f in (tmp_path / "none").glob("part-*"))
