@@ -45,8 +45,8 @@ def read_numbered(
     is not blank; files of different headers are put together by column name, without regard
     to case. ``misfit`` has the whole text of rows with more or fewer cells than their header.
 
-    The text is read once and stored line by line with file, split and position; one pass over
-    that finds headers and row counts of the splits, and rows are parsed from there, so files
+    The text is read once and stored line by line with file, split and position; passes over
+    that find the row counts of the splits and the headers, and rows are parsed from there, so files
     of any size are split over tasks and lost executors change no number. Cells with line
     breaks in them need :func:`tablesmith.sources.files.read_delimited`.
     """
@@ -55,14 +55,17 @@ def read_numbered(
     lines = text.select(*place, F.monotonically_increasing_id().alias("_at"), "value")
     lines = materialize(lines.withColumn("_piece", F.xxhash64("_file", "_block")), "lines", paths)
     filled = F.trim("value", F.lit(f" \t{BOM}")) != ""
-    head = F.min_by(F.struct("_at", F.ltrim("value", F.lit(BOM)).alias("text")), F.when((F.col("_block") == 0) & filled, F.col("_at")))
-    pieces = lines.groupBy("_piece", "_file", "_block").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), head.alias("_head"))
+    # Only places are compared here: a least text would have every task sort its lines.
+    head = F.min(F.when((F.col("_block") == 0) & filled, F.col("_at")))
+    pieces = lines.groupBy("_piece", "_file", "_block").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), head.alias("_at"))
     # The first row of a file stands below its header.
-    first = F.when(F.col("_block") == 0, F.coalesce(F.col("_head")["_at"], F.col("_to")) + 1) if header else F.lit(None)
+    first = F.when(F.col("_block") == 0, F.coalesce(F.col("_at"), F.col("_to")) + 1) if header else F.lit(None)
     pieces = pieces.withColumn("_first", F.coalesce(first, "_from")).withColumn("_rows", F.col("_to") - F.col("_first") + 1)
     pieces = materialize(pieces, "pieces", paths)
-    heads = pieces.where("_block = 0").select("_file", F.col("_head")["text"].alias("_head"))
-    found = [r["_head"] for r in heads.groupBy("_head").agg(F.min("_file").alias("f")).orderBy("f").collect() if r["_head"] is not None]
+    starts = lines.where("_block = 0").select("_piece", "_at", F.ltrim("value", F.lit(BOM)).alias("_head"))
+    heads = lookup_join(starts, pieces.where("_at is not null").select("_piece", "_file", "_at"), ["_piece", "_at"], F.col("_at"), paths=paths)
+    heads = materialize(heads.select("_file", "_head"), "heads", paths)
+    found = [r["_head"] for r in heads.groupBy("_head").agg(F.min("_file").alias("f")).orderBy("f").collect()]
     names = [unique_names(cells if header else [None] * len(cells), [misfit, row_id, "file"]) for cells in csv.reader(found, delimiter=sep)]
     first_of: dict[str, str] = {}
     for name in (n for own in names for n in own):

@@ -38,14 +38,16 @@ def _is_line() -> Column:
 
 
 def header_kinds(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> dict[str, list[str]]:
-    """The files of each header line (the first line that is not blank), found by one job.
+    """The files of each header line (the first line that is not blank), found by one job that reads the text twice.
 
     The header lines are few, since they are the schema; the file names are those that the
     driver lists for any scan.
     """
     text = spark.read.option("encoding", encoding).text(path)
     lines = text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    heads = lines.where(_is_line()).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    # Only the places are compared: a least text would have every task sort its lines.
+    first = lines.where(_is_line()).groupBy("file").agg(F.min("at").alias("at"))
+    heads = lines.join(F.broadcast(first), ["file", "at"]).select("file", F.col("value").alias("head"))
     kinds = heads.groupBy(F.ltrim("head", F.lit("\ufeff")).alias("head")).agg(F.sort_array(F.collect_list("file")).alias("files"))
     return {r["head"]: r["files"] for r in kinds.orderBy(F.col("files")[0]).collect()}
 
