@@ -11,7 +11,7 @@ from tablesmith.operators.cleaning import Result, issue_log
 from tablesmith.operators.lookup import lookup_join
 from tablesmith.operators.reshape import PERIOD_MAP, SOURCE_ROW, SOURCE_TRACE, distinct_periods, selected_targets
 from tablesmith.schema import AGGREGATE_ROW, INVALID_FACT, MATRIX_RESULT, ROW_ID, TARGET_COLUMNS, UNLISTED_PERIOD, quoted
-from tablesmith.session import materialize
+from tablesmith.session import apart, compute_once, materialize
 from tablesmith.sources.cells import data_sheets, filled, table_key
 
 # Unit codes of well-known sheet names, and the layout of a matrix sheet.
@@ -103,8 +103,14 @@ def records_to_target(
     """
     key = table_key(records)
     period = F.nullif(normalize_period(F.col("date_text")), F.lit(""))
-    atomic = records.where(~is_result_row(F.col("category"))).withColumn("period", period).where("period is not null")
-    values = atomic.select("*", F.inline("values")).drop("values")
+    fact = unit_code(F.col("sheet"))
+    # What the trace says of a record is written once for all its values.
+    sku = F.when(F.nullif("format", F.lit("")).isNotNull(), "E").otherwise("D")
+    before = F.concat(F.lit('{"Category":"B","Brand":"C","SKU":"'), sku, F.lit('","Channel":"'))
+    after = F.when(fact.isNull(), "}").otherwise(F.concat(F.lit(","), F.substring(F.to_json(F.struct(F.concat(fact, F.lit(" sheet")).alias("Fact"))), 2, 2**31 - 1)))
+    once = [period.alias("period"), before.alias("_before"), after.alias("_after")]
+    atomic = compute_once(records.where(~is_result_row(F.col("category"))), [*[F.col(quoted(n)) for n in records.columns], *once])
+    values = atomic.where("period is not null").select("*", F.inline("values")).drop("values")
     joined = lookup_join(values, heads, [*key, "col_idx"], F.col("row_idx"), "left", paths=paths)
     nothing = F.lit(None).cast("string")
     targets = {
@@ -115,15 +121,10 @@ def records_to_target(
         "Category": F.col("category"),
         "Brand": F.col("brand"),
         "SKU": first_filled(F.col("format"), F.col("segment")),
-        "Fact": unit_code(F.col("sheet")),
+        "Fact": fact,
     }
     rows = ", ".join(map(str, header_rows))
-    trace = {
-        "Category": F.lit("B"), "Brand": F.lit("C"),
-        "SKU": F.when(F.nullif("format", F.lit("")).isNotNull(), "E").otherwise("D"),
-        "Channel": F.concat(column_letter(F.col("col_idx")), F.lit(f" header rows {rows}")),
-        "Fact": F.concat(targets["Fact"], F.lit(" sheet")),
-    }
+    channel = F.concat(column_letter(F.col("col_idx")), F.lit(f" header rows {rows}"))
     out = joined.select(
         *key,
         *[targets[t].alias(t) for t in selected_targets(required)],
@@ -131,12 +132,22 @@ def records_to_target(
         parse_numeric(F.col("value")).alias("value"),
         F.col("row_idx").cast("bigint").alias(SOURCE_ROW),
         F.col("col_idx").alias("_source_column"),
-        F.to_json(F.struct(*[c.alias(t) for t, c in trace.items()])).alias(SOURCE_TRACE),
+        F.concat("_before", channel, F.lit('"'), "_after").alias(SOURCE_TRACE),
     )
-    named = records.withColumnRenamed("row_idx", ROW_ID)
-    results = issue_log(named.where(is_result_row(F.col("category"))), AGGREGATE_ROW, F.lit(MATRIX_RESULT), scope=key)
     not_numbers = values.where(parse_numeric(F.col("value")).isNull()).withColumnRenamed("row_idx", ROW_ID)
-    return Result(out, results.unionByName(issue_log(not_numbers, INVALID_FACT, scope=key)))
+    return Result(out, result_log(records).unionByName(issue_log(not_numbers, INVALID_FACT, scope=key)))
+
+
+def result_log(records: DataFrame) -> DataFrame:
+    """One log entry for every sub-total row."""
+    named = records.where(is_result_row(F.col("category"))).withColumnRenamed("row_idx", ROW_ID)
+    return issue_log(named, AGGREGATE_ROW, F.lit(MATRIX_RESULT), scope=table_key(records))
+
+
+def matrix_log(records: DataFrame, long: DataFrame) -> DataFrame:
+    """The issues of :func:`records_to_target` from its stored rows: a value that is null there was no number."""
+    not_numbers = long.where("value is null").withColumnRenamed(SOURCE_ROW, ROW_ID)
+    return result_log(records).unionByName(issue_log(not_numbers, INVALID_FACT, scope=table_key(records)))
 
 
 def matrix_to_target(
@@ -164,8 +175,9 @@ def matrix_to_wide(long: DataFrame, periods: list[str] | None = None, max_period
     ``periods`` does not list has none filled (see :func:`unlisted_periods`).
     """
     periods = distinct_periods(long, max_periods=max_periods) if periods is None else periods
-    kept = [F.col(quoted(n)) for n in long.columns if n not in ("period", "value")]
-    return long.select(*kept, *[F.when(F.col("period") == p, F.col("value")).alias(p) for p in periods])
+    first, *kept = [n for n in long.columns if n not in ("period", "value")]
+    columns = [apart(F.col(quoted(first))).alias(first), *[F.col(quoted(n)) for n in kept]]
+    return long.select(*columns, *[F.when(F.col("period") == p, F.col("value")).alias(p) for p in periods])
 
 
 def matrix_to_map(long: DataFrame) -> DataFrame:

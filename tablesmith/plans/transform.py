@@ -23,7 +23,7 @@ from tablesmith.operators.cleaning import (
     scope_names,
     strict_aggregate,
 )
-from tablesmith.operators.matrix import FIRST_VALUE_ROW, channel_headers, matrix_to_wide, records_to_target, row_records, unlisted_periods
+from tablesmith.operators.matrix import FIRST_VALUE_ROW, channel_headers, matrix_log, matrix_to_wide, records_to_target, row_records, unlisted_periods
 from tablesmith.operators.reconcile import null_count, reconciliation
 from tablesmith.operators.reshape import Mapping, absent_sources, long_to_wide, period_columns, selected_targets, wide_to_target
 from tablesmith.schema import MISFIT, ROW_ID, TARGET_COLUMNS, quoted
@@ -191,7 +191,8 @@ def transform_matrix(
     shaped = records_to_target(records, channel_headers(data_sheets(cells), header_rows), required, header_rows, paths)
     long, seen = materialize_counted(shaped.rows, "matrix-values", paths, output_rows=F.count("*"))
     rows = matrix_to_wide(long, periods)
-    issues = shaped.issues if periods is None else shaped.issues.unionByName(unlisted_periods(long, periods))
+    logged = matrix_log(records, long)
+    issues = logged if periods is None else logged.unionByName(unlisted_periods(long, periods))
     heights = records.groupBy(*table_key(records)).agg((F.max("row_idx") - (FIRST_VALUE_ROW - 1)).alias("below"))
     totals = heights.agg(
         F.coalesce(F.sum("below"), F.lit(0)).alias("input_rows"), F.lit(0).cast("bigint").alias("null_cells_in_source")

@@ -1,5 +1,6 @@
 """Row rules, reshape, reconciliation and skew on small tables."""
 
+import json
 import os
 
 import pytest
@@ -431,3 +432,26 @@ def test_counts_of_a_write_that_runs_again(spark):
     assert stored.count() == seen["n"] == 5 and seen["total"] == 499_500
     stored.collect()
     assert seen == {"n": 5, "total": 499_500}
+
+
+def test_many_periods_are_not_one_generated_method(spark):
+    """A projection of a column per period stays out of the method of its stage, which the JVM would not compile."""
+    periods = [f"{y}-{m:02d}" for y in range(2000, 2007) for m in range(1, 13)]
+    long = spark.createDataFrame([("KG", p, float(i)) for i, p in enumerate(periods)], "sheet string, period string, value double")
+    wide = matrix_to_wide(long, periods)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert next(line for line in plan.splitlines() if "2000-01" in line).lstrip(" +-:").startswith("Project")
+    got = [tuple(r) for r in wide.collect()]
+    assert sorted(got, key=lambda r: [v is None for v in r]) == [("KG", *[float(i) if i == j else None for j in range(84)]) for i in range(84)]
+
+
+def test_matrix_log_reads_the_stored_values(spark):
+    """Cells that are no numbers are logged from the stored rows: no value is parsed twice. Names are escaped in the trace."""
+    rows = [("B", 1, 5, "Web"), ("B", 5, 0, "2024-01"), ("B", 5, 1, "Dry"), ("B", 5, 3, "S"), ("B", 5, 5, "n/a"), ("B", 5, 6, "2"), ("B", 6, 1, "Result")]
+    cells = spark.createDataFrame([(f'a"{s}', r, c, v) for s, r, c, v in rows], "sheet string, row_idx int, col_idx int, value string")
+    run = transform_matrix(cells, periods=["2024-01"])
+    assert "Generate" not in run.issues._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["source_row"], r["issue_type"]) for r in run.issues.collect()) == [(5, "INVALID_FACT"), (6, "AGGREGATE_ROW")]
+    traces = {r["_source_column"]: json.loads(r["_source_trace"]) for r in run.rows.collect()}
+    assert traces[6] == {"Category": "B", "Brand": "C", "SKU": "D", "Channel": "G header rows 1", "Fact": 'a"B sheet'}
+    run.release()
