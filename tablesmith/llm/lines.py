@@ -1,7 +1,6 @@
 """Substring de-duplication by hashed lines and sentences."""
 
 import re
-from bisect import bisect_left
 from zlib import crc32
 
 import numpy as np
@@ -23,8 +22,6 @@ UNSPACED = (
 )
 # A phrase that finds no end in its own words is cut after so many.
 LONG_WORDS = 40
-LINE = re.compile(r"[^\n]+")
-STOP = re.compile("[.!?] ")
 UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
 MIXED = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 # Whether a character is white space; there is none beyond the last place.
@@ -70,61 +67,73 @@ def _ends(keys: np.ndarray, unspaced: np.ndarray | None, least: int) -> list[int
     return (np.flatnonzero(ends) + 1).tolist()
 
 
-def _phrases(keys: np.ndarray, unspaced: np.ndarray | None, size, min_words: int):
+def _phrases(keys: np.ndarray, unspaced: np.ndarray | None, size, min_words: int) -> list[tuple[int, int]]:
     """The text as word ranges of ``min_words`` or more; a rest that is shorter goes to a neighbour."""
     bounds = [0]
     for end in [*_ends(keys, unspaced, min_words), len(keys)]:
         while end - bounds[-1] > LONG_WORDS + min_words:
             bounds.append(bounds[-1] + LONG_WORDS)
         bounds.append(end)
-    first, held = 0, None
+    if unspaced is None and min_words <= LONG_WORDS:
+        # Ends keep that distance from one another and from both sides of the text.
+        return list(zip(bounds, bounds[1:]))
+    first, found = 0, []
     for end in bounds[1:]:
         if size(first, end) >= min_words:
-            if held:
-                yield held
-            first, held = end, (first, end)
-    if held:
-        yield held[0], len(keys)
+            found.append((first, end))
+            first = end
+    return [*found[:-1], (found[-1][0], len(keys))] if found else []
 
 
-def _word_places(text: str) -> tuple[list[int], list[int]]:
-    """Where the words of a text, as ``str.split`` sees them, start and end."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = BLANK[np.minimum(codes, len(BLANK) - 1)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    return edges[::2].tolist(), edges[1::2].tolist()
+def _edges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of characters that are ``inside`` start and end."""
+    out = np.concatenate([[True], ~inside, [True]])
+    edges = np.flatnonzero(out[1:] != out[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _lines_and_sentences(codes: np.ndarray) -> np.ndarray:
+    """``start, end`` of the lines, then of the sentences of lines that have a stop before a space."""
+    first, last = _edges(codes != 10)
+    spaces = np.flatnonzero(codes[1:] == 32) + 1
+    before = codes[spaces - 1]
+    stops = spaces[(before == 46) | (before == 33) | (before == 63)]  # . ! ?
+    several = np.searchsorted(stops, first) < np.searchsorted(stops, last)
+    # The sentences' starts and ends alternate, so those of all lines can be put in order as a whole.
+    starts = np.sort(np.concatenate([first[several], stops + 1]))
+    ends = np.sort(np.concatenate([stops, last[several]]))
+    return np.stack([np.concatenate([first, starts]), np.concatenate([last, ends])], 1)
 
 
 def _units(text: str, min_words: int, checksums: Checksums):
     """``start, end, d1, d2`` (arrays) of the lines, of the sentences of longer lines, of the phrases of the whole text."""
     low = text.lower()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if UNSPACED_SIGN.search(text):
         words = MIXED.findall(low)
-        starts, ends = ([at(m) for m in MIXED.finditer(text)] for at in (re.Match.start, re.Match.end))
+        starts, ends = (np.array([at(m) for m in MIXED.finditer(text)], np.int64) for at in (re.Match.start, re.Match.end))
         unspaced = np.fromiter((UNSPACED_SIGN.match(w) is not None for w in words), bool, len(words))
-        sums = np.concatenate([[0], np.cumsum(np.where(unspaced, 1, 2))]).tolist()
+        sums = np.concatenate([[0], np.cumsum(np.where(unspaced, 1, 2))])
         size = lambda i, j: (sums[j] - sums[i]) / 2
     else:
-        (starts, ends), words, unspaced = _word_places(text), low.split(), None
+        # Words as ``str.split`` sees them.
+        (starts, ends), words, unspaced = _edges(~BLANK[np.minimum(codes, len(BLANK) - 1)]), low.split(), None
         size = lambda i, j: j - i
     if not size(0, len(words)) >= min_words:
         return None
-    found: dict[tuple, tuple] = {}
-    for line in LINE.finditer(text):
-        first, last = line.span()
-        stops = [m.start() + 1 for m in STOP.finditer(text, first, last)]
-        sentences = zip([first, *(s + 1 for s in stops)], [*stops, last]) if stops else ()
-        for start, end in [(first, last), *sentences]:
-            i, j = bisect_left(starts, start), bisect_left(starts, end)
-            if size(i, j) >= min_words:
-                found.setdefault((i, j), (start, end))
+    places = _lines_and_sentences(codes)
+    ranges = np.searchsorted(starts, places)
+    long = size(*ranges.T) >= min_words
     hashes = np.fromiter(map(checksums.__getitem__, words), np.uint64, len(words))
     keys = hashes & np.uint64(0xFFFFFFFF)
     # Of a word and the next one, so that one common word alone does not decide.
     keys = keys * np.uint64(0x9E3779B97F4A7C15) + np.append(keys[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for i, j in _phrases(keys ^ (keys >> np.uint64(29)), unspaced, size, min_words):
-        found.setdefault((i, j), (starts[i], ends[j - 1]))
-    ranges, places = (np.array(list(x), np.int64).reshape(-1, 2) for x in (found.keys(), found.values()))
+    phrases = np.array(_phrases(keys ^ (keys >> np.uint64(29)), unspaced, size, min_words), np.int64).reshape(-1, 2)
+    ranges = np.concatenate([ranges[long], phrases])
+    places = np.concatenate([places[long], np.stack([starts[phrases[:, 0]], ends[phrases[:, 1] - 1]], 1)])
+    # Of equal ranges the first counts: a line, then a sentence, then a phrase.
+    _, once = np.unique(ranges[:, 0] * (len(words) + 1) + ranges[:, 1], return_index=True)
+    ranges, places = ranges[once], places[once]
     return (*places.T, *_digests(hashes, *ranges.T))
 
 

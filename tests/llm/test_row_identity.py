@@ -1,8 +1,10 @@
 """Rows that share or lack a doc_id are still told apart."""
 
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tablesmith.llm import lines, repeats
@@ -91,3 +93,13 @@ def test_units_are_those_of_the_text(spark):
     for part in ("One line of just five.", "A first sentence of six words.", "And then a second one here!"):
         assert (sample.index(part), sample.index(part) + len(part)) in spans
     assert brute.merged(spans)[0][0] == 0 and brute.merged(spans)[-1][1] == len(sample)
+
+
+def test_lines_and_sentences_are_those_of_plain_patterns():
+    """Lines, then the sentences of lines with a stop before a space, found without a loop over them."""
+    for sample in ("", "\n", "a", "One. Two! \nno stop.\n\n? x. \n. ", ". . \n.\n", "A.B. C?! D", text(3, 300)):
+        lined = [m.span() for m in re.finditer(r"[^\n]+", sample)]
+        cut = [[m.start() + 1 for m in re.compile("[.!?] ").finditer(sample, *span)] for span in lined]
+        sentences = [s for (a, b), stops in zip(lined, cut) if stops for s in zip([a, *(p + 1 for p in stops)], [*stops, b])]
+        got = lines._lines_and_sentences(np.frombuffer(sample.encode("utf-32-le"), np.uint32))
+        assert [tuple(x) for x in got.tolist()] == [*lined, *sentences]
