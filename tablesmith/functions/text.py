@@ -1,5 +1,6 @@
 """Text rules: Unicode, control characters, white space, phone, e-mail, casing."""
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -47,6 +48,20 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(nfkc_udf()(F.when(non_ascii(c), c)), c)
 
 
+def nfkc_cells(cells: Column) -> Column:
+    """NFKC of an array of texts in one Arrow hop; only arrays with a non-ASCII character travel to Python.
+
+    They travel as JSON, since Spark measures a batch of arrays anew for each row it adds.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def normalize(s: pd.Series) -> pd.Series:
+        plain = lambda v: v if v is None else unicodedata.normalize("NFKC", v)
+        return s.map(lambda row: [plain(v) for v in json.loads(row)], na_action="ignore")
+
+    return F.coalesce(normalize(F.when(non_ascii(F.concat_ws("", cells)), F.to_json(cells))), cells)
+
+
 def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROLS, "")
 
@@ -65,6 +80,10 @@ def collapse_whitespace(c: Column) -> Column:
     return _collapse_ascii(_ascii_spaces(c))
 
 
+def _dirt(c: Column) -> Column:
+    return c.contains("  ") | c.rlike(r"[\x00-\x1F]") | (non_ascii(c) & c.rlike(f"[{_MAYBE_UNICODE_SPACE}]"))
+
+
 def clean_value(c: Column, unicode: bool = True) -> Column:
     """NFKC, delete control characters, collapse white space, empty text to null.
 
@@ -72,12 +91,21 @@ def clean_value(c: Column, unicode: bool = True) -> Column:
     No costly step stands where its argument is named twice, since that would repeat it.
     """
     c = nfkc(c) if unicode else c
-    ascii_dirt = c.startswith(" ") | c.endswith(" ") | c.contains("  ") | c.rlike(r"[\x00-\x1F]")
-    untidy = ascii_dirt | (non_ascii(c) & c.rlike(f"[{_MAYBE_UNICODE_SPACE}]"))
+    untidy = c.startswith(" ") | c.endswith(" ") | _dirt(c)
     tidied = _collapse_ascii(strip_controls(_ascii_spaces(c)))
     return F.when(untidy, F.when(c.rlike(_VISIBLE), tidied)).when(c != "", c)
 
 
+def joined_cells(cells: Column) -> Column:
+    """The texts of an array between bars, for :func:`untidy_cells`."""
+    return F.concat(F.lit("|"), F.concat_ws("|", cells), F.lit("|"))
+
+
+def untidy_cells(joined: Column) -> Column:
+    """False only if :func:`clean_value` leaves every non-empty text of the array as it is; bars in texts may make it true."""
+    return joined.contains("| ") | joined.contains(" |") | _dirt(joined)
+
+
 def normalize_phone(c: Column) -> Column:
     return F.regexp_replace(F.nullif(strip(c), F.lit("")), "[^0-9+]", "")
 

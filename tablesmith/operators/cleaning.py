@@ -10,7 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesmith.functions.dates import date_text, header_is_period, normalize_date
 from tablesmith.functions.numbers import parse_numeric
-from tablesmith.functions.text import clean_value, nfkc, normalize_email, normalize_phone, normalize_text, row_text
+from tablesmith.functions.text import (
+    clean_value,
+    joined_cells,
+    nfkc_cells,
+    normalize_email,
+    normalize_phone,
+    normalize_text,
+    row_text,
+    untidy_cells,
+)
 from tablesmith.schema import AGGREGATE_ROW, DETAILS, DUPLICATE, INVALID_FACT, MISFIT, NULL_ROW, RAGGED_ROW, ROW_ID, quoted
 from tablesmith.session import compute_once, materialize
 
@@ -70,18 +79,24 @@ def ragged_log(df: DataFrame, row_id: str = ROW_ID, scope: Scope = None) -> Data
 def clean_values(df: DataFrame, unicode: bool = True, row_id: str = ROW_ID, scope: Scope = None) -> DataFrame:
     """Apply ``clean_value`` to every text column, once per cell.
 
-    The text cells of a row are cleaned as one array, so that the plan has the rule once
-    however many columns there are; the ``explode`` of its single element keeps later
-    filters from being pushed below it, which would repeat the rule.
+    The text cells of a row are one array, so that the plan has the rule once however many
+    columns there are. One test of all cells together finds the rows that are clean already.
+    The ``explode`` of a single element keeps later filters from being pushed below it,
+    which would repeat the rule.
     """
     is_text = lambda f: isinstance(f.dataType, T.StringType) and f.name not in (*row_key(row_id, scope), MISFIT)
     text = [f.name for f in df.schema.fields if is_text(f)]
     if not text:
         return df
-    cells = [F.col(quoted(n)) for n in text]
-    cleaned = F.transform(F.array(*[nfkc(c) if unicode else c for c in cells]), lambda c: clean_value(c, unicode=False))
     others = [F.col(quoted(n)) for n in df.columns if n not in text]
-    rows = df.select(*others, F.explode(F.array(cleaned)).alias("_text"))
+    # Empty texts become null in any case.
+    rows = compute_once(df, [*others, F.array(*[F.nullif(F.col(quoted(n)), F.lit("")) for n in text]).alias("_text")])
+    cells = nfkc_cells(F.col("_text")) if unicode else F.col("_text")
+    rows = rows.select(*others, cells.alias("_text"))
+    rows = compute_once(rows, [*others, F.col("_text"), joined_cells(F.col("_text")).alias("_joined")])
+    cleaned = F.transform("_text", lambda c: clean_value(c, unicode=False))
+    cleaned = F.when(untidy_cells(F.col("_joined")), cleaned).otherwise(F.col("_text"))
+    rows = rows.select(*others, F.explode(F.array(cleaned)).alias("_text"))
     return rows.select(*[F.col("_text")[text.index(n)].alias(n) if n in text else F.col(quoted(n)) for n in df.columns])
 
 

@@ -36,7 +36,8 @@ def cells_from_lines(lines: DataFrame, sep: str = "\t") -> DataFrame:
 
 def data_sheets(cells: DataFrame) -> DataFrame:
     """Without guide sheets."""
-    return cells.where(F.lower("sheet") != GUIDE_SHEET)
+    # The length is seen before the letters, which are costly to compare.
+    return cells.where((F.length("sheet") != len(GUIDE_SHEET)) | (F.lower("sheet") != GUIDE_SHEET))
 
 
 def filled(value: Column) -> Column:
@@ -126,9 +127,9 @@ def sheet_union(cells: DataFrame, header_row: int | DataFrame = 1, paths: list[s
 
 
 def _records(data: DataFrame, header_row: int | DataFrame, paths: list[str] | None) -> DataFrame:
-    """All sheets in one pass: each cell gets the number of its column, a row is one map of its cells.
+    """All sheets in one pass: a row is one list of its cells, which then gets the column numbers of its sheet.
 
-    The work follows the cells, not the columns; only the distinct names come to the driver,
+    Only rows are joined with the names, not cells, and only the distinct names come to the driver,
     since they are the schema. Of several cells in one place the least filled one counts.
     """
     key = table_key(data)
@@ -136,14 +137,18 @@ def _records(data: DataFrame, header_row: int | DataFrame, paths: list[str] | No
     found = names.groupBy("low").agg(F.min(F.struct("col_idx", "name")).alias("first")).collect()
     columns = sorted(found, key=lambda r: tuple(r["first"]))
     numbers = data.sparkSession.createDataFrame([(r["low"], i) for i, r in enumerate(columns)], "low string, _column int")
-    places = names.join(numbers, "low").select(*key, "header_row", "col_idx", "_column")
-    body = lookup_join(data, places, [*key, "col_idx"], F.col("row_idx"), paths=paths).where("row_idx > header_row")
-    cell = F.when(F.col("value").isNotNull(), F.struct("_column", "value"))
+    place = F.array_sort(F.collect_list(F.struct("col_idx", "_column")))
+    # The positions of a sheet have no gaps, so an array tells the column of each.
+    places = names.join(numbers, "low").groupBy(*key, "header_row").agg(place["_column"].alias("_columns"))
+    cell = F.when(F.col("value").isNotNull(), F.struct(F.col("col_idx").cast("int").alias("col_idx"), "value"))
+    # Grouped by row number first: cells lie in that order as a rule, and so need little sorting.
+    rows = data.where("col_idx >= 0").groupBy("row_idx", *key).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+    rows = lookup_join(rows, places, key, F.col("row_idx"), paths=paths).where("row_idx > header_row")
     row = (F.col("row_idx") - F.col("header_row")).cast("bigint").alias(ROW_ID)
-    rows = body.groupBy(*key, row).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-    first = F.filter("_cells", lambda c, i: (i == 0) | (c["_column"] != F.col("_cells")[F.greatest(i - 1, F.lit(0))]["_column"]))
-    rows = compute_once(rows, [*[F.col(n) for n in (*key, ROW_ID)], F.map_from_entries(first).alias("_cells")])
-    return rows.select(*key, ROW_ID, *[F.col("_cells")[F.lit(i)].alias(r["first"]["name"]) for i, r in enumerate(columns)])
+    found = F.transform("_cells.col_idx", lambda i: F.get("_columns", i)).alias("_found")
+    rows = compute_once(rows, [*[F.col(n) for n in key], row, found, F.col("_cells.value").alias("_values")])
+    value = lambda i: F.get("_values", (F.array_position("_found", i) - 1).cast("int"))
+    return rows.select(*key, ROW_ID, *[value(i).alias(r["first"]["name"]) for i, r in enumerate(columns)])
 
 
 def catalog_of(df: DataFrame, file: str, sheet: str = "data", n: int = HEADER_SCAN_ROWS) -> DataFrame:

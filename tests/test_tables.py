@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tablesmith.functions.text import clean_value
 from tablesmith.operators.cleaning import clean_fields, clean_rows, clean_values, field_kind, remove_bad_rows, split_duplicates, tag_rows
 from tablesmith.operators.lookup import lookup_join, salts_for
 from tablesmith.operators.matrix import column_letter, matrix_to_map, matrix_to_target, matrix_to_wide
@@ -455,3 +456,24 @@ def test_matrix_log_reads_the_stored_values(spark):
     traces = {r["_source_column"]: json.loads(r["_source_trace"]) for r in run.rows.collect()}
     assert traces[6] == {"Category": "B", "Brand": "C", "SKU": "D", "Channel": "G header rows 1", "Fact": 'a"B sheet'}
     run.release()
+
+
+def test_text_cells_travel_as_one(spark):
+    """One Arrow column for all text cells of a row, and each cell as the rule has it, whatever its neighbours hold."""
+    odd = ["ok", "", None, " a", "a ", "a  b", "a\tb", "\x00", "|", "| x |", "x ", "ﬁ", "e\x00́", "́", "１", '"\\', "[]"]
+    rows = [(i, odd[i], odd[i * 7 % len(odd)], "plain", odd[(i * 5 + 3) % len(odd)]) for i in range(len(odd))]
+    df = spark.createDataFrame(rows, "source_row bigint, a string, b string, c string, d string")
+    out = clean_values(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [normalize(") == 1 and plan.count("normalize(") == 1
+    each = df.select("source_row", *[clean_value(F.col(n)).alias(n) for n in "abcd"])
+    assert rows_of(out, "source_row", "a", "b", "c", "d") == rows_of(each, "source_row", "a", "b", "c", "d")
+
+
+def test_rows_of_sheets_meet_names_not_cells(spark):
+    """The names are joined with whole rows; cells given twice, without a place or without a value change nothing else."""
+    rows = [("S", 1, 0, "A"), ("S", 1, 2, "C"), ("S", 2, 2, "z"), ("S", 2, 0, "b"), ("S", 2, 0, "a"), ("S", 2, 0, None), ("S", 3, 1, None), ("S", 4, None, "lost")]
+    out = sheet_union(spark.createDataFrame(rows, "sheet string, row_idx int, col_idx int, value string"))
+    assert rows_of(out, "source_row", "A", "Column_2", "C") == [(1, "a", None, "z"), (2, None, None, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
