@@ -22,6 +22,8 @@ UNSPACED = (
 )
 # A phrase that finds no end in its own words is cut after so many.
 LONG_WORDS = 40
+# A worker keeps the hashes of about so many words, some 200 bytes each, from batch to batch.
+KNOWN_WORDS = 300_000
 UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
 MIXED = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 # Whether a character is white space; there is none beyond the last place.
@@ -32,12 +34,22 @@ SPANS = "array<struct<start: int, end: int>>"
 class Checksums(dict):
     """64-bit hashes of words, the low half a checksum; each computed once."""
 
+    @classmethod
+    def known(cls) -> "Checksums":
+        """Those of the words that this worker has met lately, for one more batch."""
+        if len(_KNOWN) > KNOWN_WORDS:
+            _KNOWN.clear()
+        return _KNOWN
+
     def __missing__(self, word: str) -> int:
         raw = word.encode("utf-8", "surrogatepass")
         self[word] = crc32(raw) | xxh32_intdigest(raw) << 32
         return self[word]
 
 
+_KNOWN = Checksums()
+
+
 def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for each range of words, from two sums over all of them."""
     up, down = powers(max(12, int(len(hashes)).bit_length()))
@@ -105,8 +117,8 @@ def _lines_and_sentences(codes: np.ndarray) -> np.ndarray:
     return np.stack([np.concatenate([first, starts]), np.concatenate([last, ends])], 1)
 
 
-def _units(text: str, min_words: int, checksums: Checksums):
-    """``start, end, d1, d2`` (arrays) of the lines, of the sentences of longer lines, of the phrases of the whole text."""
+def _pieces(text: str, min_words: int, checksums: Checksums):
+    """The hashes of a text's words, and the ranges of words and the places of its lines, sentences and phrases; none if it is too short."""
     low = text.lower()
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if UNSPACED_SIGN.search(text):
@@ -129,12 +141,33 @@ def _units(text: str, min_words: int, checksums: Checksums):
     # Of a word and the next one, so that one common word alone does not decide.
     keys = keys * np.uint64(0x9E3779B97F4A7C15) + np.append(keys[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)
     phrases = np.array(_phrases(keys ^ (keys >> np.uint64(29)), unspaced, size, min_words), np.int64).reshape(-1, 2)
-    ranges = np.concatenate([ranges[long], phrases])
     places = np.concatenate([places[long], np.stack([starts[phrases[:, 0]], ends[phrases[:, 1] - 1]], 1)])
+    return hashes, np.concatenate([ranges[long], phrases]), places
+
+
+def _all_units(texts: list[str], min_words: int, checksums: Checksums) -> list[np.ndarray]:
+    """``text, start, end, d1, d2`` of the lines, of the sentences of longer lines, of the phrases of whole texts; ``text`` is a place in the list.
+
+    What is the same for all texts is done for all together, since most texts are short.
+    """
+    found = [(i, *own) for i, text in enumerate(texts) if (own := _pieces(text, min_words, checksums)) is not None]
+    if not found:
+        return [np.zeros(0, np.int64)] * 5
+    numbers, hashes, ranges, places = zip(*found)
+    # One place more for each text, so that no range of one text is a range of the next.
+    lengths = np.array([len(h) + 1 for h in hashes], np.int64)
+    counts = [len(r) for r in ranges]
+    ranges = np.concatenate(ranges) + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
+    hashes = np.concatenate([part for h in hashes for part in (h, np.zeros(1, np.uint64))])
     # Of equal ranges the first counts: a line, then a sentence, then a phrase.
-    _, once = np.unique(ranges[:, 0] * (len(words) + 1) + ranges[:, 1], return_index=True)
-    ranges, places = ranges[once], places[once]
-    return (*places.T, *_digests(hashes, *ranges.T))
+    _, once = np.unique(ranges[:, 0] * (len(hashes) + 1) + ranges[:, 1], return_index=True)
+    return [np.repeat(numbers, counts)[once], *np.concatenate(places)[once].T, *_digests(hashes, *ranges[once].T)]
+
+
+def _units(text: str, min_words: int, checksums: Checksums):
+    """The units of one text without its number; none if it is too short."""
+    found = _all_units([text], min_words, checksums)
+    return tuple(found[1:]) if len(found[0]) else None
 
 
 def units(whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -150,13 +183,8 @@ def units(whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
-        checksums, rows, columns = Checksums(), [], []
-        for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
-            if (own := _units(text, min_words, checksums)) is not None:
-                rows.append(np.full(len(own[0]), row))
-                columns.append(own)
-        joined = [np.concatenate(c) for c in (rows, *zip(*columns))] if rows else [np.zeros(0, np.int64)] * 5
-        return dict(zip(("row", "start", "end", "d1", "d2"), joined))
+        which, *columns = _all_units(batch["text"].to_pylist(), min_words, Checksums.known())
+        return dict(zip(("row", "start", "end", "d1", "d2"), (batch["row"].to_numpy()[which], *columns)))
 
     return map_texts(whole, cut, "row bigint, start bigint, end bigint, d1 bigint, d2 bigint")
 

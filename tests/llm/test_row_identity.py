@@ -103,3 +103,19 @@ def test_lines_and_sentences_are_those_of_plain_patterns():
         sentences = [s for (a, b), stops in zip(lined, cut) if stops for s in zip([a, *(p + 1 for p in stops)], [*stops, b])]
         got = lines._lines_and_sentences(np.frombuffer(sample.encode("utf-32-le"), np.uint32))
         assert [tuple(x) for x in got.tolist()] == [*lined, *sentences]
+
+
+def test_units_of_many_texts_are_those_of_each(monkeypatch):
+    """Texts of a batch are hashed together, with the words known from batches before."""
+    rng = random.Random(7)
+    words = ["one", "Two.", "three!", "vier", "fünf?", "漢字", "ΣΑΣ", "x" * 30]
+    texts = ["", "a b", "漢字かな交じり文。" * 3]
+    texts += [" ".join(rng.choice(words) + rng.choice(["", "\n", "\n\n"]) for _ in range(rng.randrange(120))) for _ in range(60)]
+    for least in (1, 5):
+        found = list(zip(*lines._all_units(texts, least, lines.Checksums())))
+        alone = [lines._units(t, least, lines.Checksums()) for t in texts]
+        assert found == [(i, *u) for i, own in enumerate(alone) if own is not None for u in zip(*own)]
+    monkeypatch.setattr(lines, "KNOWN_WORDS", 3)
+    lines.Checksums.known().clear()
+    lines._all_units(["one two three four five six"], 5, lines.Checksums.known())
+    assert len(lines._KNOWN) == 6 and lines.Checksums.known() is lines._KNOWN and not lines._KNOWN
