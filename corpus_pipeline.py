@@ -2,13 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesmith.llm.base import documents, with_rows
+from tablesmith.llm.base import documents, few, with_rows
 from tablesmith.llm.contamination import contained_items
 from tablesmith.llm.exact import exact_groups
 from tablesmith.llm.jaccard import similar_groups
 from tablesmith.llm.language import UNKNOWN, held_out, identify, learn, lettered
 from tablesmith.llm.packing import best_fit
-from tablesmith.session import materialize
+from tablesmith.session import materialize, release
 
 #: Language identification learns from data, so no SQL gives the rows of ``run``.
 ORACLE_SQL = None
@@ -24,9 +24,15 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, named.select(F.col("row").alias("doc_id"), "text")
 
 
-def _of_rows(named: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    ids = found.select(F.col("doc_id").alias("row")).distinct()
-    return named.join(ids, "row", how).select("document.*")
+def _without(named: DataFrame, dropped: DataFrame, paths: list[str]) -> DataFrame:
+    """The rows but for those whose number is a ``doc_id`` in ``dropped``.
+
+    Only the numbers to be dropped are stored, so that the rows need not be moved for a join if
+    these are few; the tables of ``paths``, from which they were found, are deleted.
+    """
+    ids = materialize(dropped.select(F.col("doc_id").alias("row")).distinct(), "dropped-rows")
+    release(named.sparkSession, paths)
+    return named.join(few(ids), "row", "left_anti").select("document.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[str] | None = None) -> DataFrame:
@@ -47,7 +53,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: li
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each group of equal texts: the least ``doc_id``, rows without one of their own last."""
     named, own = _rows(docs)
-    return _of_rows(named, exact_groups(own).where("kept"), "left_semi")
+    paths: list[str] = []
+    return _without(named, exact_groups(own, paths).where("not kept"), paths)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +63,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The first is that of the least ``doc_id``; rows without one of their own come last.
     """
     named, own = _rows(docs)
-    return _of_rows(named, similar_groups(own, size=5, percent=80).where("doc_id = component_id"), "left_semi")
+    paths: list[str] = []
+    return _without(named, similar_groups(own, size=5, percent=80, paths=paths).where("doc_id != component_id"), paths)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a benchmark item, whatever their ``doc_id``: five words, containment 0.8."""
     named, own = _rows(docs)
-    return _of_rows(named, contained_items(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+    paths: list[str] = []
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(named, contained_items(own, items, paths=paths), paths)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,19 +42,20 @@ def recipes(docs: DataFrame) -> DataFrame:
     return listed.select("doc_id", "text_sha256", recipe)
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row of ``docs (doc_id, text)``.
 
     Equal are texts that agree after each run of ASCII white space became one space. The
     least ``doc_id`` of a group stays. Null counts as the empty text, empty texts are equal to
     each other, further columns are ignored, an empty table gives an empty result. Rows that
-    repeat a ``doc_id`` count one by one, and all rows with the kept id stay.
+    repeat a ``doc_id`` count one by one, and all rows with the kept id stay. Tables stored on
+    the way are added to ``paths``.
     """
-    listed = materialize(recipes(docs), "recipes")
+    listed = materialize(recipes(docs), "recipes", paths)
     groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # Stored, so that both sides of the join are plain exchanges: one large group of copies is
     # then split over several tasks.
-    groups = materialize(groups.where("group_size > 1"), "copies")
+    groups = materialize(groups.where("group_size > 1"), "copies", paths)
     joined = listed.join(groups, "recipe", "left")
     keep, size = F.coalesce("keep_id", "doc_id"), F.coalesce("group_size", F.lit(1).cast("bigint"))
     return joined.select(

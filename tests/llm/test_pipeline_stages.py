@@ -1,6 +1,7 @@
 """The stages of the pipeline on odd rows, rows without an id and tables without labels."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -15,6 +16,11 @@ def rows(df):
     return Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
 
 
+def stored(spark):
+    """Names of the tables in the shared folder."""
+    return [p.name for p in Path(spark.conf.get("spark.checkpoint.dir"), "tablesmith").glob("*")]
+
+
 def lettered(given):
     return Counter((i, t) for i, t, *_ in given if any(map(str.isalpha, t or "")))
 
@@ -69,6 +75,21 @@ def test_rows_that_share_an_id(spark, make):
     assert rows(near_dedup(spark, make(given), SF_DIR)) == Counter([(4, LONG), given[2]])
 
 
+@pytest.mark.parametrize("stage", [exact_dedup, near_dedup, decontamination])
+def test_rows_stay_where_they_are(spark, make, tmp_path, stage):
+    """Dropping a few rows moves no text in an exchange, and leaves no table on disk but their numbers."""
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    make([(1, LONG), (2, LONG), (3, LONG + " more"), (4, "quite another text"), (5, item)], extra=False).write.parquet(str(tmp_path / "documents"))
+    before = set(stored(spark))
+    got = stage(spark, spark.read.parquet(str(tmp_path / "documents")), SF_DIR)
+    left = {name.rsplit("-", 1)[0] for name in set(stored(spark)) - before}
+    kept = {exact_dedup: {1, 3, 4, 5}, near_dedup: {1, 4, 5}, decontamination: {1, 2, 3, 4}}[stage]
+    assert {i for i, _ in rows(got)} == kept
+    assert left <= {"odd-ids", "dropped-rows"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_predicted_languages_fill_gaps(spark, make):
     labelled = [(i, "the river and the house of the king", "en") for i in range(100, 120)] + [(i, "der fluss und das haus des herrn", "de") for i in range(200, 220)]
     given = make([*labelled, (1, "the house and the king"), (2, "das haus und der herr"), (3, "12")])

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -64,6 +65,45 @@ def test_linked_sets_share_a_signature(n, gone, new, percent, seed):
         assert np.isin(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).any()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([60, 80, 85, 95]), st.integers(0, 9), st.booleans())
+def test_linked_sets_pass_by_their_profiles(n, gone, new, percent, seed, crowded):
+    """Also if many n-grams lie in one range, where counts end at 255."""
+    rng = np.random.default_rng(seed)
+    top = 2**56 if crowded else 2**64
+    a = np.unique(rng.integers(0, top, n, np.uint64))
+    b = np.unique(np.concatenate([a[min(gone, n - 1) :], rng.integers(0, top, new, np.uint64)]))
+    shared = len(np.intersect1d(a, b))
+    if 100 * shared >= percent * (len(a) + len(b) - shared):
+        profiles, sizes = np.stack([jaccard.profile(a), jaccard.profile(b)]), np.array([len(a), len(b)])
+        assert jaccard.may_link(profiles, sizes, None, percent).all()
+        assert jaccard.may_link(profiles, sizes, np.array([0, 1]), percent).all()
+        assert not jaccard.may_link(profiles, sizes, np.array([1, 1]), percent).any()
+
+
+def test_profiles_tell_other_sets_apart():
+    rng = np.random.default_rng(0)
+    many = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (700, 700, 900, 40, 50)]
+    many.append(np.unique(np.concatenate([many[0][30:], rng.integers(0, 2**64, 30, np.uint64)])))
+    profiles, sizes = np.stack([jaccard.profile(s) for s in many]), np.array([len(s) for s in many])
+    assert np.flatnonzero(jaccard.may_link(profiles, sizes, None, 80)).tolist() == [0, 5]
+
+
+def test_repeated_places():
+    rng = np.random.default_rng(0)
+    many = [rng.integers(0, 2**64, 3_000, np.uint64) for _ in range(4)]
+    many[1][:50], many[3][50:90], many[2][:5] = many[0][:50], many[1][50:90], many[2][5:10]
+    batches = []
+    for own in (many[:2], many[2:3], [], many[3:]):
+        found = jaccard._places(own)
+        batches += [(int(part), value) for part, value in zip(found["part"], found["places"])]
+    parts, values = zip(*sorted(batches))
+    table = pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "places": pa.array(values, pa.binary())})
+    got = [p for batch in jaccard._repeated(iter([table])) for p in batch["place"].to_pylist()]
+    places, counts = np.unique(np.concatenate(many) >> np.uint64(20), return_counts=True)
+    assert got == places[counts > 1].tolist() and len(got) == 95
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     many = [np.unique(rng.integers(0, 20_000, 3_000).astype(np.uint64)) for _ in range(5)]
